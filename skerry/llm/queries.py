@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skerry.llm.warc import archive_and_read
+
+    return archive_and_read(_table(spark, sf_dir, "pages")).withColumnRenamed("record_id", "page_id")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skerry.llm.quality import quality
 
@@ -24,11 +30,29 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skerry.llm.sharding import shard
+
+    return shard(_table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skerry.llm.secrets import secret_spans
+
+    return secret_spans(_table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skerry.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skerry.llm.simhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_byte_bpe, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_byte_bpe, op5_sharding, op6_secret_scans, op7_mixing, op10_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
