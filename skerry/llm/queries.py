@@ -30,6 +30,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skerry.llm.lm import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skerry.llm.sharding import shard
 
@@ -54,5 +60,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_byte_bpe, op5_sharding, op6_secret_scans, op7_mixing, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_byte_bpe, op4_lm_scoring, op5_sharding, op6_secret_scans, op7_mixing, op10_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
