@@ -60,11 +60,17 @@ def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skerry.llm.licenses import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skerry.llm.simhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_byte_bpe, op4_lm_scoring, op5_sharding, op6_secret_scans, op7_mixing, op8_ann_search, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_byte_bpe, op4_lm_scoring, op5_sharding, op6_secret_scans, op7_mixing, op8_ann_search, op9_license_scans, op10_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
