@@ -133,12 +133,13 @@ def _with_distance(rows: DataFrame, model: DataFrame) -> DataFrame:
     return out.select(*rows.columns, distance.alias("q_d2"))
 
 
-_BIN = F.floor(F.log(F.col("q_d2") + 1e-4) * _BINS_PER_E)
+def _bin() -> Column:
+    return F.floor(F.log(F.col("q_d2") + 1e-4) * _BINS_PER_E)
 
 
 def _bin_at(far: DataFrame, share: float, name: str) -> DataFrame:
     """By group the bin of distances up to which the share of rows lies."""
-    bins = far.groupBy("q_group", _BIN.alias("bin")).agg(F.count("*").alias("n"))
+    bins = far.groupBy("q_group", _bin().alias("bin")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("q_group")
     return (
         bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w)).where(F.col("upto") >= share * F.col("all")).groupBy("q_group").agg(F.min("bin").alias(name))
@@ -158,7 +159,7 @@ def fit(rows: DataFrame, scratch: Scratch) -> DataFrame:
     for _ in range(STEPS):
         far = _with_distance(used, model)
         limit = scratch.write(_bin_at(far, H, "limit"), "limit")
-        near = far.join(limit, "q_group").where(_BIN <= F.col("limit"))
+        near = far.join(limit, "q_group").where(_bin() <= F.col("limit"))
         moments = near.groupBy("q_group").agg(
             *[F.avg(f"q_x{i}").alias(f"m{i}") for i in range(_DIMS)],
             *[F.covar_pop(f"q_x{i}", f"q_x{j}").alias(f"c{i}{j}") for i in range(_DIMS) for j in range(i + 1)],

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 ALPHA = 0.05
 EXAMPLES = 240
-HELD_OUT = 600
+HELD_OUT = 3000
 RUN = 20
 KINDS = ("assign", "access", "hex", "format")
 

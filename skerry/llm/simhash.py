@@ -169,10 +169,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = scratch.write(docs.withColumn("sh_fingerprint", fingerprint_column(text_col)), "rows")
     slim = rows.select(F.col(id_col).alias("sh_id"), "sh_fingerprint")
     labels = assign(slim, scratch, id_col="sh_id", **options).select("sh_id", "sh_fingerprint", "sh_root", "sh_component")
-    kept = labels.where("sh_id <=> sh_component").groupBy("sh_root").agg(F.min_by("sh_fingerprint", F.struct("sh_id", "sh_fingerprint")).alias("fp"), F.min("sh_id").alias("id"), F.count("*").alias("n"))
-    kept = scratch.write(kept, "kept")
-    hit = (rows["sh_fingerprint"] == kept["fp"]) & rows[id_col].eqNullSafe(kept["id"])
-    chosen = rows.join(kept, hit).select(*docs.columns, "sh_root", "n")
-    once = chosen.where("n = 1").select(*docs.columns)
-    several = chosen.where("n > 1").dropDuplicates(["sh_root"]).select(*docs.columns)
+    kept = labels.where("sh_id <=> sh_component").groupBy("sh_root")
+    kept = kept.agg(F.min("sh_fingerprint").alias("sh_kept_fp"), F.min("sh_id").alias("sh_kept_id"), F.count("*").alias("sh_n"))
+    kept = scratch.write(kept, "kept")  # of equal ids with several fingerprints the smallest fingerprint
+    chosen = rows.join(kept, (rows["sh_fingerprint"] == kept["sh_kept_fp"]) & rows[id_col].eqNullSafe(kept["sh_kept_id"]))
+    once = chosen.where("sh_n = 1").select(*docs.columns)
+    several = chosen.where("sh_n > 1").dropDuplicates(["sh_root"]).select(*docs.columns)
     return once.unionByName(several)
