@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.functions import distance, physics, units
-from skerry.operators import grid, inflation, kernels, local, observations, spectral, stats, vertical
+from skerry.operators import fields, grid, inflation, kernels, local, observations, spectral, stats, vertical
 from skerry.sources import carriers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -679,3 +679,106 @@ def cycle_twin(spark, sf_dir):
     from skerry.plans.cycle import twin_experiment
 
     return _round(twin_experiment(spark, _ring(spark, sf_dir), cycles=3), "prior_rmse", "post_rmse", "prior_spread", "post_spread")
+
+
+# derived fields and resets
+
+
+@query(f"WITH {_PROFILE}, s AS (SELECT pid, sum(f) AS total FROM profile GROUP BY pid) SELECT pid, round(CASE WHEN total < 0.15 THEN 0 ELSE total END, 6)::DOUBLE AS total FROM s")
+def category_total(spark, sf_dir):
+    return _round(fields.category_total(carriers.profiles(spark, sf_dir), ["pid"], "f", 0.15), "total")
+
+
+def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return carriers.profiles(spark, sf_dir).where("lev <= 5").select("pid", F.col("lev").alias("cat"), (F.col("f") * 2).alias("area"), (F.col("dz") / 50).alias("volume"), (F.col("pid") % 13 / 12.0).alias("wanted"))
+
+
+_CATS = f"{_PROFILE}, cats AS (SELECT pid, lev AS cat, f * 2 AS area, dz / 50 AS volume, pid % 13 / 12.0::DOUBLE AS wanted FROM profile WHERE lev <= 5)"
+
+
+@query(f"""WITH {_CATS}, p AS (SELECT *, sum(area) OVER (PARTITION BY pid) AS prior FROM cats), s AS (SELECT *, CASE WHEN prior <= 0.01 OR wanted <= 0.01 THEN 0 ELSE least(wanted, 1) / prior END AS scale FROM p)
+SELECT pid, cat, round(area * scale, 6) AS area, round(volume * scale, 6) AS volume FROM s""")
+def category_rescale(spark, sf_dir):
+    return _round(fields.rescale_categories(_categories(spark, sf_dir), ["pid"], "wanted", 0.01).select("pid", "cat", "area", "volume"), "area", "volume")
+
+
+@query(f"""WITH {_CATS}, b AS (SELECT * FROM (VALUES (1, 0.0, 0.3), (2, 0.3, 0.7), (3, 0.7, 1.2), (4, 1.2, 2.0), (5, 2.0, 999.0)) AS t(cat, low, high))
+SELECT pid, cat, round(CASE WHEN area > 0 THEN least(greatest(volume, area * low::DOUBLE), area * high::DOUBLE) ELSE 0 END, 6) AS volume FROM cats JOIN b USING (cat)""")
+def category_bounds(spark, sf_dir):
+    return _round(fields.bound_thickness(_categories(spark, sf_dir), physics.category_bounds(5, 2)).select("pid", "cat", "volume"), "volume")
+
+
+@query(f"""WITH {_PROFILE}, s AS (SELECT pid, lev, value AS m, sum(dz) OVER l AS p, f, lead(f) OVER l AS below FROM profile WINDOW l AS (PARTITION BY pid ORDER BY lev))
+SELECT pid, round((arg_max(m, lev) + sum(coalesce(p * (f - below), 0))) / 9.806, 6) AS height FROM s GROUP BY pid""")
+def column_height(spark, sf_dir):
+    layers = carriers.profiles(spark, sf_dir).select("pid", "lev", F.col("dz").alias("dp"), F.col("f").alias("alpha"), F.col("value").alias("montgomery"))
+    return _round(fields.surface_height(layers, ["pid"]), "height")
+
+
+@query(f"WITH {_ENS} SELECT mem, round(max(value), 6) AS value, arg_max(j, (value, -j, -i)) AS j, arg_max(i, (value, -j, -i)) AS i FROM ens GROUP BY mem")
+def field_maximum(spark, sf_dir):
+    return _round(fields.maximum(carriers.ensemble(spark, sf_dir), ["mem"]), "value")
+
+
+@query(f"WITH {_ENS} SELECT a.loc, round(sum(b.value), 6) + 0.0 AS total FROM ens a JOIN ens b ON a.mem = 0 AND b.mem = 0 AND abs(a.i - b.i) <= 3 AND abs(a.j - b.j) <= 3 GROUP BY a.loc")
+def box_sum(spark, sf_dir):
+    return _round(fields.box_sums(carriers.ensemble(spark, sf_dir).where("mem = 0"), ["mem"], 3).select("loc", "total"), "total")
+
+
+@query(f"WITH {_ENS} SELECT mem, floor(sqrt((i - 12) ** 2 + (j - 10) ** 2))::INT AS r, round(avg(value), 6) + 0.0 AS value FROM ens GROUP BY ALL")
+def radial_profile(spark, sf_dir):
+    return _round(fields.radial_profile(carriers.ensemble(spark, sf_dir), ["mem"], F.lit(12), F.lit(10)), "value")
+
+
+@query(f"""WITH {_ENS}, p AS (SELECT mem, floor(sqrt((i - 12) ** 2 + (j - 10) ** 2))::INT AS r, avg(value) AS v FROM ens GROUP BY ALL), n AS (SELECT *, lead(v) OVER (PARTITION BY mem ORDER BY r) AS a FROM p)
+SELECT mem, round(max(CASE WHEN v >= 0.01 THEN r + coalesce((v - 0.01) / (v - a), 0) END), 6) AS radius FROM n GROUP BY mem""")
+def vortex_size(spark, sf_dir):
+    profile = fields.radial_profile(carriers.ensemble(spark, sf_dir), ["mem"], F.lit(12), F.lit(10))
+    return _round(fields.outer_radius(profile, ["mem"], 0.01), "radius")
+
+
+@query(f"""WITH {_ENS}, n AS (SELECT loc, value AS x, lag(value) OVER l AS b, lead(value) OVER l AS a, lag(value, 2) OVER l AS b2, lead(value, 2) OVER l AS a2 FROM ens WHERE mem = 0 WINDOW l AS (PARTITION BY j ORDER BY i))
+SELECT loc, round(coalesce((b + x) / 2, (15 * x - 10 * a + 3 * a2) / 8), 6) + 0.0 AS low, round(coalesce((x + a) / 2, (15 * x - 10 * b + 3 * b2) / 8), 6) + 0.0 AS high FROM n""")
+def grid_corners(spark, sf_dir):
+    line = carriers.ensemble(spark, sf_dir).where("mem = 0").select("loc", "i", "j", F.col("value").alias("x"))
+    return _round(fields.corners(line, ["j"]).select("loc", "low", "high"), "low", "high")
+
+
+@query(f"WITH {_ENS}, m AS (SELECT mem, avg(value) AS fill FROM ens WHERE j = 18 GROUP BY mem) SELECT loc, mem, round(CASE WHEN j = 19 AND i < 5 THEN fill ELSE value END, 6) + 0.0 AS value FROM ens JOIN m USING (mem)")
+def grid_pole_fill(spark, sf_dir):
+    ens = carriers.ensemble(spark, sf_dir).withColumn("value", F.when((F.col("j") == 19) & (F.col("i") < 5), None).otherwise(F.col("value")))
+    return _round(fields.fill_pole(ens, ["mem"], 19, 18).select("loc", "mem", "value"), "value")
+
+
+@query(f"WITH {_CELLS}, s AS (SELECT p_partkey, greatest(31, least(36.5, saln)) AS saln, temp - 3 AS temp FROM cells) SELECT p_partkey, round(saln, 6)::DOUBLE AS saln, round(greatest(-0.057 * saln, least(28, temp)), 6)::DOUBLE AS temp FROM s")
+def range_reset(spark, sf_dir):
+    cells = carriers.cells(spark, sf_dir).select("p_partkey", "saln", (F.col("temp") - 3).alias("temp"))
+    return _round(fields.reset_ranges(cells, 31.0, 36.5, 28.0), "saln", "temp")
+
+
+@query("""WITH m AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings WHERE vec_id < 500), n AS (SELECT *, -abs(b) / 2 - abs(c) / 2 AS low FROM m),
+f AS (SELECT *, CASE WHEN a + low < 0 THEN greatest((0 - a) / low, 0) ELSE 1 END AS k FROM n)
+SELECT vec_id, round(greatest(a, 0), 6) + 0.0 AS mean, round(b * k, 6) + 0.0 AS sx, round(c * k, 6) + 0.0 AS sy FROM f""")
+def slope_limiter(spark, sf_dir):
+    cells = carriers.table(spark, sf_dir, "embeddings").where("vec_id < 500").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("modes"))
+    out = fields.limit_slopes(cells, "modes", [[a / 2, b / 2] for a in (-1, 0, 1) for b in (-1, 0, 1)], least=0.0)
+    return _round(out.select("vec_id", *[F.col("modes")[k].alias(n) for k, n in enumerate(("mean", "sx", "sy"))]), "mean", "sx", "sy")
+
+
+@query(f"""WITH {_ENS}, n AS (SELECT e.loc, e.mem, w.value AS w, x.value AS x, s.value AS s, t.value AS t FROM ens e JOIN ens w ON w.mem = e.mem AND w.j = e.j AND w.i = (e.i + 24) % 25 JOIN ens x ON x.mem = e.mem AND x.j = e.j AND x.i = (e.i + 1) % 25
+JOIN ens s ON s.mem = e.mem AND s.i = e.i AND s.j = (e.j + 19) % 20 JOIN ens t ON t.mem = e.mem AND t.i = e.i AND t.j = (e.j + 1) % 20) SELECT loc, mem, round(-(t - s) / 2 / 1.2, 6) + 0.0 AS u, round((x - w) / 2 / 1.2, 6) + 0.0 AS v FROM n""")
+def wind_from_pressure(spark, sf_dir):
+    return _round(fields.geostrophic(carriers.ensemble(spark, sf_dir), ["mem"], 1.0, 1.2, 1.0).select("loc", "mem", "u", "v"), "u", "v")
+
+
+@query(f"""WITH {_ENS}, e AS (SELECT i, j, value FROM ens WHERE mem = 0), n AS (SELECT a.i, a.j, a.value AS a, b.value AS b, c.value AS c, d.value AS d FROM e a JOIN e b ON b.j = a.j AND b.i = (a.i + 1) % 25 JOIN e c ON c.i = a.i AND c.j = (a.j + 1) % 20 JOIN e d ON d.i = (a.i + 1) % 25 AND d.j = (a.j + 1) % 20)
+SELECT 2 * i + p AS i, 2 * j + q AS j, round(CASE WHEN p = 0 AND q = 0 THEN a WHEN q = 0 THEN (a + b) / 2 WHEN p = 0 THEN (a + c) / 2 ELSE (a + b + c + d) / 4 END, 6) + 0.0 AS value FROM n, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) AS t(p, q)""")
+def grid_refine(spark, sf_dir):
+    field = carriers.ensemble(spark, sf_dir).where("mem = 0").select("mem", "i", "j", "value")
+    return _round(fields.refine(field, ["mem"], carriers.NX, carriers.NY).select("i", "j", "value"), "value")
+
+
+@query("""SELECT event_id, round(value, 6) AS z FROM events WHERE ts > TIMESTAMP '2024-01-12 00:00:00' AND ts <= TIMESTAMP '2024-01-12 12:00:00' AND value > 100 AND value <= 200""")
+def obs_slice(spark, sf_dir):
+    rows = fields.slice_at(carriers.table(spark, sf_dir, "events"), "ts", F.lit("2024-01-12 00:00:00").cast("timestamp_ntz"), 12, "value", 100.0, 200.0)
+    return _round(rows.select("event_id", F.col("value").alias("z")), "z")
