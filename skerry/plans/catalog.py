@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.functions import distance, physics, units
-from skerry.operators import fields, grid, inflation, kernels, local, observations, spectral, stats, vertical
+from skerry.operators import fields, grid, inflation, kernels, local, network, observations, serial, spectral, stats, trajectories, vertical
 from skerry.sources import carriers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -782,3 +782,92 @@ def grid_refine(spark, sf_dir):
 def obs_slice(spark, sf_dir):
     rows = fields.slice_at(carriers.table(spark, sf_dir, "events"), "ts", F.lit("2024-01-12 00:00:00").cast("timestamp_ntz"), 12, "value", 100.0, 200.0)
     return _round(rows.select("event_id", F.col("value").alias("z")), "z")
+
+
+# trajectories, networks, the serial filter and whole analyses
+
+
+@query(f"WITH {_ENS}, {_TWO}, r AS (SELECT loc, mem, value + rho * cov / vb * step AS value FROM e1 JOIN s2 USING (mem) JOIN c2 USING (loc) JOIN rho2 USING (loc)) SELECT loc, mem, round(value, 6) + 0.0 AS value FROM r")
+def eakf_serial_rounds(spark, sf_dir):
+    obs = spark.createDataFrame([(0, 12.0, 12.0, 0.3, 0.1), (1, 13.0, 13.0, -0.2, 0.2)], "obs_id bigint, x double, y double, obs double, err_std double")
+    ens = carriers.ensemble(spark, sf_dir).select("loc", "mem", "value")
+    prior = ens.where("loc in (312, 338)").select(F.when(F.col("loc") == 312, 0).otherwise(1).cast("bigint").alias("obs_id"), "mem", "value")
+    return _round(serial.assimilate(ens, GRID.points(spark), prior, obs, 5.0), "value")
+
+
+@query("""WITH e AS (SELECT event_id, ts, user_id, (event_id * 7 % 2400) / 100 AS x, (event_id * 13 % 1900) / 100 AS y FROM events), a AS (SELECT user_id AS traj, arg_min(event_id, (abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-10')), epoch_us(ts))) AS e0 FROM e WHERE abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-10')) <= 432000000000 GROUP BY user_id),
+b AS (SELECT user_id AS traj, arg_min(event_id, (abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-20')), epoch_us(ts))) AS e1 FROM e WHERE abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-20')) <= 432000000000 GROUP BY user_id)
+SELECT traj, p.x AS x0, p.y AS y0, q.x AS x1, q.y AS y1 FROM a JOIN b USING (traj) JOIN e p ON p.event_id = e0 JOIN e q ON q.event_id = e1 WHERE p.ts < q.ts""")
+def trajectory_pairs(spark, sf_dir):
+    rows = _some_obs(spark, sf_dir).join(carriers.table(spark, sf_dir, "events").select(F.col("event_id").alias("obs_id"), F.col("user_id").alias("traj")), "obs_id")
+    at = lambda day: F.lit(f"2024-01-{day} 00:00:00").cast("timestamp_ntz")
+    return trajectories.pairs(rows.select("traj", "x", "y", "t"), at(10), at(20), 120, least=1).select("traj", "x0", "y0", "x1", "y1")
+
+
+@query(f"WITH {_ENS}, b AS (SELECT loc AS node, value FROM ens WHERE mem = 0 AND loc % 3 <> 0), a AS (SELECT loc AS node, value FROM ens WHERE mem = 1 AND loc % 4 <> 0) SELECT node, round((a.value - b.value) / 2, 6) + 0.0 AS u FROM b JOIN a USING (node)")
+def node_drift(spark, sf_dir):
+    ens = carriers.ensemble(spark, sf_dir).select(F.col("loc").alias("node"), "mem", F.col("value").alias("x"), F.col("value").alias("y"))
+    return _round(trajectories.node_drift(ens.where("mem = 0 and node % 3 <> 0"), ens.where("mem = 1 and node % 4 <> 0"), 2.0).select("node", "u"), "u")
+
+
+@query(f"""WITH {_ENS}, {_OBS}, {_WEIGHTS}, f AS (SELECT loc, max(CASE WHEN mem = 0 THEN value END) AS u, max(CASE WHEN mem = 1 THEN value END) AS v FROM ens GROUP BY loc), a AS (SELECT obs_id, sum(w * u) AS u, sum(w * v) AS v FROM w JOIN f USING (loc) GROUP BY obs_id)
+SELECT obs_id, round(x + u, 6) AS x, round(y + v, 6) AS y FROM obs JOIN a USING (obs_id)""")
+def advect_points(spark, sf_dir):
+    flow = carriers.ensemble(spark, sf_dir).where("mem < 2").groupBy("loc").pivot("mem", [0, 1]).agg(F.first("value")).toDF("loc", "u", "v")
+    return _round(trajectories.advect(_some_obs(spark, sf_dir).select("obs_id", "x", "y"), flow, GRID, "obs_id", 1, 1.0), "x", "y")
+
+
+@query(f"""WITH {_ENS}, e AS (SELECT i, j, loc, value FROM ens WHERE mem = 0), n AS (SELECT a.loc, a.value AS own, b.value AS b, c.value AS c, d.value AS d FROM e a LEFT JOIN e b ON b.j = a.j AND b.i = a.i - 1 LEFT JOIN e c ON c.i = a.i AND c.j = a.j - 1 LEFT JOIN e d ON d.i = a.i - 1 AND d.j = a.j - 1)
+SELECT loc, round(coalesce(own * 0.75 * 0.5 + b * 0.25 * 0.5 + c * 0.75 * 0.5 + d * 0.25 * 0.5, own), 6) + 0.0 AS value FROM n""")
+def grid_warp(spark, sf_dir):
+    field = carriers.ensemble(spark, sf_dir).where("mem = 0").select("loc", "value")
+    shift = GRID.points(spark).select("loc", F.lit(0.25).alias("u"), F.lit(0.5).alias("v"))
+    return _round(trajectories.warp(field, shift, GRID, []), "value")
+
+
+@query()
+def synthetic_observations(spark, sf_dir):
+    truth = carriers.ensemble(spark, sf_dir).where("mem = 0").select("loc", "value")
+    masked = GRID.points(spark).where("i < 5").select("loc")
+    return _round(network.observe(network.network(spark, 3000, GRID, masked), truth, GRID, 0.1), "x", "y", "obs")
+
+
+@query(f"WITH {_OBS} SELECT obs_id FROM obs WHERE (x - 12) ** 2 + (y - 9) ** 2 <= 16")
+def network_around(spark, sf_dir):
+    return network.around(_some_obs(spark, sf_dir), 12.0, 9.0, 4.0).select("obs_id")
+
+
+@query("SELECT vec_id AS loc, (vec_id // 25 % 4 * 5 + vec_id % 25 % 5)::INT AS par_id FROM embeddings WHERE vec_id < 500")
+def tile_strided(spark, sf_dir):
+    return local.strided(GRID.points(spark), 5, 4).select("loc", "par_id")
+
+
+@query(f"WITH {_ENS} SELECT loc, mem, round(least(0.5, value + 0.25), 6)::DOUBLE AS value FROM ens")
+def perturb_bounded(spark, sf_dir):
+    ens = carriers.ensemble(spark, sf_dir).select("loc", "mem", "value")
+    return _round(spectral.apply_perturbation(ens, ens.withColumn("value", F.lit(0.25)), ["loc", "mem"], high=0.5), "value")
+
+
+@query(f"WITH {_ENS}, t AS (SELECT loc, value AS truth FROM ens WHERE mem = 0) SELECT mem, round(sqrt(avg((value - truth) ** 2)), 6) AS rmse, round(corr(value, truth), 6) AS corr FROM ens JOIN t USING (loc) WHERE mem > 0 GROUP BY mem")
+def ens_rmse_corr(spark, sf_dir):
+    ens = carriers.ensemble(spark, sf_dir)
+    met = ens.where("mem > 0").join(ens.where("mem = 0").select("loc", F.col("value").alias("truth")), "loc")
+    return _round(met.groupBy("mem").agg(stats.rmse("value", "truth").alias("rmse"), F.corr("value", "truth").alias("corr")), "rmse", "corr")
+
+
+def _analysis(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    from skerry.plans.analysis import Settings, analyse
+
+    obs = observations.in_window(_some_obs(spark, sf_dir), F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), -1, 0.5)
+    out = analyse(carriers.ensemble(spark, sf_dir), obs, GRID, Settings(method=method, post="post,rtpp"))
+    return _round(out.increment, "increment")
+
+
+@query()
+def analysis_etkf(spark, sf_dir):
+    return _analysis(spark, sf_dir, "etkf")
+
+
+@query()
+def analysis_eakf(spark, sf_dir):
+    return _analysis(spark, sf_dir, "eakf")

@@ -153,6 +153,53 @@ def test_points_without_observations_stay(spark):
     assert len(got) == 12 and all(got[(l, m)] == l + m for l in (0, 2) for m in range(4)) and got[(1, 0)] != 1
 
 
+def test_serial_rounds_equal_one_by_one(spark):
+    from skerry.operators import serial
+
+    draw = np.random.default_rng(8)
+    g = grid.Grid(12, 10)
+    x = draw.normal(size=(6, 120))
+    obs = [(n, float(draw.uniform(0, 10.9)), float(draw.uniform(0, 8.9)), float(draw.normal()), 0.4) for n in range(14)]
+    state = spark.createDataFrame([(p, m, float(x[m, p])) for p in range(120) for m in range(6)], "loc bigint, mem int, value double")
+    df = spark.createDataFrame(obs, "obs_id bigint, x double, y double, obs double, err_std double")
+    prior = grid.interpolate(grid.weights(grid.find_cell(df, g), "obs_id"), state, "obs_id", ["mem"])
+    got = {(r["loc"], r.mem): r.value for r in serial.assimilate(state, g.points(spark), prior, df, 2.5).collect()}
+
+    def taper(d):
+        r = max(2 * d / 2.5, 1e-10)
+        if r < 1:
+            return 1 - 5 / 3 * r**2 + 5 / 8 * r**3 + r**4 / 2 - r**5 / 4
+        return 4 - 5 * r + 5 / 3 * r**2 + 5 / 8 * r**3 - r**4 / 2 + r**5 / 12 - 2 / (3 * r) if r < 2 else 0.0
+
+    y = np.zeros((6, 14))
+    for n, a, b, _, _ in obs:
+        i, j, u, v = int(a), int(b), a - int(a), b - int(b)
+        y[:, n] = (1 - u) * (1 - v) * x[:, j * 12 + i] + u * (1 - v) * x[:, j * 12 + i + 1] + u * v * x[:, (j + 1) * 12 + i + 1] + (1 - u) * v * x[:, (j + 1) * 12 + i]
+    for n, a, b, value, err in obs:
+        mean, var = y[:, n].mean(), y[:, n].var(ddof=1)
+        ratio = err**2 / (err**2 + var)
+        step = ratio * mean + (1 - ratio) * value + np.sqrt(ratio) * (y[:, n] - mean) - y[:, n]
+        hx = y[:, n].copy()
+        for target, places in ((x, [(p, p % 12, p // 12) for p in range(120)]), (y, [(k, o[1], o[2]) for k, o in enumerate(obs)])):
+            for p, px, py in places:
+                target[:, p] += taper(np.hypot(px - a, py - b)) * np.cov(target[:, p], hx)[0, 1] / var * step
+    assert all(got[(p, m)] == pytest.approx(x[m, p], abs=1e-9) for p in range(120) for m in range(6))
+
+
+def test_settings_and_registries(tmp_path):
+    from skerry.sources import config
+
+    (tmp_path / "a.yml").write_text("nens: 20\nroi: '1e3'\nrun: 'yes'\nname: x\n")
+    (tmp_path / "b.yml").write_text("nens: 30\n")
+    got = config.load(str(tmp_path / "a.yml"), str(tmp_path / "b.yml"), name="zed", args=["--vroi", "inf", "--debug"])
+    assert got == {"nens": 30, "roi": 1000.0, "run": True, "name": "zed", "vroi": float("inf"), "debug": True}
+    known = config.Registry("reader")
+    known.register("Ice")(len)
+    assert known["ICE"] is len and list(known) == ["ice"]
+    with pytest.raises(NotImplementedError):
+        known["other"]
+
+
 def test_inflation(spark):
     row = spark.createDataFrame([(2, 9.0, 1.0, 2.0, 1.0, 2.0)], "total_nobs int, omb2 double, varo double, varb double, amb2 double, vara double")
     assert inflation.adaptive_prior(row).first().coef == 1 and inflation.adaptive_relaxation(row).first().alpha == 0
