@@ -149,5 +149,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     scratch = Scratch(docs.sparkSession, "mixing-rows")
     rows = scratch.write(docs.withColumn("mix_ref", F.monotonically_increasing_id()), "rows")
     slim = rows.select("mix_ref", F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source"), n_words(F.col(text_col)).alias("mix_size"))
-    copies = plan(scratch.write(slim, "sizes"), scratch, seed).where("copies > 0").select(F.col("ref").alias("mix_ref"), "copies")
-    return rows.join(copies, "mix_ref").select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("mix_copy")).drop("mix_copy")
+    copies = plan(scratch.write(slim, "sizes"), scratch, seed).where("copies > 0").select(F.col("ref").alias("mix_ref"), F.col("copies").alias("mix_copies"))
+    return rows.join(copies, "mix_ref").select(*docs.columns, F.explode(F.sequence(F.lit(1), "mix_copies")).alias("mix_copy")).drop("mix_copy")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +72,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_byte_bpe, op4_lm_scoring, op5_sharding, op6_secret_scans, op7_mixing, op8_ann_search, op9_license_scans, op10_simhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators fit models, draw at random, search approximately or hash by functions that SQL lacks; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """WITH p AS (SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, uri, sha256(h) AS payload_digest, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, min(page_id) OVER (PARTITION BY sha256(h)) AS first FROM p)
+SELECT page_id, CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type, uri, payload_bytes, payload_digest,
+CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to FROM d"""
+}
