@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.llm.sampling import bounded_sample
 from skerry.llm.scratch import Scratch
 
 SAMPLE = 20_000
@@ -175,7 +176,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     queries = scratch.write(rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "vector").distinct(), "queries")
     asked = queries.select("vector").distinct().join(vectors.select("vector", "vid"), "vector")
 
-    picked = vectors.orderBy(F.xxhash64("vid"), "vid").limit(sample).select("vector").toArrow()  # bounded by the parameter
+    picked = bounded_sample(vectors.select("vid", "vector"), "vid", sample).select("vector").toArrow()  # bounded by the parameter
     tree = Tree(_unit(_matrix(picked.column("vector").combine_chunks(), dim)) if picked.num_rows else np.zeros((0, dim)))
     shared = spark.sparkContext.broadcast(tree)  # no more centres than sampled vectors
 
@@ -189,7 +190,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     salts = 1 + count // (16 * BLOCK)  # a crowded leaf is packed by several tasks
     blocks = scratch.write(_pack(placed.withColumn("salt", F.pmod(F.xxhash64("vid"), F.lit(salts))), BLOCK, dim, ["leaf", "salt"]), "blocks")
 
-    tried = asked.orderBy(F.xxhash64("vid", F.lit(1)), "vid").limit(CALIBRATION_QUERIES).select("vid", "vector").toArrow()
+    tried = bounded_sample(asked, "vid", CALIBRATION_QUERIES, seed=1).select("vid", "vector").toArrow()
     probes = _matrix(tried.column("vector").combine_chunks(), dim) if tried.num_rows else np.zeros((0, dim), np.float32)
     visits = _calibrate(blocks, tried.column("vid").to_numpy(), probes, tree, k, recall, dim)
 

@@ -34,11 +34,19 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)  # whole texts pass through some of these tables
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
+    def write_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """A table whose joins by ``key`` leave its rows where they are."""
+        path = self.path(name)
+        table = f"scratch_{uuid.uuid4().hex}"
+        buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later plan reads."""
         self.delete(df.scratch_path)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.functions import distance, physics, units
-from skerry.operators import fields, grid, inflation, kernels, local, network, observations, serial, spectral, stats, trajectories, vertical
+from skerry.functions import calendar, distance, physics, units
+from skerry.operators import fields, grid, inflation, kernels, local, models, network, observations, serial, spectral, stats, trajectories, vertical
 from skerry.sources import carriers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -871,3 +871,47 @@ def analysis_etkf(spark, sf_dir):
 @query()
 def analysis_eakf(spark, sf_dir):
     return _analysis(spark, sf_dir, "eakf")
+
+
+# calendars, the vortex, mappings
+
+
+@query("""SELECT event_id, ((year(ts) - 1) * 360 + dayofyear(ts) + hour(ts) / 24 - 16)::DOUBLE AS d360, ((year(ts) - 1) * 366 + dayofyear(ts) + hour(ts) / 24 - 16)::DOUBLE AS d366,
+(date_diff('day', DATE '1900-12-31', ts::DATE) + hour(ts) / 24)::DOUBLE AS calendar, date_diff('day', DATE '1950-01-01', ts::DATE)::INT AS since_1950 FROM events""")
+def model_days(spark, sf_dir):
+    t = F.col("ts")
+    return carriers.table(spark, sf_dir, "events").select(
+        "event_id", calendar.model_day(calendar.MONTHS_360, t).alias("d360"), calendar.model_day(calendar.LEAP_16, t).alias("d366"), calendar.model_day(calendar.CALENDAR, t).alias("calendar"), calendar.days_since_1950(t).alias("since_1950")
+    )
+
+
+@query("""WITH p AS (SELECT vec_id AS loc, vec_id % 25 - 12.3::DOUBLE AS dx, vec_id // 25 - 9.6::DOUBLE AS dy FROM embeddings WHERE vec_id < 500), r AS (SELECT *, sqrt(dx * dx + dy * dy) AS r FROM p), w AS (SELECT *, CASE WHEN r <= 4 THEN 35 * r / 4 ELSE 35 * pow(4 / r, 1.5) END AS s FROM r)
+SELECT loc, round(-s * dy / r, 6) + 0.0 AS u, round(s * dx / r, 6) + 0.0 AS v FROM w""")
+def rankine_vortex(spark, sf_dir):
+    return _round(models.rankine_vortex(GRID.points(spark), 35.0, 4.0, F.lit(12.3), F.lit(9.6)).select("loc", "u", "v"), "u", "v")
+
+
+@query()
+def vortex_run(spark, sf_dir):
+    n, dx = 32, 9000.0
+    square = grid.Grid(n, n, dx=dx, dy=dx)
+    mems = spark.range(4).select(F.col("id").cast("int").alias("mem"))
+    points = square.points(spark).crossJoin(F.broadcast(mems))
+    centre = F.lit(n * dx / 2) + (F.col("mem") - 1.5) * dx
+    start = models.rankine_vortex(points, 35.0, 4 * dx, centre, F.lit(n * dx / 2))
+    return _round(models.vortex_run(start, n, dx, 3.0, 60.0, 1e-5, 3e3), "u", "v")
+
+
+@query(f"""WITH {_OBS}, m AS (SELECT obs_id, radians(x * 14) AS lo, tan(radians(90 - (y * 4 + 5)) / 2) AS r FROM obs), z AS (SELECT obs_id, r * cos(lo) AS x, r * sin(lo) AS y FROM m),
+k AS (SELECT tan(radians(15)) AS a, tan(radians(60)) AS b), c AS (SELECT a, -b AS b, tan(radians(90 - degrees(asin((sin(radians(60)) + sin(radians(-30))) / sqrt(2)))) / 2) AS zc FROM k),
+q AS (SELECT obs_id, (x - a) AS ux, y AS uy, (x - b) AS lx, (zc - b) / (zc - a) AS f FROM z, c), w AS (SELECT obs_id, f * (ux * lx + uy * uy) / (lx * lx + uy * uy) AS wx, f * (uy * lx - ux * uy) / (lx * lx + uy * uy) AS wy FROM q)
+SELECT obs_id, round(degrees(atan2(wy, wx)), 5) + 0.0 AS lon, round(90 - 2 * degrees(atan(sqrt(wx * wx + wy * wy))), 5) + 0.0 AS lat FROM w""".replace("tan(radians(90 - degrees(asin((sin(radians(60)) + sin(radians(-30))) / sqrt(2)))) / 2) AS zc", "sign(cos(radians(60)) - cos(radians(30))) * tan((pi() / 2 - asin((sin(radians(60)) + sin(radians(-30))) / sqrt(pow(cos(radians(60)) - cos(radians(30)), 2) + pow(sin(radians(60)) + sin(radians(-30)), 2)))) / 2) AS zc"))
+def two_pole_mapping(spark, sf_dir):
+    lon, lat = models.two_pole_mapping(F.col("x") * 14, F.col("y") * 4 + 5, (0.0, 60.0), (180.0, -30.0))
+    return _round(_some_obs(spark, sf_dir).select("obs_id", lon.alias("lon"), lat.alias("lat")), "lon", "lat", digits=5)
+
+
+@query("SELECT event_id, unnest(generate_series(ts::DATE, (ts + INTERVAL 72 HOUR)::DATE, INTERVAL 2 DAY))::DATE AS file FROM events")
+def forcing_files(spark, sf_dir):
+    dates = calendar.file_dates(F.col("ts"), F.col("ts") + F.expr("interval 72 hours"), 2)
+    return carriers.table(spark, sf_dir, "events").select("event_id", F.explode(dates).alias("file"))

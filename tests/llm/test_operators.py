@@ -135,7 +135,7 @@ def test_bpe_pairs_and_odd_texts():
         assert mine.decode(mine.encode(text)) == text.encode()
 
 
-def test_lm_counts_base_and_held_out_likelihood(docs, rows, empty, monkeypatch):
+def test_lm_counts_and_base(docs, rows, empty):
     got = lm.score(docs, chunk_bytes=4000).collect()
     counts, total = Counter(), 0
     for r in rows:
@@ -152,9 +152,7 @@ def test_lm_counts_base_and_held_out_likelihood(docs, rows, empty, monkeypatch):
     assert lm.score(empty).count() == 0
 
 
-def test_lm_traversal_equals_the_formula(spark, monkeypatch):
-    monkeypatch.setattr(lm, "WORD_MIN", 3)
-    monkeypatch.setattr(lm, "PAIR_MIN", 2)
+def test_lm_traversal_equals_the_formula(spark):
     draw = random.Random(5)
     texts = {i: " ".join(draw.choice("a a a b b c d e f".split()) for _ in range(draw.randint(0, 12))) for i in range(60)}
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
@@ -167,7 +165,7 @@ def test_lm_traversal_equals_the_formula(spark, monkeypatch):
     full = lambda u, w: ((kept[(u, w)] - d) / c[u] if (u, w) in kept else 0.0) + left(u) * uni(w)
     for u in c:
         assert abs(sum(full(u, w) for w in [*c, "unseen"]) - 1) < 1e-9
-    for r in lm.score(df, chunk_bytes=300).collect():
+    for r in lm.score(df, chunk_bytes=300, word_min=3, pair_min=2).collect():
         t = [*_words(texts[r.doc_id], True), lm.END]
         assert abs(r.score - (math.log10(uni(t[0])) + sum(math.log10(full(a, b)) for a, b in zip(t, t[1:])))) < 1e-9
 

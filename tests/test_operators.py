@@ -290,3 +290,27 @@ def test_stream_counts_by_cycle(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("cycles").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("cycles").collect())) == sorted(map(tuple, by_cycle(df, 6).collect()))
+
+
+def test_vortex_turns_but_keeps_its_strength(spark):
+    from skerry.operators import models
+
+    n = 16
+    flow = models.SpectralFlow(n, 1.0, 0.0, 0.0)
+    i, j = np.meshgrid(np.arange(n), np.arange(n))
+    u, v = np.cos(2 * np.pi * j / n), np.sin(2 * np.pi * i / n)  # one wavelength: steady
+    got = flow.run(u, v, 20.0, 0.1)
+    assert np.allclose(got[0], u, atol=1e-6) and np.allclose(got[1], v, atol=1e-6)
+    fading = models.SpectralFlow(n, 1.0, 0.0, 0.5).run(u, v, 2.0, 0.1)
+    assert np.allclose(fading[0], u * np.exp(-0.5 * 2.0 * (2 * np.pi / n) ** 2), atol=1e-4)
+
+
+def test_mapping_moves_the_poles(spark):
+    from skerry.operators import models
+
+    at = spark.createDataFrame([(0.0, 60.0), (90.0, 10.0)], "lon double, lat double")
+    lon, lat = models.two_pole_mapping(F.col("lon"), F.col("lat"), (0.0, 60.0), (180.0, -60.0))
+    got = at.select(lat.alias("lat")).collect()
+    assert got[0].lat == pytest.approx(90.0, abs=1e-6)
+    lon, lat = models.two_pole_mapping(F.col("lon"), F.col("lat"), (0.0, 89.9999), (180.0, -89.9999))
+    assert at.select(lat.alias("lat")).collect()[1].lat == pytest.approx(10.0, abs=1e-3)
