@@ -40,10 +40,10 @@ class Scratch:
         return out
 
     def write_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
-        """A table whose joins by ``key`` leave its rows where they are."""
+        """A table whose joins by ``key`` leave its rows where they are; many buckets, so that few large rows meet in one."""
         path = self.path(name)
         table = f"scratch_{uuid.uuid4().hex}"
-        buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        buckets = 4 * max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
         return self.spark.table(table)
 
