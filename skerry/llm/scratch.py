@@ -26,6 +26,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self._count = 0
 
     def path(self, name: str) -> str:
@@ -43,8 +44,7 @@ class Scratch:
         """A table whose joins by ``key`` leave its rows where they are; many buckets, so that few large rows meet in one."""
         path = self.path(name)
         table = f"scratch_{uuid.uuid4().hex}"
-        buckets = 4 * max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+        df.write.option("compression", "zstd").option("path", path).bucketBy(self.buckets, key).saveAsTable(table)
         return self.spark.table(table)
 
     def drop(self, df: DataFrame) -> None:
