@@ -155,9 +155,9 @@ class Classifier:
         """Confirmed paragraphs of a text: number, family, probability, similarity."""
         found = []
         for number, paragraph in enumerate(text.split("\n") if text else []):
-            if len(self.single.intersection(paragraph.lower().replace(",", " ").replace(".", " ").replace(":", " ").split())) < 2:
-                continue  # shares fewer than two words with any template, so no bigram
             tokens = words(paragraph)
+            if len(self.single.intersection(tokens)) < 2:
+                continue  # fewer than two words of any template: at most two n-grams in common, too few for a similarity
             family, chance = self.predict(tokens)
             if family == UNKNOWN:
                 continue

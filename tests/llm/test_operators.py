@@ -346,3 +346,13 @@ def test_simhash_links_by_pairs_and_by_neighbours(spark, limit):
     classes = lambda pairs: {frozenset(p for p, r in pairs if r == root) for root in {r for _, r in pairs}}
     want = {c for c in classes(list(_components(prints).items())) if len(c) > 1}
     assert classes([(n % (1 << 64), r) for n, r in got.items()]) == want
+
+
+def test_licenses_find_every_template_with_marks():
+    model = licenses.Classifier([p for t in _texts() if t and "MIT" not in t for p in t[:5000].split("\n")])
+    marks = ("{}", "// {}", "# {}", " * {}", "/* {} */", "<!-- {} -->", "({})", "**{}**", '"{}"')
+    for family, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            for mark in marks:
+                assert [h[1] for h in model.scan(f"some text\n{mark.format(text)}\nmore")] == [family], (mark, text)
+    assert not any(model.scan(f"// {d}") for d in licenses.DECOYS)
