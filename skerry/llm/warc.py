@@ -23,7 +23,6 @@ from skerry.llm.scratch import Scratch
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 4 << 20
 READ_BYTES = 1 << 18
-HEADER_LIMIT = 1 << 16
 MIN_DEDUP_BYTES = 100
 _VERSION = b"WARC/1.1\r\n"
 
@@ -65,7 +64,7 @@ def _inflate(source, at: int, buffer: bytes) -> tuple[bytes, int] | None:
             out += pack.decompress(piece)
         except zlib.error:
             return None
-        if len(out) >= 5 and not out.startswith(b"WARC/") or len(out) > HEADER_LIMIT and b"\r\n\r\n" not in out[:HEADER_LIMIT]:
+        if len(out) >= 5 and not out.startswith(b"WARC/"):
             return None
         if pack.eof:
             return bytes(out), ahead - len(pack.unused_data)

@@ -356,3 +356,12 @@ def test_licenses_find_every_template_with_marks():
             for mark in marks:
                 assert [h[1] for h in model.scan(f"some text\n{mark.format(text)}\nmore")] == [family], (mark, text)
     assert not any(model.scan(f"// {d}") for d in licenses.DECOYS)
+
+
+def test_warc_keeps_pages_with_very_long_urls(spark):
+    draw = random.Random(8)
+    url = lambda n: "http://x/" + "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    html = "<p>shared</p>" * 40
+    pages = [(1, url(200_000), html), (2, "http://x/2", html), (3, url(70_000), "short"), (4, "http://x/4", "other"), (5, "http://x/" + "a" * 1_000_000, html)]
+    got = sorted((r.record_id, r.record_type, r.uri, r.payload_bytes, r.refers_to) for r in warc.archive_and_read(spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1)).collect())
+    assert got == [(i, "revisit" if i in (2, 5) else "response", u, len(h), 1 if i in (2, 5) else None) for i, u, h in pages]
