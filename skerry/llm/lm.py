@@ -2,14 +2,14 @@
 
 States are histories: the empty one and every word that smoothed bigrams follow. A word's arc from a
 history carries its smoothed log-probability; a failure arc carries the history's backoff weight to the
-empty history, whose arcs are smoothed unigrams. A text is scored in one left-to-right traversal.
+empty history, whose arcs are smoothed unigrams. The arcs that texts walk are looked up at once.
 
 The automaton grows with the corpus, so no task holds it whole. Texts are read once into chunks of
 bounded size, each with its own vocabulary, kept in a table bucketed by chunk. The counts of all
 chunks' words and pairs are added up by ranges of their 64-bit hashes, packed into arrays, and each
 chunk gets back just the arcs of its own words and pairs: the part of the automaton that its texts can
 walk. Only that travels to the chunks; they stay where they are. A pair is an arc if it was seen at
-least ``PAIR_MIN`` times, the usual count cutoff.
+least ``PAIR_MIN`` times: once, so every learnt pair is one.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from skerry.llm.scratch import Scratch
 
-PAIR_MIN = 8
+PAIR_MIN = 1
 WORD_MIN = PAIR_MIN  # a rarer word is in no such pair
 DISCOUNT = 0.75
 FOLDS, HELD_OUT_FOLD = 5, 1
@@ -258,20 +258,24 @@ def _history_mass(ready: DataFrame, bits: int, word_bits: int, word_min: int) ->
 class Automaton:
     """The part of the automaton that a chunk's texts can walk; words are the chunk's numbers."""
 
-    def __init__(self, unigrams: list[float], arcs: dict[int, float], failure: dict[int, float]):
-        self.unigrams, self.arcs, self.failure = unigrams, arcs, failure
+    def __init__(self, unigrams: np.ndarray, places: np.ndarray, weights: np.ndarray, failure: np.ndarray):
+        order = np.argsort(places, kind="stable")
+        self.unigrams, self.places, self.weights, self.failure = unigrams, places[order], weights[order], failure
 
-    def score(self, tokens: list[int]) -> float:
-        """Log10 probability of a text's tokens, from the empty history."""
-        total, state = 0.0, -1
-        arc, fail, root = self.arcs.get, self.failure.get, self.unigrams
-        for word in tokens:
-            weight = arc(state << 32 | word) if state >= 0 else None
-            if weight is None:
-                weight = (fail(state, 0.0) if state >= 0 else 0.0) + root[word]
-            total += weight
-            state = word
-        return total
+    def walk(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Log10 weight of every token's arc; texts begin at ``starts`` in the empty history.
+
+        The state before a token is the word before it, so all arcs are looked up at once.
+        """
+        out = self.unigrams[tokens]
+        out[1:] += self.failure[tokens[:-1]]
+        keys = tokens[:-1].astype(np.int64) << 32 | tokens[1:]
+        if len(self.places):
+            at = np.minimum(np.searchsorted(self.places, keys), len(self.places) - 1)
+            found = np.flatnonzero(self.places[at] == keys)
+            out[found + 1] = self.weights[at[found]]
+        out[starts] = self.unigrams[tokens[starts]]
+        return out
 
 
 def unigram_log10(counts: np.ndarray, n: int, v: int, discount: float = DISCOUNT) -> np.ndarray:
@@ -297,12 +301,12 @@ def _score_rows(n: int, v: int, bits: int, word_min: int):
                 places, counts, _ = _own_arcs(row, batch, i, bits, word_min)
                 u, w = places >> 32, places & 0xFFFFFFFF
                 weights = np.log10((counts - DISCOUNT) / np.maximum(totals[u], 1) + backoff[u] * 10.0 ** unigrams[w])
-                histories = np.flatnonzero(left > 0)
-                automaton = Automaton(unigrams.tolist(), dict(zip(places.tolist(), weights.tolist())), dict(zip(histories.tolist(), np.log10(backoff[histories]).tolist())))
+                failure = np.where(left > 0, np.log10(backoff), 0.0)
+                automaton = Automaton(unigrams, places, weights, failure)
                 ends = np.cumsum(row.sizes)
                 starts = ends - row.sizes
                 sums = lambda x: np.add.reduceat(x[row.tokens], starts)  # noqa: B023, E731
-                scores = [automaton.score(row.tokens[a:b].tolist()) for a, b in zip(starts.tolist(), ends.tolist())]
+                scores = np.add.reduceat(automaton.walk(row.tokens, starts), starts)
                 yield pa.RecordBatch.from_arrays(
                     [row.ids, pa.array(row.held), pa.array(row.sizes.astype(np.int64)), pa.array(sums((totals > 0).astype(np.int64))), pa.array(np.full(len(scores), n)), pa.array(sums(base)), pa.array(scores, pa.float64())],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],

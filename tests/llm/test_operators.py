@@ -365,3 +365,20 @@ def test_warc_keeps_pages_with_very_long_urls(spark):
     pages = [(1, url(200_000), html), (2, "http://x/2", html), (3, url(70_000), "short"), (4, "http://x/4", "other"), (5, "http://x/" + "a" * 1_000_000, html)]
     got = sorted((r.record_id, r.record_type, r.uri, r.payload_bytes, r.refers_to) for r in warc.archive_and_read(spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1)).collect())
     assert got == [(i, "revisit" if i in (2, 5) else "response", u, len(h), 1 if i in (2, 5) else None) for i, u, h in pages]
+
+
+def test_lm_scores_every_learnt_pair(spark):
+    """With the default cutoff a pair seen once is an arc."""
+    draw = random.Random(6)
+    texts = {i: " ".join(draw.choice("a b c d e f g h i j".split()) + str(draw.randint(0, 9)) for _ in range(draw.randint(0, 12))) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    learnt = [[*_words(t, True), lm.END] for i, t in texts.items() if not lm.held_out(i)]
+    c, pairs = Counter(w for t in learnt for w in t), Counter(p for t in learnt for p in zip(t, t[1:]))
+    n, v, d = sum(c.values()), len(c), lm.DISCOUNT
+    assert min(pairs.values()) == 1
+    uni = lambda w: (c[w] - d) / n if c[w] else d * v / n
+    left = lambda u: 1 - sum(k - d for (a, _), k in pairs.items() if a == u) / c[u] if c[u] else 1.0
+    full = lambda u, w: ((pairs[(u, w)] - d) / c[u] if (u, w) in pairs else 0.0) + left(u) * uni(w)
+    for r in lm.score(df, chunk_bytes=300).collect():
+        t = [*_words(texts[r.doc_id], True), lm.END]
+        assert abs(r.score - (math.log10(uni(t[0])) + sum(math.log10(full(a, b)) for a, b in zip(t, t[1:])))) < 1e-9
