@@ -1,22 +1,23 @@
 """LM scoring by a weighted backoff automaton.
 
-States are histories: the empty one and every word that smoothed bigrams follow. A word's arc from a
-history carries its smoothed log-probability; a failure arc carries the history's backoff weight to the
-empty history, whose arcs are smoothed unigrams. The arcs that texts walk are looked up at once.
-
-The automaton grows with the corpus, so no task holds it whole. Texts are read once into chunks of
-bounded size, each with its own vocabulary, kept in a table bucketed by chunk. The counts of all
-chunks' words and pairs are added up by ranges of their 64-bit hashes, packed into arrays, and each
-chunk gets back just the arcs of its own words and pairs: the part of the automaton that its texts can
-walk. Only that travels to the chunks; they stay where they are. A pair is an arc if it was seen at
-least ``PAIR_MIN`` times: once, so every learnt pair is one.
+States are the learnt histories of fewer than ``ORDER`` words, the empty one included. A word's arc from a
+history is there if the history was learnt with that word after it, and carries its smoothed log-probability;
+every other word takes the history's failure arc, which carries a backoff weight to the history without its
+first word. The empty history has an arc for every word. Smoothing is hierarchical Dirichlet,
+``P(w|h) = (c(hw) + PRIOR P(w|h')) / (c(h) + PRIOR)``, so the failure arc of ``h`` weighs
+``PRIOR / (c(h) + PRIOR)`` and no n-gram is too rare for an arc.
+
+The automaton grows with the corpus, so no task holds it whole. Texts are read once into chunks of bounded
+size, each with its own vocabulary, kept in a table. Each chunk's distinct n-grams go, as ascending 64-bit
+hashes with their counts, to ranges of hashes; a range adds them up and returns to every chunk the totals of
+its own n-grams in the same order: the part of the automaton that its texts can walk. A range holds a bounded
+number of hashes and their rows are packed arrays, so what is shuffled is in proportion to the texts.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,14 @@ from pyspark.sql import functions as F
 
 from skerry.llm.scratch import Scratch
 
-PAIR_MIN = 1
-WORD_MIN = PAIR_MIN  # a rarer word is in no such pair
+ORDER = 3
+#: Pseudo-counts that the shorter history's distribution is worth.
+PRIOR = 32.0
+#: Of a seen word's count, what goes to the class of unseen words.
 DISCOUNT = 0.75
 FOLDS, HELD_OUT_FOLD = 5, 1
-CHUNK_BYTES = 16 << 20
-#: Hashes added up in one task, about.
+CHUNK_BYTES = 6 << 20
+#: Hashes added up in one group, at most about.
 RANGE_HASHES = 1 << 20
 #: The end of a text; no word holds a space.
 END = b" "
@@ -52,14 +55,6 @@ def held_out(doc_id) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT_FOLD
 
 
-def _packed(values: np.ndarray) -> bytes:
-    return zstandard.compress(values.tobytes(), 1)
-
-
-def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), dtype=kind)
-
-
 class _Chunk:
     def __init__(self):
         self.words, self.ids, self.held, self.sizes, self.tokens, self.bytes = _Vocabulary(), [], [], [], [], 0
@@ -84,8 +79,9 @@ class _Chunk:
         counts = np.bincount(tokens[learnt], minlength=len(order)).astype(np.uint32)
         columns = {
             "chunk": pa.array([name], pa.int64()), "ids": pa.array([self.ids], pa.list_(id_type)), "held": pa.array([self.held], pa.list_(pa.bool_())),
-            "sizes": pa.array([self.sizes], pa.list_(pa.int32())), "tokens": pa.array([_packed(tokens)], pa.binary()), "n_words": pa.array([len(order)], pa.int64()), "n_tokens": pa.array([len(tokens)], pa.int64()),
-            "hashes": pa.array([hashes[order].tobytes()], pa.binary()), "counts": pa.array([_packed(counts)], pa.binary()),
+            "sizes": pa.array([self.sizes], pa.list_(pa.int32())), "tokens": pa.array([zstandard.compress(tokens.tobytes(), 1)], pa.binary()),
+            "n_words": pa.array([len(order)], pa.int64()), "n_tokens": pa.array([len(tokens)], pa.int64()), "n_learnt": pa.array([int(learnt.sum())], pa.int64()),
+            "hashes": pa.array([hashes[order].tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()),
         }
         return pa.RecordBatch.from_pydict(columns)
 
@@ -105,177 +101,113 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if chunk.ids:
             yield chunk.row(part << 24 | number, kind)
 
-    schema = f"chunk bigint, ids array<{id_type}>, held array<boolean>, sizes array<int>, tokens binary, n_words bigint, n_tokens bigint, hashes binary, counts binary"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(
+        run,
+        f"chunk bigint, ids array<{id_type}>, held array<boolean>, sizes array<int>, tokens binary, n_words bigint, n_tokens bigint, n_learnt bigint, hashes binary, counts binary",
+    )
 
 
-def _pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A hash of two word hashes that tells their order."""
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of two hashes that tells their order."""
     x = left * np.uint64(0x9E3779B97F4A7C15) ^ right
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     return (x ^ (x >> np.uint64(29))) + right
 
 
-class _Row:
-    """A chunk's row as arrays, with what the passes gave back."""
+class _Texts:
+    """A chunk's texts, one after the other, as arrays."""
 
-    def __init__(self, batch: pa.RecordBatch, i: int):
-        get = lambda c: batch.column(c)[i]
-        self.chunk = get("chunk").as_py()
+    def __init__(self, row: pa.RecordBatch | pa.Table, i: int):
+        get = lambda c: row.column(c)[i]
         self.ids, self.held = get("ids").values, get("held").values.to_numpy(zero_copy_only=False).astype(bool)
         self.sizes = get("sizes").values.to_numpy()
-        self.tokens = _unpacked(get("tokens").as_py(), np.int32)
+        self.tokens = np.frombuffer(zstandard.decompress(get("tokens").as_py()), dtype=np.int32)
         self.hashes = np.frombuffer(get("hashes").as_py(), dtype=np.uint64)
-        self.totals = np.concatenate([_unpacked(b, np.uint64) for b in get("totals").as_py()])
-
-    def pairs(self, word_min: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs of frequent words by ascending hash: hash, place (left and right number), learnt count."""
-        inside = np.ones(len(self.tokens), dtype=bool)
-        inside[np.concatenate(([0], np.cumsum(self.sizes)[:-1]))] = False  # no left neighbour in the same text
-        frequent = self.totals >= word_min
-        inside[1:] &= frequent[self.tokens[1:]] & frequent[self.tokens[:-1]]
-        at = np.flatnonzero(inside)
-        learnt = ~np.repeat(self.held, self.sizes)
-        keys = (self.tokens[at - 1].astype(np.int64) << 32 | self.tokens[at]) << 1 | learnt[at]
-        keys.sort()  # in place: the occurrences of a pair side by side, its lowest bit tells the learnt ones
-        pair = keys >> 1
-        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))[: len(pair)])
-        places = pair[first]
-        counts = (np.add.reduceat(keys & 1, first) if len(first) else first).astype(np.uint32)
-        hashes = _pair_hashes(self.hashes[places >> 32], self.hashes[places & 0xFFFFFFFF])
-        order = np.argsort(hashes, kind="stable")
-        return hashes[order], places[order], counts[order]
-
-
-def _ranges(chunk: int, hashes: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """A row for each range of ascending hashes that has any."""
-    tops = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-    edges = np.flatnonzero(np.concatenate(([True], tops[1:] != tops[:-1]))) if len(tops) else np.zeros(0, dtype=np.int64)
-    for a, b in zip(edges, [*edges[1:], len(hashes)]):
-        row = {"range": [int(tops[a])], "chunk": [chunk], "hashes": [hashes[a:b].tobytes()], "counts": [_packed(counts[a:b])]}
-        yield pa.RecordBatch.from_pydict(row, schema=_RANGE)
-
-
-_RANGE = pa.schema([("range", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
-_RANGE_SQL = "range bigint, chunk bigint, hashes binary, counts binary"
-
-
-def _bits(total: int) -> int:
-    """Ranges of hashes as a power of two, so that each holds a bounded share of ``total`` hashes."""
-    return max(6, math.ceil(math.log2(max(1, total / RANGE_HASHES))) + 1)
-
-
-def _summed(table: pa.Table, kind: type = np.uint32) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Of the rows of a range: each row's places among the distinct hashes, totals, and first row of each hash."""
-    rows = [np.frombuffer(b, dtype=np.uint64) for b in table.column("hashes").to_pylist()]
-    counts = np.concatenate([_unpacked(b, kind) for b in table.column("counts").to_pylist()])
-    _, first, inverse = np.unique(np.concatenate(rows), return_index=True, return_inverse=True)
-    totals = np.bincount(inverse, weights=counts)
-    edges = np.cumsum([0, *map(len, rows)])
-    return [inverse[a:b] for a, b in zip(edges, edges[1:])], totals, first, edges
-
-
-def _word_totals(chunks: DataFrame, bits: int) -> DataFrame:
-    """``range, chunk, totals`` for each chunk and range; with chunk null the range's ``n`` tokens and ``v`` words."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def ngrams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For n from 2 to ``order``: the places where an n-gram ends, and its hash at each."""
+        words = self.hashes[self.tokens]
+        before = np.arange(len(words)) - np.repeat(self.starts, self.sizes)  # words before in the same text
+        shorter = words
+        for n in range(2, order + 1):
+            at = np.flatnonzero(before >= n - 1)
+            here = _joined(shorter[at - 1], words[at])
+            yield at, here
+            if n < order:
+                shorter = np.zeros(len(words), dtype=np.uint64)
+                shorter[at] = here
+
+
+_PACKED = "range bigint, chunk bigint, hashes binary, counts binary"
+_TOTALS = "range bigint, chunk bigint, totals binary, seen bigint"
+
+
+def _binary(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """An array of the bytes of ``values`` between consecutive ``edges``."""
+    offsets = (edges * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column, and how many each row has."""
+    wide = column.cast(pa.large_binary()).combine_chunks()
+    parts = wide.chunks if isinstance(wide, pa.ChunkedArray) else [wide]
+    values, sizes = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+    for part in parts:
+        if len(part):
+            offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+            data = part.buffers()[2]
+            if data is not None:
+                values.append(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind))
+            sizes.append(np.diff(offsets) // np.dtype(kind).itemsize)
+    return np.concatenate(values), np.concatenate(sizes)
+
+
+def _dealt(chunk: int, n: int, hashes: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Ascending hashes of n-grams and their counts as a row for each range that has any."""
+    tops = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    edges = np.concatenate((np.flatnonzero(np.diff(tops, prepend=-1)), [len(tops)]))
+    names = (n << 40) + tops[edges[:-1]]
+    columns = [pa.array(names), pa.array(np.full(len(names), chunk, np.int64)), _binary(hashes, edges), _binary(counts, edges)]
+    return pa.RecordBatch.from_arrays(columns, names=["range", "chunk", "hashes", "counts"])
+
+
+def _deal_words(ranges: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                hashes, counts = np.frombuffer(batch.column("hashes")[i].as_py(), dtype=np.uint64), _unpacked(batch.column("counts")[i].as_py(), np.uint32)
-                yield from _ranges(batch.column("chunk")[i].as_py(), hashes, counts, bits)
-
-    def add(table: pa.Table) -> pa.Table:
-        places, totals, _, _ = _summed(table)
-        out = [_packed(totals[p].astype(np.uint64)) for p in places]
-        k, top = len(out), table.column("range")[0].as_py()
-        return pa.table(
-            {"range": pa.array([top] * (k + 1), pa.int64()), "chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.int64()), "totals": pa.array([*out, None], pa.binary()),
-             "n": pa.array([None] * k + [int(totals.sum())], pa.int64()), "v": pa.array([None] * k + [int((totals > 0).sum())], pa.int64())}
-        )
-
-    rows = chunks.select("chunk", "hashes", "counts").mapInArrow(split, _RANGE_SQL)
-    return rows.groupBy("range").applyInArrow(add, "range bigint, chunk bigint, totals binary, n bigint, v bigint")
+                hashes, counts = (np.frombuffer(batch.column(c)[i].as_py(), dtype=t) for c, t in (("hashes", np.uint64), ("counts", np.uint32)))
+                yield _dealt(batch.column("chunk")[i].as_py(), 1, hashes, counts, ranges)
 
+    return run
 
-def _arcs(known: DataFrame, bits: int, word_min: int, pair_min: int) -> DataFrame:
-    """``range, chunk, places, counts, owned``: which of a chunk's pairs in a range are arcs, in order of their hashes.
-
-    ``owned`` marks, for each arc, one chunk among those that have it.
-    """
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = _Row(batch, i)
-                hashes, _, counts = row.pairs(word_min)
-                yield from _ranges(row.chunk, hashes, counts, bits)
-
-    def add(table: pa.Table) -> pa.Table:
-        places, totals, first, edges = _summed(table)
-        out = {"range": [], "chunk": [], "places": [], "counts": [], "owned": []}
-        for k, (p, chunk) in enumerate(zip(places, table.column("chunk").to_pylist())):
-            arcs = np.flatnonzero(totals[p] >= pair_min)
-            if len(arcs):
-                for name, value in (("range", table.column("range")[0].as_py()), ("chunk", chunk), ("places", _packed(np.diff(arcs, prepend=0).astype(np.uint32))), ("counts", _packed(totals[p[arcs]].astype(np.uint64))), ("owned", _packed(first[p[arcs]] == edges[k] + arcs))):
-                    out[name].append(value)
-        return pa.Table.from_pydict(out, schema=pa.schema([("range", pa.int64()), ("chunk", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("owned", pa.binary())]))
-
-    rows = known.mapInArrow(split, _RANGE_SQL)
-    return rows.groupBy("range").applyInArrow(add, "range bigint, chunk bigint, places binary, counts binary, owned binary")
-
-
-def _own_arcs(row: _Row, batch: pa.RecordBatch, i: int, bits: int, word_min: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place, count and ownership of a chunk's arcs."""
-    arcs = batch.column("arcs")[i].as_py()
-    if not arcs:
-        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool)
-    hashes, places, _ = row.pairs(word_min)
-    starts = np.searchsorted((hashes >> np.uint64(64 - bits)).astype(np.int64), [a["range"] for a in arcs])
-    at = np.concatenate([s + np.cumsum(_unpacked(a["places"], np.uint32), dtype=np.int64) for s, a in zip(starts, arcs)])
-    counts, owned = (np.concatenate([_unpacked(a[c], t) for a in arcs]) for c, t in (("counts", np.uint64), ("owned", bool)))
-    return places[at], counts.astype(float), owned
-
-
-def _history_mass(ready: DataFrame, bits: int, word_bits: int, word_min: int) -> DataFrame:
-    """``range, chunk, mass``: what all arcs take of the histories among a chunk's frequent words, in order of their hashes."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _deal_ngrams(ranges: int, order: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = _Row(batch, i)
-                places, counts, owned = _own_arcs(row, batch, i, bits, word_min)
-                mass = np.bincount(places[owned] >> 32, weights=counts[owned] - DISCOUNT, minlength=len(row.totals))
-                frequent = row.totals >= word_min
-                yield from _ranges(row.chunk, row.hashes[frequent], mass[frequent], word_bits)
-
-    def add(table: pa.Table) -> pa.Table:
-        places, totals, _, _ = _summed(table, np.float64)
-        return pa.table({"range": table.column("range"), "chunk": table.column("chunk"), "mass": pa.array([_packed(totals[p]) for p in places], pa.binary())})
-
-    return ready.mapInArrow(split, _RANGE_SQL).groupBy("range").applyInArrow(add, "range bigint, chunk bigint, mass binary")
+                texts = _Texts(batch, i)
+                learnt = ~np.repeat(texts.held, texts.sizes)
+                for n, (at, hashes) in enumerate(texts.ngrams(order), 2):
+                    distinct, which = np.unique(hashes, return_inverse=True)
+                    if len(distinct):
+                        counts = np.bincount(which, weights=learnt[at], minlength=len(distinct)).astype(np.uint32)
+                        yield _dealt(batch.column("chunk")[i].as_py(), n, distinct, counts, ranges)
 
+    return run
 
-class Automaton:
-    """The part of the automaton that a chunk's texts can walk; words are the chunk's numbers."""
-
-    def __init__(self, unigrams: np.ndarray, places: np.ndarray, weights: np.ndarray, failure: np.ndarray):
-        order = np.argsort(places, kind="stable")
-        self.unigrams, self.places, self.weights, self.failure = unigrams, places[order], weights[order], failure
-
-    def walk(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Log10 weight of every token's arc; texts begin at ``starts`` in the empty history.
 
-        The state before a token is the word before it, so all arcs are looked up at once.
-        """
-        out = self.unigrams[tokens]
-        out[1:] += self.failure[tokens[:-1]]
-        keys = tokens[:-1].astype(np.int64) << 32 | tokens[1:]
-        if len(self.places):
-            at = np.minimum(np.searchsorted(self.places, keys), len(self.places) - 1)
-            found = np.flatnonzero(self.places[at] == keys)
-            out[found + 1] = self.weights[at[found]]
-        out[starts] = self.unigrams[tokens[starts]]
-        return out
+def _add_range(table: pa.Table) -> pa.Table:
+    """Of a range's rows: the totals of each row's hashes; ``seen`` holds, in one row, how many hashes were learnt."""
+    hashes, sizes = _values(table.column("hashes"), np.uint64)
+    counts, _ = _values(table.column("counts"), np.uint32)
+    _, which = np.unique(hashes, return_inverse=True)
+    totals = np.bincount(which, weights=counts)
+    seen = np.zeros(len(sizes), dtype=np.int64)
+    seen[0] = int((totals > 0).sum())
+    own = _binary(totals[which].astype(np.int64), np.concatenate(([0], np.cumsum(sizes))))
+    return pa.table({"range": table.column("range"), "chunk": table.column("chunk"), "totals": own, "seen": seen})
 
 
 def unigram_log10(counts: np.ndarray, n: int, v: int, discount: float = DISCOUNT) -> np.ndarray:
@@ -285,60 +217,82 @@ def unigram_log10(counts: np.ndarray, n: int, v: int, discount: float = DISCOUNT
     return np.log10(np.where(counts > 0, (counts - discount) / n, discount * v / n))
 
 
-def _score_rows(n: int, v: int, bits: int, word_min: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = _Row(batch, i)
-                totals = row.totals.astype(float)
-                unigrams = unigram_log10(totals, n, v)
-                base = np.log10((totals + 0.5) / (n + 0.5 * (v + 1)))
-                left = np.zeros(len(totals))  # what a history's arcs take
-                masses = batch.column("mass")[i].as_py()
-                if masses:
-                    left[row.totals >= word_min] = np.concatenate([_unpacked(m, np.float64) for m in masses])
-                backoff = 1.0 - left / np.maximum(totals, 1)
-                places, counts, _ = _own_arcs(row, batch, i, bits, word_min)
-                u, w = places >> 32, places & 0xFFFFFFFF
-                weights = np.log10((counts - DISCOUNT) / np.maximum(totals[u], 1) + backoff[u] * 10.0 ** unigrams[w])
-                failure = np.where(left > 0, np.log10(backoff), 0.0)
-                automaton = Automaton(unigrams, places, weights, failure)
-                ends = np.cumsum(row.sizes)
-                starts = ends - row.sizes
-                sums = lambda x: np.add.reduceat(x[row.tokens], starts)  # noqa: B023, E731
-                scores = np.add.reduceat(automaton.walk(row.tokens, starts), starts)
-                yield pa.RecordBatch.from_arrays(
-                    [row.ids, pa.array(row.held), pa.array(row.sizes.astype(np.int64)), pa.array(sums((totals > 0).astype(np.int64))), pa.array(np.full(len(scores), n)), pa.array(sums(base)), pa.array(scores, pa.float64())],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+class Automaton:
+    """The part of the automaton that a chunk's texts walk, in the order in which they walk it.
+
+    ``arcs[k]`` has for each place the weight of its word's arc from the state of the ``k`` words before,
+    NaN where there is none; ``failures[k]`` the weight of that state's failure arc.
+    """
+
+    def __init__(self, unigrams: np.ndarray, counts: list[np.ndarray], starts: np.ndarray, prior: float):
+        self.arcs, self.failures = [unigrams], [np.zeros(len(unigrams))]
+        lower = 10.0**unigrams
+        for shorter, longer in zip(counts, counts[1:]):
+            history = np.concatenate(([0], shorter[:-1]))
+            history[starts] = 0
+            lower = (longer + prior * lower) / (history + prior)
+            self.arcs.append(np.where(longer > 0, np.log10(lower), np.nan))
+            self.failures.append(np.log10(prior / (history + prior)))
+
+    def walk(self) -> np.ndarray:
+        """The log10 weight of every place's path: failure arcs from the longest history to the first with an arc, then that arc.
+
+        A state depends on the words before only, so all places take the same step at once.
+        """
+        weight = self.arcs[0]
+        for arc, failure in zip(self.arcs[1:], self.failures[1:]):
+            weight = np.where(np.isnan(arc), failure + weight, arc)
+        return weight
+
+
+def _score_chunk(n: int, v: int, order: int, prior: float) -> Callable:
+    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        texts = _Texts(chunk, 0)
+        names = found.column("range").to_numpy()
+        rank = np.argsort(names, kind="stable")
+        values, sizes = _values(found.column("totals"), np.int64)
+        ends = np.cumsum(sizes)
+        totals = lambda k: np.concatenate([np.zeros(0, np.int64), *(values[ends[i] - sizes[i] : ends[i]] for i in rank if names[i] >> 40 == k)])
+        words = totals(1).astype(float)
+        counts = [words[texts.tokens]]
+        for k, (at, hashes) in enumerate(texts.ngrams(order), 2):
+            here = np.zeros(len(texts.tokens))
+            if len(at):
+                _, which = np.unique(hashes, return_inverse=True)
+                here[at] = totals(k)[which]
+            counts.append(here)
+        automaton = Automaton(unigram_log10(words, n, v)[texts.tokens], counts, texts.starts, prior)
+        base = np.log10((words + 0.5) / (n + 0.5 * (v + 1)))[texts.tokens]
+        sums = lambda x: np.add.reduceat(x, texts.starts)
+        columns = [
+            texts.ids, pa.array(texts.held), pa.array(texts.sizes.astype(np.int64)), pa.array(sums((counts[0] > 0).astype(np.int64))),
+            pa.array(np.full(len(texts.sizes), n)), pa.array(sums(base), pa.float64()), pa.array(sums(automaton.walk()), pa.float64()),
+        ]
+        return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, word_min: int = WORD_MIN, pair_min: int = PAIR_MIN) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
     """One row a document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Null texts are empty: their only token is the end. Null ids are held out. Repeated rows are learnt
     from and scored each. Without any training token all unigram weights are 0. An empty table gives an
-    empty result; other columns are not read.
+    empty result; other columns are not read. A text longer than ``chunk_bytes`` is a chunk of its own.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
+    scratch = Scratch(docs.sparkSession, "lm")
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    chunks = scratch.write_bucketed(_chunks(slim, chunk_bytes), "chunks", "chunk")
-    n_words, n_tokens = chunks.agg(F.sum("n_words"), F.sum("n_tokens")).first()
-    found = scratch.write(_word_totals(chunks, _bits(n_words or 0)), "words")
-    n, v = (x or 0 for x in found.agg(F.sum("n"), F.sum("v")).first())
-    # dealt like the buckets, so that neither side of a join by chunk moves again
-    by_chunk = lambda df, *cols: df.where("chunk is not null").repartition(scratch.buckets, "chunk").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("a"))
-    by_bucket = lambda df, name: scratch.write_bucketed(df, name, "chunk")
-    walked = chunks.select("chunk", "ids", "held", "sizes", "tokens", "hashes")
-    known = walked.join(by_bucket(by_chunk(found, "range", "totals").select("chunk", F.col("a.totals").alias("totals")), "totals"), "chunk")
-    word_bits, bits = _bits(n_words or 0), _bits(n_tokens or 0)
-    arcs = scratch.write(_arcs(known, bits, word_min, pair_min), "arcs")
-    ready = known.join(by_bucket(by_chunk(arcs, "range", "places", "counts", "owned").withColumnRenamed("a", "arcs"), "own-arcs"), "chunk", "left")
-    mass = scratch.write(_history_mass(ready, bits, word_bits, word_min), "histories")
-    ready = ready.join(by_chunk(mass, "range", "mass").select("chunk", F.col("a.mass").alias("mass")), "chunk", "left")
+    chunks = scratch.write(_chunks(slim, chunk_bytes), "chunks")
+    n_words, n_tokens, n = (x or 0 for x in chunks.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("n_learnt")).first())
+    ranges = lambda hashes: hashes // RANGE_HASHES + 1
+    words = chunks.select("chunk", "hashes", "counts").mapInArrow(_deal_words(ranges(n_words)), _PACKED)
+    words = scratch.write(words.groupBy("range").applyInArrow(_add_range, _TOTALS), "words")
+    v = words.agg(F.sum("seen")).first()[0] or 0
+    totals = words
+    if order > 1:
+        ngrams = chunks.select("chunk", "held", "sizes", "tokens", "hashes", F.array("chunk").alias("ids"))
+        totals = words.union(ngrams.mapInArrow(_deal_ngrams(ranges(n_tokens), order), _PACKED).groupBy("range").applyInArrow(_add_range, _TOTALS))
+    texts = chunks.select("chunk", "ids", "held", "sizes", "tokens", "hashes")
     id_type = slim.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return ready.mapInArrow(_score_rows(n, v, bits, word_min), schema)
+    return texts.groupBy("chunk").cogroup(totals.select("chunk", "range", "totals").groupBy("chunk")).applyInArrow(_score_chunk(n, v, order, prior), schema)

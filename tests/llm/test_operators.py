@@ -152,22 +152,40 @@ def test_lm_counts_and_base(docs, rows, empty):
     assert lm.score(empty).count() == 0
 
 
-def test_lm_traversal_equals_the_formula(spark):
-    draw = random.Random(5)
-    texts = {i: " ".join(draw.choice("a a a b b c d e f".split()) for _ in range(draw.randint(0, 12))) for i in range(60)}
-    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
-    learnt = [[*_words(t, True), lm.END] for i, t in texts.items() if not lm.held_out(i)]
-    c, pairs = Counter(w for t in learnt for w in t), Counter(p for t in learnt for p in zip(t, t[1:]))
-    n, v, d = sum(c.values()), len(c), lm.DISCOUNT
-    kept = {p: k for p, k in pairs.items() if k >= 2 and c[p[0]] >= 3 and c[p[1]] >= 3}
-    uni = lambda w: (c[w] - d) / n if c[w] else d * v / n
-    left = lambda u: 1 - sum(k - d for (a, _), k in kept.items() if a == u) / c[u] if c[u] else 1.0
-    full = lambda u, w: ((kept[(u, w)] - d) / c[u] if (u, w) in kept else 0.0) + left(u) * uni(w)
-    for u in c:
-        assert abs(sum(full(u, w) for w in [*c, "unseen"]) - 1) < 1e-9
-    for r in lm.score(df, chunk_bytes=300, word_min=3, pair_min=2).collect():
-        t = [*_words(texts[r.doc_id], True), lm.END]
-        assert abs(r.score - (math.log10(uni(t[0])) + sum(math.log10(full(a, b)) for a, b in zip(t, t[1:])))) < 1e-9
+def _backoff(texts, order, prior):
+    """Smoothed probability of a word after a history, from counts in dictionaries."""
+    learnt = [[*_words(t, True), lm.END] for i, t in texts if not lm.held_out(i)]
+    counts = Counter(tuple(t[i : i + k]) for t in learnt for k in range(1, order + 1) for i in range(len(t) - k + 1))
+    n, v = sum(map(len, learnt)), sum(len(g) == 1 for g in counts)
+
+    def probability(history, word):
+        if not history:
+            return (counts[(word,)] - lm.DISCOUNT) / n if counts[(word,)] else lm.DISCOUNT * v / n
+        lower = probability(history[1:], word)
+        return (counts[(*history, word)] + prior * lower) / (counts[history] + prior)
+
+    return probability, counts
+
+
+@pytest.mark.parametrize("order, prior", ((1, 4.0), (2, 0.5), (lm.ORDER, lm.PRIOR), (4, 3.0)))
+def test_lm_traversal_equals_the_formula(spark, order, prior):
+    draw = random.Random(order)
+    texts = [(i, " ".join(draw.choice("a a a b b c d e f".split()) for _ in range(draw.randint(0, 12)))) for i in range(60)] + [(None, "a b zz zz"), (7, None), (8, "A B once\tC")]
+    probability, counts = _backoff(texts, order, prior)
+    for history in [g for g in counts if len(g) < order and lm.END not in g][:30]:
+        assert abs(sum(probability(history, w) for w in [*(g[0] for g in counts if len(g) == 1), "unseen"]) - 1) < 1e-9
+    want = Counter()
+    for i, text in texts:
+        t = [*_words(text, True), lm.END]
+        want[(i, round(sum(math.log10(probability(tuple(t[max(0, k - order + 1) : k]), t[k])) for k in range(len(t))), 7))] += 1
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    assert Counter((r.doc_id, round(r.score, 7)) for r in lm.score(df, chunk_bytes=300, order=order, prior=prior).collect()) == want
+
+
+def test_lm_does_not_depend_on_chunks_and_ranges(docs, monkeypatch):
+    one = {(r.doc_id, round(r.score, 6), round(r.base_score, 6)) for r in lm.score(docs).collect()}
+    monkeypatch.setattr(lm, "RANGE_HASHES", 50)
+    assert one == {(r.doc_id, round(r.score, 6), round(r.base_score, 6)) for r in lm.score(docs.repartition(3), chunk_bytes=1000).collect()}
 
 
 def _brute_capacity(sizes, shards):
@@ -365,20 +383,3 @@ def test_warc_keeps_pages_with_very_long_urls(spark):
     pages = [(1, url(200_000), html), (2, "http://x/2", html), (3, url(70_000), "short"), (4, "http://x/4", "other"), (5, "http://x/" + "a" * 1_000_000, html)]
     got = sorted((r.record_id, r.record_type, r.uri, r.payload_bytes, r.refers_to) for r in warc.archive_and_read(spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1)).collect())
     assert got == [(i, "revisit" if i in (2, 5) else "response", u, len(h), 1 if i in (2, 5) else None) for i, u, h in pages]
-
-
-def test_lm_scores_every_learnt_pair(spark):
-    """With the default cutoff a pair seen once is an arc."""
-    draw = random.Random(6)
-    texts = {i: " ".join(draw.choice("a b c d e f g h i j".split()) + str(draw.randint(0, 9)) for _ in range(draw.randint(0, 12))) for i in range(60)}
-    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
-    learnt = [[*_words(t, True), lm.END] for i, t in texts.items() if not lm.held_out(i)]
-    c, pairs = Counter(w for t in learnt for w in t), Counter(p for t in learnt for p in zip(t, t[1:]))
-    n, v, d = sum(c.values()), len(c), lm.DISCOUNT
-    assert min(pairs.values()) == 1
-    uni = lambda w: (c[w] - d) / n if c[w] else d * v / n
-    left = lambda u: 1 - sum(k - d for (a, _), k in pairs.items() if a == u) / c[u] if c[u] else 1.0
-    full = lambda u, w: ((pairs[(u, w)] - d) / c[u] if (u, w) in pairs else 0.0) + left(u) * uni(w)
-    for r in lm.score(df, chunk_bytes=300).collect():
-        t = [*_words(texts[r.doc_id], True), lm.END]
-        assert abs(r.score - (math.log10(uni(t[0])) + sum(math.log10(full(a, b)) for a, b in zip(t, t[1:])))) < 1e-9
