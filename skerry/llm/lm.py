@@ -11,7 +11,9 @@ The automaton grows with the corpus, so no task holds it whole. Texts are read o
 size, each with its own vocabulary, kept in a table. Each chunk's distinct n-grams go, as ascending 64-bit
 hashes with their counts, to ranges of hashes; a range adds them up and returns to every chunk the totals of
 its own n-grams in the same order: the part of the automaton that its texts can walk. A range holds a bounded
-number of hashes and their rows are packed arrays, so what is shuffled is in proportion to the texts.
+number of hashes, told apart by ``KEY_BYTES`` bytes in it, and its rows are packed arrays, so what is shuffled
+is in proportion to the texts, and the chance that an n-gram meets another one's hash is the same at every
+size, about one in a million.
 """
 
 from __future__ import annotations
@@ -35,9 +37,10 @@ PRIOR = 32.0
 #: Of a seen word's count, what goes to the class of unseen words.
 DISCOUNT = 0.75
 FOLDS, HELD_OUT_FOLD = 5, 1
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 8 << 20
 #: Hashes added up in one group, at most about.
 RANGE_HASHES = 1 << 20
+KEY_BYTES = 5
 #: The end of a text; no word holds a space.
 END = b" "
 
@@ -55,6 +58,20 @@ def held_out(doc_id) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT_FOLD
 
 
+def _pack_tokens(tokens: np.ndarray, words: int) -> bytes:
+    """Word numbers, each byte of all of them together and no more bytes than the vocabulary needs."""
+    width = max(1, (int(words).bit_length() + 7) // 8)
+    planes = tokens.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def _unpack_tokens(data: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(-1, count)
+    out = np.zeros((count, 4), dtype=np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<i4").ravel()
+
+
 class _Chunk:
     def __init__(self):
         self.words, self.ids, self.held, self.sizes, self.tokens, self.bytes = _Vocabulary(), [], [], [], [], 0
@@ -79,7 +96,7 @@ class _Chunk:
         counts = np.bincount(tokens[learnt], minlength=len(order)).astype(np.uint32)
         columns = {
             "chunk": pa.array([name], pa.int64()), "ids": pa.array([self.ids], pa.list_(id_type)), "held": pa.array([self.held], pa.list_(pa.bool_())),
-            "sizes": pa.array([self.sizes], pa.list_(pa.int32())), "tokens": pa.array([zstandard.compress(tokens.tobytes(), 1)], pa.binary()),
+            "sizes": pa.array([self.sizes], pa.list_(pa.int32())), "tokens": pa.array([_pack_tokens(tokens, len(order))], pa.binary()),
             "n_words": pa.array([len(order)], pa.int64()), "n_tokens": pa.array([len(tokens)], pa.int64()), "n_learnt": pa.array([int(learnt.sum())], pa.int64()),
             "hashes": pa.array([hashes[order].tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()),
         }
@@ -121,7 +138,7 @@ class _Texts:
         get = lambda c: row.column(c)[i]
         self.ids, self.held = get("ids").values, get("held").values.to_numpy(zero_copy_only=False).astype(bool)
         self.sizes = get("sizes").values.to_numpy()
-        self.tokens = np.frombuffer(zstandard.decompress(get("tokens").as_py()), dtype=np.int32)
+        self.tokens = _unpack_tokens(get("tokens").as_py(), int(self.sizes.sum()))
         self.hashes = np.frombuffer(get("hashes").as_py(), dtype=np.uint64)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
@@ -139,38 +156,72 @@ class _Texts:
                 shorter[at] = here
 
 
-_PACKED = "range bigint, chunk bigint, hashes binary, counts binary"
-_TOTALS = "range bigint, chunk bigint, totals binary, seen bigint"
+_PACKED = "range bigint, chunk bigint, hashes binary, counts binary, large binary"
+_TOTALS = "range bigint, chunk bigint, totals binary, large binary, seen bigint"
+_LARGE = np.dtype([("at", "<u4"), ("value", "<i8")])
 
 
 def _binary(values: np.ndarray, edges: np.ndarray) -> pa.Array:
     """An array of the bytes of ``values`` between consecutive ``edges``."""
-    offsets = (edges * values.itemsize).astype(np.int32)
+    offsets = (edges * values.itemsize * (values.shape[1] if values.ndim > 1 else 1)).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _values(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a binary column, and how many each row has."""
-    wide = column.cast(pa.large_binary()).combine_chunks()
-    parts = wide.chunks if isinstance(wide, pa.ChunkedArray) else [wide]
-    values, sizes = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
-    for part in parts:
+def _bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and how many each row has."""
+    values, sizes = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for part in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         if len(part):
-            offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
-            data = part.buffers()[2]
-            if data is not None:
-                values.append(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind))
-            sizes.append(np.diff(offsets) // np.dtype(kind).itemsize)
+            offsets = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+            if part.buffers()[2] is not None:
+                values.append(np.frombuffer(part.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+            sizes.append(np.diff(offsets))
     return np.concatenate(values), np.concatenate(sizes)
 
 
-def _dealt(chunk: int, n: int, hashes: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
-    """Ascending hashes of n-grams and their counts as a row for each range that has any."""
-    tops = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+def _narrow(counts: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Counts as a byte each, and those that do not fit by their places in the row."""
+    at = np.flatnonzero(counts > 255)
+    rows = np.searchsorted(edges, at, side="right") - 1
+    large = np.empty(len(at), dtype=_LARGE)
+    large["at"], large["value"] = at - edges[rows], counts[at]
+    return _binary(np.minimum(counts, 255).astype(np.uint8), edges), _binary(large, np.searchsorted(at, edges))
+
+
+def _wide(table: pa.Table, narrow: str) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of all rows, and how many each has."""
+    low, sizes = _bytes(table.column(narrow))
+    large, many = _bytes(table.column("large"))
+    large = large.view(_LARGE)
+    counts = low.astype(np.int64)
+    counts[np.repeat(np.cumsum(sizes) - sizes, many // _LARGE.itemsize) + large["at"]] = large["value"]
+    return counts, sizes
+
+
+def _places(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each hash and its place in the range, rising with the hash."""
+    high, low = hashes >> np.uint64(32), hashes & np.uint64(0xFFFFFFFF)
+    scaled = high * np.uint64(ranges) + (low * np.uint64(ranges) >> np.uint64(32))  # hash * ranges, without its 32 lowest bits
+    spare = np.uint64(8 * (KEY_BYTES - 4))  # bits of the place below the 32 of scaled
+    rest = (low * np.uint64(ranges) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - 8 * (KEY_BYTES - 4))
+    return (scaled >> np.uint64(32)).astype(np.int64), (scaled & np.uint64(0xFFFFFFFF)) << spare | rest
+
+
+def _distinct(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Range and place of the distinct n-grams in ascending order, and which of them each hash is."""
+    distinct, which = np.unique(hashes, return_inverse=True)
+    tops, places = _places(distinct, ranges)
+    fresh = np.concatenate(([True], (np.diff(tops) != 0) | (np.diff(places) != 0)))[: len(tops)]  # hashes that meet in a place are one
+    return tops[fresh], places[fresh], (np.cumsum(fresh) - 1)[which]
+
+
+def _dealt(chunk: int, n: int, tops: np.ndarray, places: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Ascending n-grams and their counts as a row for each range that has any."""
     edges = np.concatenate((np.flatnonzero(np.diff(tops, prepend=-1)), [len(tops)]))
     names = (n << 40) + tops[edges[:-1]]
-    columns = [pa.array(names), pa.array(np.full(len(names), chunk, np.int64)), _binary(hashes, edges), _binary(counts, edges)]
-    return pa.RecordBatch.from_arrays(columns, names=["range", "chunk", "hashes", "counts"])
+    keys = places.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+    columns = [pa.array(names), pa.array(np.full(len(names), chunk, np.int64)), _binary(keys, edges), *_narrow(counts, edges)]
+    return pa.RecordBatch.from_arrays(columns, names=["range", "chunk", "hashes", "counts", "large"])
 
 
 def _deal_words(ranges: int) -> Callable:
@@ -178,7 +229,8 @@ def _deal_words(ranges: int) -> Callable:
         for batch in batches:
             for i in range(batch.num_rows):
                 hashes, counts = (np.frombuffer(batch.column(c)[i].as_py(), dtype=t) for c, t in (("hashes", np.uint64), ("counts", np.uint32)))
-                yield _dealt(batch.column("chunk")[i].as_py(), 1, hashes, counts, ranges)
+                tops, places, which = _distinct(hashes, ranges)
+                yield _dealt(batch.column("chunk")[i].as_py(), 1, tops, places, np.bincount(which, weights=counts).astype(np.int64))
 
     return run
 
@@ -190,24 +242,25 @@ def _deal_ngrams(ranges: int, order: int) -> Callable:
                 texts = _Texts(batch, i)
                 learnt = ~np.repeat(texts.held, texts.sizes)
                 for n, (at, hashes) in enumerate(texts.ngrams(order), 2):
-                    distinct, which = np.unique(hashes, return_inverse=True)
-                    if len(distinct):
-                        counts = np.bincount(which, weights=learnt[at], minlength=len(distinct)).astype(np.uint32)
-                        yield _dealt(batch.column("chunk")[i].as_py(), n, distinct, counts, ranges)
+                    if len(at):
+                        tops, places, which = _distinct(hashes, ranges)
+                        yield _dealt(batch.column("chunk")[i].as_py(), n, tops, places, np.bincount(which, weights=learnt[at]).astype(np.int64))
 
     return run
 
 
 def _add_range(table: pa.Table) -> pa.Table:
     """Of a range's rows: the totals of each row's hashes; ``seen`` holds, in one row, how many hashes were learnt."""
-    hashes, sizes = _values(table.column("hashes"), np.uint64)
-    counts, _ = _values(table.column("counts"), np.uint32)
-    _, which = np.unique(hashes, return_inverse=True)
+    keys, _ = _bytes(table.column("hashes"))
+    places = np.zeros((len(keys) // KEY_BYTES, 8), dtype=np.uint8)
+    places[:, :KEY_BYTES] = keys.reshape(-1, KEY_BYTES)
+    counts, sizes = _wide(table, "counts")
+    _, which = np.unique(places.view(np.uint64).ravel(), return_inverse=True)
     totals = np.bincount(which, weights=counts)
     seen = np.zeros(len(sizes), dtype=np.int64)
     seen[0] = int((totals > 0).sum())
-    own = _binary(totals[which].astype(np.int64), np.concatenate(([0], np.cumsum(sizes))))
-    return pa.table({"range": table.column("range"), "chunk": table.column("chunk"), "totals": own, "seen": seen})
+    own, large = _narrow(totals[which].astype(np.int64), np.concatenate(([0], np.cumsum(sizes))))
+    return pa.table({"range": table.column("range"), "chunk": table.column("chunk"), "totals": own, "large": large, "seen": seen})
 
 
 def unigram_log10(counts: np.ndarray, n: int, v: int, discount: float = DISCOUNT) -> np.ndarray:
@@ -245,21 +298,20 @@ class Automaton:
         return weight
 
 
-def _score_chunk(n: int, v: int, order: int, prior: float) -> Callable:
+def _score_chunk(n: int, v: int, word_ranges: int, ranges: int, order: int, prior: float) -> Callable:
     def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
         texts = _Texts(chunk, 0)
         names = found.column("range").to_numpy()
         rank = np.argsort(names, kind="stable")
-        values, sizes = _values(found.column("totals"), np.int64)
+        values, sizes = _wide(found, "totals")
         ends = np.cumsum(sizes)
-        totals = lambda k: np.concatenate([np.zeros(0, np.int64), *(values[ends[i] - sizes[i] : ends[i]] for i in rank if names[i] >> 40 == k)])
-        words = totals(1).astype(float)
+        totals = lambda k: np.concatenate([np.zeros(0), *(values[ends[i] - sizes[i] : ends[i]] for i in rank if names[i] >> 40 == k)])
+        words = totals(1)[_distinct(texts.hashes, word_ranges)[2]]
         counts = [words[texts.tokens]]
         for k, (at, hashes) in enumerate(texts.ngrams(order), 2):
             here = np.zeros(len(texts.tokens))
             if len(at):
-                _, which = np.unique(hashes, return_inverse=True)
-                here[at] = totals(k)[which]
+                here[at] = totals(k)[_distinct(hashes, ranges)[2]]
             counts.append(here)
         automaton = Automaton(unigram_log10(words, n, v)[texts.tokens], counts, texts.starts, prior)
         base = np.log10((words + 0.5) / (n + 0.5 * (v + 1)))[texts.tokens]
@@ -284,15 +336,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     chunks = scratch.write(_chunks(slim, chunk_bytes), "chunks")
     n_words, n_tokens, n = (x or 0 for x in chunks.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("n_learnt")).first())
-    ranges = lambda hashes: hashes // RANGE_HASHES + 1
-    words = chunks.select("chunk", "hashes", "counts").mapInArrow(_deal_words(ranges(n_words)), _PACKED)
+    word_ranges, ranges = n_words // RANGE_HASHES + 1, n_tokens // RANGE_HASHES + 1
+    words = chunks.select("chunk", "hashes", "counts").mapInArrow(_deal_words(word_ranges), _PACKED)
     words = scratch.write(words.groupBy("range").applyInArrow(_add_range, _TOTALS), "words")
     v = words.agg(F.sum("seen")).first()[0] or 0
     totals = words
     if order > 1:
         ngrams = chunks.select("chunk", "held", "sizes", "tokens", "hashes", F.array("chunk").alias("ids"))
-        totals = words.union(ngrams.mapInArrow(_deal_ngrams(ranges(n_tokens), order), _PACKED).groupBy("range").applyInArrow(_add_range, _TOTALS))
+        totals = words.union(ngrams.mapInArrow(_deal_ngrams(ranges, order), _PACKED).groupBy("range").applyInArrow(_add_range, _TOTALS))
     texts = chunks.select("chunk", "ids", "held", "sizes", "tokens", "hashes")
     id_type = slim.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return texts.groupBy("chunk").cogroup(totals.select("chunk", "range", "totals").groupBy("chunk")).applyInArrow(_score_chunk(n, v, order, prior), schema)
+    return texts.groupBy("chunk").cogroup(totals.select("chunk", "range", "totals", "large").groupBy("chunk")).applyInArrow(_score_chunk(n, v, word_ranges, ranges, order, prior), schema)
