@@ -6,13 +6,20 @@ is keyed once for every choice of that many blocks and only equal keys are compa
 fingerprints are merged first: exact copies, however many, take one row in the join.
 
 A key that more than ``bucket_limit`` distinct fingerprints share is not expanded into pairs. Its
-members go an exact, linear way instead: each is keyed by all words within ``max_distance / 2`` bits of
-it, and every key links its members to the smallest of them. Members of such a key are at most
-``max_distance`` apart, and any two fingerprints that close share one, so no link is lost or invented.
+members are keyed again by more blocks, which a close pair shares too, so that its keys are longer and
+rarer. What shares long keys with many even then is crowded: such fingerprints are first linked by
+words within one bit of them. Where that leaves one component on a key, nothing is missing there; the
+members of all other keys are linked by the words within ``max_distance / 2`` bits, of which any two
+close ones share one. Every way is exact, so no link that changes a component is lost or invented.
+
+``deduplicate`` links by similarity of shingle sets: beyond the links above, fingerprints that share a
+longer-distance key and are at most ``WIDE_DISTANCE`` bits apart are compared by the exact Jaccard
+index of their texts' shingles.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import log2
 
@@ -29,25 +36,34 @@ SHINGLE = 4
 SEED = 42
 MAX_DISTANCE = 4
 BUCKET_LIMIT = 256
+#: ``deduplicate``: words of a shingle, least Jaccard index, and bits within which texts are compared.
+DEDUP_SHINGLE, SIMILARITY = 5, 0.8
+KEY_DISTANCE, WIDE_DISTANCE = 6, 16
 _STEP = 1 << 15
 _OFFSET = np.arange(8, dtype=np.int16) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Signed 64-bit SimHash of the text's word shingles; 0 for null, empty or blank texts."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
+    """XXH64 of every word shingle, repeats included; of the whole sequence if it is shorter; none for blank texts."""
     words = text.encode().lower().split() if text else []  # bytes: A-Z and ASCII space only
     n = len(words)
     if not n:
-        return 0
+        return []
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        hashes = [digest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1) - 1
-        starts = np.concatenate(([0], ends[:-shingle] + 1))
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
+        return [digest(joined, seed)]
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-shingle] + 1))
+    return [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Signed 64-bit SimHash of the text's word shingles; 0 for null, empty or blank texts."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not hashes:
+        return 0
     packed = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(packed), _STEP):  # ones from a histogram of each byte
@@ -67,57 +83,63 @@ def fingerprint_column(text: str = "text", shingle: int = SHINGLE, seed: int = S
     return simhash(F.col(text))
 
 
-def block_masks(count: int, max_distance: int = MAX_DISTANCE) -> list[int]:
-    """Signed masks of all block choices that close fingerprints share one of.
-
-    The number of blocks grows slowly with the number of fingerprints, so that a key has a few more
-    bits than the count needs and chance collisions stay in proportion to the rows.
-    """
+def fewest_blocks(count: int, max_distance: int = MAX_DISTANCE) -> int:
+    """Blocks whose keys have a few more bits than ``count`` fingerprints need, so that chance collisions stay in proportion to the rows."""
     blocks = max_distance + 2
     while 64 * (blocks - max_distance) / blocks < log2(max(count, 2)) + 2 and blocks < 2 * max_distance + 4:
         blocks += 1
+    return blocks
+
+
+def block_masks(blocks: int, max_distance: int = MAX_DISTANCE) -> list[int]:
+    """Signed masks of all block choices that close fingerprints share one of."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     parts = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
     masks = [sum(choice) for choice in combinations(parts, blocks - max_distance)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _shared_keys(nodes: DataFrame, masks: list[int], scratch: Scratch) -> DataFrame:
+    """``choice, key, fp, n`` of the keys that ``n`` fingerprints share, two or more; counts are combined before they are dealt."""
+    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
+    keyed = nodes.select("fp", F.explode(keys).alias("k")).select("k.choice", "k.key", "fp")
+    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return scratch.write(keyed.join(sizes, ["choice", "key"]), "shared-keys")
+
+
+def _pairs(shared: DataFrame, max_distance: int) -> DataFrame:
+    """Distinct pairs ``a < b`` that share a key and differ in at most ``max_distance`` bits."""
+    left, right = shared.select("choice", "key", F.col("fp").alias("a")), shared.select("choice", "key", F.col("fp").alias("b"))
+    close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
+    return left.join(right, ["choice", "key"]).where(close).select("a", "b").distinct()
+
+
+def _stars(nodes: DataFrame, radius: int) -> DataFrame:
+    """Every word within ``radius`` bits links the fingerprints around it to their smallest; a word has no more of them than neighbours."""
+    near = ["0L"] + ["|".join(f"shiftleft(1L,{i})" for i in c) for r in range(1, radius + 1) for c in combinations(range(64), r)]
+    words = nodes.select("fp", F.explode(F.expr(f"transform(array({','.join(near)}), m -> fp ^ m)")).alias("word"))
+    least = words.withColumn("a", F.min("fp").over(Window.partitionBy("word")))
+    return least.where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+
+
 def links(nodes: DataFrame, count: int, scratch: Scratch, max_distance: int = MAX_DISTANCE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Edges ``(a, b)`` between the distinct fingerprints ``nodes(fp)``, with the components of all links."""
-    masks = block_masks(count, max_distance)
-    keyed = nodes.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("k")
-    ).select("fp", "k.choice", "k.key")
-    shared = scratch.write(
-        keyed.withColumn("n", F.count("*").over(Window.partitionBy("choice", "key"))).where("n > 1"), "shared-keys"
-    )
-    close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= max_distance
-    pairs = (
-        shared.where(F.col("n") <= bucket_limit)
-        .groupBy("choice", "key")
-        .agg(F.collect_list("fp").alias("fps"))
-        .select(
-            F.explode(
-                F.flatten(
-                    F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: (a < b) & close(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
-                )
-            ).alias("e")
-        )
-        .select("e.a", "e.b")
-    )
-    near = ["0L"] + ["|".join(f"shiftleft(1L,{i})" for i in c) for r in range(1, max_distance // 2 + 1) for c in combinations(range(64), r)]
-    stars = (
-        shared.where(F.col("n") > bucket_limit)
-        .select("fp")
-        .distinct()
-        .select("fp", F.explode(F.expr(f"transform(array({','.join(near)}), m -> fp ^ m)")).alias("key"))
-        .groupBy("key")
-        .agg(F.collect_list("fp").alias("fps"), F.min("fp").alias("a"))  # no more than the key has neighbours
-        .where(F.size("fps") > 1)
-        .select("a", F.explode("fps").alias("b"))
-        .where("a <> b")
-    )
-    return pairs.union(stars)
+    found, start = [], fewest_blocks(count, max_distance)
+    for blocks in sorted({start, max(start, 2 * max_distance + 1), 3 * max_distance}):
+        shared = _shared_keys(nodes, block_masks(blocks, max_distance), scratch)
+        found.append(scratch.write(_pairs(shared.where(F.col("n") <= bucket_limit), max_distance), "pairs"))
+        crowded = shared.where(F.col("n") > bucket_limit)
+        nodes = scratch.write(crowded.select("fp").distinct(), "crowded")
+        if nodes.isEmpty():
+            return reduce(DataFrame.union, found)
+    found.append(scratch.write(_stars(nodes, max_distance // 4), "stars"))
+    roots = scratch.write(connected_components(reduce(DataFrame.union, found), scratch).withColumnRenamed("node", "fp"), "roots")
+    rooted = crowded.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    split = rooted.groupBy("choice", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rest = scratch.write(crowded.join(split, ["choice", "key"], "left_semi").select("fp").distinct(), "split")
+    if not rest.isEmpty():
+        found.append(scratch.write(_stars(rest, max_distance // 2), "stars"))
+    return reduce(DataFrame.union, found)
 
 
 def assign(rows: DataFrame, scratch: Scratch, id_col: str = "doc_id", fp_col: str = "sh_fingerprint", **options) -> DataFrame:
