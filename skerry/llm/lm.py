@@ -156,8 +156,8 @@ class _Texts:
                 shorter[at] = here
 
 
-_PACKED = "range bigint, chunk bigint, hashes binary, counts binary, large binary"
-_TOTALS = "range bigint, chunk bigint, totals binary, large binary, seen bigint"
+_PACKED = "range bigint, chunk bigint, steps binary, far binary, counts binary, large binary"
+_TOTALS = "range bigint, chunk bigint, counts binary, large binary, seen bigint"
 _LARGE = np.dtype([("at", "<u4"), ("value", "<i8")])
 
 
@@ -179,23 +179,26 @@ def _bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values), np.concatenate(sizes)
 
 
-def _narrow(counts: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Counts as a byte each, and those that do not fit by their places in the row."""
-    at = np.flatnonzero(counts > 255)
+def _narrow(values: np.ndarray, edges: np.ndarray, width: int) -> tuple[pa.Array, pa.Array]:
+    """Values as ``width`` bytes each, and those that do not fit by their places in the row."""
+    at = np.flatnonzero(values >> (8 * width))
     rows = np.searchsorted(edges, at, side="right") - 1
     large = np.empty(len(at), dtype=_LARGE)
-    large["at"], large["value"] = at - edges[rows], counts[at]
-    return _binary(np.minimum(counts, 255).astype(np.uint8), edges), _binary(large, np.searchsorted(at, edges))
+    large["at"], large["value"] = at - edges[rows], values[at]
+    low = np.ascontiguousarray(values, dtype="<i8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return _binary(low, edges), _binary(large, np.searchsorted(at, edges))
 
 
-def _wide(table: pa.Table, narrow: str) -> tuple[np.ndarray, np.ndarray]:
-    """The counts of all rows, and how many each has."""
-    low, sizes = _bytes(table.column(narrow))
-    large, many = _bytes(table.column("large"))
-    large = large.view(_LARGE)
-    counts = low.astype(np.int64)
-    counts[np.repeat(np.cumsum(sizes) - sizes, many // _LARGE.itemsize) + large["at"]] = large["value"]
-    return counts, sizes
+def _wide(low: pa.ChunkedArray, large: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows, and how many each has."""
+    data, sizes = _bytes(low)
+    values = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    values[:, :width] = data.reshape(-1, width)
+    values, sizes = values.view("<i8").ravel(), sizes // width
+    far, many = _bytes(large)
+    far = far.view(_LARGE)
+    values[np.repeat(np.cumsum(sizes) - sizes, many // _LARGE.itemsize) + far["at"]] = far["value"]
+    return values, sizes
 
 
 def _places(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,9 +222,10 @@ def _dealt(chunk: int, n: int, tops: np.ndarray, places: np.ndarray, counts: np.
     """Ascending n-grams and their counts as a row for each range that has any."""
     edges = np.concatenate((np.flatnonzero(np.diff(tops, prepend=-1)), [len(tops)]))
     names = (n << 40) + tops[edges[:-1]]
-    keys = places.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-    columns = [pa.array(names), pa.array(np.full(len(names), chunk, np.int64)), _binary(keys, edges), *_narrow(counts, edges)]
-    return pa.RecordBatch.from_arrays(columns, names=["range", "chunk", "hashes", "counts", "large"])
+    steps = np.diff(places.astype(np.int64), prepend=0)
+    steps[edges[:-1]] = places[edges[:-1]]
+    columns = [pa.array(names), pa.array(np.full(len(names), chunk, np.int64)), *_narrow(steps, edges, 4), *_narrow(counts, edges, 1)]
+    return pa.RecordBatch.from_arrays(columns, names=["range", "chunk", "steps", "far", "counts", "large"])
 
 
 def _deal_words(ranges: int) -> Callable:
@@ -251,16 +255,16 @@ def _deal_ngrams(ranges: int, order: int) -> Callable:
 
 def _add_range(table: pa.Table) -> pa.Table:
     """Of a range's rows: the totals of each row's hashes; ``seen`` holds, in one row, how many hashes were learnt."""
-    keys, _ = _bytes(table.column("hashes"))
-    places = np.zeros((len(keys) // KEY_BYTES, 8), dtype=np.uint8)
-    places[:, :KEY_BYTES] = keys.reshape(-1, KEY_BYTES)
-    counts, sizes = _wide(table, "counts")
-    _, which = np.unique(places.view(np.uint64).ravel(), return_inverse=True)
+    steps, sizes = _wide(table.column("steps"), table.column("far"), 4)
+    counts, _ = _wide(table.column("counts"), table.column("large"), 1)
+    ends = np.cumsum(steps)
+    starts = np.cumsum(sizes) - sizes
+    _, which = np.unique(ends - np.repeat(ends[starts] - steps[starts], sizes), return_inverse=True)
     totals = np.bincount(which, weights=counts)
     seen = np.zeros(len(sizes), dtype=np.int64)
     seen[0] = int((totals > 0).sum())
-    own, large = _narrow(totals[which].astype(np.int64), np.concatenate(([0], np.cumsum(sizes))))
-    return pa.table({"range": table.column("range"), "chunk": table.column("chunk"), "totals": own, "large": large, "seen": seen})
+    own, large = _narrow(totals[which].astype(np.int64), np.concatenate(([0], np.cumsum(sizes))), 1)
+    return pa.table({"range": table.column("range"), "chunk": table.column("chunk"), "counts": own, "large": large, "seen": seen})
 
 
 def unigram_log10(counts: np.ndarray, n: int, v: int, discount: float = DISCOUNT) -> np.ndarray:
@@ -303,7 +307,7 @@ def _score_chunk(n: int, v: int, word_ranges: int, ranges: int, order: int, prio
         texts = _Texts(chunk, 0)
         names = found.column("range").to_numpy()
         rank = np.argsort(names, kind="stable")
-        values, sizes = _wide(found, "totals")
+        values, sizes = _wide(found.column("counts"), found.column("large"), 1)
         ends = np.cumsum(sizes)
         totals = lambda k: np.concatenate([np.zeros(0), *(values[ends[i] - sizes[i] : ends[i]] for i in rank if names[i] >> 40 == k)])
         words = totals(1)[_distinct(texts.hashes, word_ranges)[2]]
@@ -334,7 +338,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     """
     scratch = Scratch(docs.sparkSession, "lm")
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    chunks = scratch.write(_chunks(slim, chunk_bytes), "chunks")
+    chunks = scratch.write_bucketed(_chunks(slim, chunk_bytes), "chunks", "chunk")  # chunks stay where they are when totals come to them
     n_words, n_tokens, n = (x or 0 for x in chunks.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("n_learnt")).first())
     word_ranges, ranges = n_words // RANGE_HASHES + 1, n_tokens // RANGE_HASHES + 1
     words = chunks.select("chunk", "hashes", "counts").mapInArrow(_deal_words(word_ranges), _PACKED)
@@ -347,4 +351,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     texts = chunks.select("chunk", "ids", "held", "sizes", "tokens", "hashes")
     id_type = slim.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return texts.groupBy("chunk").cogroup(totals.select("chunk", "range", "totals", "large").groupBy("chunk")).applyInArrow(_score_chunk(n, v, word_ranges, ranges, order, prior), schema)
+    return texts.groupBy("chunk").cogroup(totals.select("chunk", "range", "counts", "large").groupBy("chunk")).applyInArrow(_score_chunk(n, v, word_ranges, ranges, order, prior), schema)

@@ -85,13 +85,16 @@ def _pivot(acc: Column, x: Column, seed: int) -> Column:
 
 
 def plan(rows: DataFrame, scratch: Scratch, seed: int = 0) -> DataFrame:
-    """Copies of each row of ``rows(mix_ref, mix_id, mix_source, mix_size)``: adds size, target and ``copies``."""
+    """Copies of each row of ``rows(mix_ref, mix_key, mix_source, mix_size)``: adds size, target and ``copies``.
+
+    Keys tell rows apart, equal ones too, so that chunks stay near ``FAN`` rows whatever ids and sizes are.
+    """
     targets = source_targets(rows, scratch)
     expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_COPIES)))).otherwise(0.0)
     items = rows.join(targets.withColumnRenamed("mix_source", "t_source"), F.col("mix_source").eqNullSafe(F.col("t_source")))
     items = items.withColumn("r", expected).withColumn("base", F.floor("r").cast("int")).withColumn("p", F.col("r") - F.col("base"))
     item = F.struct(
-        F.col("mix_size").alias("size"), F.xxhash64(F.lit(seed), "mix_id", "mix_size").alias("key"), F.col("mix_ref").alias("ref"), "base", "p", "source_size", "target"
+        F.col("mix_size").alias("size"), F.xxhash64(F.lit(seed), "mix_key").alias("key"), F.col("mix_ref").alias("ref"), "base", "p", "source_size", "target"
     )
     items = items.select("rank", "source_rows", F.ceil(F.col("source_rows") / FAN).alias("chunks"), item.alias("item"))
     sure = (F.col("item.size") == 0) | (F.col("item.p") <= 0.0)
@@ -139,15 +142,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = docs.select(docs[id_col].alias("mix_ref"), docs[id_col].alias("mix_id"), docs[source_col].alias("mix_source"), n_words(docs[text_col]).alias("mix_size"))
+    rows = docs.select(docs[id_col].alias("mix_ref"), docs[source_col].alias("mix_source"), n_words(docs[text_col]).alias("mix_size"))
+    counted = scratch.write(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), "counted")  # equal rows are told apart by a number
+    rows = counted.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
+    rows = rows.select("mix_ref", F.xxhash64("mix_ref", "mix_size", "i").alias("mix_key"), "mix_source", "mix_size")
     out = plan(scratch.write(rows, "sizes"), scratch, seed)
     return out.select(F.col("ref").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """The rows of ``docs``, each as often as ``plan`` takes it, with all their columns."""
+    """The rows of ``docs``, each as often as ``plan`` takes it, with all their columns, whatever their names.
+
+    Draws are those of ``mix``. Rows of the same id, source and size are told apart by their places in
+    the input, so reruns over the same files agree.
+    """
     scratch = Scratch(docs.sparkSession, "mixing-rows")
-    rows = scratch.write(docs.withColumn("mix_ref", F.monotonically_increasing_id()), "rows")
-    slim = rows.select("mix_ref", F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source"), n_words(F.col(text_col)).alias("mix_size"))
-    copies = plan(scratch.write(slim, "sizes"), scratch, seed).where("copies > 0").select(F.col("ref").alias("mix_ref"), F.col("copies").alias("mix_copies"))
-    return rows.join(copies, "mix_ref").select(*docs.columns, F.explode(F.sequence(F.lit(1), "mix_copies")).alias("mix_copy")).drop("mix_copy")
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("mix_row")
+    rows = docs.select(whole, F.monotonically_increasing_id().alias("mix_ref"), docs[id_col].alias("mix_id"), docs[source_col].alias("mix_source"), n_words(docs[text_col]).alias("mix_size"))
+    rows = scratch.write(rows, "rows")
+    slim = rows.drop("mix_row").withColumn("same", F.xxhash64("mix_id", "mix_source", "mix_size")).withColumn("part", F.shiftright("mix_ref", 33))
+    # equal rows are numbered by their places: first those of earlier partitions, then within a partition
+    before = slim.groupBy("same", "part").agg(F.count("*").alias("n"))
+    before = before.select("same", "part", (F.sum("n").over(Window.partitionBy("same").orderBy("part")) - F.col("n")).alias("offset"))
+    slim = slim.withColumn("within", F.row_number().over(Window.partitionBy("same", "part").orderBy("mix_ref"))).join(before, ["same", "part"])
+    number = (F.col("offset") + F.col("within")).cast("long")
+    slim = scratch.write(slim.select("mix_ref", F.xxhash64("mix_id", "mix_size", number).alias("mix_key"), "mix_source", "mix_size"), "slim")
+    copies = plan(slim, scratch, seed).where("copies > 0").select(F.col("ref").alias("mix_ref"), F.col("copies").alias("mix_copies"))
+    return rows.join(copies, "mix_ref").select("mix_row", F.explode(F.sequence(F.lit(1), "mix_copies"))).select("mix_row.*")

@@ -10,14 +10,31 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-DEFAULT_DIR = "file:///tmp/checkpoints"
+#: Only for sessions that run on one machine.
+LOCAL_DIR = "file:///tmp/checkpoints"
+_roots: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (tests), a local default."""
+    """The cluster's shared folder; a folder of this machine only where none is set and the session runs on it alone."""
     given = spark.conf.get("spark.checkpoint.dir", None)
-    return (given or DEFAULT_DIR).rstrip("/")
+    if not given and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (given or LOCAL_DIR).rstrip("/")
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that operators have left for their results' plans; call it once those results are written."""
+    while _roots:
+        _delete(spark, _roots.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 class Scratch:
@@ -26,8 +43,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self._count = 0
+        _roots.add(self.root)
 
     def path(self, name: str) -> str:
         self._count += 1
@@ -41,17 +58,20 @@ class Scratch:
         return out
 
     def write_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
-        """A table whose joins by ``key`` leave its rows where they are; many buckets, so that few large rows meet in one."""
-        path = self.path(name)
+        """A table whose rows stay where they are when grouped by ``key``; the catalog forgets it, the plan does not."""
         table = f"scratch_{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").option("path", path).bucketBy(self.buckets, key).saveAsTable(table)
-        return self.spark.table(table)
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.option("compression", "zstd").option("path", self.path(name)).bucketBy(buckets, key).saveAsTable(table)
+        out = self.spark.table(table)
+        out.schema  # noqa: B018 - analysed before the name goes
+        self.spark.sql(f"DROP TABLE {table}")
+        return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later plan reads."""
-        self.delete(df.scratch_path)
+        _delete(self.spark, df.scratch_path)
+
 
-    def delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def broadcast_if_small(df: DataFrame, rows: int = 300_000) -> DataFrame:
+    """A stored table of few short columns, broadcast only if it was counted to have at most ``rows`` rows (some 20 MB)."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -21,7 +21,6 @@ from skerry.llm.scratch import Scratch
 SHARDS = 24
 CELLS = 1024
 ROW_BYTES = 8
-_BUCKETS = 4096
 
 
 class _Sketch:
@@ -144,15 +143,16 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     """One row a document: ``doc_id, size, text_crc32, law, shard, slot, grown_shard, group_digest``.
 
     ``law`` is ``bytes``: the largest shard is as small as whole groups in this order allow. Null
-    texts have no bytes and are one group with empty texts. Slots are dealt by a hash of the id, so
-    even a shard that one group fills is numbered by many tasks. Repeated rows each get a slot, null
-    ids too. An empty table gives an empty result; other columns are not read.
+    texts have no bytes and are one group with empty texts. Slots are dealt by a hash of id, text and
+    number of the copy, so even a shard that one group, one id or one repeated row fills is numbered by
+    many tasks. Repeated rows each get a slot, null ids too. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
     text = F.coalesce(docs[text_col], F.lit(""))
-    rows = scratch.write(docs.select(docs[id_col].alias("doc_id"), _size(text).alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("group_digest")), "rows")
-    groups = scratch.write(rows.groupBy(F.col("group_digest").alias("digest")).agg(F.sum("size").alias("bytes")), "groups")
+    rows = docs.select(docs[id_col].alias("doc_id"), _size(text).alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("group_digest"))
+    rows = scratch.write(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")), "rows")  # repeated rows are one with a number
+    groups = scratch.write(rows.groupBy(F.col("group_digest").alias("digest")).agg(F.sum(F.col("size") * F.col("copies")).alias("bytes")), "groups")
     n, total, largest = groups.agg(F.count("*"), F.sum("bytes"), F.max("bytes")).first()
     top = [(r["digest"], r["bytes"]) for r in groups.orderBy(F.desc("bytes"), "digest").limit(shards).collect()]
     giants: list[str] = []
@@ -171,12 +171,13 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         number = number + (F.col("group_digest") > ends[cut]).cast("int") if cut in ends else number
     for i, digest in enumerate(giants):
         number = F.when(F.col("group_digest") == digest, i).otherwise(number)
-    count = rows.count()
+    count = rows.agg(F.sum("copies")).first()[0] or 0
     cells = 256 + count // 50_000
-    placed = rows.withColumn("shard", number.cast("int")).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)))
+    placed = rows.withColumn("shard", number.cast("int")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    placed = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32", "copy"), F.lit(cells)))
     sizes = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     offsets = scratch.write(sizes.select("shard", "cell", (F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("offset")), "offsets")
-    within = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32"))
+    within = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "copy"))
     return (
         placed.withColumn("within", within)
         .join(offsets, ["shard", "cell"])

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.components import connected_components
-from skerry.llm.scratch import Scratch
+from skerry.llm.scratch import Scratch, broadcast_if_small
 
 SHINGLE = 4
 SEED = 42
@@ -100,18 +100,23 @@ def block_masks(blocks: int, max_distance: int = MAX_DISTANCE) -> list[int]:
 
 
 def _shared_keys(nodes: DataFrame, masks: list[int], scratch: Scratch) -> DataFrame:
-    """``choice, key, fp, n`` of the keys that ``n`` fingerprints share, two or more; counts are combined before they are dealt."""
-    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-    keyed = nodes.select("fp", F.explode(keys).alias("k")).select("k.choice", "k.key", "fp")
-    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return scratch.write(keyed.join(sizes, ["choice", "key"]), "shared-keys")
+    """``key, n`` and the columns of ``nodes``, for keys of two fingerprints or more; counts are combined before they are dealt.
+
+    A key is a hash of a choice of blocks and the bits in them; if two keys meet, their members are compared in vain.
+    """
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
+    keyed = nodes.select("*", F.explode(keys).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return scratch.write(keyed.join(sizes, "key"), "shared-keys")
 
 
-def _pairs(shared: DataFrame, max_distance: int) -> DataFrame:
-    """Distinct pairs ``a < b`` that share a key and differ in at most ``max_distance`` bits."""
-    left, right = shared.select("choice", "key", F.col("fp").alias("a")), shared.select("choice", "key", F.col("fp").alias("b"))
+def _pairs(shared: DataFrame, max_distance: int, apart: str | None = None) -> DataFrame:
+    """Distinct pairs ``a < b`` that share a key, differ in at most ``max_distance`` bits and have other values of ``apart``."""
+    left, right = (shared.select("key", F.col("fp").alias(c), *([F.col(apart).alias(f"{c}_in")] if apart else [])) for c in "ab")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
-    return left.join(right, ["choice", "key"]).where(close).select("a", "b").distinct()
+    if apart:
+        close = close & (F.col("a_in") != F.col("b_in"))
+    return left.join(right, "key").where(close).select("a", "b").distinct()
 
 
 def _stars(nodes: DataFrame, radius: int) -> DataFrame:
@@ -135,19 +140,56 @@ def links(nodes: DataFrame, count: int, scratch: Scratch, max_distance: int = MA
     found.append(scratch.write(_stars(nodes, max_distance // 4), "stars"))
     roots = scratch.write(connected_components(reduce(DataFrame.union, found), scratch).withColumnRenamed("node", "fp"), "roots")
     rooted = crowded.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    split = rooted.groupBy("choice", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rest = scratch.write(crowded.join(split, ["choice", "key"], "left_semi").select("fp").distinct(), "split")
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rest = scratch.write(crowded.join(split, "key", "left_semi").select("fp").distinct(), "split")
     if not rest.isEmpty():
         found.append(scratch.write(_stars(rest, max_distance // 2), "stars"))
     return reduce(DataFrame.union, found)
 
 
-def assign(rows: DataFrame, scratch: Scratch, id_col: str = "doc_id", fp_col: str = "sh_fingerprint", **options) -> DataFrame:
+def similar(nodes: DataFrame, rows: DataFrame, roots: DataFrame, count: int, scratch: Scratch, shingle: int, similarity: float, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """Edges between fingerprints of different components whose texts have a Jaccard index of ``similarity`` or more.
+
+    ``nodes(fp, first)`` are the distinct fingerprints of ``rows(fp, id, text)`` with their smallest ids, whose texts count.
+
+    Compared are those that share a key, at most ``WIDE_DISTANCE`` bits apart. Members of a key that
+    more than ``bucket_limit`` share are keyed again by longer keys; on those that are still crowded,
+    the smallest fingerprint of each component is compared with the next component's.
+    """
+    rooted = nodes.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    found, start = [], fewest_blocks(count, KEY_DISTANCE)
+    for blocks in sorted({start, max(start, 2 * KEY_DISTANCE)}):
+        shared = _shared_keys(rooted, block_masks(blocks, KEY_DISTANCE), scratch)
+        found.append(scratch.write(_pairs(shared.where(F.col("n") <= bucket_limit), WIDE_DISTANCE, "root"), "candidates"))
+        crowded = shared.where(F.col("n") > bucket_limit)
+        rooted = scratch.write(crowded.select("fp", "root").distinct(), "crowded")
+        if rooted.isEmpty():
+            break
+    else:
+        firsts = crowded.groupBy("key", "root").agg(F.min("fp").alias("a"))
+        firsts = firsts.withColumn("b", F.lead("a").over(Window.partitionBy("key").orderBy("root")))
+        found.append(firsts.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= WIDE_DISTANCE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    pairs = scratch.write(reduce(DataFrame.union, found).distinct(), "candidates")
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64)).view(np.int64) for t in texts], dtype=object)
+
+    asked = nodes.join(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "fp").select(F.col("fp").alias("asked"), "first")
+    asked = broadcast_if_small(scratch.write(asked, "asked"))
+    texts = rows.join(asked, (F.col("fp") == F.col("asked")) & F.col("id").eqNullSafe(F.col("first"))).select("fp", "text").dropDuplicates(["fp"])
+    sets = scratch.write(texts.select("fp", hashes("text").alias("set")), "shingles")
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    shared_size = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(shared_size >= similarity * (F.size("set_a") + F.size("set_b") - shared_size)).select("a", "b")
+
+
+def _nodes(rows: DataFrame, id_col: str, fp_col: str, scratch: Scratch) -> DataFrame:
+    return scratch.write(rows.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "nodes")
+
+
+def assign(rows: DataFrame, nodes: DataFrame, edges: DataFrame, scratch: Scratch, id_col: str = "doc_id", fp_col: str = "sh_fingerprint") -> DataFrame:
     """The stored ``rows`` with ``sh_root``, the component's name, and ``sh_component``, its smallest id."""
-    nodes = scratch.write(
-        rows.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "nodes"
-    )
-    edges = links(nodes.select("fp"), nodes.count(), scratch, **options)
     parts = connected_components(edges, scratch)
     rooted = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("sh_component"))
@@ -177,24 +219,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = scratch.write(
         docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(text_col).alias("sh_fingerprint")), "fingerprints"
     )
-    return assign(rows, scratch, **options).select(
+    nodes = _nodes(rows, "doc_id", "sh_fingerprint", scratch)
+    edges = links(nodes.select("fp"), nodes.count(), scratch, **options)
+    return assign(rows, nodes, edges, scratch).select(
         "doc_id", F.lower(F.lpad(F.hex("sh_fingerprint"), 16, "0")).alias("fingerprint"), F.col("sh_component").alias("component_id")
     )
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with one row of each component: that of its smallest id, all columns kept.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = DEDUP_SHINGLE, similarity: float = SIMILARITY, **options) -> DataFrame:
+    """The rows of ``docs`` with one row of each component: that of its smallest id, all columns kept whatever their names.
 
-    Of repeated rows with that id one stays; of a component without any id one arbitrary row stays.
+    Linked are fingerprints of ``shingle`` words up to ``MAX_DISTANCE`` bits apart, and those further
+    apart that ``similar`` finds. Of repeated rows with the smallest id one stays; of a component
+    without any id one arbitrary row stays. Null and blank texts are equal texts.
     """
     scratch = Scratch(docs.sparkSession, "simhash-dedup")
-    rows = scratch.write(docs.withColumn("sh_fingerprint", fingerprint_column(text_col)), "rows")
-    slim = rows.select(F.col(id_col).alias("sh_id"), "sh_fingerprint")
-    labels = assign(slim, scratch, id_col="sh_id", **options).select("sh_id", "sh_fingerprint", "sh_root", "sh_component")
-    kept = labels.where("sh_id <=> sh_component").groupBy("sh_root")
-    kept = kept.agg(F.min("sh_fingerprint").alias("sh_kept_fp"), F.min("sh_id").alias("sh_kept_id"), F.count("*").alias("sh_n"))
-    kept = scratch.write(kept, "kept")  # of equal ids with several fingerprints the smallest fingerprint
-    chosen = rows.join(kept, (rows["sh_fingerprint"] == kept["sh_kept_fp"]) & rows[id_col].eqNullSafe(kept["sh_kept_id"]))
-    once = chosen.where("sh_n = 1").select(*docs.columns)
-    several = chosen.where("sh_n > 1").dropDuplicates(["sh_root"]).select(*docs.columns)
-    return once.unionByName(several)
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("sh_row")
+    rows = scratch.write(docs.select(whole, docs[id_col].alias("sh_id"), fingerprint_column(text_col, shingle).alias("sh_fingerprint")), "rows")
+    slim = rows.select("sh_id", "sh_fingerprint")
+    nodes = _nodes(slim, "sh_id", "sh_fingerprint", scratch)
+    count = nodes.count()
+    edges = scratch.write(links(nodes.select("fp"), count, scratch, **options), "edges")
+    roots = scratch.write(connected_components(edges, scratch).withColumnRenamed("node", "fp"), "roots")
+    texts = rows.select(F.col("sh_fingerprint").alias("fp"), F.col("sh_id").alias("id"), F.col("sh_row")[text_col].alias("text"))
+    more = similar(nodes, texts, roots, count, scratch, shingle, similarity)
+    labels = scratch.write(assign(slim, nodes, edges.union(more), scratch, id_col="sh_id"), "labels")
+    smallest = F.col("sh_id").eqNullSafe(F.col("sh_component"))
+    several = labels.where(smallest).groupBy("sh_root").agg(F.count("*").alias("n"), F.min("sh_fingerprint").alias("s_fp"), F.min("sh_id").alias("s_id"))
+    several = scratch.write(several.where("n > 1"), "several")  # rows that share the smallest id: the smallest fingerprint's, once
+    gone = labels.where(~smallest).select(F.col("sh_fingerprint").alias("g_fp"), F.col("sh_id").alias("g_id"))
+    gone = gone.union(labels.where(smallest).join(several, "sh_root", "left_semi").select("sh_fingerprint", "sh_id")).distinct()
+    gone = broadcast_if_small(scratch.write(gone, "gone"))
+    kept = rows.join(gone, (F.col("sh_fingerprint") == F.col("g_fp")) & F.col("sh_id").eqNullSafe(F.col("g_id")), "left_anti")
+    several = broadcast_if_small(several)
+    once = rows.join(several, (F.col("sh_fingerprint") == F.col("s_fp")) & F.col("sh_id").eqNullSafe(F.col("s_id"))).dropDuplicates(["sh_root"])
+    return kept.select("sh_row.*").unionByName(once.select("sh_row.*"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from skerry.llm.scratch import Scratch
 
 MAGIC = b"\x1f\x8b\x08"
-SPLIT_BYTES = 4 << 20
+SPLIT_BYTES = 1 << 20
 READ_BYTES = 1 << 18
+RANGES_PER_TASK = 16
 MIN_DEDUP_BYTES = 100
 _VERSION = b"WARC/1.1\r\n"
 
@@ -167,8 +169,10 @@ def read_archives(files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     schema = "record_id bigint, record_type string, uri string, payload_bytes bigint, payload_digest string, refers_to bigint"
-    # every range is a piece of work of its own; the rows dealt are a path and two numbers
-    return ranges.repartition("path", "start").mapInArrow(run, schema)
+    # a number of tasks that follows from the ranges: rows of a path and two numbers would all be put into one
+    count = files.where("bytes > 0").agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 0
+    tasks = max(ceil(count / RANGES_PER_TASK), min(int(count), int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1)
+    return ranges.repartition(tasks, "path", "start").mapInArrow(run, schema)
 
 
 def _page(name: str) -> int | None:

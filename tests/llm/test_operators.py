@@ -4,6 +4,7 @@ import hashlib
 import io
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -383,3 +384,105 @@ def test_warc_keeps_pages_with_very_long_urls(spark):
     pages = [(1, url(200_000), html), (2, "http://x/2", html), (3, url(70_000), "short"), (4, "http://x/4", "other"), (5, "http://x/" + "a" * 1_000_000, html)]
     got = sorted((r.record_id, r.record_type, r.uri, r.payload_bytes, r.refers_to) for r in warc.archive_and_read(spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1)).collect())
     assert got == [(i, "revisit" if i in (2, 5) else "response", u, len(h), 1 if i in (2, 5) else None) for i, u, h in pages]
+
+
+def test_warc_reads_ranges_in_several_tasks(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"{i} " * 2000) for i in range(200)], "page_id bigint, url string, html string")
+    draw = random.Random(4)
+    noise = spark.createDataFrame([(1000 + i, "u", draw.randbytes(60_000).hex()) for i in range(60)], "page_id bigint, url string, html string")
+    out = warc.archive_and_read(pages.union(noise).coalesce(1))
+    assert out.count() == 260
+    assert len({r[0] for r in out.selectExpr("spark_partition_id()").collect()}) > 1
+
+
+def test_sharding_numbers_repeated_rows_and_null_ids(spark):
+    rows = [(None, "same text")] * 3000 + [(7, "same text")] * 3000 + [(i, f"text {i}") for i in range(50)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), shards=3).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_mixing_takes_many_equal_rows_in_bounded_chunks(spark):
+    rows = spark.range(100_000).selectExpr("cast(null as bigint) doc_id", "'a b c' text", "if(id % 3 = 0, 's', 't') source")
+    other = spark.range(500).selectExpr("id doc_id", "'w ' || repeat('x ', int(id)) text", "'t' source")
+    begun = time.time()
+    got = mixing.mix(rows.union(other)).groupBy("source_size", "target").agg({"taken": "sum", "*": "count"}).collect()
+    assert time.time() - begun < 120 and sum(r["count(1)"] for r in got) == 100_500
+    assert all(abs(r["sum(taken)"] - r.target) <= 500 for r in got)
+
+
+def test_secrets_score_every_part_of_a_run():
+    draw = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    text = lambda n, pool=letters: "".join(draw.choice(pool) for _ in range(n))
+    scan = secrets.scanner()
+    for _ in range(5):
+        for before, token, after in (
+            ("AKIA" + text(16, "ABCDEFGHIJ0123456789") + "/", text(20) + "7" + text(19, letters + "+"), ""),
+            (text(40, "0123456789abcdef") + "/", "ghp_" + text(36), ""),
+            ("https://host.org/path/to/", "ghp_" + text(36), "/more"),
+            ("key=", "AIza" + text(35), ""), ("MYTOKENIS-", "ghp_" + text(36), ""), ("", "npm_" + text(36), ""), ("", "dckr_pat_" + text(27), ""),
+        ):
+            line = f"see {before}{token}{after} there"
+            at = line.index(token)
+            assert any(a <= at + 1 and b >= at + len(token) - 1 and kind == "format" for a, b, kind in scan.scan(line)), line
+            assert token not in secrets.redact(line)
+    for plain in ("file_2024_final_report_v12.tar.gz", "build-1.2.3-alpha.4-x86_64-linux", "getUserAccountById2Impl", "IMG_20240102_123456_HDR.jpeg", "550e8400-e29b-41d4-a716-446655440000", "internationalization-2024"):
+        assert scan.scan(f"see {plain} there") == []
+    spans = scan.scan(" ".join("/".join(text(30) for _ in range(5)) for _ in range(20)))
+    assert all(b <= c for (_, b, _), (c, _, _) in zip(spans, spans[1:]))
+
+
+def test_simhash_many_near_copies(spark):
+    """Thousands of distinct fingerprints around one word, and a second crowd that shares its keys, are told apart right."""
+    from skerry.llm.components import connected_components
+    from skerry.llm.scratch import Scratch
+
+    draw = random.Random(12)
+    crowd = {sum(1 << b for b in draw.sample(range(64), draw.randint(0, 3))) for _ in range(5000)}
+    far = (1 << 20) - 1  # shares the upper bits of the crowd's words
+    second = {far ^ sum(1 << b for b in draw.sample(range(20), 2)) for _ in range(300)}
+    prints = crowd | second
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    nodes = spark.createDataFrame([(signed(p),) for p in prints], "fp bigint")
+    scratch = Scratch(spark, "test")
+    got = {r.node: r.root for r in connected_components(simhash.links(nodes, len(prints), scratch, bucket_limit=100), scratch).collect()}
+    words = np.array(sorted(prints), dtype=np.uint64)
+    root = {int(p): int(p) for p in words}
+
+    def find(p):
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    for p in words:
+        for q in words[np.bitwise_count(words ^ p) <= 4]:
+            root[find(int(p))] = find(int(q))
+    classes = lambda pairs: {frozenset(p for p, r in pairs if r == x) for x in {r for _, r in pairs}}
+    assert classes([(n % (1 << 64), r) for n, r in got.items()]) == {c for c in classes([(p, find(p)) for p in root]) if len(c) > 1}
+
+
+def test_deduplicate_finds_similar_texts(spark):
+    """Texts of Jaccard 0.8 or more over five-word shingles go, others stay; columns of any name pass."""
+    draw = random.Random(21)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(6))
+    texts, changed = [], []
+    for _ in range(60):
+        words = [word() for _ in range(draw.randint(120, 400))]
+        texts.append(" ".join(words))
+        for _ in range(max(1, len(words) // 100)):
+            words[draw.randrange(5, len(words) - 5)] = word()
+        changed.append(" ".join(words))
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts + changed]
+    index = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    rows = [(i, t, i, "x", i) for i, t in enumerate(texts + changed)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, sh_fingerprint int, fp string, sh_root int")
+    out = simhash.deduplicate(df)
+    assert out.columns == df.columns
+    kept = {r.doc_id for r in out.collect()}
+    assert set(range(60)) <= kept
+    near = [i for i in range(60) if index(i, i + 60) >= 0.8]
+    assert len(near) > 40 and sum(i + 60 not in kept for i in near) >= 0.9 * len(near)
+    assert all(index(i - 60, i) >= 0.8 for i in range(60, 120) if i not in kept)

@@ -8,11 +8,26 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from skerry.llm import bpe, quality, secrets
-from tests.llm.test_operators import _components, _fingerprint_brute, _texts, _words
+from skerry.llm import bpe, quality, secrets, simhash
+from tests.llm.test_operators import _texts, _words
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars int, copies int, rank int, size string, root bigint"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars int, mix_ref int, sh_fingerprint int, mix_copies string, sh_root bigint"
+
+
+def _joined(nodes, links):
+    """Smallest member of each node's group."""
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {n: find(n) for n in nodes}
 
 
 def _steps(spark, docs, folder):
@@ -31,13 +46,19 @@ def test_stages_against_brute_force(spark, tmp_path):
     kept = {r.doc_id for r in quality.quality(docs).where("kept").collect()}
     assert Counter(r.doc_id for r in good.collect()) == Counter(kept) and all(d.columns == docs.columns for d in (good, single, clean, mixed))
     texts = {r.doc_id: r.text for r in good.collect()}
-    prints = {i: _fingerprint_brute(t) for i, t in texts.items()}
-    root = _components(set(prints.values()))
-    first = {}
-    for i in sorted(texts):
-        first.setdefault(root[prints[i]], i)
-    assert Counter(r.doc_id for r in single.collect()) == Counter(first.values())
-    assert {r.doc_id: r.text for r in clean.collect()} == {i: secrets.redact(texts[i]) for i in first.values()}
+    single_ids = Counter(r.doc_id for r in single.collect())
+    assert max(single_ids.values()) == 1
+    sets = {i: set(simhash.shingle_hashes(t, 5)) for i, t in texts.items()}
+    prints = {i: simhash.fingerprint(t, 5) for i, t in texts.items()}
+    alike = [(i, j) for i in texts for j in texts if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    close = [(i, j) for i in texts for j in texts if i < j and (prints[i] ^ prints[j]).bit_count() <= 4]
+    root = _joined(texts, alike + close)
+    assert {root[i] for i in single_ids} == set(root.values())  # of every group one stays
+    assert all(i in single_ids for i in texts if root[i] == i and list(root.values()).count(i) == 1)  # what is like no other stays
+    tight = _joined(texts, close)
+    assert all(sum(tight[i] == r for i in single_ids) <= 1 for r in set(tight.values()))
+    assert sum(i in single_ids and j in single_ids for i, j in alike) <= 0.1 * len(alike)
+    assert {r.doc_id: r.text for r in clean.collect()} == {i: secrets.redact(texts[i]) for i in single_ids}
     rows = clean.collect()
     taken, copies = Counter(), Counter(r.doc_id for r in mixed.collect())
     size, source = {r.doc_id: len(_words(r.text)) for r in rows}, {r.doc_id: r.source for r in rows}
