@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skerry.functions.distance import great_circle
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -189,9 +191,59 @@ def boundary_edges(mesh: DataFrame) -> DataFrame:
     return mesh.select(F.explode(corners).alias("e")).groupBy("e.a", "e.b").count().where("count = 1").select("a", "b")
 
 
-def in_polygon(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """Points inside ``edges(x1, y1, x2, y2)``, by the parity of crossings to their right."""
+def in_polygon(points: DataFrame, edges: DataFrame, key: str, band: float = 1.0) -> DataFrame:
+    """Points inside ``edges(x1, y1, x2, y2)``, by the parity of crossings to their right.
+
+    Edges are copied to the bands of y that they pass, so a point meets only the edges of its band.
+    """
+    at = lambda y: F.floor(y / band)
+    passed = edges.withColumn("band", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")))))
     up = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
     right = F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    crossed = points.join(edges, up & right).groupBy(key).agg(F.count("*").alias("n"))
+    crossed = points.withColumn("band", at(F.col("y"))).join(passed, "band").where(up & right).groupBy(key).agg(F.count("*").alias("n"))
     return crossed.where("n % 2 = 1").select(key)
+
+
+def second_difference(field: DataFrame, by: list[str], axis: str = "x", step: float = 1.0, cyclic: bool = False) -> DataFrame:
+    """Second difference along an axis; at the ends, without a ring, that of the next point inside."""
+    before, after, value = _neighbours(by, axis, cyclic)
+    along, across = ("i", "j") if axis == "x" else ("j", "i")
+    order = Window.partitionBy(*by, across).orderBy(along)
+    out = field.withColumn("curve", (before - 2 * value + after) / (step * step))
+    return out.withColumn("curve", F.coalesce("curve", F.lead("curve").over(order), F.lag("curve").over(order)))
+
+
+def mixed_difference(field: DataFrame, by: list[str], dx: float = 1.0, dy: float = 1.0, cyclic: bool = False) -> DataFrame:
+    """First difference along x of that along y, as ``cross``."""
+    slope = gradient(field, by, "y", dy, cyclic).withColumn("kept", F.col("value")).withColumn("value", F.col("slope"))
+    return gradient(slope, by, "x", dx, cyclic).withColumnRenamed("slope", "cross").withColumn("value", F.col("kept")).drop("kept")
+
+
+def destagger(field: DataFrame, by: list[str], axis: str = "x") -> DataFrame:
+    """Cell values of fields at lower faces: the mean of a cell's faces; the last takes its own."""
+    along, across = ("i", "j") if axis == "x" else ("j", "i")
+    ahead = F.lead("value").over(Window.partitionBy(*by, across).orderBy(along))
+    return field.withColumn("centre", F.coalesce((F.col("value") + ahead) / 2, F.col("value")))
+
+
+def map_factors(points: DataFrame, dx: float, dy: float, radius: float) -> DataFrame:
+    """``loc, mfx, mfy``: grid spacing over the great-circle distance to the next point along each axis; of the last, the one before.
+
+    ``points(loc, i, j, lon, lat)``.
+    """
+    out = points
+    for axis, step, name in (("x", dx, "mfx"), ("y", dy, "mfy")):
+        along, across = ("i", "j") if axis == "x" else ("j", "i")
+        order = Window.partitionBy(across).orderBy(along)
+        lon, lat = F.lead("lon").over(order), F.lead("lat").over(order)
+        out = out.withColumn(name, step / great_circle(F.col("lon"), F.col("lat"), lon, lat, radius))
+        out = out.withColumn(name, F.coalesce(name, F.lag(name).over(order)))
+    return out.select("loc", "mfx", "mfy")
+
+
+def masked(field: DataFrame, mask: DataFrame, drop: bool = False) -> DataFrame:
+    """Values null at the points of ``mask(loc)``, or without them."""
+    if drop:
+        return field.join(mask.select("loc"), "loc", "left_anti")
+    marks = mask.select("loc", F.lit(True).alias("hidden"))
+    return field.join(marks, "loc", "left").withColumn("value", F.when(F.col("hidden").isNull(), F.col("value"))).drop("hidden")

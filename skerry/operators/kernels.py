@@ -1,4 +1,4 @@
-"""Ensemble filters: serial adjustment by expressions, transforms by tile with small dense algebra."""
+"""Ensemble filters: serial adjustment by expressions, transforms by point or by tile with small dense algebra."""
 
 from __future__ import annotations
 
@@ -77,7 +77,8 @@ def local_analysis(state: DataFrame, obs: DataFrame, pairs: DataFrame, method: s
     ``obs(obs_id, obs, err_std, priors)`` holds each observation with its ordered members,
     ``pairs(loc, par_id, obs_id, rho)`` the localization. Points travel as one row with their members as
     an array and their observations as another, strongest first; each point's small algebra runs in
-    Arrow batches of such rows. Points without observations or spread stay unchanged.
+    Arrow batches of such rows. Points without observations or spread stay unchanged. Observations that
+    many points share are better analysed by ``batch_analysis``.
     """
     weights = WEIGHTS[method]
     points = state.groupBy("loc").agg(F.transform(F.sort_array(F.collect_list(F.struct("mem", "value"))), lambda s: s["value"]).alias("ens"))
@@ -97,3 +98,45 @@ def local_analysis(state: DataFrame, obs: DataFrame, pairs: DataFrame, method: s
 
     out = rows.mapInPandas(run, "loc bigint, ens array<double>")
     return out.select("loc", F.posexplode("ens").alias("mem", "value"))
+
+
+def batch_analysis(state: DataFrame, obs: DataFrame, halo: DataFrame, roi: float, method: str = "etkf", taper: str = "gaspari_cohn", **options) -> DataFrame:
+    """Analysed ``loc, mem, value`` of ``state(loc, x, y, par_id, mem, value)``, tile by tile.
+
+    ``halo(par_id, obs_id)`` names the observations within reach of a tile, ``obs(obs_id, x, y, obs,
+    err_std, priors)`` has them with their members. A tile and its observations meet once in a task, so
+    members of an observation travel once for each tile it touches and not for each point. Tiles have a
+    bounded number of points; a tile's observations are those of its area and halo.
+    """
+    points = state.groupBy("par_id", "loc", "x", "y").agg(F.transform(F.sort_array(F.collect_list(F.struct("mem", "value"))), lambda s: s["value"]).alias("ens"))
+    near = halo.join(obs, "obs_id").select("par_id", "obs_id", F.col("x").alias("ox"), F.col("y").alias("oy"), "obs", "err_std", "priors")
+    shape, weights = TAPER_ARRAYS[taper], WEIGHTS[method]
+
+    def run(tile: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(tile):
+            return pd.DataFrame({"loc": [], "ens": []})
+        after = [np.asarray(e) for e in tile["ens"]]
+        if len(found):
+            found = found.sort_values("obs_id")
+            ox, oy, obs_, err = (found[c].to_numpy() for c in ("ox", "oy", "obs", "err_std"))
+            priors = np.stack(found["priors"].to_list(), axis=1)
+            for k, (x, y) in enumerate(zip(tile["x"], tile["y"])):
+                rho = shape(np.sqrt((ox - x) ** 2 + (oy - y) ** 2), roi)
+                used = rho > 0
+                if used.any() and after[k].std() > 0:
+                    after[k] = after[k] @ weights(priors[:, used], obs_[used], err[used], rho[used], **options)
+        return pd.DataFrame({"loc": tile["loc"], "ens": after})
+
+    out = points.groupBy("par_id").cogroup(near.groupBy("par_id")).applyInPandas(run, "loc bigint, ens array<double>")
+    return out.select("loc", F.posexplode("ens").alias("mem", "value"))
+
+
+def _gaspari_cohn(gap: np.ndarray, roi: float) -> np.ndarray:
+    r = np.maximum(2 * gap / roi, 1e-10)
+    near = 1 + r * r * (-5 / 3 + r * (5 / 8 + r * (1 / 2 - r / 4)))
+    far = 4 - 5 * r + r * r * (5 / 3 + r * (5 / 8 + r * (-1 / 2 + r / 12))) - 2 / (3 * r)
+    return np.where(r < 1, near, np.where(r < 2, far, 0.0))
+
+
+#: The tapers of ``functions.distance`` on arrays.
+TAPER_ARRAYS = {"gaspari_cohn": _gaspari_cohn, "step": lambda gap, roi: np.where(gap <= roi, 1.0, 0.0), "exponential": lambda gap, roi: np.exp(-gap / roi)}

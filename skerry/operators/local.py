@@ -64,12 +64,13 @@ def split_by_load(loads: DataFrame, tasks: int, key: str = "par_id") -> DataFram
     return loads.withColumn("task", F.least(F.floor((upto - F.col("load") / 2) * tasks / whole), F.lit(tasks - 1)).cast("int"))
 
 
-def localize(points: DataFrame, obs: DataFrame, roi: float, kind: str = "gaspari_cohn", lx: float | None = None, ly: float | None = None) -> DataFrame:
+def localize(points: DataFrame, obs: DataFrame, roi: float, kind: str = "gaspari_cohn", lx: float | None = None, ly: float | None = None, own_radius: bool = False) -> DataFrame:
     """``loc, obs_id, rho`` of all pairs with a positive factor.
 
-    Observations are copied to the 3 x 3 buckets around theirs and meet the points of those buckets, so
-    only near pairs are made. In a cyclic dimension buckets tile the period; with fewer than three
-    of them each bucket meets all in that dimension once.
+    Points, the fewer, are copied to the 3 x 3 buckets around theirs and meet the observations of those
+    buckets, so only near pairs are made. In a cyclic dimension buckets tile the period; with fewer than
+    three of them each bucket meets all in that dimension once. With ``own_radius`` each observation has
+    its ``roi``, at most the given one.
     """
 
     def axis(c: str, length: float | None) -> tuple[Column, Column]:
@@ -83,10 +84,11 @@ def localize(points: DataFrame, obs: DataFrame, roi: float, kind: str = "gaspari
         return b, F.transform(F.sequence(b - 1, b + 1), lambda k: F.pmod(k, F.lit(n)))
 
     (bx, nx), (by, ny) = axis("x", lx), axis("y", ly)
-    spread = obs.withColumn("kx", F.explode(nx)).withColumn("ky", F.explode(ny)).select("obs_id", F.col("x").alias("ox"), F.col("y").alias("oy"), "kx", "ky")
-    met = points.withColumns({"kx": bx, "ky": by}).join(spread, ["kx", "ky"])
+    radius = F.col("roi") if own_radius else F.lit(roi)
+    placed = obs.select("obs_id", F.col("x").alias("ox"), F.col("y").alias("oy"), bx.alias("kx"), by.alias("ky"), radius.alias("radius"))
+    spread = points.select("loc", "x", "y", F.explode(nx).alias("kx"), ny.alias("kys")).select("loc", "x", "y", "kx", F.explode("kys").alias("ky"))
     gap = distance.planar(F.col("x"), F.col("ox"), F.col("y"), F.col("oy"), 2, lx, ly)
-    return met.select("loc", "obs_id", distance.taper(kind)(gap, F.lit(roi)).alias("rho")).where("rho > 0")
+    return spread.join(placed, ["kx", "ky"]).select("loc", "obs_id", distance.taper(kind)(gap, F.col("radius")).alias("rho")).where("rho > 0")
 
 
 def strongest(pairs: DataFrame, k: int) -> DataFrame:

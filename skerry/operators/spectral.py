@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from functools import lru_cache
 
 import numpy as np
@@ -9,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.operators.grid import gradient
+
 
 def wavenumbers(ny: int, nx: int) -> np.ndarray:
     """Total wavenumber of each mode, in units of the longer side."""
@@ -112,6 +116,27 @@ def memory_weight(dt_hours: float, tcorr_hours: float) -> float:
     return 0.75 ** (dt_hours / tcorr_hours)
 
 
+def memory_weight_exponential(dt_hours: float, tcorr_hours: float) -> float:
+    """The share that stays where memory fades exponentially."""
+    return math.exp(-dt_hours / tcorr_hours)
+
+
+def displacement_fields(keys: DataFrame, by: list[str], ny: int, nx: int, amp: float, hcorr: float, shore: DataFrame | None = None, reach: float = 1.0, seed: int = 0) -> DataFrame:
+    """``by, i, j, u, v``: divergence-free displacements from a random streamfunction, of root mean square ``amp``.
+
+    ``shore(i, j, gap)`` has each point's distance to the mask; displacements grow from none there to all
+    at ``reach``.
+    """
+    stream = random_fields(keys, by, ny, nx, 1.0, hcorr, seed=seed)
+    across = lambda axis: gradient(stream, by, axis, cyclic=True).withColumnRenamed("slope", axis).select(*by, "i", "j", axis)
+    flow = across("y").join(across("x"), [*by, "i", "j"]).select(*by, "i", "j", (-F.col("y")).alias("u"), F.col("x").alias("v"))
+    size = flow.groupBy(*by).agg(F.sqrt(F.avg(F.col("u") ** 2 + F.col("v") ** 2)).alias("size"))  # a row a key
+    scaled = flow.join(F.broadcast(size), by).withColumn("f", F.when(F.col("size") > 0, amp / F.col("size")).otherwise(0.0))
+    if shore is not None:
+        scaled = scaled.join(shore, ["i", "j"]).withColumn("f", F.col("f") * F.least(F.lit(1.0), F.col("gap") / reach))
+    return scaled.select(*by, "i", "j", (F.col("u") * F.col("f")).alias("u"), (F.col("v") * F.col("f")).alias("v"))
+
+
 def blend(new: DataFrame, before: DataFrame, by: list[str], alpha: float) -> DataFrame:
     """First-order autoregression of perturbations; without a predecessor the new one stands."""
     met = new.join(before.withColumnRenamed("value", "old"), by, "left")

@@ -14,17 +14,25 @@ def moments(ens: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def covariances(state: DataFrame, obs: DataFrame, centred: bool = True) -> DataFrame:
+def packed(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``key`` and its values as an array in order of the members."""
+    return rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("mem", value))), lambda s: s[value]).alias(name))
+
+
+def covariances(state: DataFrame, obs: DataFrame, pairs: DataFrame, centred: bool = True) -> DataFrame:
     """Sample covariance and correlation of state points ``(loc, mem, value)`` and observed ones ``(obs_id, mem, prior)``.
 
+    Only for ``pairs(loc, obs_id)``, those near each other: members travel as arrays, one row a pair.
     ``centred=False`` gives sums of raw products over n - 1, for ensembles that are centred already.
     """
-    pairs = state.join(obs, "mem").groupBy("loc", "obs_id")
-    if centred:
-        return pairs.agg(F.covar_samp("value", "prior").alias("cov"), F.corr("value", "prior").alias("corr"))
-    raw = lambda a, b: F.sum(F.col(a) * F.col(b)) / (F.count("*") - 1)
-    out = pairs.agg(raw("value", "prior").alias("cov"), raw("value", "value").alias("va"), raw("prior", "prior").alias("vb"))
-    return out.withColumn("corr", F.col("cov") / F.sqrt(F.col("va") * F.col("vb"))).drop("va", "vb")
+    met = pairs.select("loc", "obs_id").join(packed(state, "loc", "value", "a"), "loc").join(packed(obs, "obs_id", "prior", "b"), "obs_id")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
+    product = lambda x, y: total(F.zip_with(x, y, lambda u, v: u * v))
+    n = F.size("a")
+    shift = (lambda x, y: total(F.col(x)) * total(F.col(y)) / n) if centred else lambda x, y: F.lit(0.0)
+    raw = lambda x, y: (product(F.col(x), F.col(y)) - shift(x, y)) / (n - 1)
+    out = met.select("loc", "obs_id", raw("a", "b").alias("cov"), raw("a", "a").alias("va"), raw("b", "b").alias("vb"))
+    return out.select("loc", "obs_id", "cov", (F.col("cov") / F.sqrt(F.col("va") * F.col("vb"))).alias("corr"))
 
 
 def observation_space(obs: DataFrame, prior: DataFrame, post: DataFrame | None = None) -> DataFrame:
@@ -32,10 +40,16 @@ def observation_space(obs: DataFrame, prior: DataFrame, post: DataFrame | None =
 
     ``obs(obs_id, obs, err_std)``; ``prior`` and ``post`` are ``(obs_id, mem, value)``.
     """
-    b = moments(prior, ["obs_id"]).select("obs_id", F.col("mean").alias("mb"), F.col("variance").alias("vb"))
-    rows = obs.join(b, "obs_id")
+    after = F.lit(False)
+    members = prior.select("obs_id", "value", after.alias("after"))
+    if post is not None:
+        members = members.union(post.select("obs_id", "value", F.lit(True)))
+    whole = lambda which, f: F.when(F.count_if(which & F.col("value").isNull()) == 0, f(F.when(which, F.col("value"))))
+    of = {"b": ~F.col("after"), "a": F.col("after")}  # prior and posterior moments of one aggregation
+    moments_of = [whole(w, f).alias(f"{m}{c}") for c, w in of.items() for m, f in (("m", F.avg), ("v", F.var_samp))]
+    rows = obs.join(members.groupBy("obs_id").agg(*moments_of), "obs_id")
     if post is not None:
-        rows = rows.join(moments(post, ["obs_id"]).select("obs_id", F.col("mean").alias("ma"), F.col("variance").alias("va")), "obs_id")
+        rows = rows.where("ma is not null")
     square = lambda c: F.sum(c * c)
     sums = [F.count("*").alias("total_nobs"), square(F.col("obs") - F.col("mb")).alias("omb2"), square(F.col("err_std")).alias("varo"), F.sum("vb").alias("varb")]
     if post is not None:

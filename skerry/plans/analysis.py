@@ -13,15 +13,21 @@ from skerry.operators import inflation, kernels, local, serial, stats
 
 @dataclass(frozen=True)
 class Settings:
-    """How to analyse: filter, radius, taper, inflation."""
+    """How to analyse: filter, radius, taper, tiles, inflation.
+
+    ``prior`` and ``post`` are inflation specifications such as ``"post,rtpp"``; without a coefficient they
+    are adaptive. With ``tile`` a transform filter works tile by tile.
+    """
 
     method: str = "etkf"
     roi: float = 3.0
     taper: str = "gaspari_cohn"
     max_obs: int | None = None
-    prior_coef: float = 1.0
+    tile: int | None = None
+    prior: str | None = None
+    prior_coef: float | None = None
     post: str | None = None
-    post_coef: float = 1.0
+    post_coef: float | None = None
 
 
 @dataclass(frozen=True)
@@ -38,26 +44,50 @@ def at_observations(state: DataFrame, obs: DataFrame, grid: grids.Grid) -> DataF
     return met.where("value is not null")
 
 
+def _spread(ens: DataFrame, coef: float | None, found: DataFrame) -> DataFrame:
+    """Perturbations times a coefficient, or times the one row of ``found(coef)``."""
+    if coef is not None:
+        return inflation.multiplicative(ens, coef, ["loc"])
+    return inflation.multiplicative(ens.crossJoin(F.broadcast(found.select("coef"))), F.col("coef"), ["loc"]).drop("coef")
+
+
 def analyse(state: DataFrame, obs: DataFrame, grid: grids.Grid, settings: Settings) -> Analysis:
-    """The analysis of ``state(loc, mem, value)`` with ``obs(obs_id, x, y, obs, err_std)`` on one grid."""
+    """The analysis of ``state(loc, mem, value)`` with ``obs(obs_id, x, y, obs, err_std)`` on one grid.
+
+    A specification of the prior stage inflates the prior before it is observed again; one of the post
+    stage works on the posterior. A stage given for the other end is an error.
+    """
     spark = state.sparkSession
-    prior = inflation.multiplicative(state.select("loc", "mem", "value"), settings.prior_coef, ["loc"]) if settings.prior_coef != 1 else state.select("loc", "mem", "value")
+    prior = state.select("loc", "mem", "value")
     observed = at_observations(prior, obs, grid)
+    for spec, stage in ((settings.prior, "prior"), (settings.post, "post")):
+        if spec and inflation.inflate(spec)[0] != stage:
+            raise ValueError(f"{spec!r} is no inflation of the {stage} stage")
+    if settings.prior:
+        if inflation.inflate(settings.prior)[1] != "multiplicative":
+            raise NotImplementedError(f"inflation {settings.prior!r}")
+        prior = _spread(prior, settings.prior_coef, inflation.adaptive_prior(stats.observation_space(obs, observed)))
+        observed = at_observations(prior, obs, grid)
     points = grid.points(spark).select("loc", "x", "y")
     if settings.method == "eakf":
         post = serial.assimilate(prior, points, observed, obs, settings.roi, settings.taper)
     else:
-        members = observed.groupBy("obs_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("mem", "value"))), lambda s: s["value"]).alias("priors"))
-        pairs = local.localize(points, obs, settings.roi, settings.taper)
-        post = kernels.local_analysis(prior, obs.select("obs_id", "obs", "err_std").join(members, "obs_id"), pairs, settings.method, settings.max_obs)
+        with_members = obs.select("obs_id", "x", "y", "obs", "err_std").join(stats.packed(observed, "obs_id", "value", "priors"), "obs_id")
+        if settings.tile:
+            placed = local.with_tiles(grid.points(spark), grid.nx, settings.tile).select("loc", "x", "y", "par_id")
+            halo = local.halo(obs, grid.nx, grid.ny, settings.tile, settings.roi)
+            post = kernels.batch_analysis(prior.join(placed, "loc"), with_members, halo, settings.roi, settings.method, settings.taper)
+        else:
+            pairs = local.localize(points, obs, settings.roi, settings.taper)
+            post = kernels.local_analysis(prior, with_members.drop("x", "y"), pairs, settings.method, settings.max_obs)
     after = at_observations(post, obs, grid)
     sums = stats.observation_space(obs, observed, after)
     if settings.post:
-        stage, kind = inflation.inflate(settings.post)
-        if kind == "multiplicative":
-            post = inflation.multiplicative(post, settings.post_coef, ["loc"])
+        if inflation.inflate(settings.post)[1] == "multiplicative":
+            post = _spread(post, settings.post_coef, inflation.adaptive_post(sums))
         else:
-            alpha = inflation.adaptive_relaxation(sums).select("alpha")  # one row
+            alpha = F.lit(settings.post_coef).alias("alpha") if settings.post_coef is not None else F.col("alpha")
+            alpha = inflation.adaptive_relaxation(sums).select(alpha)  # one row
             blended = inflation.relax_to_prior(prior, post, F.lit(1.0), ["loc"]).withColumnRenamed("value", "full")
             met = post.join(blended, ["loc", "mem"]).crossJoin(F.broadcast(alpha))
             post = met.select("loc", "mem", (F.col("value") + F.col("alpha") * (F.col("full") - F.col("value"))).alias("value"))

@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.functions import calendar, distance, physics, units
-from skerry.operators import fields, grid, inflation, kernels, local, models, network, observations, serial, spectral, stats, trajectories, vertical
+from skerry.operators import fields, grid, inflation, kernels, local, localization, models, network, observations, observe, serial, spectral, stats, trajectories, vertical
 from skerry.sources import carriers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-GRID = grid.Grid(carriers.NX, carriers.NY)
+GRID = carriers.field_grid
+_NY = "(SELECT count(*) // 25 FROM embeddings)"
 
 _ENS = """ens AS (SELECT vec_id AS loc, CAST(vec_id % 25 AS INT) AS i, CAST(vec_id // 25 AS INT) AS j, CAST(m - 1 AS INT) AS mem, CAST(embedding[m] AS DOUBLE) AS value
-  FROM embeddings, range(1, 21) AS t(m) WHERE vec_id < 500)"""
-_OBS = """obs AS (SELECT event_id AS obs_id, event_type AS kind, (event_id * 7 % 2400) / 100 AS x, (event_id * 13 % 1900) / 100 AS y, ts AS t, (value - 245) / 1960 AS obs,
+  FROM embeddings, range(1, 21) AS t(m))"""
+_OBS = f"""obs AS (SELECT event_id AS obs_id, event_type AS kind, (event_id * 7 % 2400) / 100 AS x, (event_id * 13 % (100 * {_NY} - 100)) / 100 AS y, ts AS t, (value - 245) / 1960 AS obs,
   CASE event_type WHEN 'click' THEN 0.05 WHEN 'error' THEN 0.07 WHEN 'purchase' THEN 0.09 WHEN 'signup' THEN 0.11 ELSE 0.13 END::DOUBLE AS err_std FROM events)"""
 _PROFILE = """profile AS (SELECT l_orderkey AS pid, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_discount) AS INT) AS lev,
   l_quantity::DOUBLE AS dz, l_extendedprice::DOUBLE AS value, l_discount::DOUBLE AS f, l_returnflag, l_linestatus, l_shipdate AS t FROM lineitem)"""
@@ -50,7 +51,7 @@ def _some_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _prior(spark: SparkSession, sf_dir: str, obs: DataFrame) -> DataFrame:
     """Every member's field at every observation: ``obs_id, mem, value``."""
-    cells = grid.find_cell(obs, GRID)
+    cells = grid.find_cell(obs, GRID(spark, sf_dir))
     return grid.interpolate(grid.weights(cells, "obs_id"), carriers.ensemble(spark, sf_dir).select("loc", "mem", "value"), "obs_id", ["mem"])
 
 
@@ -63,20 +64,25 @@ def ens_mean_spread(spark, sf_dir):
     return _round(out, "mean", "spread")
 
 
-@query(f"""WITH {_ENS}, o AS (SELECT loc AS obs_id, mem, value AS prior FROM ens WHERE loc % 50 = 7)
-SELECT loc, obs_id, round(covar_samp(value, prior), 6) AS cov, round(corr(value, prior), 6) AS corr FROM ens JOIN o USING (mem) GROUP BY loc, obs_id""")
-def ens_cov_corr(spark, sf_dir):
+_NEAR = """o AS (SELECT loc AS obs_id, i, j, mem, value AS prior FROM ens), near AS (SELECT e.loc, o.obs_id, value, prior FROM ens e JOIN o ON o.mem = e.mem AND abs(o.i - e.i) < 2 AND abs(o.j - e.j) < 2)"""
+
+
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every point as state and as observed one, and the pairs less than two apart in each axis."""
     ens = carriers.ensemble(spark, sf_dir)
-    observed = ens.where("loc % 50 = 7").select(F.col("loc").alias("obs_id"), "mem", F.col("value").alias("prior"))
-    return _round(stats.covariances(ens.select("loc", "mem", "value"), observed), "cov", "corr")
+    points = GRID(spark, sf_dir).points(spark)
+    pairs = local.localize(points, points.select(F.col("loc").alias("obs_id"), "x", "y"), 1.5, "step").select("loc", "obs_id")
+    return ens.select("loc", "mem", "value"), ens.select(F.col("loc").alias("obs_id"), "mem", F.col("value").alias("prior")), pairs
+
+
+@query(f"WITH {_ENS}, {_NEAR} SELECT loc, obs_id, round(covar_samp(value, prior), 6) + 0.0 AS cov, round(corr(value, prior), 6) + 0.0 AS corr FROM near GROUP BY loc, obs_id")
+def ens_cov_corr(spark, sf_dir):
+    return _round(stats.covariances(*_near(spark, sf_dir)), "cov", "corr")
 
 
-@query(f"""WITH {_ENS}, o AS (SELECT loc AS obs_id, mem, value AS prior FROM ens WHERE loc % 100 = 3)
-SELECT loc, obs_id, round(sum(value * prior) / 19, 6) AS cov, round(sum(value * prior) / sqrt(sum(value * value) * sum(prior * prior)), 6) AS corr FROM ens JOIN o USING (mem) GROUP BY loc, obs_id""")
+@query(f"WITH {_ENS}, {_NEAR} SELECT loc, obs_id, round(sum(value * prior) / 19, 6) + 0.0 AS cov, round(sum(value * prior) / sqrt(sum(value * value) * sum(prior * prior)), 6) + 0.0 AS corr FROM near GROUP BY loc, obs_id")
 def ens_cov_raw(spark, sf_dir):
-    ens = carriers.ensemble(spark, sf_dir)
-    observed = ens.where("loc % 100 = 3").select(F.col("loc").alias("obs_id"), "mem", F.col("value").alias("prior"))
-    return _round(stats.covariances(ens.select("loc", "mem", "value"), observed, centred=False), "cov", "corr")
+    return _round(stats.covariances(*_near(spark, sf_dir), centred=False), "cov", "corr")
 
 
 @query(f"""WITH {_ENS}, t AS (SELECT loc, value AS truth FROM ens WHERE mem = 0), e AS (SELECT * FROM ens WHERE mem > 0),
@@ -138,23 +144,23 @@ def taper_exponential(spark, sf_dir):
     return _round(carriers.table(spark, sf_dir, "events").select("event_id", distance.exponential(F.col("value") / 10, F.lit(30.0)).alias("rho")), "rho")
 
 
-@query(f"""WITH {_OBS}, d AS (SELECT obs_id, abs(x - 3) AS dx, abs(y - 17) AS dy FROM obs), g AS (SELECT obs_id, least(dx, 25 - dx) AS dx, least(dy, 20 - dy) AS dy FROM d)
+@query(f"""WITH {_OBS}, d AS (SELECT obs_id, abs(x - 3) AS dx, abs(y - 17) AS dy FROM obs), g AS (SELECT obs_id, least(dx, 25 - dx) AS dx, least(dy, {_NY} - dy) AS dy FROM d)
 SELECT obs_id, round(dx + dy, 6) AS l1, round(sqrt(dx * dx + dy * dy), 6) AS l2 FROM g""")
 def cyclic_distance(spark, sf_dir):
     at = (F.col("x"), F.lit(3.0), F.col("y"), F.lit(17.0))
-    out = _some_obs(spark, sf_dir).select("obs_id", distance.planar(*at, p=1, lx=25.0, ly=20.0).alias("l1"), distance.planar(*at, lx=25.0, ly=20.0).alias("l2"))
+    out = _some_obs(spark, sf_dir).select("obs_id", distance.planar(*at, p=1, lx=25.0, ly=float(carriers.rows(spark, sf_dir))).alias("l1"), distance.planar(*at, lx=25.0, ly=float(carriers.rows(spark, sf_dir))).alias("l2"))
     return _round(out, "l1", "l2")
 
 
-@query(f"""WITH {_OBS} SELECT obs_id, round(6371 * acos(least(1, greatest(-1, sin(radians(y * 4)) * sin(radians(60)) + cos(radians(y * 4)) * cos(radians(60)) * cos(radians(10 - x * 7))))), 4) AS km FROM obs""")
+@query(f"""WITH {_OBS} SELECT obs_id, round(6371 * acos(least(1, greatest(-1, sin(radians(y % 19 * 4)) * sin(radians(60)) + cos(radians(y % 19 * 4)) * cos(radians(60)) * cos(radians(10 - x * 7))))), 4) AS km FROM obs""")
 def great_circle(spark, sf_dir):
-    out = _some_obs(spark, sf_dir).select("obs_id", distance.great_circle(F.col("x") * 7, F.col("y") * 4, F.lit(10.0), F.lit(60.0), 6371.0).alias("km"))
+    out = _some_obs(spark, sf_dir).select("obs_id", distance.great_circle(F.col("x") * 7, F.col("y") % 19 * 4, F.lit(10.0), F.lit(60.0), 6371.0).alias("km"))
     return _round(out, "km", digits=4)
 
 
-@query(f"WITH {_OBS}, s AS (SELECT obs_id, tan(radians(90 - (y * 4 + 5)) / 2) AS r, radians(x * 7) AS a FROM obs) SELECT obs_id, round(r * sin(a), 6) + 0.0 AS sx, round(r * cos(a), 6) + 0.0 AS sy FROM s")
+@query(f"WITH {_OBS}, s AS (SELECT obs_id, tan(radians(90 - (y % 19 * 4 + 5)) / 2) AS r, radians(x * 7) AS a FROM obs) SELECT obs_id, round(r * sin(a), 6) + 0.0 AS sx, round(r * cos(a), 6) + 0.0 AS sy FROM s")
 def polar_projection(spark, sf_dir):
-    sx, sy = distance.stereographic(F.col("x") * 7, F.col("y") * 4 + 5)
+    sx, sy = distance.stereographic(F.col("x") * 7, F.col("y") % 19 * 4 + 5)
     return _round(_some_obs(spark, sf_dir).select("obs_id", sx.alias("sx"), sy.alias("sy")), "sx", "sy")
 
 
@@ -217,13 +223,13 @@ def ice_limit(spark, sf_dir):
 @query(f"""WITH {_OBS}, {_CELL_OF} SELECT obs_id, j0 * 25 + i0 AS p1, j0 * 25 + i0 + 1 AS p2, (j0 + 1) * 25 + i0 + 1 AS p3, (j0 + 1) * 25 + i0 AS p4,
 (j0 + CASE WHEN v >= 0.5 THEN 1 ELSE 0 END) * 25 + i0 + CASE WHEN u >= 0.5 THEN 1 ELSE 0 END AS nearest, round(u, 6) AS u, round(v, 6) AS v FROM corner""")
 def grid_find_cell(spark, sf_dir):
-    return _round(grid.find_cell(_some_obs(spark, sf_dir), GRID).select("obs_id", "p1", "p2", "p3", "p4", "nearest", "u", "v"), "u", "v")
+    return _round(grid.find_cell(_some_obs(spark, sf_dir), GRID(spark, sf_dir)).select("obs_id", "p1", "p2", "p3", "p4", "nearest", "u", "v"), "u", "v")
 
 
 @query(f"WITH {_ENS}, {_OBS}, {_WEIGHTS}, m AS (SELECT loc, value FROM ens WHERE mem = 0) SELECT obs_id, round(sum(w * value), 6) + 0.0 AS value FROM w JOIN m USING (loc) GROUP BY obs_id HAVING count(*) = 4")
 def grid_bilinear(spark, sf_dir):
     field = carriers.ensemble(spark, sf_dir).where("mem = 0").select("loc", "value")
-    cells = grid.find_cell(_some_obs(spark, sf_dir), GRID)
+    cells = grid.find_cell(_some_obs(spark, sf_dir), GRID(spark, sf_dir))
     return _round(grid.interpolate(grid.weights(cells, "obs_id"), field, "obs_id", []), "value")
 
 
@@ -231,12 +237,12 @@ def grid_bilinear(spark, sf_dir):
 SELECT obs_id, round(value, 6) + 0.0 AS value FROM n JOIN ens USING (loc) WHERE mem = 0""")
 def grid_nearest(spark, sf_dir):
     field = carriers.ensemble(spark, sf_dir).where("mem = 0").select("loc", "value")
-    return _round(grid.nearest(grid.find_cell(_some_obs(spark, sf_dir), GRID), field, "obs_id", []).select("obs_id", "value"), "value")
+    return _round(grid.nearest(grid.find_cell(_some_obs(spark, sf_dir), GRID(spark, sf_dir)), field, "obs_id", []).select("obs_id", "value"), "value")
 
 
 @query(f"""WITH {_OBS}, {_CELL_OF} SELECT (j0 + CASE WHEN v >= 0.5 THEN 1 ELSE 0 END) * 25 + i0 + CASE WHEN u >= 0.5 THEN 1 ELSE 0 END AS loc, round(avg(obs), 6) + 0.0 AS value, count(*) AS n FROM corner GROUP BY 1 HAVING count(*) > 1""")
 def grid_coarsen(spark, sf_dir):
-    return _round(grid.coarse_grain(_some_obs(spark, sf_dir).withColumn("value", F.col("obs")), GRID, []), "value")
+    return _round(grid.coarse_grain(_some_obs(spark, sf_dir).withColumn("value", F.col("obs")), GRID(spark, sf_dir), []), "value")
 
 
 @query(f"WITH {_OBS} SELECT kind, floor(x / 2)::INT AS bx, floor(y / 2)::INT AS \"by\", round(avg(obs), 6) + 0.0 AS obs, count(*) AS n, arg_min(err_std, obs_id) AS err_std FROM obs GROUP BY ALL HAVING count(*) > 1")
@@ -256,7 +262,7 @@ def grid_gradient(spark, sf_dir):
 
 
 @query(f"""WITH {_ENS}, n AS (SELECT e.loc, e.mem, e.value, w.value AS w, x.value AS x, s.value AS s, t.value AS t FROM ens e JOIN ens w ON w.mem = e.mem AND w.j = e.j AND w.i = (e.i + 24) % 25
-JOIN ens x ON x.mem = e.mem AND x.j = e.j AND x.i = (e.i + 1) % 25 JOIN ens s ON s.mem = e.mem AND s.i = e.i AND s.j = (e.j + 19) % 20 JOIN ens t ON t.mem = e.mem AND t.i = e.i AND t.j = (e.j + 1) % 20)
+JOIN ens x ON x.mem = e.mem AND x.j = e.j AND x.i = (e.i + 1) % 25 JOIN ens s ON s.mem = e.mem AND s.i = e.i AND s.j = (e.j + {_NY} - 1) % {_NY} JOIN ens t ON t.mem = e.mem AND t.i = e.i AND t.j = (e.j + 1) % {_NY})
 SELECT loc, mem, round(w - 2 * value + x + s - 2 * value + t, 6) + 0.0 AS laplacian FROM n""")
 def grid_laplacian(spark, sf_dir):
     return _round(grid.laplacian(carriers.ensemble(spark, sf_dir), ["mem"]).select("loc", "mem", "laplacian"), "laplacian")
@@ -268,21 +274,21 @@ def grid_stagger(spark, sf_dir):
     return _round(grid.stagger(carriers.ensemble(spark, sf_dir), ["mem"]).select("loc", "mem", "face"), "face")
 
 
-def _mesh(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+def _mesh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The grid's cells cut along a diagonal: triangles and nodes."""
-    cells = spark.range(24 * 19).select(F.col("id").alias("c"), (F.floor(F.col("id") / 24) * 25 + F.col("id") % 24).alias("p"))
+    cells = spark.range(24 * (carriers.rows(spark, sf_dir) - 1)).select(F.col("id").alias("c"), (F.floor(F.col("id") / 24) * 25 + F.col("id") % 24).alias("p"))
     both = F.array(F.struct((2 * F.col("c")).alias("tri"), F.col("p").alias("n1"), (F.col("p") + 1).alias("n2"), (F.col("p") + 26).alias("n3")), F.struct((2 * F.col("c") + 1).alias("tri"), F.col("p").alias("n1"), (F.col("p") + 26).alias("n2"), (F.col("p") + 25).alias("n3")))
-    nodes = GRID.points(spark).select(F.col("loc").alias("node"), "x", "y")
+    nodes = GRID(spark, sf_dir).points(spark).select(F.col("loc").alias("node"), "x", "y")
     return cells.select(F.explode(both).alias("t")).select("t.*"), nodes
 
 
-_MESH = """cell AS (SELECT c, (c // 24) * 25 + c % 24 AS p FROM range(456) AS r(c)), mesh AS (SELECT 2 * c AS tri, p AS n1, p + 1 AS n2, p + 26 AS n3 FROM cell UNION ALL SELECT 2 * c + 1, p, p + 26, p + 25 FROM cell)"""
+_MESH = f"""cell AS (SELECT c, (c // 24) * 25 + c % 24 AS p FROM range((SELECT 24 * (count(*) // 25 - 1) FROM embeddings)) AS r(c)), mesh AS (SELECT 2 * c AS tri, p AS n1, p + 1 AS n2, p + 26 AS n3 FROM cell UNION ALL SELECT 2 * c + 1, p, p + 26, p + 25 FROM cell)"""
 
 
 @query(f"""WITH {_OBS}, {_CELL_OF}, t AS (SELECT obs_id, j0 * 25 + i0 AS p, j0 * 24 + i0 AS c, u, v FROM corner)
 SELECT obs_id, CASE WHEN u >= v THEN 2 * c ELSE 2 * c + 1 END AS tri, round(CASE WHEN u >= v THEN 1 - u ELSE 1 - v END, 6) + 0.0 AS w1, round(CASE WHEN u >= v THEN u - v ELSE u END, 6) + 0.0 AS w2 FROM t WHERE abs(u - v) > 1e-9 AND u > 1e-9 AND v > 1e-9""")
 def mesh_find_triangle(spark, sf_dir):
-    mesh, nodes = _mesh(spark)
+    mesh, nodes = _mesh(spark, sf_dir)
     inside = _some_obs(spark, sf_dir).where("abs((x - floor(x)) - (y - floor(y))) > 1e-9 and x - floor(x) > 1e-9 and y - floor(y) > 1e-9")
     found = grid.find_triangle(inside, grid.triangles(mesh, nodes), "obs_id", 4.0)
     return _round(found.select("obs_id", "tri", "w1", "w2"), "w1", "w2")
@@ -290,7 +296,7 @@ def mesh_find_triangle(spark, sf_dir):
 
 @query(f"WITH {_MESH}, e AS (SELECT least(n1, n2) AS a, greatest(n1, n2) AS b FROM mesh UNION ALL SELECT least(n2, n3), greatest(n2, n3) FROM mesh UNION ALL SELECT least(n3, n1), greatest(n3, n1) FROM mesh) SELECT a, b FROM e GROUP BY a, b HAVING count(*) = 1")
 def mesh_boundary(spark, sf_dir):
-    return grid.boundary_edges(_mesh(spark)[0])
+    return grid.boundary_edges(_mesh(spark, sf_dir)[0])
 
 
 @query(f"""WITH {_OBS}, e AS (SELECT * FROM (VALUES (2.05, 2.05, 20.05, 4.05), (20.05, 4.05, 12.05, 17.05), (12.05, 17.05, 8.05, 9.05), (8.05, 9.05, 2.05, 2.05)) AS t(x1, y1, x2, y2))
@@ -307,7 +313,7 @@ g AS (SELECT tri, (x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1) AS a2, u1 * (y2
  v1 * (y2 - y3) + v2 * (y3 - y1) + v3 * (y1 - y2) AS vx, v1 * (x3 - x2) + v2 * (x1 - x3) + v3 * (x2 - x1) AS vy FROM c)
 SELECT tri, round(sqrt((ux - vy) ** 2 + (uy + vx) ** 2) / abs(a2), 6) AS shear, round((ux + vy) / a2, 6) + 0.0 AS div, round((vx - uy) / a2, 6) + 0.0 AS vort FROM g""")
 def triangle_deformation(spark, sf_dir):
-    mesh, nodes = _mesh(spark)
+    mesh, nodes = _mesh(spark, sf_dir)
     flow = carriers.ensemble(spark, sf_dir).where("mem < 2").groupBy("loc").pivot("mem", [0, 1]).agg(F.first("value"))
     flow = flow.select(F.col("loc").alias("node"), F.col("0").alias("u"), F.col("1").alias("v"))
     out = grid.triangles(mesh, nodes)
@@ -357,20 +363,20 @@ def deaccumulate(spark, sf_dir):
     return _round(observations.deaccumulate(rows, ["pid"], "lev", "total", 3600).select("pid", "lev", "rate"), "rate")
 
 
-@query("""WITH s AS (SELECT ts AS s_t, event_id AS sid FROM events WHERE event_id % 10 = 0), w AS (SELECT event_id AS wid, ts AS t FROM events WHERE event_id % 10 = 3)
+@query("""WITH s AS (SELECT ts AS s_t, event_id AS sid FROM events WHERE event_type = 'view'), w AS (SELECT event_id AS wid, ts AS t FROM events WHERE event_type <> 'view')
 SELECT wid, arg_min(sid, (abs(epoch_us(t) - epoch_us(s_t)), epoch_us(s_t), sid)) AS sid FROM w JOIN s ON abs(epoch_us(t) - epoch_us(s_t)) <= 21600000000 GROUP BY wid""")
 def nearest_time(spark, sf_dir):
     events = carriers.table(spark, sf_dir, "events")
-    wanted = events.where("event_id % 10 = 3").select(F.col("event_id").alias("wid"), F.col("ts").alias("t"))
-    series = events.where("event_id % 10 = 0").select(F.col("ts").alias("s_t"), F.col("event_id").alias("sid"))
+    wanted = events.where("event_type <> 'view'").select(F.col("event_id").alias("wid"), F.col("ts").alias("t"))
+    series = events.where("event_type = 'view'").select(F.col("ts").alias("s_t"), F.col("event_id").alias("sid"))
     return observations.nearest_in_time(wanted, series, "t", "wid", "sid", bucket_hours=6, width=6).select("wid", "sid")
 
 
-@query(f"""WITH {_OBS}, n AS (SELECT vec_id AS node, (vec_id % 25)::DOUBLE AS nx, (vec_id // 25)::DOUBLE AS ny FROM embeddings WHERE vec_id < 500 AND vec_id % 3 = 0),
+@query(f"""WITH {_OBS}, n AS (SELECT vec_id AS node, (vec_id % 25)::DOUBLE AS nx, (vec_id // 25)::DOUBLE AS ny FROM embeddings WHERE vec_id % 3 = 0),
 d AS (SELECT obs_id, node, sqrt((x - nx) ** 2 + (y - ny) ** 2) AS gap FROM obs JOIN n ON abs(x - nx) <= 2 AND abs(y - ny) <= 2)
 SELECT obs_id, round(min(gap), 6) AS gap FROM d WHERE gap <= 2 GROUP BY obs_id""")
 def nearest_node(spark, sf_dir):
-    nodes = GRID.points(spark).where("loc % 3 = 0").select(F.col("loc").alias("node"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    nodes = GRID(spark, sf_dir).points(spark).where("loc % 3 = 0").select(F.col("loc").alias("node"), F.col("x").alias("nx"), F.col("y").alias("ny"))
     return _round(observations.nearest_node(_some_obs(spark, sf_dir), nodes, "obs_id", 2.0).select("obs_id", "gap"), "gap")
 
 
@@ -405,7 +411,7 @@ def layer_adjust(spark, sf_dir):
 # observation priors, statistics, inflation
 
 
-@query(f"WITH {_ENS}, {_OBS}, {_WEIGHTS}, {_PRIOR} SELECT obs_id, mem, round(value, 6) + 0.0 AS value FROM prior WHERE obs_id < 100000")
+@query(f"WITH {_ENS}, {_OBS}, {_WEIGHTS}, {_PRIOR} SELECT obs_id, mem, round(value, 6) + 0.0 AS value FROM prior")
 def obs_prior(spark, sf_dir):
     return _round(_prior(spark, sf_dir, _some_obs(spark, sf_dir)), "value")
 
@@ -459,58 +465,57 @@ def inflate_rtpp(spark, sf_dir):
 
 # tiles and localization
 
-_TILES = "tile AS (SELECT loc, i, j, (j // 6) * 5 + i // 6 AS par_id FROM (SELECT vec_id AS loc, vec_id % 25 AS i, vec_id // 25 AS j FROM embeddings WHERE vec_id < 500))"
+_TILES = "tile AS (SELECT loc, i, j, (j // 6) * 5 + i // 6 AS par_id FROM (SELECT vec_id AS loc, vec_id % 25 AS i, vec_id // 25 AS j FROM embeddings))"
 _HALO = """box AS (SELECT par_id, min(i) AS x0, max(i) AS x1, min(j) AS y0, max(j) AS y1 FROM tile GROUP BY par_id),
 halo AS (SELECT par_id, obs_id FROM box JOIN obs ON x BETWEEN x0 - 2.5 AND x1 + 2.5 AND y BETWEEN y0 - 2.5 AND y1 + 2.5)"""
 
 
-def _tiles(spark: SparkSession) -> DataFrame:
-    return local.with_tiles(GRID.points(spark), carriers.NX, 6)
+def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return local.with_tiles(GRID(spark, sf_dir).points(spark), carriers.NX, 6)
 
 
 @query(f"WITH {_TILES} SELECT loc, par_id::INT AS par_id FROM tile")
 def tile_assign(spark, sf_dir):
-    assert local.tile_side(carriers.NX, carriers.NY, 5) == 6
-    return _tiles(spark).select("loc", "par_id")
+    return _tiles(spark, sf_dir).select("loc", "par_id")
 
 
 @query(f"WITH {_OBS}, {_TILES}, {_HALO} SELECT par_id::INT AS par_id, obs_id FROM halo")
 def tile_halo_obs(spark, sf_dir):
-    return local.halo(_some_obs(spark, sf_dir), carriers.NX, carriers.NY, 6, 2.5)
+    return local.halo(_some_obs(spark, sf_dir), carriers.NX, carriers.rows(spark, sf_dir), 6, 2.5)
 
 
 @query(f"WITH {_OBS}, {_TILES}, {_HALO}, c AS (SELECT par_id, count(*) AS nobs FROM halo GROUP BY par_id), n AS (SELECT par_id, count(*) AS npts FROM tile GROUP BY par_id) SELECT par_id::INT AS par_id, npts * greatest(coalesce(nobs, 0), 1) AS load FROM n LEFT JOIN c USING (par_id)")
 def tile_workload(spark, sf_dir):
-    return local.workload(_tiles(spark), local.halo(_some_obs(spark, sf_dir), carriers.NX, carriers.NY, 6, 2.5))
+    return local.workload(_tiles(spark, sf_dir), local.halo(_some_obs(spark, sf_dir), carriers.NX, carriers.rows(spark, sf_dir), 6, 2.5))
 
 
 @query(f"""WITH {_OBS}, {_TILES}, {_HALO}, c AS (SELECT par_id, count(*) AS nobs FROM halo GROUP BY par_id), n AS (SELECT par_id, count(*) AS npts FROM tile GROUP BY par_id), l AS (SELECT par_id::INT AS par_id, npts * greatest(coalesce(nobs, 0), 1) AS load FROM n LEFT JOIN c USING (par_id))
 SELECT par_id, load, least(floor((sum(load) OVER (ORDER BY par_id) - load / 2) * 4 / sum(load) OVER ()), 3)::INT AS task FROM l""")
 def task_split(spark, sf_dir):
-    loads = local.workload(_tiles(spark), local.halo(_some_obs(spark, sf_dir), carriers.NX, carriers.NY, 6, 2.5))
+    loads = local.workload(_tiles(spark, sf_dir), local.halo(_some_obs(spark, sf_dir), carriers.NX, carriers.rows(spark, sf_dir), 6, 2.5))
     return local.split_by_load(loads, 4)
 
 
-@query(f"""WITH {_OBS}, s AS (SELECT * FROM obs WHERE obs_id % 20 = 0), p AS (SELECT vec_id AS loc, (vec_id % 25)::DOUBLE AS px, (vec_id // 25)::DOUBLE AS py FROM embeddings WHERE vec_id < 500),
-d AS (SELECT loc, obs_id, greatest(2 * sqrt((px - x) ** 2 + (py - y) ** 2) / 3, 1e-10) AS r FROM p JOIN s ON abs(px - x) < 3 AND abs(py - y) < 3), g AS (SELECT loc, obs_id, {_GC} AS rho FROM d WHERE r < 2)
+@query(f"""WITH {_OBS}, p AS (SELECT vec_id AS loc, (vec_id % 25)::DOUBLE AS px, (vec_id // 25)::DOUBLE AS py FROM embeddings),
+d AS (SELECT loc, obs_id, greatest(2 * sqrt((px - x) ** 2 + (py - y) ** 2) / 3, 1e-10) AS r FROM p JOIN obs ON abs(px - x) < 3 AND abs(py - y) < 3), g AS (SELECT loc, obs_id, {_GC} AS rho FROM d WHERE r < 2)
 SELECT loc, obs_id, round(rho, 6)::DOUBLE AS rho FROM g WHERE rho > 0""")
 def local_pairs(spark, sf_dir):
-    pairs = local.localize(GRID.points(spark), _some_obs(spark, sf_dir).where("obs_id % 20 = 0"), 3.0)
+    pairs = local.localize(GRID(spark, sf_dir).points(spark), _some_obs(spark, sf_dir), 3.0)
     return _round(pairs, "rho")
 
 
-@query(f"""WITH {_OBS}, p AS (SELECT vec_id AS loc, (vec_id % 25)::DOUBLE AS px, (vec_id // 25)::DOUBLE AS py FROM embeddings WHERE vec_id < 500),
+@query(f"""WITH {_OBS}, p AS (SELECT vec_id AS loc, (vec_id % 25)::DOUBLE AS px, (vec_id // 25)::DOUBLE AS py FROM embeddings),
 d AS (SELECT loc, obs_id, greatest(2 * sqrt((px - x) ** 2 + (py - y) ** 2) / 3, 1e-10) AS r FROM p JOIN obs ON abs(px - x) < 3 AND abs(py - y) < 3), g AS (SELECT loc, obs_id, {_GC} AS rho FROM d WHERE r < 2)
 SELECT loc, rank, round(rho, 6)::DOUBLE AS rho FROM (SELECT loc, rho, row_number() OVER (PARTITION BY loc ORDER BY rho DESC, obs_id)::INT AS rank FROM g WHERE rho > 0) WHERE rank <= 8""")
 def local_obs_topk(spark, sf_dir):
-    return _round(local.strongest(local.localize(GRID.points(spark), _some_obs(spark, sf_dir), 3.0), 8).select("loc", "rank", "rho"), "rho")
+    return _round(local.strongest(local.localize(GRID(spark, sf_dir).points(spark), _some_obs(spark, sf_dir), 3.0), 8).select("loc", "rank", "rho"), "rho")
 
 
-@query(f"""WITH {_ENS}, {_OBS}, s AS (SELECT * FROM obs WHERE obs_id % 50 = 1), p AS (SELECT vec_id AS loc, (vec_id % 25)::DOUBLE AS px, (vec_id // 25)::DOUBLE AS py FROM embeddings WHERE vec_id < 500),
-a AS (SELECT loc, obs_id, abs(px - x) AS dx, abs(py - y) AS dy FROM p, s), d AS (SELECT loc, obs_id, greatest(2 * sqrt(least(dx, 25 - dx) ** 2 + least(dy, 20 - dy) ** 2) / 4, 1e-10) AS r FROM a), g AS (SELECT loc, obs_id, {_GC} AS rho FROM d WHERE r < 2)
+@query(f"""WITH {_ENS}, {_OBS}, p AS (SELECT vec_id AS loc, (vec_id % 25)::DOUBLE AS px, (vec_id // 25)::DOUBLE AS py FROM embeddings),
+a AS (SELECT loc, obs_id, abs(px - x) AS dx, abs(py - y) AS dy FROM p, obs), d AS (SELECT loc, obs_id, greatest(2 * sqrt(least(dx, 25 - dx) ** 2 + least(dy, {_NY} - dy) ** 2) / 4, 1e-10) AS r FROM a), g AS (SELECT loc, obs_id, {_GC} AS rho FROM d WHERE r < 2)
 SELECT loc, obs_id, round(rho, 6)::DOUBLE AS rho FROM g WHERE rho > 0""")
 def local_pairs_cyclic(spark, sf_dir):
-    pairs = local.localize(GRID.points(spark), _some_obs(spark, sf_dir).where("obs_id % 50 = 1"), 4.0, lx=25.0, ly=20.0)
+    pairs = local.localize(GRID(spark, sf_dir).points(spark), _some_obs(spark, sf_dir), 4.0, lx=25.0, ly=float(carriers.rows(spark, sf_dir)))
     return _round(pairs, "rho")
 
 
@@ -518,7 +523,7 @@ def local_pairs_cyclic(spark, sf_dir):
 
 _ONE = f"""one AS (SELECT 312 AS at, 0.3::DOUBLE AS obs, 0.1::DOUBLE AS err), hx AS (SELECT mem, value AS prior FROM ens WHERE loc = 312), m AS (SELECT avg(prior) AS mb, var_samp(prior) AS vb FROM hx),
 step AS (SELECT mem, prior, vb, (err * err / (vb + err * err)) * mb + (1 - err * err / (vb + err * err)) * obs + sqrt(err * err / (vb + err * err)) * (prior - mb) - prior AS step FROM hx, m, one),
-rho AS (SELECT loc, {_GC} AS rho FROM (SELECT vec_id AS loc, greatest(2 * sqrt((vec_id % 25 - 12) ** 2 + (vec_id // 25 - 12) ** 2) / 5, 1e-10) AS r FROM embeddings WHERE vec_id < 500))"""
+rho AS (SELECT loc, {_GC} AS rho FROM (SELECT vec_id AS loc, greatest(2 * sqrt((vec_id % 25 - 12) ** 2 + (vec_id // 25 - 12) ** 2) / 5, 1e-10) AS r FROM embeddings))"""
 
 
 def _one(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -527,7 +532,7 @@ def _one(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
     prior = ens.where("loc = 312").select("mem", F.col("value").alias("prior"))
     obs = spark.createDataFrame([(0.3, 0.1)], "obs double, err_std double")
     gap = distance.planar(F.col("x"), F.lit(12.0), F.col("y"), F.lit(12.0))
-    return ens, prior, obs, GRID.points(spark).select("loc", distance.gaspari_cohn(gap, F.lit(5.0)).alias("rho"))
+    return ens, prior, obs, GRID(spark, sf_dir).points(spark).select("loc", distance.gaspari_cohn(gap, F.lit(5.0)).alias("rho"))
 
 
 @query(f"WITH {_ENS}, {_ONE} SELECT mem, round(step, 6) + 0.0 AS step FROM step")
@@ -548,7 +553,7 @@ def eakf_update_one(spark, sf_dir):
 _TWO = f"""{_ONE}, c AS (SELECT loc, covar_samp(value, prior) AS cov FROM ens JOIN hx USING (mem) GROUP BY loc), e1 AS (SELECT loc, mem, value + rho * cov / vb * step AS value FROM ens JOIN step USING (mem) JOIN c USING (loc) JOIN rho USING (loc)),
 hx2 AS (SELECT mem, value AS prior FROM e1 WHERE loc = 338), m2 AS (SELECT avg(prior) AS mb, var_samp(prior) AS vb FROM hx2),
 s2 AS (SELECT mem, prior, vb, 0.04 / (vb + 0.04) * mb + (1 - 0.04 / (vb + 0.04)) * -0.2 + sqrt(0.04 / (vb + 0.04)) * (prior - mb) - prior AS step FROM hx2, m2),
-rho2 AS (SELECT loc, {_GC} AS rho FROM (SELECT vec_id AS loc, greatest(2 * sqrt((vec_id % 25 - 13) ** 2 + (vec_id // 25 - 13) ** 2) / 5, 1e-10) AS r FROM embeddings WHERE vec_id < 500)),
+rho2 AS (SELECT loc, {_GC} AS rho FROM (SELECT vec_id AS loc, greatest(2 * sqrt((vec_id % 25 - 13) ** 2 + (vec_id // 25 - 13) ** 2) / 5, 1e-10) AS r FROM embeddings)),
 c2 AS (SELECT loc, covar_samp(value, prior) AS cov FROM e1 JOIN hx2 USING (mem) GROUP BY loc)"""
 
 
@@ -556,7 +561,7 @@ c2 AS (SELECT loc, covar_samp(value, prior) AS cov FROM e1 JOIN hx2 USING (mem)
 def eakf_serial_two(spark, sf_dir):
     first = kernels.serial_step(*_one(spark, sf_dir))
     gap = distance.planar(F.col("x"), F.lit(13.0), F.col("y"), F.lit(13.0))
-    rho = GRID.points(spark).select("loc", distance.gaspari_cohn(gap, F.lit(5.0)).alias("rho"))
+    rho = GRID(spark, sf_dir).points(spark).select("loc", distance.gaspari_cohn(gap, F.lit(5.0)).alias("rho"))
     prior = first.where("loc = 338").select("mem", F.col("value").alias("prior"))
     return _round(kernels.serial_step(first, prior, spark.createDataFrame([(-0.2, 0.2)], "obs double, err_std double"), rho), "value")
 
@@ -591,7 +596,7 @@ def _transform_one(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
 def _local_filter(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     obs = observations.in_window(_some_obs(spark, sf_dir), F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), -12, 12)
     prior = _prior(spark, sf_dir, obs).groupBy("obs_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("mem", "value"))), lambda s: s["value"]).alias("priors"))
-    pairs = local.localize(GRID.points(spark), obs, 3.0)
+    pairs = local.localize(GRID(spark, sf_dir).points(spark), obs, 3.0)
     ens = carriers.ensemble(spark, sf_dir).select("loc", "mem", "value")
     return _round(kernels.local_analysis(ens, obs.select("obs_id", "obs", "err_std").join(prior, "obs_id"), pairs, method, max_obs=200), "value")
 
@@ -633,13 +638,13 @@ def power_spectrum(spark, sf_dir):
 @query()
 def bandpass(spark, sf_dir):
     field = carriers.ensemble(spark, sf_dir).select("mem", "i", "j", "value")
-    return _round(spectral.scale_component(field, ["mem"], carriers.NY, carriers.NX, [3.0, 8.0], 1), "value")
+    return _round(spectral.scale_component(field, ["mem"], carriers.rows(spark, sf_dir), carriers.NX, [3.0, 8.0], 1), "value")
 
 
 @query()
 def perturb_gaussian(spark, sf_dir):
     keys = spark.range(carriers.MEMBERS).select(F.col("id").cast("int").alias("mem"))
-    return _round(spectral.random_fields(keys, ["mem"], carriers.NY, carriers.NX, std=0.1, hcorr=5.0), "value")
+    return _round(spectral.random_fields(keys, ["mem"], carriers.rows(spark, sf_dir), carriers.NX, std=0.1, hcorr=5.0), "value")
 
 
 @query(f"""WITH {_ENS} SELECT n.loc, n.mem, round(sqrt(1 - 0.75 ** 1.0) * n.value + coalesce(0, 0) + 0.75 ** 0.5 * o.value, 6) + 0.0 AS value FROM ens n JOIN ens o ON o.loc = n.loc AND o.mem = (n.mem + 1) % 20""")
@@ -649,20 +654,23 @@ def perturb_ar1(spark, sf_dir):
     return _round(spectral.blend(ens, before, ["loc", "mem"], spectral.memory_weight(6, 12)), "value")
 
 
-_RING = "ring AS (SELECT mem, i, j * 20 + i AS n, 8 * value AS x FROM ens WHERE j < 2 AND i < 20)"
+_RING = "ring AS (SELECT mem, loc AS n, 8 * value AS x FROM ens)"
 
 
-@query(f"""WITH {_ENS}, {_RING} SELECT e.mem, e.n::INT AS i, round(e.x + ((a.x - c.x) * b.x - e.x + 8) * 0.05, 6) + 0.0 AS value FROM ring e JOIN ring a ON a.mem = e.mem AND a.n = (e.n + 1) % 40
-JOIN ring b ON b.mem = e.mem AND b.n = (e.n + 39) % 40 JOIN ring c ON c.mem = e.mem AND c.n = (e.n + 38) % 40""")
+@query(f"""WITH {_ENS}, {_RING} SELECT e.mem, e.n::INT AS i, round(e.x + ((a.x - c.x) * b.x - e.x + 8) * 0.05, 6) + 0.0 AS value FROM ring e JOIN ring a ON a.mem = e.mem AND a.n = (e.n + 1) % (SELECT count(*) FROM embeddings)
+JOIN ring b ON b.mem = e.mem AND b.n = (e.n + (SELECT count(*) FROM embeddings) - 1) % (SELECT count(*) FROM embeddings) JOIN ring c ON c.mem = e.mem AND c.n = (e.n + (SELECT count(*) FROM embeddings) - 2) % (SELECT count(*) FROM embeddings)""")
 def ring_model_step(spark, sf_dir):
     return _round(spectral.ring_step(_ring(spark, sf_dir), 8.0, 0.05), "value")
 
 
 def _ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carriers.ensemble(spark, sf_dir).where("j < 2 and i < 20").select("mem", (F.col("j") * 20 + F.col("i")).cast("int").alias("i"), (8 * F.col("value")).alias("value"))
+    """All points as one ring a member."""
+    return carriers.ensemble(spark, sf_dir).select("mem", F.col("loc").cast("int").alias("i"), (8 * F.col("value")).alias("value"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ENS}, {_RING}, run AS (SELECT mem, list(x ORDER BY n) AS a, 0 AS k FROM ring GROUP BY mem UNION ALL
+SELECT mem, [a[i] + ((a[i % len(a) + 1] - a[(i + len(a) - 3) % len(a) + 1]) * a[(i + len(a) - 2) % len(a) + 1] - a[i] + 8) * 0.01 for i in range(1, len(a) + 1)], k + 1 FROM run WHERE k < 20)
+SELECT mem, (g - 1)::INT AS i, round(a[g], 6) + 0.0 AS value FROM run, range(1, (SELECT count(*) + 1 FROM embeddings)) AS t(g) WHERE k = 20""")
 def ring_model_run(spark, sf_dir):
     return _round(spectral.ring_run(_ring(spark, sf_dir), 8.0, 24.0, 0.01), "value")
 
@@ -678,7 +686,7 @@ def cycle_counts(spark, sf_dir):
 def cycle_twin(spark, sf_dir):
     from skerry.plans.cycle import twin_experiment
 
-    return _round(twin_experiment(spark, _ring(spark, sf_dir), cycles=3), "prior_rmse", "post_rmse", "prior_spread", "post_spread")
+    return _round(twin_experiment(spark, _ring(spark, sf_dir).where("i < 40"), cycles=3), "prior_rmse", "post_rmse", "prior_spread", "post_spread")
 
 
 # derived fields and resets
@@ -690,16 +698,19 @@ def category_total(spark, sf_dir):
 
 
 def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carriers.profiles(spark, sf_dir).where("lev <= 5").select("pid", F.col("lev").alias("cat"), (F.col("f") * 2).alias("area"), (F.col("dz") / 50).alias("volume"), (F.col("pid") % 13 / 12.0).alias("wanted"))
+    """Five thickness categories of each cell; a profile's levels fill one cell after the other."""
+    return carriers.profiles(spark, sf_dir).select(
+        (F.col("pid") * 100 + F.floor((F.col("lev") - 1) / 5)).alias("pid"), ((F.col("lev") - 1) % 5 + 1).alias("cat"), (F.col("f") * 2).alias("area"), (F.col("dz") / 50).alias("volume"), (F.col("pid") % 13 / 12.0).alias("wanted")
+    )
 
 
-_CATS = f"{_PROFILE}, cats AS (SELECT pid, lev AS cat, f * 2 AS area, dz / 50 AS volume, pid % 13 / 12.0::DOUBLE AS wanted FROM profile WHERE lev <= 5)"
+_CATS = f"{_PROFILE}, cats AS (SELECT pid * 100 + (lev - 1) // 5 AS pid, (lev - 1) % 5 + 1 AS cat, f * 2 AS area, dz / 50 AS volume, pid % 13 / 12.0::DOUBLE AS wanted FROM profile)"
 
 
 @query(f"""WITH {_CATS}, p AS (SELECT *, sum(area) OVER (PARTITION BY pid) AS prior FROM cats), s AS (SELECT *, CASE WHEN prior <= 0.01 OR wanted <= 0.01 THEN 0 ELSE least(wanted, 1) / prior END AS scale FROM p)
-SELECT pid, cat, round(area * scale, 6) AS area, round(volume * scale, 6) AS volume FROM s""")
+SELECT pid, cat, round(area * scale, 8) AS area, round(volume * scale, 8) AS volume FROM s""")
 def category_rescale(spark, sf_dir):
-    return _round(fields.rescale_categories(_categories(spark, sf_dir), ["pid"], "wanted", 0.01).select("pid", "cat", "area", "volume"), "area", "volume")
+    return _round(fields.rescale_categories(_categories(spark, sf_dir), ["pid"], "wanted", 0.01).select("pid", "cat", "area", "volume"), "area", "volume", digits=8)
 
 
 @query(f"""WITH {_CATS}, b AS (SELECT * FROM (VALUES (1, 0.0, 0.3), (2, 0.3, 0.7), (3, 0.7, 1.2), (4, 1.2, 2.0), (5, 2.0, 999.0)) AS t(cat, low, high))
@@ -744,10 +755,11 @@ def grid_corners(spark, sf_dir):
     return _round(fields.corners(line, ["j"]).select("loc", "low", "high"), "low", "high")
 
 
-@query(f"WITH {_ENS}, m AS (SELECT mem, avg(value) AS fill FROM ens WHERE j = 18 GROUP BY mem) SELECT loc, mem, round(CASE WHEN j = 19 AND i < 5 THEN fill ELSE value END, 6) + 0.0 AS value FROM ens JOIN m USING (mem)")
+@query(f"WITH {_ENS}, m AS (SELECT mem, avg(value) AS fill FROM ens WHERE j = {_NY} - 2 GROUP BY mem) SELECT loc, mem, round(CASE WHEN j = {_NY} - 1 AND i < 5 THEN fill ELSE value END, 6) + 0.0 AS value FROM ens JOIN m USING (mem)")
 def grid_pole_fill(spark, sf_dir):
-    ens = carriers.ensemble(spark, sf_dir).withColumn("value", F.when((F.col("j") == 19) & (F.col("i") < 5), None).otherwise(F.col("value")))
-    return _round(fields.fill_pole(ens, ["mem"], 19, 18).select("loc", "mem", "value"), "value")
+    top = carriers.rows(spark, sf_dir) - 1
+    ens = carriers.ensemble(spark, sf_dir).withColumn("value", F.when((F.col("j") == top) & (F.col("i") < 5), None).otherwise(F.col("value")))
+    return _round(fields.fill_pole(ens, ["mem"], top, top - 1).select("loc", "mem", "value"), "value")
 
 
 @query(f"WITH {_CELLS}, s AS (SELECT p_partkey, greatest(31, least(36.5, saln)) AS saln, temp - 3 AS temp FROM cells) SELECT p_partkey, round(saln, 6)::DOUBLE AS saln, round(greatest(-0.057 * saln, least(28, temp)), 6)::DOUBLE AS temp FROM s")
@@ -756,26 +768,26 @@ def range_reset(spark, sf_dir):
     return _round(fields.reset_ranges(cells, 31.0, 36.5, 28.0), "saln", "temp")
 
 
-@query("""WITH m AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings WHERE vec_id < 500), n AS (SELECT *, -abs(b) / 2 - abs(c) / 2 AS low FROM m),
+@query("""WITH m AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings), n AS (SELECT *, -abs(b) / 2 - abs(c) / 2 AS low FROM m),
 f AS (SELECT *, CASE WHEN a + low < 0 THEN greatest((0 - a) / low, 0) ELSE 1 END AS k FROM n)
 SELECT vec_id, round(greatest(a, 0), 6) + 0.0 AS mean, round(b * k, 6) + 0.0 AS sx, round(c * k, 6) + 0.0 AS sy FROM f""")
 def slope_limiter(spark, sf_dir):
-    cells = carriers.table(spark, sf_dir, "embeddings").where("vec_id < 500").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("modes"))
+    cells = carriers.table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("modes"))
     out = fields.limit_slopes(cells, "modes", [[a / 2, b / 2] for a in (-1, 0, 1) for b in (-1, 0, 1)], least=0.0)
     return _round(out.select("vec_id", *[F.col("modes")[k].alias(n) for k, n in enumerate(("mean", "sx", "sy"))]), "mean", "sx", "sy")
 
 
 @query(f"""WITH {_ENS}, n AS (SELECT e.loc, e.mem, w.value AS w, x.value AS x, s.value AS s, t.value AS t FROM ens e JOIN ens w ON w.mem = e.mem AND w.j = e.j AND w.i = (e.i + 24) % 25 JOIN ens x ON x.mem = e.mem AND x.j = e.j AND x.i = (e.i + 1) % 25
-JOIN ens s ON s.mem = e.mem AND s.i = e.i AND s.j = (e.j + 19) % 20 JOIN ens t ON t.mem = e.mem AND t.i = e.i AND t.j = (e.j + 1) % 20) SELECT loc, mem, round(-(t - s) / 2 / 1.2, 6) + 0.0 AS u, round((x - w) / 2 / 1.2, 6) + 0.0 AS v FROM n""")
+JOIN ens s ON s.mem = e.mem AND s.i = e.i AND s.j = (e.j + {_NY} - 1) % {_NY} JOIN ens t ON t.mem = e.mem AND t.i = e.i AND t.j = (e.j + 1) % {_NY}) SELECT loc, mem, round(-(t - s) / 2 / 1.2, 6) + 0.0 AS u, round((x - w) / 2 / 1.2, 6) + 0.0 AS v FROM n""")
 def wind_from_pressure(spark, sf_dir):
     return _round(fields.geostrophic(carriers.ensemble(spark, sf_dir), ["mem"], 1.0, 1.2, 1.0).select("loc", "mem", "u", "v"), "u", "v")
 
 
-@query(f"""WITH {_ENS}, e AS (SELECT i, j, value FROM ens WHERE mem = 0), n AS (SELECT a.i, a.j, a.value AS a, b.value AS b, c.value AS c, d.value AS d FROM e a JOIN e b ON b.j = a.j AND b.i = (a.i + 1) % 25 JOIN e c ON c.i = a.i AND c.j = (a.j + 1) % 20 JOIN e d ON d.i = (a.i + 1) % 25 AND d.j = (a.j + 1) % 20)
+@query(f"""WITH {_ENS}, e AS (SELECT i, j, value FROM ens WHERE mem = 0), n AS (SELECT a.i, a.j, a.value AS a, b.value AS b, c.value AS c, d.value AS d FROM e a JOIN e b ON b.j = a.j AND b.i = (a.i + 1) % 25 JOIN e c ON c.i = a.i AND c.j = (a.j + 1) % {_NY} JOIN e d ON d.i = (a.i + 1) % 25 AND d.j = (a.j + 1) % {_NY})
 SELECT 2 * i + p AS i, 2 * j + q AS j, round(CASE WHEN p = 0 AND q = 0 THEN a WHEN q = 0 THEN (a + b) / 2 WHEN p = 0 THEN (a + c) / 2 ELSE (a + b + c + d) / 4 END, 6) + 0.0 AS value FROM n, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) AS t(p, q)""")
 def grid_refine(spark, sf_dir):
     field = carriers.ensemble(spark, sf_dir).where("mem = 0").select("mem", "i", "j", "value")
-    return _round(fields.refine(field, ["mem"], carriers.NX, carriers.NY).select("i", "j", "value"), "value")
+    return _round(fields.refine(field, ["mem"], carriers.NX, carriers.rows(spark, sf_dir)).select("i", "j", "value"), "value")
 
 
 @query("""SELECT event_id, round(value, 6) AS z FROM events WHERE ts > TIMESTAMP '2024-01-12 00:00:00' AND ts <= TIMESTAMP '2024-01-12 12:00:00' AND value > 100 AND value <= 200""")
@@ -792,10 +804,10 @@ def eakf_serial_rounds(spark, sf_dir):
     obs = spark.createDataFrame([(0, 12.0, 12.0, 0.3, 0.1), (1, 13.0, 13.0, -0.2, 0.2)], "obs_id bigint, x double, y double, obs double, err_std double")
     ens = carriers.ensemble(spark, sf_dir).select("loc", "mem", "value")
     prior = ens.where("loc in (312, 338)").select(F.when(F.col("loc") == 312, 0).otherwise(1).cast("bigint").alias("obs_id"), "mem", "value")
-    return _round(serial.assimilate(ens, GRID.points(spark), prior, obs, 5.0), "value")
+    return _round(serial.assimilate(ens, GRID(spark, sf_dir).points(spark), prior, obs, 5.0), "value")
 
 
-@query("""WITH e AS (SELECT event_id, ts, user_id, (event_id * 7 % 2400) / 100 AS x, (event_id * 13 % 1900) / 100 AS y FROM events), a AS (SELECT user_id AS traj, arg_min(event_id, (abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-10')), epoch_us(ts))) AS e0 FROM e WHERE abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-10')) <= 432000000000 GROUP BY user_id),
+@query(f"""WITH e AS (SELECT event_id, ts, user_id, (event_id * 7 % 2400) / 100 AS x, (event_id * 13 % (100 * {_NY} - 100)) / 100 AS y FROM events), a AS (SELECT user_id AS traj, arg_min(event_id, (abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-10')), epoch_us(ts))) AS e0 FROM e WHERE abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-10')) <= 432000000000 GROUP BY user_id),
 b AS (SELECT user_id AS traj, arg_min(event_id, (abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-20')), epoch_us(ts))) AS e1 FROM e WHERE abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-20')) <= 432000000000 GROUP BY user_id)
 SELECT traj, p.x AS x0, p.y AS y0, q.x AS x1, q.y AS y1 FROM a JOIN b USING (traj) JOIN e p ON p.event_id = e0 JOIN e q ON q.event_id = e1 WHERE p.ts < q.ts""")
 def trajectory_pairs(spark, sf_dir):
@@ -814,22 +826,22 @@ def node_drift(spark, sf_dir):
 SELECT obs_id, round(x + u, 6) AS x, round(y + v, 6) AS y FROM obs JOIN a USING (obs_id)""")
 def advect_points(spark, sf_dir):
     flow = carriers.ensemble(spark, sf_dir).where("mem < 2").groupBy("loc").pivot("mem", [0, 1]).agg(F.first("value")).toDF("loc", "u", "v")
-    return _round(trajectories.advect(_some_obs(spark, sf_dir).select("obs_id", "x", "y"), flow, GRID, "obs_id", 1, 1.0), "x", "y")
+    return _round(trajectories.advect(_some_obs(spark, sf_dir).select("obs_id", "x", "y"), flow, GRID(spark, sf_dir), "obs_id", 1, 1.0), "x", "y")
 
 
 @query(f"""WITH {_ENS}, e AS (SELECT i, j, loc, value FROM ens WHERE mem = 0), n AS (SELECT a.loc, a.value AS own, b.value AS b, c.value AS c, d.value AS d FROM e a LEFT JOIN e b ON b.j = a.j AND b.i = a.i - 1 LEFT JOIN e c ON c.i = a.i AND c.j = a.j - 1 LEFT JOIN e d ON d.i = a.i - 1 AND d.j = a.j - 1)
 SELECT loc, round(coalesce(own * 0.75 * 0.5 + b * 0.25 * 0.5 + c * 0.75 * 0.5 + d * 0.25 * 0.5, own), 6) + 0.0 AS value FROM n""")
 def grid_warp(spark, sf_dir):
     field = carriers.ensemble(spark, sf_dir).where("mem = 0").select("loc", "value")
-    shift = GRID.points(spark).select("loc", F.lit(0.25).alias("u"), F.lit(0.5).alias("v"))
-    return _round(trajectories.warp(field, shift, GRID, []), "value")
+    shift = GRID(spark, sf_dir).points(spark).select("loc", F.lit(0.25).alias("u"), F.lit(0.5).alias("v"))
+    return _round(trajectories.warp(field, shift, GRID(spark, sf_dir), []), "value")
 
 
 @query()
 def synthetic_observations(spark, sf_dir):
     truth = carriers.ensemble(spark, sf_dir).where("mem = 0").select("loc", "value")
-    masked = GRID.points(spark).where("i < 5").select("loc")
-    return _round(network.observe(network.network(spark, 3000, GRID, masked), truth, GRID, 0.1), "x", "y", "obs")
+    masked = GRID(spark, sf_dir).points(spark).where("i < 5").select("loc")
+    return _round(network.observe(network.network(spark, 3000, GRID(spark, sf_dir), masked), truth, GRID(spark, sf_dir), 0.1), "x", "y", "obs")
 
 
 @query(f"WITH {_OBS} SELECT obs_id FROM obs WHERE (x - 12) ** 2 + (y - 9) ** 2 <= 16")
@@ -837,9 +849,9 @@ def network_around(spark, sf_dir):
     return network.around(_some_obs(spark, sf_dir), 12.0, 9.0, 4.0).select("obs_id")
 
 
-@query("SELECT vec_id AS loc, (vec_id // 25 % 4 * 5 + vec_id % 25 % 5)::INT AS par_id FROM embeddings WHERE vec_id < 500")
+@query("SELECT vec_id AS loc, (vec_id // 25 % 4 * 5 + vec_id % 25 % 5)::INT AS par_id FROM embeddings")
 def tile_strided(spark, sf_dir):
-    return local.strided(GRID.points(spark), 5, 4).select("loc", "par_id")
+    return local.strided(GRID(spark, sf_dir).points(spark), 5, 4).select("loc", "par_id")
 
 
 @query(f"WITH {_ENS} SELECT loc, mem, round(least(0.5, value + 0.25), 6)::DOUBLE AS value FROM ens")
@@ -859,7 +871,7 @@ def _analysis(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     from skerry.plans.analysis import Settings, analyse
 
     obs = observations.in_window(_some_obs(spark, sf_dir), F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), -1, 0.5)
-    out = analyse(carriers.ensemble(spark, sf_dir), obs, GRID, Settings(method=method, post="post,rtpp"))
+    out = analyse(carriers.ensemble(spark, sf_dir), obs, GRID(spark, sf_dir), Settings(method=method, post="post,rtpp"))
     return _round(out.increment, "increment")
 
 
@@ -885,10 +897,10 @@ def model_days(spark, sf_dir):
     )
 
 
-@query("""WITH p AS (SELECT vec_id AS loc, vec_id % 25 - 12.3::DOUBLE AS dx, vec_id // 25 - 9.6::DOUBLE AS dy FROM embeddings WHERE vec_id < 500), r AS (SELECT *, sqrt(dx * dx + dy * dy) AS r FROM p), w AS (SELECT *, CASE WHEN r <= 4 THEN 35 * r / 4 ELSE 35 * pow(4 / r, 1.5) END AS s FROM r)
+@query("""WITH p AS (SELECT vec_id AS loc, vec_id % 25 - 12.3::DOUBLE AS dx, vec_id // 25 - 9.6::DOUBLE AS dy FROM embeddings), r AS (SELECT *, sqrt(dx * dx + dy * dy) AS r FROM p), w AS (SELECT *, CASE WHEN r <= 4 THEN 35 * r / 4 ELSE 35 * pow(4 / r, 1.5) END AS s FROM r)
 SELECT loc, round(-s * dy / r, 6) + 0.0 AS u, round(s * dx / r, 6) + 0.0 AS v FROM w""")
 def rankine_vortex(spark, sf_dir):
-    return _round(models.rankine_vortex(GRID.points(spark), 35.0, 4.0, F.lit(12.3), F.lit(9.6)).select("loc", "u", "v"), "u", "v")
+    return _round(models.rankine_vortex(GRID(spark, sf_dir).points(spark), 35.0, 4.0, F.lit(12.3), F.lit(9.6)).select("loc", "u", "v"), "u", "v")
 
 
 @query()
@@ -902,12 +914,12 @@ def vortex_run(spark, sf_dir):
     return _round(models.vortex_run(start, n, dx, 3.0, 60.0, 1e-5, 3e3), "u", "v")
 
 
-@query(f"""WITH {_OBS}, m AS (SELECT obs_id, radians(x * 14) AS lo, tan(radians(90 - (y * 4 + 5)) / 2) AS r FROM obs), z AS (SELECT obs_id, r * cos(lo) AS x, r * sin(lo) AS y FROM m),
+@query(f"""WITH {_OBS}, m AS (SELECT obs_id, radians(x * 14) AS lo, tan(radians(90 - (y % 19 * 4 + 5)) / 2) AS r FROM obs), z AS (SELECT obs_id, r * cos(lo) AS x, r * sin(lo) AS y FROM m),
 k AS (SELECT tan(radians(15)) AS a, tan(radians(60)) AS b), c AS (SELECT a, -b AS b, tan(radians(90 - degrees(asin((sin(radians(60)) + sin(radians(-30))) / sqrt(2)))) / 2) AS zc FROM k),
 q AS (SELECT obs_id, (x - a) AS ux, y AS uy, (x - b) AS lx, (zc - b) / (zc - a) AS f FROM z, c), w AS (SELECT obs_id, f * (ux * lx + uy * uy) / (lx * lx + uy * uy) AS wx, f * (uy * lx - ux * uy) / (lx * lx + uy * uy) AS wy FROM q)
 SELECT obs_id, round(degrees(atan2(wy, wx)), 5) + 0.0 AS lon, round(90 - 2 * degrees(atan(sqrt(wx * wx + wy * wy))), 5) + 0.0 AS lat FROM w""".replace("tan(radians(90 - degrees(asin((sin(radians(60)) + sin(radians(-30))) / sqrt(2)))) / 2) AS zc", "sign(cos(radians(60)) - cos(radians(30))) * tan((pi() / 2 - asin((sin(radians(60)) + sin(radians(-30))) / sqrt(pow(cos(radians(60)) - cos(radians(30)), 2) + pow(sin(radians(60)) + sin(radians(-30)), 2)))) / 2) AS zc"))
 def two_pole_mapping(spark, sf_dir):
-    lon, lat = models.two_pole_mapping(F.col("x") * 14, F.col("y") * 4 + 5, (0.0, 60.0), (180.0, -30.0))
+    lon, lat = models.two_pole_mapping(F.col("x") * 14, F.col("y") % 19 * 4 + 5, (0.0, 60.0), (180.0, -30.0))
     return _round(_some_obs(spark, sf_dir).select("obs_id", lon.alias("lon"), lat.alias("lat")), "lon", "lat", digits=5)
 
 
@@ -915,3 +927,195 @@ def two_pole_mapping(spark, sf_dir):
 def forcing_files(spark, sf_dir):
     dates = calendar.file_dates(F.col("ts"), F.col("ts") + F.expr("interval 72 hours"), 2)
     return carriers.table(spark, sf_dir, "events").select("event_id", F.explode(dates).alias("file"))
+
+
+# whole records: localization, observation operators, tiles
+
+_RECORDS = """orec AS (SELECT * FROM (VALUES ('click', 2.0, 8.0, 12.0, MAP {'salt': 0.5}), ('error', 1.5, 6.0, 9.0, MAP {'temp': 0.0}), ('purchase', 1.0, 12.0, 6.0, MAP {'salt': 1.5}), ('signup', 2.0, 5.0, 24.0, MAP {'none': 0.0}),
+  ('view', 1.2, 9.0, 3.0, MAP {'salt': 0.25})) AS t(obs_rec, hroi, vroi, troi, impact)), srec AS (SELECT * FROM (VALUES (0, 'temp', 0.0, 0.0), (1, 'temp', 10.0, 0.0), (2, 'salt', 0.0, 6.0), (3, 'salt', 10.0, 6.0)) AS t(rec, name, z, t))"""
+
+
+def _records(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Observation records with their radii and impact, and two levels of two variables at two times."""
+    given = [("click", 2.0, 8.0, 12.0, {"salt": 0.5}), ("error", 1.5, 6.0, 9.0, {"temp": 0.0}), ("purchase", 1.0, 12.0, 6.0, {"salt": 1.5}), ("signup", 2.0, 5.0, 24.0, {"none": 0.0}), ("view", 1.2, 9.0, 3.0, {"salt": 0.25})]
+    obs_records = spark.createDataFrame(given, "obs_rec string, hroi double, vroi double, troi double, impact map<string, double>")
+    state_records = spark.createDataFrame([(0, "temp", 0.0, 0.0), (1, "temp", 10.0, 0.0), (2, "salt", 0.0, 6.0), (3, "salt", 10.0, 6.0)], "rec int, name string, z double, t double")
+    return obs_records, state_records
+
+
+@query(f"""WITH {_OBS}, {_RECORDS}, p AS (SELECT vec_id AS loc, (vec_id % 25)::DOUBLE AS px, (vec_id // 25)::DOUBLE AS py FROM embeddings), o AS (SELECT obs_id, kind AS obs_rec, x, y, (obs_id % 20)::DOUBLE AS oz, (hour(t))::DOUBLE AS ot FROM obs),
+h AS (SELECT loc, obs_id, obs_rec, oz, ot, vroi, troi, impact, greatest(2 * sqrt((px - x) ** 2 + (py - y) ** 2) / hroi, 1e-10) AS r FROM o JOIN orec USING (obs_rec) JOIN p ON abs(px - x) < 2 AND abs(py - y) < 2),
+g AS (SELECT loc, obs_id, obs_rec, oz, ot, vroi, troi, impact, {_GC} AS rho FROM h WHERE r < 2), v AS (SELECT g.*, rec, coalesce(element_at(impact, name)[1], 1.0) AS hit, abs(t - ot) AS ago, greatest(2 * abs(z - oz) / vroi, 1e-10) AS r FROM g, srec),
+f AS (SELECT rec, loc, obs_id, rho * hit * exp(-ago / troi) * ({_GC}) AS rho FROM v) SELECT rec, loc, obs_id, round(rho, 9)::DOUBLE AS rho FROM f WHERE rho > 1e-8""")
+def local_factors(spark, sf_dir):
+    obs_records, state_records = _records(spark)
+    obs = _some_obs(spark, sf_dir).select("obs_id", F.col("kind").alias("obs_rec"), "x", "y", (F.col("obs_id") % 20).cast("double").alias("z"), F.hour("t").cast("double").alias("t"))
+    out = localization.factors(GRID(spark, sf_dir).points(spark), state_records, obs, obs_records)
+    return _round(out.where("rho > 1e-8"), "rho", digits=9)
+
+
+@query(f"WITH {_RECORDS} SELECT obs_rec, name, coalesce(element_at(impact, name)[1], 1.0)::DOUBLE AS impact FROM orec, (SELECT DISTINCT name FROM srec)")
+def obs_impact(spark, sf_dir):
+    obs_records, state_records = _records(spark)
+    return localization.impact_of(obs_records, state_records.select("name").distinct())
+
+
+@query(f"""WITH {_RECORDS}, g AS (SELECT * FROM (VALUES ('click', 'view', 0.3), ('signup', 'error', -0.2)) AS t(a, b, corr))
+SELECT p.obs_rec AS a, q.obs_rec AS b, coalesce(g.corr, h.corr, CASE WHEN p.obs_rec = q.obs_rec THEN 1 ELSE 0 END)::DOUBLE AS corr FROM orec p, orec q LEFT JOIN g ON g.a = p.obs_rec AND g.b = q.obs_rec LEFT JOIN g h ON h.b = p.obs_rec AND h.a = q.obs_rec""")
+def error_correlation(spark, sf_dir):
+    given = spark.createDataFrame([("click", "view", 0.3), ("signup", "error", -0.2)], "a string, b string, corr double")
+    return localization.cross_correlation(_records(spark)[0], given)
+
+
+def _batch_one(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """The one observation at the point 312, analysed tile by tile."""
+    ens, prior, obs, _ = _one(spark, sf_dir)
+    one = obs.crossJoin(F.broadcast(stats.packed(prior.withColumn("k", F.lit(0)), "k", "prior", "priors"))).select(F.lit(0).cast("bigint").alias("obs_id"), F.lit(12.0).alias("x"), F.lit(12.0).alias("y"), "obs", "err_std", "priors")
+    placed = _tiles(spark, sf_dir).select("loc", "x", "y", "par_id")
+    halo = local.halo(one, carriers.NX, carriers.rows(spark, sf_dir), 6, 5.0)
+    return _round(kernels.batch_analysis(ens.join(placed, "loc"), one, halo, 5.0, method), "value")
+
+
+@query(ORACLE_SQL["etkf_one_obs"])
+def etkf_tiles_one_obs(spark, sf_dir):
+    return _batch_one(spark, sf_dir, "etkf")
+
+
+@query(ORACLE_SQL["denkf_one_obs"])
+def denkf_tiles_one_obs(spark, sf_dir):
+    return _batch_one(spark, sf_dir, "denkf")
+
+
+@query()
+def etkf_tiles(spark, sf_dir):
+    obs = observations.in_window(_some_obs(spark, sf_dir), F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), -12, 12)
+    members = stats.packed(_prior(spark, sf_dir, obs), "obs_id", "value", "priors")
+    state = carriers.ensemble(spark, sf_dir).select("loc", "mem", "value").join(_tiles(spark, sf_dir).select("loc", "x", "y", "par_id"), "loc")
+    halo = local.halo(obs, carriers.NX, carriers.rows(spark, sf_dir), 6, 3.0)
+    return _round(kernels.batch_analysis(state, obs.select("obs_id", "x", "y", "obs", "err_std").join(members, "obs_id"), halo, 3.0), "value")
+
+
+_FLOW = "flow AS (SELECT a.loc, a.mem, a.i, a.j, a.value AS u, b.value AS v FROM ens a JOIN ens b ON b.loc = a.loc AND b.mem = (a.mem + 1) % 20)"
+
+
+def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``loc, mem, i, j, u, v``: a member and the next one as the components of a vector."""
+    ens = carriers.ensemble(spark, sf_dir)
+    after = ens.select("loc", F.pmod(F.col("mem") - 1, F.lit(carriers.MEMBERS)).alias("mem"), F.col("value").alias("v"))
+    return ens.withColumnRenamed("value", "u").join(after, ["loc", "mem"])
+
+
+@query(f"WITH {_ENS}, {_FLOW}, {_OBS}, {_WEIGHTS} SELECT obs_id, mem, round(sqrt(sum(w * u) ** 2 + sum(w * v) ** 2), 6) AS value FROM w JOIN flow USING (loc) GROUP BY obs_id, mem HAVING count(*) = 4")
+def observe_speed(spark, sf_dir):
+    return _round(observe.observe(_flow(spark, sf_dir), _some_obs(spark, sf_dir), GRID(spark, sf_dir), "speed"), "value")
+
+
+@query(f"WITH {_ENS}, {_FLOW}, {_OBS}, {_WEIGHTS}, s AS (SELECT obs_id, mem, sum(w * u) + sum(w * v) AS s FROM w JOIN flow USING (loc) GROUP BY obs_id, mem HAVING count(*) = 4) SELECT obs_id, mem, round(CASE WHEN s < 0.1 THEN 0 ELSE s END, 6) + 0.0 AS value FROM s")
+def observe_total(spark, sf_dir):
+    return _round(observe.observe(_flow(spark, sf_dir), _some_obs(spark, sf_dir), GRID(spark, sf_dir), "total", names=("u", "v"), least=0.1), "value")
+
+
+@query(f"WITH {_ENS}, {_FLOW}, {_OBS}, {_WEIGHTS} SELECT obs_id, mem, round(2 * sum(w * v), 6) + 0.0 AS value FROM w JOIN flow USING (loc) GROUP BY obs_id, mem HAVING count(*) = 4")
+def observe_displacement(spark, sf_dir):
+    return _round(observe.observe(_flow(spark, sf_dir), _some_obs(spark, sf_dir), GRID(spark, sf_dir), "displacement", days=2.0, component="v"), "value")
+
+
+@query(f"WITH {_ENS} SELECT loc, mem, round(value - avg(value) OVER (PARTITION BY mem), 6) + 0.0 AS anomaly FROM ens")
+def derived_anomaly(spark, sf_dir):
+    return _round(observe.DERIVED["anomaly"](carriers.ensemble(spark, sf_dir)).select("loc", "mem", "anomaly"), "anomaly")
+
+
+# more of the grid
+
+
+@query(f"""WITH {_ENS}, n AS (SELECT loc, mem, i, j, lag(value) OVER l - 2 * value + lead(value) OVER l AS c FROM ens WINDOW l AS (PARTITION BY mem, j ORDER BY i))
+SELECT loc, mem, round(coalesce(c, lead(c) OVER l, lag(c) OVER l), 6) + 0.0 AS curve FROM n WINDOW l AS (PARTITION BY mem, j ORDER BY i)""")
+def grid_second_difference(spark, sf_dir):
+    return _round(grid.second_difference(carriers.ensemble(spark, sf_dir), ["mem"]).select("loc", "mem", "curve"), "curve")
+
+
+@query(f"""WITH {_ENS}, a AS (SELECT loc, mem, i, j, value, lag(value) OVER l AS b, lead(value) OVER l AS f FROM ens WINDOW l AS (PARTITION BY mem, i ORDER BY j)),
+s AS (SELECT loc, mem, i, j, CASE WHEN b IS NULL THEN f - value WHEN f IS NULL THEN value - b ELSE (f - b) / 2 END AS s FROM a), c AS (SELECT loc, mem, s, lag(s) OVER l AS b, lead(s) OVER l AS f FROM s WINDOW l AS (PARTITION BY mem, j ORDER BY i))
+SELECT loc, mem, round(CASE WHEN b IS NULL THEN f - s WHEN f IS NULL THEN s - b ELSE (f - b) / 2 END, 6) + 0.0 AS "cross" FROM c""")
+def grid_mixed_difference(spark, sf_dir):
+    return _round(grid.mixed_difference(carriers.ensemble(spark, sf_dir), ["mem"]).select("loc", "mem", "cross"), "cross")
+
+
+@query(f"WITH {_ENS} SELECT loc, mem, round(coalesce((value + lead(value) OVER (PARTITION BY mem, i ORDER BY j)) / 2, value), 6) + 0.0 AS centre FROM ens")
+def grid_destagger(spark, sf_dir):
+    return _round(grid.destagger(carriers.ensemble(spark, sf_dir), ["mem"], "y").select("loc", "mem", "centre"), "centre")
+
+
+_ARC = "6371 * acos(least(1, greatest(-1, sin(radians({a})) * sin(radians({b})) + cos(radians({a})) * cos(radians({b})) * cos(radians({d})))))"
+
+
+@query(f"""WITH {_ENS}, p AS (SELECT loc, i, j, i * 2.0::DOUBLE AS lon, 10 + 60.0::DOUBLE * j / {_NY} AS lat FROM ens WHERE mem = 0), d AS (SELECT *, lead(lon) OVER a AS lon1, lead(lat) OVER a AS lat1, lead(lat) OVER b AS lat2 FROM p WINDOW a AS (PARTITION BY j ORDER BY i), b AS (PARTITION BY i ORDER BY j)),
+f AS (SELECT loc, i, j, 200 / ({_ARC.format(a="lat", b="lat1", d="lon1 - lon")}) AS mfx, 300 / ({_ARC.format(a="lat", b="lat2", d="0")}) AS mfy FROM d)
+SELECT loc, round(coalesce(mfx, lag(mfx) OVER (PARTITION BY j ORDER BY i)), 6) AS mfx, round(coalesce(mfy, lag(mfy) OVER (PARTITION BY i ORDER BY j)), 6) AS mfy FROM f""")
+def grid_map_factors(spark, sf_dir):
+    points = GRID(spark, sf_dir).points(spark).select("loc", "i", "j", (F.col("i") * 2.0).alias("lon"), (10 + 60.0 * F.col("j") / carriers.rows(spark, sf_dir)).alias("lat"))
+    return _round(grid.map_factors(points, 200.0, 300.0, 6371.0), "mfx", "mfy")
+
+
+@query(f"WITH {_ENS} SELECT loc, mem, CASE WHEN i < 5 THEN NULL ELSE round(value, 6) + 0.0 END AS value FROM ens")
+def mask_field(spark, sf_dir):
+    ens = carriers.ensemble(spark, sf_dir)
+    return _round(grid.masked(ens.select("loc", "mem", "value"), ens.where("i < 5 and mem = 0")).select("loc", "mem", "value"), "value")
+
+
+@query(f"""WITH {_ENS}, {_OBS}, {_CELL_OF}, c AS (SELECT (j0 + CASE WHEN v >= 0.5 THEN 1 ELSE 0 END) * 25 + i0 + CASE WHEN u >= 0.5 THEN 1 ELSE 0 END AS loc, avg(obs) AS m FROM corner GROUP BY 1 HAVING count(*) > 1)
+SELECT loc, round(coalesce(m, value), 6) + 0.0 AS value FROM ens LEFT JOIN c USING (loc) WHERE mem = 0""")
+def grid_regrid(spark, sf_dir):
+    coarse = grid.coarse_grain(_some_obs(spark, sf_dir).withColumn("value", F.col("obs")), GRID(spark, sf_dir), [])
+    return _round(grid.regrid(carriers.ensemble(spark, sf_dir).where("mem = 0").select("loc", "value"), coarse, ["loc"]), "value")
+
+
+@query(f"WITH {_ENS}, {_FLOW} SELECT loc, mem, round(u * cos(radians(i * 3)) + v * sin(radians(i * 3)), 6) + 0.0 AS u, round(v * cos(radians(i * 3)) - u * sin(radians(i * 3)), 6) + 0.0 AS v FROM flow")
+def grid_rotate(spark, sf_dir):
+    u, v = grid.rotate(F.col("u"), F.col("v"), F.radians(F.col("i") * 3))
+    return _round(_flow(spark, sf_dir).select("loc", "mem", u.alias("u"), v.alias("v")), "u", "v")
+
+
+# more scalar functions
+
+
+@query(f"WITH {_OBS} SELECT obs_id, round(x * 7, 6) + 0.0 AS lon, round(y % 19 * 4 + 5, 6) + 0.0 AS lat FROM obs")
+def polar_inverse(spark, sf_dir):
+    sx, sy = distance.stereographic(F.col("x") * 7, F.col("y") % 19 * 4 + 5)
+    lon, lat = distance.stereographic_inverse(F.col("sx"), F.col("sy"))
+    return _round(_some_obs(spark, sf_dir).select("obs_id", sx.alias("sx"), sy.alias("sy")).select("obs_id", lon.alias("lon"), lat.alias("lat")), "lon", "lat")
+
+
+@query(f"""WITH {_CELLS}, c AS (SELECT p_partkey, temp, saln, greatest(-2, least(32, temp)) - 3 AS t, greatest(30, least(38, saln)) - 35 AS s, e * 1e4 - 2000e4 AS p FROM cells)
+SELECT p_partkey, round(19.2362 + 0.773552 * saln + temp * (-0.088208 - 0.00231866 * saln + temp * (-0.00546858 + 2.82474e-05 * saln + 2.11306e-05 * temp)), 6) AS sigma4,
+round(1e-8 * (p + 2000e4) * (s * (-0.105131 + t * 1.06829e-03) + t * (-0.241701 + t * (4.03001e-03 - t * 3.03869e-05) + 0.5 * (p - 2000e4) * (1.00638e-09 + s * 1.48599e-11 - t * 1.31384e-11))), 6) + 0.0 AS baric FROM c""")
+def seawater_deep(spark, sf_dir):
+    baric = physics.thermobaricity(0, F.col("temp"), F.col("saln"), F.col("e") * 1e4)
+    out = carriers.cells(spark, sf_dir).select("p_partkey", physics.sea_density(4, F.col("temp"), F.col("saln")).alias("sigma4"), baric.alias("baric"))
+    return _round(out, "sigma4", "baric")
+
+
+@query(f"WITH {_OBS} SELECT obs_id, CASE WHEN obs_id % 3 > 0 THEN round((y - x) / (obs_id % 3), 6) + 0.0 END AS u FROM obs")
+def drift_velocity(spark, sf_dir):
+    return _round(_some_obs(spark, sf_dir).select("obs_id", observations.velocity(F.col("x"), F.col("y"), (F.col("obs_id") % 3).cast("double")).alias("u")), "u")
+
+
+@query("SELECT event_id, (DATE '1900-12-31' + CAST(date_diff('day', DATE '1900-12-31', ts::DATE) AS INT))::DATE AS day, greatest(ts - INTERVAL 6 HOUR, TIMESTAMP '2024-01-05 00:00:00') AS before FROM events")
+def calendar_back(spark, sf_dir):
+    t = F.col("ts").cast("timestamp")
+    before = units.cycle_before(t, 6, F.lit("2024-01-05 00:00:00").cast("timestamp"))
+    return carriers.table(spark, sf_dir, "events").select("event_id", calendar.date_of(calendar.model_day(calendar.CALENDAR, t)).alias("day"), before.cast("timestamp_ntz").alias("before"))
+
+
+@query(f"""WITH {_ENS} SELECT n.loc, n.mem, round(sqrt(1 - exp(-1.0)) * n.value + exp(-0.5) * o.value, 6) + 0.0 AS value FROM ens n JOIN ens o ON o.loc = n.loc AND o.mem = (n.mem + 1) % 20""")
+def perturb_ar1_exponential(spark, sf_dir):
+    ens = carriers.ensemble(spark, sf_dir).select("loc", "mem", "value")
+    before = ens.withColumn("mem", F.pmod(F.col("mem") - 1, F.lit(carriers.MEMBERS)))
+    return _round(spectral.blend(ens, before, ["loc", "mem"], spectral.memory_weight_exponential(6, 12)), "value")
+
+
+@query()
+def displacement_fields(spark, sf_dir):
+    keys = spark.range(carriers.MEMBERS).select(F.col("id").cast("int").alias("mem"))
+    shore = GRID(spark, sf_dir).points(spark).select("i", "j", F.col("i").cast("double").alias("gap"))
+    return _round(spectral.displacement_fields(keys, ["mem"], carriers.rows(spark, sf_dir), carriers.NX, 0.5, 5.0, shore, 4.0), "u", "v")

@@ -1,6 +1,7 @@
 """Ensemble, observation, profile and cell tables over the sample tables.
 
-The grid has 25 columns and 20 rows with unit spacing; a point's column is ``i``, its row ``j``.
+The grid has 25 columns, as many rows as the vectors fill, and unit spacing; a point's column is ``i``,
+its row ``j``.
 """
 
 from __future__ import annotations
@@ -8,28 +9,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-NX, NY, MEMBERS = 25, 20, 20
+from skerry.operators.grid import Grid
+
+NX, MEMBERS = 25, 20
 # Error of each kind of observation.
 ERRORS = {"click": 0.05, "error": 0.07, "purchase": 0.09, "signup": 0.11, "view": 0.13}
-POINTS = NX * NY
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rows(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the grid."""
+    return table(spark, sf_dir, "embeddings").count() // NX
+
+
+def field_grid(spark: SparkSession, sf_dir: str) -> Grid:
+    return Grid(NX, rows(spark, sf_dir))
+
+
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``loc, i, j, mem, value``: the first members of the vectors on the grid."""
-    vectors = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < POINTS).select("vec_id", F.slice("embedding", 1, MEMBERS).alias("e"))
+    """``loc, i, j, mem, value``: every vector is a point, its first components the members there."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, MEMBERS).alias("e"))
     rows = vectors.select(F.col("vec_id").alias("loc"), F.posexplode("e").alias("mem", "value"))
     return rows.select("loc", (F.col("loc") % NX).cast("int").alias("i"), F.floor(F.col("loc") / NX).cast("int").alias("j"), "mem", F.col("value").cast("double").alias("value"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``obs_id, kind, x, y, t, obs, err_std`` from the events; all lie inside the grid."""
+    height = 100 * (rows(spark, sf_dir) - 1)
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in ERRORS.items() for x in pair]), F.col("event_type"))
     return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("obs_id"), F.col("event_type").alias("kind"), (F.col("event_id") * 7 % 2400 / 100).alias("x"), (F.col("event_id") * 13 % 1900 / 100).alias("y"),
+        F.col("event_id").alias("obs_id"), F.col("event_type").alias("kind"), (F.col("event_id") * 7 % 2400 / 100).alias("x"), (F.col("event_id") * 13 % height / 100).alias("y"),
         F.col("ts").alias("t"), ((F.col("value") - 245) / 1960).alias("obs"), kind.alias("err_std"),
     )
 

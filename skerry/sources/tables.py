@@ -21,8 +21,10 @@ class StateStore:
     @classmethod
     def temporary(cls, spark: SparkSession) -> StateStore:
         """A store of its own in the folder the cluster shares."""
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-        return cls(spark, f"{base.rstrip('/')}/state-{uuid.uuid4().hex}")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        return cls(spark, f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/state-{uuid.uuid4().hex}")
 
     def path(self, cycle: int | datetime, tag: str) -> str:
         name = cycle.strftime("%Y%m%d%H%M") if isinstance(cycle, datetime) else f"{cycle:06d}"
