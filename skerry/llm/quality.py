@@ -1,12 +1,17 @@
 """Quality rules: robust multivariate outliers by minimum-covariance-determinant estimates.
 
 Every text becomes a vector of transformed statistics. For each language and source the estimates
-start from coordinate-wise medians and median deviations and are improved by concentration steps: the
-share ``H`` of rows nearest by Mahalanobis distance gives the next mean and covariance, which never
-raises the determinant. Rows whose distance under the final, rescaled estimates is beyond ``CUTOFF``
-are rejected. DataFrame expressions only: a statistics pass over the text, then small aggregations
-over the slim statistics. The nearest share is found from a histogram of log distances, which is
-combined before it is shuffled, so a group that holds a third of all rows costs no more than others.
+start from coordinate-wise medians and median deviations and are improved by concentration steps until
+they stand: the share ``H`` of rows nearest by Mahalanobis distance gives the next mean and covariance.
+Variances are not taken below those of ``FLOOR``, since most texts have no symbols or repeats at all,
+and correlations are shrunk by ``PRIOR_ROWS`` rows without any. Rows whose squared distance under the
+final, rescaled estimates is beyond ``CUTOFF`` are rejected. A group of fewer than ``MIN_GROUP`` rows
+that pass the base has no regular covariance of its own: it is judged with the others of its kind in its
+language, and if these are too few as well, with those of all languages.
+
+DataFrame expressions only: a statistics pass over the text, then small aggregations over the slim
+statistics. The nearest share is found from a histogram of log distances, which is combined before it
+is shuffled, so a group that holds a third of all rows costs no more than others.
 """
 
 from __future__ import annotations
@@ -22,14 +27,16 @@ SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Rows whose nearest share makes the estimates, and the smallest group that has its own.
+#: Rows whose nearest share makes the estimates, and the smallest group that has its own: twice the dimensions and two.
 H = 0.75
-MIN_GROUP = 200
-STEPS = 4
-#: Squared distance; chance of a larger one under a normal law of five dimensions: about 1e-8.
-CUTOFF = 45.0
+MIN_GROUP = 12
+PRIOR_ROWS = 10
+#: Concentration steps at most, and the change of any estimate below which they end: the histogram's bins blur no less.
+STEPS, SETTLED = 12, 5e-3
+#: Squared distance that a normal vector of five dimensions exceeds with a chance of 1e-6.
+CUTOFF = 35.9
 #: Least standard deviations: words, word length, symbols, repeated lines, repeated words.
-FLOOR = (0.6, 0.12, 0.8, 0.6, 0.8)
+FLOOR = (0.7, 0.09, 0.55, 0.65, 0.65)
 MEDIAN_CHI2 = 4.351
 _DIMS = len(FLOOR)
 _BINS_PER_E = 50
@@ -103,18 +110,18 @@ def _grouped(rows: DataFrame, scratch: Scratch) -> DataFrame:
     names = sizes.select(
         F.col("q_lang").alias("g_lang"),
         F.col("q_source").alias("g_source"),
-        F.when(~F.col("small"), F.to_json(F.struct("q_lang", "q_source"))).when(pooled >= MIN_GROUP, F.to_json(F.struct("q_lang"))).otherwise("*").alias("q_group"),
+        F.when(~F.col("small"), F.to_json(F.struct("q_lang", "q_source"))).when(pooled >= MIN_GROUP, F.concat(F.lit("small "), F.to_json(F.struct("q_lang")))).otherwise("*").alias("q_group"),
     )
     names = scratch.write(names, "groups")
     return rows.join(names, rows["q_lang"].eqNullSafe(names["g_lang"]) & rows["q_source"].eqNullSafe(names["g_source"]), "left").drop("g_lang", "g_source")
 
 
 def _factor(model: DataFrame, cov: Callable[[int, int], Column]) -> DataFrame:
-    """Adds the Cholesky factor ``l{i}{j}`` of the floored covariance."""
+    """Adds the Cholesky factor ``l{i}{j}`` of the floored and shrunk covariance."""
     out = model
     for i in range(_DIMS):
         for j in range(i + 1):
-            rest = cov(i, j) + (FLOOR[i] ** 2 if i == j else 0.0)
+            rest = F.greatest(cov(i, i), F.lit(FLOOR[i] ** 2)) if i == j else cov(i, j) * F.col("near") / (F.col("near") + PRIOR_ROWS)
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
@@ -155,16 +162,23 @@ def fit(rows: DataFrame, scratch: Scratch) -> DataFrame:
     spread = used.join(centre, "q_group").groupBy("q_group").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(_DIMS)], *[(1.4826 * median(F.abs(F.col(f"q_x{i}") - F.col(f"m{i}")))).alias(f"s{i}") for i in range(_DIMS)]
     )
+    spread = spread.withColumn("near", F.lit(0))
     model = scratch.write(_factor(spread, lambda i, j: F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)), "start")
     for _ in range(STEPS):
         far = _with_distance(used, model)
         limit = scratch.write(_bin_at(far, H, "limit"), "limit")
         near = far.join(limit, "q_group").where(_bin() <= F.col("limit"))
         moments = near.groupBy("q_group").agg(
+            F.count("*").alias("near"),
             *[F.avg(f"q_x{i}").alias(f"m{i}") for i in range(_DIMS)],
             *[F.covar_pop(f"q_x{i}", f"q_x{j}").alias(f"c{i}{j}") for i in range(_DIMS) for j in range(i + 1)],
         )
-        model = scratch.write(_factor(moments, lambda i, j: F.col(f"c{i}{j}")), "model")
+        before, model = model, scratch.write(_factor(moments, lambda i, j: F.col(f"c{i}{j}")), "model")
+        names = [c for c in model.columns if c != "q_group"]
+        both = model.join(before.toDF("q_group", *[f"{c}_before" for c in names]), "q_group")
+        moved = both.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"{c}_before")) for c in names]))).first()[0]
+        if moved is None or moved < SETTLED:
+            break
     middle = _bin_at(_with_distance(used, model), 0.5, "middle")
     scale = F.greatest(F.exp((F.col("middle") + 1) / _BINS_PER_E) / MEDIAN_CHI2, F.lit(1.0))
     return scratch.write(model.join(middle, "q_group").withColumn("scale", scale).drop("middle"), "fitted")

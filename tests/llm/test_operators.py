@@ -108,6 +108,59 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert {r.doc_id for r in quality.keep_good(df).collect()} == kept
 
 
+def _robust_distances(vectors):
+    """Plain concentration steps, on sorted distances."""
+    x = np.array(vectors)
+    floor = np.array(quality.FLOOR)
+    centre = np.round(np.median(x, axis=0), 2)
+    cov = np.diag(np.maximum(1.4826 * np.round(np.median(abs(x - centre), axis=0), 2), floor) ** 2)
+    for _ in range(quality.STEPS):
+        d2 = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+        near = x[d2 <= np.sort(d2)[math.ceil(quality.H * len(x)) - 1]]
+        new, spread = near.mean(axis=0), np.cov(near.T, bias=True)
+        next_cov = spread * len(near) / (len(near) + quality.PRIOR_ROWS)
+        np.fill_diagonal(next_cov, np.maximum(np.diag(spread), floor**2))
+        if np.allclose(new, centre) and np.allclose(next_cov, cov):
+            break
+        centre, cov = new, next_cov
+    d2 = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+    return d2 / max(1.0, np.median(d2) / quality.MEDIAN_CHI2)
+
+
+def test_quality_verdicts_against_plain_estimates(spark):
+    """Every language and source has estimates of its own; small groups go with their language."""
+    draw = random.Random(17)
+    word = lambda k: "".join(draw.choice("abcdefghijklmn") for _ in range(draw.randint(2, k)))
+    kinds = {("en", "a"): 7, ("en", "b"): 14, ("fr", "a"): 5, (None, None): 9}
+    rows = []
+    for (lang, source), longest in kinds.items():
+        for _ in range(70):
+            rows.append((len(rows), " ".join(word(longest) for _ in range(int(draw.lognormvariate(5.3, 0.5)) + 51)), lang, source))
+        for n in range(6):
+            mark = ("|", "", "###", "$")[n % 4]
+            line = "\n" + " ".join(word(longest) for _ in range(3))
+            rows.append((len(rows), " ".join(word(longest) + mark for _ in range(150)) + (line * 12 if n % 4 == 1 else ""), lang, source))
+    rows += [(len(rows) + i, " ".join(word(7) for _ in range(120)), "fr", f"small{i % 3}") for i in range(15)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.quality(df).collect()}
+    groups = {}
+    for i, _, lang, source in rows:
+        if not got[i].base_failed:
+            groups.setdefault((lang, "small" if source and source.startswith("small") else source), []).append(i)
+    rejected = 0
+    for ids in groups.values():
+        vectors = []
+        for i in ids:
+            n, share = got[i].n_words, lambda c, i=i: 100 * c / (1 + got[i].n_words)
+            vectors.append([math.log1p(n), math.log((1 + got[i].word_chars) / (1 + n)), math.log1p(share(got[i].n_symbols)), math.log1p(got[i].n_dup_lines), math.log1p(share(got[i].n_repeat_words))])
+        for i, d2 in zip(ids, _robust_distances(vectors)):
+            assert abs(got[i].distance - d2) <= 0.15 * d2 + 0.1
+            if not 0.8 * quality.CUTOFF < d2 < 1.2 * quality.CUTOFF:
+                assert got[i].kept == (d2 <= quality.CUTOFF)
+            rejected += d2 > quality.CUTOFF
+    assert 8 <= rejected <= 40
+
+
 def test_bpe_equals_library_and_round_trips(docs, rows, empty):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
@@ -304,14 +357,55 @@ def test_ann_recall_and_scores(spark):
     assert ann.search(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
-def test_licenses(docs, rows, empty):
-    model = licenses.train(docs)
-    found = {r.doc_id: r.families for r in licenses.license_scan(docs, classifier=model).collect()}
+@pytest.fixture(scope="module")
+def licence_model():
+    return licenses.Classifier([p for t in _texts() if t and "MIT" not in t for p in t[:5000].split("\n")])
+
+
+def test_licenses(docs, rows, empty, licence_model):
+    found = {r.doc_id: r.families for r in licenses.license_scan(docs, classifier=licence_model).collect()}
     assert {i: f for i, f in found.items() if f} == {next(i for i, t, *_ in rows if t and "MIT" in t): "mit"}
-    for family, texts in licenses.TEMPLATES.items():
-        assert [h[1] for t in texts[:1] for h in model.scan(f"some text\n{t}\nmore")] == [family]
-    assert not any(model.scan(d) for d in licenses.DECOYS)
-    assert licenses.license_scan(empty, classifier=model).count() == 0
+    assert not any(licence_model.scan(d) for d in licenses.DECOYS)
+    assert licenses.license_scan(empty, classifier=licence_model).count() == 0
+    trained = licenses.train(docs)
+    assert [h[1] for h in trained.scan("x\nReleased under the MIT License.\ny")] == ["mit"]
+    assert licenses.train(empty).scan("Released under the ISC License.")[0][1] == "isc"
+
+
+def test_licenses_tell_versions_and_variants_apart(licence_model):
+    for line, family in (
+        ("GNU General Public License, version 2", "gpl-2.0"), ("Licensed under the GNU LGPL 2.1", "lgpl-2.1"), ("Licensed under the Apache License, Version 1.1", "apache-1.1"),
+        ("CC BY-ND 4.0", "cc-by-nd"), ("Released under the ISC license", "isc"), ("SPDX-License-Identifier: AGPL-3.0-only", "agpl-3.0"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2.0"),
+        ("Licensed under the Apache License, Version 3.0", None), ("Licensed under the Artistic License 2.0", None), ("Licensed under the European Union Public Licence v1.2", None),
+        ("This work is licensed under a Creative Commons Attribution 3.0 Unported License", None), ("Licensed under the Academic Free License version 3.0", None),
+    ):
+        assert [h[1] for h in licence_model.scan(f"text\n{line}\nmore")] == ([family] if family else []), line
+
+
+def test_licenses_against_plain_scoring(licence_model):
+    """The scan equals a plain walk over all paragraphs with the same weights: no prefilter, no arrays."""
+    model = licence_model
+    draw = random.Random(3)
+    lines = [t for texts in licenses.TEMPLATES.values() for t in texts]
+    texts = [" ".join(w for w in draw.choice(lines).split() if draw.random() > cut) for cut in (0, 0.1, 0.3, 0.6) for _ in range(60)] + [t for t in _texts() if t and len(t) < 3000] + list(licenses.DECOYS)
+    grams = lambda ws: {*ws, *(" ".join(p) for p in zip(ws, ws[1:]))}
+    for text in texts:
+        want = []
+        for number, line in enumerate(text.split("\n")):
+            ws = licenses.words(line)
+            rows = [model.model.weights[model.model.index[g]] for g in grams(ws) if g in model.model.index] + [model.model.weights[-1]]
+            logits = [sum(r[c] for r in rows) / math.sqrt(len(rows)) / model.temperature for c in range(len(model.classes))]
+            top = max(logits)
+            odds = [math.exp(x - top) for x in logits]
+            chances = sorted(((o / sum(odds), model.classes[c]) for c, o in enumerate(odds) if c), reverse=True)
+            if 1 - odds[0] / sum(odds) < model.least:
+                continue
+            for chance, family in chances:
+                alike = [len(grams(ws) & grams(licenses.words(t))) / min(len(grams(ws)), len(grams(licenses.words(t)))) for t in licenses.TEMPLATES[family] if licenses.marks(ws) == licenses.marks(licenses.words(t)) and len(grams(ws) & grams(licenses.words(t))) > 2]
+                if chance >= licenses.TRIED * chances[0][0] and alike and max(alike) >= licenses.SIMILARITY:
+                    want.append((number, family))
+                    break
+        assert [h[:2] for h in model.scan(text)] == want, text
 
 
 def _fingerprint_brute(text):
@@ -367,8 +461,8 @@ def test_simhash_links_by_pairs_and_by_neighbours(spark, limit):
     assert classes([(n % (1 << 64), r) for n, r in got.items()]) == want
 
 
-def test_licenses_find_every_template_with_marks():
-    model = licenses.Classifier([p for t in _texts() if t and "MIT" not in t for p in t[:5000].split("\n")])
+def test_licenses_find_every_template_with_marks(licence_model):
+    model = licence_model
     marks = ("{}", "// {}", "# {}", " * {}", "/* {} */", "<!-- {} -->", "({})", "**{}**", '"{}"')
     for family, texts in licenses.TEMPLATES.items():
         for text in texts:
