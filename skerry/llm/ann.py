@@ -117,11 +117,11 @@ def _best(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray,
     return rows, cols, (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
 
 
-def _pack(rows: DataFrame, block: int, dim: int, keys: list[str]) -> DataFrame:
+def _pack(rows: DataFrame, block: int, dim: int, keys: list[str], kind: type) -> DataFrame:
     """One row for up to ``block`` rows of equal ``keys``: ids and a matrix as bytes."""
 
     def run(table: pa.Table) -> pa.Table:
-        vectors = _matrix(table.column("vector").combine_chunks(), dim).astype(np.float32)
+        vectors = _matrix(table.column("vector").combine_chunks(), dim).astype(kind)
         ids = table.column("vid").to_numpy()
         order = np.argsort(ids, kind="stable")
         starts = range(0, len(ids), block)
@@ -133,14 +133,14 @@ def _pack(rows: DataFrame, block: int, dim: int, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).applyInArrow(run, schema)
 
 
-def _meet(pairs: DataFrame, dim: int, k: int) -> DataFrame:
+def _meet(pairs: DataFrame, dim: int, k: int, kind: type) -> DataFrame:
     """Best ``k`` of each meeting of a query block and a vector block: ``qid, vid, score``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 get = lambda c: batch.column(c)[i]  # noqa: B023, E731
-                queries, vectors = (np.frombuffer(get(c).as_py(), dtype=np.float32).reshape(-1, dim) for c in ("q_matrix", "matrix"))
+                queries, vectors = (np.frombuffer(get(c).as_py(), dtype=kind).reshape(-1, dim) for c in ("q_matrix", "matrix"))
                 rows, cols, scores = _best(queries, vectors, k)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(get("qids").values.to_numpy()[rows]), pa.array(get("vids").values.to_numpy()[cols]), pa.array(scores)], names=["qid", "vid", "score"]
@@ -164,12 +164,14 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     """
     spark = table.sparkSession
     scratch = Scratch(spark, "ann")
-    rows = table.select(table[id_col].cast("long").alias("id"), table[vector_col].cast("array<float>").alias("vector")).where("id is not null and vector is not null")
+    double = getattr(table.schema[vector_col].dataType.elementType, "typeName", str)() not in ("float", "byte", "short")  # scores are of the original vectors
+    kind, name = (np.float64, "double") if double else (np.float32, "float")
+    rows = table.select(table[id_col].cast("long").alias("id"), table[vector_col].cast(f"array<{name}>").alias("vector")).where("id is not null and vector is not null")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = rows.where(F.forall("vector", finite) & F.exists("vector", lambda x: x != 0))
     length = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = length["d"] if length else 1
-    rows = rows.where(F.size("vector") == dim).withColumn("vector", F.transform("vector", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x)))  # one zero
+    rows = rows.where(F.size("vector") == dim).withColumn("vector", F.transform("vector", lambda x: F.when(x == 0, F.lit(0.0).cast(name)).otherwise(x)))  # one zero
     # a vector's k + 1 smallest ids are all that any query can return of it
     few = rows.dropDuplicates(["vector", "id"]).withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("n") <= k + 1)
     vectors = scratch.write(few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("vid", F.col("ids")[0]), "vectors")
@@ -185,14 +187,14 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
             leaf = shared.value.leaf_of(_unit(_matrix(batch.column("vector"), dim)))
             yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column("vid"), batch.column("vector")], names=["leaf", "vid", "vector"])
 
-    placed = vectors.select("vid", "vector").mapInArrow(place, "leaf int, vid bigint, vector array<float>")
+    placed = vectors.select("vid", "vector").mapInArrow(place, f"leaf int, vid bigint, vector array<{name}>")
     count = vectors.count()
     salts = 1 + count // (16 * BLOCK)  # a crowded leaf is packed by several tasks
-    blocks = scratch.write(_pack(placed.withColumn("salt", F.pmod(F.xxhash64("vid"), F.lit(salts))), BLOCK, dim, ["leaf", "salt"]), "blocks")
+    blocks = scratch.write(_pack(placed.withColumn("salt", F.pmod(F.xxhash64("vid"), F.lit(salts))), BLOCK, dim, ["leaf", "salt"], kind), "blocks")
 
     tried = bounded_sample(asked, "vid", CALIBRATION_QUERIES, seed=1).select("vid", "vector").toArrow()
-    probes = _matrix(tried.column("vector").combine_chunks(), dim) if tried.num_rows else np.zeros((0, dim), np.float32)
-    visits = _calibrate(blocks, tried.column("vid").to_numpy(), probes, tree, k, recall, dim)
+    probes = _matrix(tried.column("vector").combine_chunks(), dim) if tried.num_rows else np.zeros((0, dim), kind)
+    visits = _calibrate(blocks, tried.column("vid").to_numpy(), probes, tree, k, recall, dim, kind)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,10 +206,10 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
                 yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), *(batch.column(c).take(again) for c in ("vid", "vector"))], names=["leaf", "vid", "vector"])
 
     parts = 1 + asked.count() // QUERY_BLOCK
-    visiting = asked.select("vid", "vector").mapInArrow(ask, "leaf int, vid bigint, vector array<float>")
-    asking = _pack(visiting.withColumn("part", F.pmod(F.xxhash64("vid"), F.lit(parts))), QUERY_BLOCK, dim, ["leaf", "part"])
+    visiting = asked.select("vid", "vector").mapInArrow(ask, f"leaf int, vid bigint, vector array<{name}>")
+    asking = _pack(visiting.withColumn("part", F.pmod(F.xxhash64("vid"), F.lit(parts))), QUERY_BLOCK, dim, ["leaf", "part"], kind)
     pairs = asking.select("leaf", F.col("vids").alias("qids"), F.col("matrix").alias("q_matrix")).join(blocks, "leaf")
-    found = scratch.write(_top(_meet(pairs, dim, k + 1), k + 1), "found")
+    found = scratch.write(_top(_meet(pairs, dim, k + 1, kind), k + 1), "found")
     named = found.join(vectors.select("vid", "ids"), "vid").select("qid", "score", F.explode("ids").alias("vec_id"))
     wanted = queries.join(vectors.select("vector", F.col("vid").alias("qid")), "vector").select("query_id", "qid")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -215,7 +217,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _calibrate(blocks: DataFrame, qids: np.ndarray, probes: np.ndarray, tree: Tree, k: int, recall: float, dim: int) -> int:
+def _calibrate(blocks: DataFrame, qids: np.ndarray, probes: np.ndarray, tree: Tree, k: int, recall: float, dim: int, kind: type) -> int:
     """Leaf visits at which the wanted share of the probes' true neighbours is found."""
     if not len(qids):
         return tree.leaves
@@ -223,7 +225,7 @@ def _calibrate(blocks: DataFrame, qids: np.ndarray, probes: np.ndarray, tree: Tr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                vectors = np.frombuffer(batch.column("matrix")[i].as_py(), dtype=np.float32).reshape(-1, dim)
+                vectors = np.frombuffer(batch.column("matrix")[i].as_py(), dtype=kind).reshape(-1, dim)
                 rows, cols, scores = _best(probes, vectors, k + 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(qids[rows]), pa.array(batch.column("vids")[i].values.to_numpy()[cols]), pa.array(scores), pa.array(np.full(len(rows), batch.column("leaf")[i].as_py()), pa.int32())],

@@ -580,3 +580,14 @@ def test_deduplicate_finds_similar_texts(spark):
     near = [i for i in range(60) if index(i, i + 60) >= 0.8]
     assert len(near) > 40 and sum(i + 60 not in kept for i in near) >= 0.9 * len(near)
     assert all(index(i - 60, i) >= 0.8 for i in range(60, 120) if i not in kept)
+
+
+def test_ann_scores_of_double_vectors(spark):
+    """Vectors that differ beyond single precision are told apart and scored as they are."""
+    draw = np.random.default_rng(2)
+    vectors = draw.normal(size=(120, 8))
+    vectors[7] = vectors[0] + 1e-12
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>"))
+    for r in got.collect():
+        a, b = vectors[r.query_id], vectors[r.vec_id]
+        assert r.score == pytest.approx(float(a @ b / np.sqrt((a @ a) * (b @ b))), abs=1e-15)
