@@ -314,3 +314,66 @@ def test_mapping_moves_the_poles(spark):
     assert got[0].lat == pytest.approx(90.0, abs=1e-6)
     lon, lat = models.two_pole_mapping(F.col("lon"), F.col("lat"), (0.0, 89.9999), (180.0, -89.9999))
     assert at.select(lat.alias("lat")).collect()[1].lat == pytest.approx(10.0, abs=1e-3)
+
+
+def test_tiles_give_the_analysis_by_point(spark):
+    """Tile by tile or point by point the filter is the same; so is a prior inflated by a coefficient or by hand."""
+    from skerry.operators import grid as grids
+    from skerry.operators import inflation
+    from skerry.plans.analysis import Settings, analyse
+
+    draw = np.random.default_rng(5)
+    square = grids.Grid(9, 7)
+    state = spark.createDataFrame([(loc, mem, float(v)) for loc, row in enumerate(draw.normal(size=(63, 6))) for mem, v in enumerate(row)], "loc bigint, mem int, value double")
+    obs = spark.createDataFrame([(k, float(x), float(y), float(o), 0.3) for k, (x, y, o) in enumerate(zip(draw.uniform(0, 8, 12), draw.uniform(0, 6, 12), draw.normal(size=12)))], "obs_id bigint, x double, y double, obs double, err_std double")
+    rows = lambda out: {(r.loc, r.mem): r.value for r in out.post.collect()}
+    whole = rows(analyse(state, obs, square, Settings(roi=2.5)))
+    for side in (2, 4):
+        tiled = rows(analyse(state, obs, square, Settings(roi=2.5, tile=side)))
+        assert tiled.keys() == whole.keys() and all(abs(tiled[k] - whole[k]) < 1e-9 for k in whole)
+    given = rows(analyse(state, obs, square, Settings(roi=2.5, prior="prior,multiplicative", prior_coef=1.3)))
+    by_hand = rows(analyse(inflation.multiplicative(state, 1.3, ["loc"]), obs, square, Settings(roi=2.5)))
+    assert all(abs(given[k] - by_hand[k]) < 1e-9 for k in given)
+    adaptive = analyse(state, obs, square, Settings(roi=2.5, prior="prior,multiplicative", post="post,multiplicative"))
+    assert len(rows(adaptive)) == 63 * 6
+    with pytest.raises(ValueError):
+        analyse(state, obs, square, Settings(prior="post,rtpp"))
+
+
+def test_network_places_every_observation(spark):
+    from skerry.operators import grid as grids
+    from skerry.operators import network
+
+    square = grids.Grid(30, 30)
+    open_ = {31, 62, 450}
+    masked = square.points(spark).where(~F.col("loc").isin(*open_)).select("loc")
+    placed = grids.find_cell(network.network(spark, 200, square, masked), square).collect()
+    assert len(placed) == 200 and {r.nearest for r in placed} <= open_
+    with pytest.raises(ValueError):
+        network.network(spark, 5, square, square.points(spark).select("loc"))
+
+
+def test_displacements_have_their_size_and_no_divergence(spark):
+    from skerry.operators import spectral
+
+    keys = spark.createDataFrame([(0,), (3,)], "mem int")
+    flow = spectral.displacement_fields(keys, ["mem"], 16, 20, 0.7, 4.0).toPandas()
+    for _, part in flow.groupby("mem"):
+        u, v = (part.pivot(index="j", columns="i", values=c).to_numpy() for c in "uv")
+        assert abs(np.sqrt((u**2 + v**2).mean()) - 0.7) < 1e-9
+        assert abs((np.roll(u, -1, 1) - np.roll(u, 1, 1)) / 2 + (np.roll(v, -1, 0) - np.roll(v, 1, 0)) / 2).max() < 1e-9
+    shore = spark.createDataFrame([(i, j, float(i)) for i in range(20) for j in range(16)], "i int, j int, gap double")
+    still = spectral.displacement_fields(keys, ["mem"], 16, 20, 0.7, 4.0, shore, 5.0).where("i = 0").toPandas()
+    assert (still[["u", "v"]].abs() == 0).all().all()
+
+
+def test_observation_operators_by_name(spark):
+    from skerry.operators import observe
+
+    assert {"identity", "speed", "total", "displacement"} <= set(observe.OPERATORS)
+    with pytest.raises(NotImplementedError):
+        observe.OPERATORS["radiance"]
+    rows = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (2, 0, 1.0), (2, 1, None)], "obs_id bigint, mem int, value double")
+    assert {r.obs_id for r in observe.complete(rows, 2).collect()} == {1}
+    with pytest.raises(ValueError):
+        observe.complete(rows, 3)
