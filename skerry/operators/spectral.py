@@ -33,7 +33,7 @@ def power_spectrum(fields: DataFrame, by: list[str], ny: int, nx: int) -> DataFr
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         power = (np.abs(np.fft.fft2(_field(rows, ny, nx))) / (ny * nx)) ** 2
-        k = np.ceil(wavenumbers(ny, nx)).astype(int)
+        k = np.ceil(np.round(wavenumbers(ny, nx), 9)).astype(int)
         out = pd.DataFrame({"k": k.ravel(), "power": power.ravel()}).groupby("k", as_index=False).mean()
         out = out[out["k"] < max(ny, nx) // 2]
         for c in by:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.operators import grid as grids
-from skerry.operators import inflation, kernels, local, serial, stats
+from skerry.operators import inflation, kernels, local, serial, spectral, stats
+from skerry.sources.tables import StateStore
 
 
 @dataclass(frozen=True)
@@ -92,3 +93,30 @@ def analyse(state: DataFrame, obs: DataFrame, grid: grids.Grid, settings: Settin
             met = post.join(blended, ["loc", "mem"]).crossJoin(F.broadcast(alpha))
             post = met.select("loc", "mem", (F.col("value") + F.col("alpha") * (F.col("full") - F.col("value"))).alias("value"))
     return Analysis(prior, post, stats.increments(prior, post, ["loc", "mem"]), sums)
+
+
+def analyse_scales(state: DataFrame, obs: DataFrame, grid: grids.Grid, rois: list[float], cutoffs: list[float], method: str = "etkf") -> DataFrame:
+    """The posterior ``loc, mem, value`` of a filter that works scale by scale, a radius for each scale.
+
+    In each pass the observations meet the whole state that the pass before left; the weights they give,
+    localized by the scale's radius, are applied to that scale's component only, and its increment is
+    added to the state. ``cutoffs`` are the wavenumbers between the scales; without any, one pass is the
+    usual analysis. The state is written between passes, so lineage stays short.
+    """
+    if len(rois) != len(cutoffs) + 1:
+        raise ValueError(f"{len(rois)} radii for {len(cutoffs) + 1} scales")
+    spark = state.sparkSession
+    store = StateStore.temporary(spark)
+    points = grid.points(spark).select("loc", "i", "j", "x", "y")
+    now = state.select("loc", "mem", "value")
+    for scale, roi in enumerate(rois):
+        part = now
+        if cutoffs:
+            field = now.join(points, "loc").select("mem", "i", "j", "value")
+            part = spectral.scale_component(field, ["mem"], grid.ny, grid.nx, cutoffs, scale)
+            part = part.select((F.col("j") * grid.nx + F.col("i")).cast("bigint").alias("loc"), "mem", "value")
+        members = stats.packed(at_observations(now, obs, grid), "obs_id", "value", "priors")
+        pairs = local.localize(points, obs, roi)
+        post = kernels.local_analysis(part, obs.select("obs_id", "obs", "err_std").join(members, "obs_id"), pairs, method)
+        now = store.write(stats.write_back(now, stats.increments(part, post, ["loc", "mem"]), ["loc", "mem"]), scale, "state")
+    return now

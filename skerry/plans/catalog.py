@@ -627,15 +627,21 @@ def write_back(spark, sf_dir):
 # spectra, perturbations, models
 
 
-@query(f"""WITH {_ENS}, f AS (SELECT mem, i, j, value FROM ens WHERE i < 16 AND j < 16 AND mem < 2), k AS (SELECT CASE WHEN a < 8 THEN a ELSE a - 16 END AS kx, CASE WHEN b < 8 THEN b ELSE b - 16 END AS ky FROM range(16) AS r(a), range(16) AS s(b)),
-d AS (SELECT mem, kx, ky, sum(value * cos(2 * pi() * (kx * i + ky * j) / 16)) AS re, sum(value * sin(2 * pi() * (kx * i + ky * j) / 16)) AS im FROM f, k GROUP BY mem, kx, ky)
-SELECT mem, ceil(sqrt(kx * kx + ky * ky))::INT AS k, round(avg((re * re + im * im) / 65536), 9) AS power FROM d GROUP BY ALL HAVING ceil(sqrt(kx * kx + ky * ky))::INT < 8""".replace("GROUP BY ALL HAVING ceil(sqrt(kx * kx + ky * ky))::INT < 8", "WHERE ceil(sqrt(kx * kx + ky * ky)) < 8 GROUP BY ALL"))
+_MODES = f"""n AS (SELECT {_NY} AS ny, greatest(25, {_NY}) AS n, count(*) AS points FROM embeddings), f AS (SELECT CASE WHEN 2 * a < 25 THEN a ELSE a - 25 END / 25 AS fx, CASE WHEN 2 * b < ny THEN b ELSE b - ny END / ny AS fy, n, ny FROM n, range(25) AS r(a), range((SELECT ny FROM n)) AS s(b)),
+k AS (SELECT fx, fy, n, ny, round(sqrt(fx * fx + fy * fy) * n, 9) AS k FROM f)"""
+_BAND = "CASE WHEN k <= {b} / 1.5 THEN 1 WHEN k >= {b} * 1.5 THEN 0 ELSE cos(pi() / 2 * (k - {b} / 1.5) / ({b} * 1.5 - {b} / 1.5)) ** 2 END"
+
+
+@query(f"""WITH {_ENS}, {_MODES}, d AS (SELECT mem, k, fx, fy, any_value(n) AS n, sum(value * cos(2 * pi() * (fx * i + fy * j))) AS re, sum(value * sin(2 * pi() * (fx * i + fy * j))) AS im FROM ens, k GROUP BY mem, k, fx, fy)
+SELECT mem, ceil(k)::INT AS k, round(avg((re * re + im * im) / (SELECT points * points FROM n)), 9) AS power FROM d WHERE ceil(k) < n // 2 GROUP BY mem, ceil(k)""")
 def power_spectrum(spark, sf_dir):
-    field = carriers.ensemble(spark, sf_dir).where("i < 16 and j < 16 and mem < 2").select("mem", "i", "j", "value")
-    return _round(spectral.power_spectrum(field, ["mem"], 16, 16), "power", digits=9)
+    field = carriers.ensemble(spark, sf_dir).select("mem", "i", "j", "value")
+    return _round(spectral.power_spectrum(field, ["mem"], carriers.rows(spark, sf_dir), carriers.NX), "power", digits=9)
 
 
-@query()
+@query(f"""WITH {_ENS}, {_MODES}, r AS (SELECT fx, fy, {_BAND.format(b="8.0")} - {_BAND.format(b="3.0")} AS part FROM k), m AS (SELECT * FROM r WHERE part <> 0),
+d AS (SELECT mem, fx, fy, part, sum(value * cos(2 * pi() * (fx * i + fy * j))) AS re, sum(value * sin(2 * pi() * (fx * i + fy * j))) AS im FROM ens, m GROUP BY mem, fx, fy, part)
+SELECT mem, i, j, round(sum(part * (re * cos(2 * pi() * (fx * i + fy * j)) + im * sin(2 * pi() * (fx * i + fy * j)))) / (SELECT points FROM n), 6) + 0.0 AS value FROM d, (SELECT i, j FROM ens WHERE mem = 0) GROUP BY mem, i, j""")
 def bandpass(spark, sf_dir):
     field = carriers.ensemble(spark, sf_dir).select("mem", "i", "j", "value")
     return _round(spectral.scale_component(field, ["mem"], carriers.rows(spark, sf_dir), carriers.NX, [3.0, 8.0], 1), "value")

@@ -377,3 +377,42 @@ def test_observation_operators_by_name(spark):
     assert {r.obs_id for r in observe.complete(rows, 2).collect()} == {1}
     with pytest.raises(ValueError):
         observe.complete(rows, 3)
+
+
+def test_analysis_by_scales(spark):
+    from skerry.operators import grid as grids
+    from skerry.plans.analysis import Settings, analyse, analyse_scales
+
+    draw = np.random.default_rng(8)
+    square = grids.Grid(8, 8)
+    state = spark.createDataFrame([(loc, mem, float(v)) for loc, row in enumerate(draw.normal(size=(64, 5))) for mem, v in enumerate(row)], "loc bigint, mem int, value double")
+    obs = spark.createDataFrame([(k, float(x), float(y), float(o), 0.3) for k, (x, y, o) in enumerate(zip(draw.uniform(0, 7, 8), draw.uniform(0, 7, 8), draw.normal(size=8)))], "obs_id bigint, x double, y double, obs double, err_std double")
+    rows = lambda df: {(r.loc, r.mem): r.value for r in df.collect()}
+    one, usual = rows(analyse_scales(state, obs, square, [2.5], [])), rows(analyse(state, obs, square, Settings(roi=2.5)).post)
+    assert all(abs(one[k] - usual[k]) < 1e-9 for k in usual)
+    two, before = rows(analyse_scales(state, obs, square, [4.0, 1.5], [2.0])), rows(state)
+    assert two.keys() == before.keys() and any(abs(two[k] - before[k]) > 1e-3 for k in two)
+    with pytest.raises(ValueError):
+        analyse_scales(state, obs, square, [1.0], [2.0])
+
+
+def test_perturbations_over_cycles(spark):
+    from skerry.operators import grid as grids
+    from skerry.plans.perturb import Perturbation, options, perturb
+
+    assert options(Perturbation("a", 2.0, 3.0, 4.0)) == (["a"], [[2.0]], [3.0], [4.0])
+    assert options(Perturbation(["a", "b"], [[1, 2], 3], [4, 5], 6))[1] == [[1.0, 2.0], [3.0, 3.0]]
+    with pytest.raises(ValueError):
+        options(Perturbation(["a", "b"], [1, 2, 3], 4, 5))
+    with pytest.raises(ValueError):
+        options(Perturbation("a", 1, [1, 2, 3], [1, 2]))
+    square, store = grids.Grid(12, 10), tables.StateStore.temporary(spark)
+    zero = spark.range(2 * 120).selectExpr("if(id < 120, 'p', 'other') name", "cast(id % 120 % 12 as int) i", "cast(floor(id % 120 / 12) as int) j").crossJoin(spark.range(3).selectExpr("cast(id as int) mem", "0.0D value"))
+    defs = [Perturbation("p", [[0.5, 0.2]], [4.0, 2.0], [12.0, 6.0], bounds={"p": (-0.6, None)}, wind_from="p")]
+    runs = [perturb(zero, defs, square, store, c, 6.0).toPandas() for c in (0, 1)]
+    for out in runs:
+        assert len(out) == 720 and (out[out.name == "other"].value == 0).all() and out.value.min() >= -0.6 and out[out.name == "p"].value.std() > 0.2
+    first, second = (r[r.name == "p"].sort_values(["mem", "i", "j"]).value.to_numpy() for r in runs)
+    assert np.corrcoef(first, second)[0, 1] > 0.3  # what is remembered
+    again = perturb(zero, defs, square, store, 1, 6.0).toPandas()
+    assert np.allclose(again[again.name == "p"].sort_values(["mem", "i", "j"]).value, second)
