@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.operators import grid as grids
-from skerry.operators import inflation, kernels, local, serial, spectral, stats
+from skerry.operators import inflation, kernels, local, localization, serial, spectral, stats
 from skerry.sources.tables import StateStore
 
 
@@ -120,3 +120,20 @@ def analyse_scales(state: DataFrame, obs: DataFrame, grid: grids.Grid, rois: lis
         post = kernels.local_analysis(part, obs.select("obs_id", "obs", "err_std").join(members, "obs_id"), pairs, method)
         now = store.write(stats.write_back(now, stats.increments(part, post, ["loc", "mem"]), ["loc", "mem"]), scale, "state")
     return now
+
+
+def analyse_records(state: DataFrame, state_records: DataFrame, obs: DataFrame, obs_records: DataFrame, observed: DataFrame, grid: grids.Grid, method: str = "etkf", max_obs: int | None = None) -> DataFrame:
+    """The posterior ``rec, loc, mem, value`` of fields on several levels, times and variables.
+
+    ``state(rec, loc, mem, value)`` has the fields of ``state_records(rec, name, z, t)``, ``obs(obs_id,
+    obs_rec, x, y, z, t, obs, err_std)`` the observations of ``obs_records``, ``observed(obs_id, mem,
+    value)`` their members. Factors of all three directions and the impact on the variable decide what an
+    observation does to a record; a record without any stays unchanged.
+    """
+    points = grid.points(state.sparkSession).select("loc", "x", "y")
+    size = grid.nx * grid.ny
+    placed = lambda df: df.withColumn("loc", F.col("rec") * F.lit(size).cast("bigint") + F.col("loc"))
+    pairs = placed(localization.factors(points, state_records, obs, obs_records)).select("loc", "obs_id", "rho")
+    members = obs.select("obs_id", "obs", "err_std").join(stats.packed(observed, "obs_id", "value", "priors"), "obs_id")
+    post = kernels.local_analysis(placed(state).select("loc", "mem", "value"), members, pairs, method, max_obs)
+    return post.select(F.floor(F.col("loc") / size).cast("int").alias("rec"), (F.col("loc") % size).alias("loc"), "mem", "value")

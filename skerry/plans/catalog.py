@@ -973,6 +973,22 @@ def error_correlation(spark, sf_dir):
     return localization.cross_correlation(_records(spark)[0], given)
 
 
+@query(f"""WITH {_ENS}, {_ONE}, recs AS (SELECT * FROM (VALUES (0, 0.0, 0.0, 1.0), (1, 10.0, 6.0, 0.5)) AS t(rec, z, t, hit)), v AS (SELECT rec, hit, t, greatest(2 * abs(z - 4) / 12, 1e-10) AS r FROM recs), f AS (SELECT rec, hit * exp(-t / 24) * ({_GC}) AS f FROM v),
+rr AS (SELECT rec, loc, rho * f AS rho FROM rho, f WHERE rho * f > 0), st AS (SELECT 0 AS rec, loc, mem, value FROM ens UNION ALL SELECT 1, loc, mem, 2 * value FROM ens),
+s AS (SELECT rec, loc, mem, (prior - mb) * rr.rho / err / sqrt(19) AS s, (obs - mb) * rr.rho / err / sqrt(19) AS dy FROM hx, m, one, rr), q AS (SELECT rec, loc, sum(s * s) AS q FROM s GROUP BY rec, loc), xs AS (SELECT rec, loc, sum(value * s) AS xs FROM st JOIN s USING (rec, loc, mem) GROUP BY rec, loc)
+SELECT e.rec, e.loc, e.mem, round(CASE WHEN s.s IS NULL THEN value ELSE value + xs * dy / (1 + q) + (1 / sqrt(1 + q) - 1) / q * xs * s.s END, 6) + 0.0 AS value FROM st e LEFT JOIN s USING (rec, loc, mem) LEFT JOIN q USING (rec, loc) LEFT JOIN xs USING (rec, loc)""")
+def etkf_records_one_obs(spark, sf_dir):
+    from skerry.plans.analysis import analyse_records
+
+    ens, prior, _, _ = _one(spark, sf_dir)
+    state = ens.select(F.lit(0).alias("rec"), "*").union(ens.select(F.lit(1), "loc", "mem", 2 * F.col("value")))
+    state_records = spark.createDataFrame([(0, "a", 0.0, 0.0), (1, "b", 10.0, 6.0)], "rec int, name string, z double, t double")
+    obs_records = spark.createDataFrame([("one", 5.0, 12.0, 24.0, {"b": 0.5})], "obs_rec string, hroi double, vroi double, troi double, impact map<string, double>")
+    obs = spark.createDataFrame([(0, "one", 12.0, 12.0, 4.0, 0.0, 0.3, 0.1)], "obs_id bigint, obs_rec string, x double, y double, z double, t double, obs double, err_std double")
+    observed = prior.select(F.lit(0).cast("bigint").alias("obs_id"), "mem", F.col("prior").alias("value"))
+    return _round(analyse_records(state, state_records, obs, obs_records, observed, GRID(spark, sf_dir)), "value")
+
+
 def _batch_one(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     """The one observation at the point 312, analysed tile by tile."""
     ens, prior, obs, _ = _one(spark, sf_dir)
