@@ -32,7 +32,7 @@ H = 0.75
 MIN_GROUP = 12
 PRIOR_ROWS = 10
 #: Concentration steps at most, and the change of any estimate below which they end: the histogram's bins blur no less.
-STEPS, SETTLED = 12, 5e-3
+STEPS, SETTLED = 8, 2e-2
 #: Squared distance that a normal vector of five dimensions exceeds with a chance of 1e-6.
 CUTOFF = 35.9
 #: Least standard deviations: words, word length, symbols, repeated lines, repeated words.
@@ -129,15 +129,19 @@ def _factor(model: DataFrame, cov: Callable[[int, int], Column]) -> DataFrame:
 
 
 def _with_distance(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Adds ``q_d2``, the squared Mahalanobis distance under the row's group."""
-    out = rows.join(model, "q_group", "left")
+    """Adds ``q_d2``, the squared Mahalanobis distance under the row's group, and ``q_e0..``, what the vector is off the mean."""
+    out = rows.join(model.select("q_group", *_PARAMETERS), "q_group", "left").withColumns({f"q_e{i}": F.col(f"q_x{i}") - F.col(f"m{i}") for i in range(_DIMS)})
     for i in range(_DIMS):
-        rest = F.col(f"q_x{i}") - F.col(f"m{i}")
+        rest = F.col(f"q_e{i}")
         for j in range(i):
             rest = rest - F.col(f"l{i}{j}") * F.col(f"y{j}")
         out = out.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
     distance = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, _DIMS)), F.col("y0") * F.col("y0"))
-    return out.select(*rows.columns, distance.alias("q_d2"))
+    return out.select(*rows.columns, *[f"q_e{i}" for i in range(_DIMS)], distance.alias("q_d2"))
+
+
+_LOWER = [(i, j) for i in range(_DIMS) for j in range(i + 1)]
+_PARAMETERS = [*[f"m{i}" for i in range(_DIMS)], *[f"l{i}{j}" for i, j in _LOWER]]
 
 
 def _bin() -> Column:
@@ -153,6 +157,26 @@ def _bin_at(far: DataFrame, share: float, name: str) -> DataFrame:
     )
 
 
+def _concentrated(far: DataFrame, model: DataFrame) -> DataFrame:
+    """The next estimates, from the share ``H`` of each group's rows that is nearest, and how far they ``moved``.
+
+    One pass: counts and moments are summed up by group and bin of the distance, and the bins up to the
+    share then added.
+    """
+    offs = {f"s{i}": F.col(f"q_e{i}") for i in range(_DIMS)} | {f"p{i}{j}": F.col(f"q_e{i}") * F.col(f"q_e{j}") for i, j in _LOWER}
+    bins = far.groupBy("q_group", _bin().alias("bin")).agg(F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in offs.items()])
+    w = Window.partitionBy("q_group")
+    before = F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = bins.withColumn("before", before).withColumn("all", F.sum("n").over(w)).where(F.col("before") < H * F.col("all"))
+    sums = near.groupBy("q_group").agg(F.sum("n").alias("near"), *[F.sum(k).alias(k) for k in offs])
+    old = model.select("q_group", *[F.col(c).alias(f"old_{c}") for c in _PARAMETERS])
+    mean = lambda i: F.col(f"s{i}") / F.col("near")
+    moments = sums.join(old, "q_group").withColumns({f"m{i}": F.col(f"old_m{i}") + mean(i) for i in range(_DIMS)})
+    new = _factor(moments, lambda i, j: F.col(f"p{i}{j}") / F.col("near") - mean(i) * mean(j))
+    moved = F.greatest(*[F.abs(F.col(c) - F.col(f"old_{c}")) for c in _PARAMETERS])
+    return new.join(old, "q_group").select("q_group", *_PARAMETERS, moved.alias("moved"))
+
+
 def fit(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Estimates by group of grouped rows: mean, Cholesky factor of the covariance and a scale."""
     used = rows.where("not q_base_failed")
@@ -162,26 +186,16 @@ def fit(rows: DataFrame, scratch: Scratch) -> DataFrame:
     spread = used.join(centre, "q_group").groupBy("q_group").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(_DIMS)], *[(1.4826 * median(F.abs(F.col(f"q_x{i}") - F.col(f"m{i}")))).alias(f"s{i}") for i in range(_DIMS)]
     )
-    spread = spread.withColumn("near", F.lit(0))
+    spread = spread.withColumn("near", F.lit(0))  # no correlations yet
     model = scratch.write(_factor(spread, lambda i, j: F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)), "start")
     for _ in range(STEPS):
-        far = _with_distance(used, model)
-        limit = scratch.write(_bin_at(far, H, "limit"), "limit")
-        near = far.join(limit, "q_group").where(_bin() <= F.col("limit"))
-        moments = near.groupBy("q_group").agg(
-            F.count("*").alias("near"),
-            *[F.avg(f"q_x{i}").alias(f"m{i}") for i in range(_DIMS)],
-            *[F.covar_pop(f"q_x{i}", f"q_x{j}").alias(f"c{i}{j}") for i in range(_DIMS) for j in range(i + 1)],
-        )
-        before, model = model, scratch.write(_factor(moments, lambda i, j: F.col(f"c{i}{j}")), "model")
-        names = [c for c in model.columns if c != "q_group"]
-        both = model.join(before.toDF("q_group", *[f"{c}_before" for c in names]), "q_group")
-        moved = both.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"{c}_before")) for c in names]))).first()[0]
+        model = scratch.write(_concentrated(_with_distance(used, model), model), "model")
+        moved = model.agg(F.max("moved")).first()[0]
         if moved is None or moved < SETTLED:
             break
     middle = _bin_at(_with_distance(used, model), 0.5, "middle")
     scale = F.greatest(F.exp((F.col("middle") + 1) / _BINS_PER_E) / MEDIAN_CHI2, F.lit(1.0))
-    return scratch.write(model.join(middle, "q_group").withColumn("scale", scale).drop("middle"), "fitted")
+    return scratch.write(model.select("q_group", *_PARAMETERS).join(middle, "q_group").withColumn("scale", scale).drop("middle"), "fitted")
 
 
 def judge(rows: DataFrame, model: DataFrame) -> DataFrame:
