@@ -71,7 +71,15 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_byte_bpe, op4_lm_scoring, op5_sharding, op6_secret_scans, op7_mixing, op8_ann_search, op9_license_scans, op10_simhash_near_dedup)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from skerry.llm.token_files import tokenise_write_read
+
+    return tokenise_write_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_byte_bpe, op4_lm_scoring, op5_sharding, op6_secret_scans, op7_mixing, op8_ann_search, op9_license_scans, op10_simhash_near_dedup, op11_token_files)}
 #: The other operators fit models, draw at random, search approximately or hash by functions that SQL lacks; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """WITH p AS (SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS h FROM pages),
