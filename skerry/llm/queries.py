@@ -87,7 +87,13 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_byte_bpe, op4_lm_scoring, op5_sharding, op6_secret_scans, op7_mixing, op8_ann_search, op9_license_scans, op10_simhash_near_dedup, op11_token_files, op12_token_alignment)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skerry.llm.repair import repair
+
+    return repair(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_byte_bpe, op4_lm_scoring, op5_sharding, op6_secret_scans, op7_mixing, op8_ann_search, op9_license_scans, op10_simhash_near_dedup, op11_token_files, op12_token_alignment, op13_conversation_repair)}
 #: The other operators fit models, draw at random, search approximately or hash by functions that SQL lacks; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """WITH p AS (SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS h FROM pages),
