@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from skerry.llm.chunks import ChunkMemo, batches
 from skerry.llm.scratch import Scratch
+from skerry.llm.token_files import character_bytes
 
 BATCH_ROWS, BATCH_CHARS = 1024, 1 << 21
 _SPACE = "▁"
@@ -41,7 +42,7 @@ class TokenPair:
         self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
         self.bytes_a = [b""] * self.a.get_vocab_size()
-        byte_of = _byte_of_character()
+        byte_of = character_bytes()
         for token, i in self.a.get_vocab(with_added_tokens=False).items():
             self.bytes_a[i] = bytes(map(byte_of.__getitem__, token))
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
@@ -97,13 +98,6 @@ class TokenPair:
         return out
 
 
-def _byte_of_character() -> dict[str, int]:
-    """Byte-level vocabularies write printable Latin-1 bytes as themselves, the others as characters from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [x for x in range(256) if x not in plain]
-    return {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(others)}
-
-
 @lru_cache(maxsize=1)
 def _pair(path_a: str, path_b: str) -> TokenPair:
     return TokenPair(path_a, path_b)

@@ -14,6 +14,7 @@ from collections.abc import Callable
 #: Distinct chunks whose results a worker keeps, and the longest chunk that is kept.
 CHUNKS_KEPT = 1 << 19
 LONGEST_KEPT = 48
+_ODD = ()
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -21,7 +22,7 @@ class ChunkMemo:
     """Results of ``encode(surfaces)``, a list for a list, by chunk; emptied when ``most`` are held.
 
     A surface is a chunk with the space or newline before it. The key of a chunk after a space leaves
-    that space out, as ``str.split`` does; None marks keys that only come from texts with other white
+    that space out, as ``str.split`` does; ``_ODD`` marks keys that only come from texts with other white
     space, which are cut by an expression instead.
     """
 
@@ -36,14 +37,16 @@ class ChunkMemo:
             self.by_key.clear()
             self.by_surface.clear()
         keys = [text.replace("\n", " \n").split(" ") for text in texts]
-        heads = [prefix + k[0] for k in keys]
-        new = list({c for k in keys for c in k[1:] if c not in self.by_key})
+        firsts = [k.pop(0) for k in keys]
+        heads = [prefix + k for k in firsts]
+        found = [list(map(self.by_key.get, k)) for k in keys]
+        new = list({c for k, f in zip(keys, found) if None in f for c, x in zip(k, f) if x is None})
         known = [c for c in new if not _odd(c)]
-        self.by_key.update(dict.fromkeys(new))
+        self.by_key.update(dict.fromkeys(new, _ODD))
         self.by_key.update(zip(known, self.encode([c if c[0] == "\n" else " " + c for c in known])))
-        found = [list(map(self.by_key.__getitem__, k[1:])) for k in keys]
+        found = [[self.by_key[c] if x is None else x for c, x in zip(k, f)] if None in f else f for k, f in zip(keys, found)]
         # where a text begins or ends in white space, or has more than one blank in a row
-        others = {i: _CUT.split(prefix + t) for i, (t, k, f) in enumerate(zip(texts, keys, found)) if None in f or not heads[i] or _odd(k[0])}
+        others = {i: _CUT.split(prefix + t) for i, (t, first, f) in enumerate(zip(texts, firsts, found)) if _ODD in f or not heads[i] or _odd(first)}
         new = list({s for i, h in enumerate(heads) for s in others.get(i, (h,)) if s not in self.by_surface})
         self.by_surface.update(zip(new, self.encode(new)))
         out = [[self.by_surface[s] for s in others[i]] if i in others else [self.by_surface[heads[i]], *f] for i, f in enumerate(found)]

@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import ans
-from skerry.llm.chunks import ChunkMemo, batches
+from skerry.llm.chunks import CHUNKS_KEPT, ChunkMemo, batches
 from skerry.llm.scratch import Scratch
 
 IDS_PER_FILE = 1 << 23
 MOST_FILES = 1 << 14
 END_ID = 0
+#: Punctuation that, behind a word, is one piece; a letter behind an apostrophe would be another.
+_PUNCTUATION = ".,;:!?()[]'\""
+_NOT_LATIN = "\u0250"
 _FOOT = struct.Struct("<QI4s")
 _FOOT_MAGIC = b"IDX1"
 _BLOCK = np.dtype([("at", "<u8"), ("size", "<u4"), ("first", "<u8"), ("n", "<u4"), ("pieces", "<u4")])
@@ -40,17 +44,62 @@ _PIECE = np.dtype([("seq", "<u8"), ("doc", "<i8"), ("null", "u1"), ("n", "<u4"),
 _NULL_ID = -(1 << 63)
 
 
-@lru_cache(maxsize=2)
-def _memo(path: str) -> ChunkMemo:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class _Library:
+    """The library's ids of chunks, as bytes.
+
+    A Latin word, alone or before punctuation, is what the library's pre-tokenizer makes of it: its
+    pieces go to the library's model directly. Any other chunk goes through the whole library.
+    """
 
-    library = Tokenizer.from_file(path)
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.pieces: dict[str, bytes] = {}
+        self.characters = {byte: c for c, byte in character_bytes().items()}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            spelt = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.characters)
+            ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            if len(self.pieces) >= CHUNKS_KEPT:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
+
+    def _plain(self, surface: str) -> bytes | None:
+        line = surface[:1] == "\n"
+        words = surface[1:] if line else surface
+        core = words.rstrip(_PUNCTUATION)
+        if not core or max(core) >= _NOT_LATIN or not core[core[0] == " " :].isalpha():
+            return None
+        ids = self._piece(core)
+        if len(core) < len(words):
+            ids += self._piece(words[len(core) :])
+        return self._piece("\n") + ids if line else ids
+
+    def encode(self, surfaces: list[str]) -> list[bytes]:
+        out = [self._plain(s) for s in surfaces]
+        rest = [i for i, x in enumerate(out) if x is None]
+        if rest:
+            for i, e in zip(rest, self.whole.encode_batch([surfaces[i] for i in rest], add_special_tokens=False)):
+                out[i] = array("I", e.ids).tobytes()
+        return out
+
+
+def character_bytes() -> dict[str, int]:
+    """The byte behind each character of a byte-level vocabulary: printable Latin-1 as itself, the others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [x for x in range(256) if x not in plain]
+    return {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(others)}
 
-    def encode(surfaces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in library.encode_batch(surfaces, add_special_tokens=False)] if surfaces else []
 
-    return ChunkMemo(encode)
+@lru_cache(maxsize=2)
+def _memo(path: str) -> ChunkMemo:
+    return ChunkMemo(_Library(path).encode)
 
 
 def encode_texts(texts: list[str], path: str, end_id: int | None = END_ID) -> list[np.ndarray]:

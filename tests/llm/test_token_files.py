@@ -69,6 +69,13 @@ def test_chunks_are_encoded_as_whole_texts(prefix):
         assert [[t for c in r for t in c] for r in memo.results(some, prefix)] == [library.encode(prefix + t, add_special_tokens=False).ids for t in some]
 
 
+def test_words_go_to_the_model_as_the_library_cuts_them():
+    library = Tokenizer.from_file(PATH)
+    rng, parts = random.Random(8), ["word", "Ärger", "ª", "ß", "ŋ", "ж", "'s", "'", ".", ",", ")", '"', "1", "-", "²", "'ll", "éa", "x\u0301", "<|endoftext|>"]
+    texts = [rng.choice(["", " ", "\n", "a "]) + "".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) + rng.choice(["", " b", "\nc"]) for _ in range(4000)]
+    assert [x.tolist() for x in encode_texts(texts, PATH, None)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def _rows():
     texts = [*_odd_texts(40), "", None, " ", "long words and lines\n" * 3000, "x" * 20_000]
     return [(i * 7 % 45, t, "x", 1) for i, t in enumerate(texts)] + [(None, "null id", "x", 1), (None, "other null id", "x", 1), (3, "twice", "x", 1), (3, "twice", "x", 1), (3, None, None, None)]
