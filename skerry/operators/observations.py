@@ -42,22 +42,6 @@ def deaccumulate(rows: DataFrame, by: list[str], lead: str, value: str, seconds:
     return rows.withColumn("rate", F.greatest(F.lit(0.0), (F.col(value) - F.coalesce(before, F.lit(0.0))) / seconds))
 
 
-def nearest_in_time(wanted: DataFrame, series: DataFrame, t: str, key: str, value: str, bucket_hours: float, reach: int = 1, width: float | None = None) -> DataFrame:
-    """For each ``wanted(key, t)`` the nearest of ``series(s_t, value)``, ties to the earlier.
-
-    Both sides meet in time buckets; a wanted time looks ``reach`` buckets to each side, so what it
-    finds is the nearest if that is within the reach. Others find nothing.
-    """
-    size = int(bucket_hours * 3.6e9)
-    at = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / size)
-    spread = wanted.withColumn("bucket", F.explode(F.sequence(at(t) - reach, at(t) + reach)))
-    gap = F.abs(F.unix_micros(F.col(t).cast("timestamp")) - F.unix_micros(F.col("s_t").cast("timestamp")))
-    met = spread.join(series.withColumn("bucket", at("s_t")), "bucket").withColumn("gap", gap)
-    if width is not None:
-        met = met.where(F.col("gap") <= int(width * 3.6e9))
-    return met.groupBy(key).agg(F.min_by(F.struct("s_t", value), F.struct("gap", "s_t", value)).alias("f")).select(key, "f.*")
-
-
 def nearest_node(points: DataFrame, nodes: DataFrame, key: str, radius: float) -> DataFrame:
     """Nearest of ``nodes(node, nx, ny)`` within a radius, through buckets of that size; ties to the smaller node."""
     b = lambda c: F.floor(F.col(c) / radius)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.functions import calendar, distance, physics, units
-from skerry.operators import fields, grid, inflation, kernels, local, localization, models, network, observations, observe, serial, spectral, stats, trajectories, vertical
+from skerry.functions import calendar, distance, microwave, physics, units
+from skerry.operators import alignment, asof, curvilinear, distance_field, fields, grid, inflation, kernels, local, localization, mesh, models, network, observations, observe, scatter, serial, spectral, stats, trajectories, vertical
 from skerry.sources import carriers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -369,7 +369,7 @@ def nearest_time(spark, sf_dir):
     events = carriers.table(spark, sf_dir, "events")
     wanted = events.where("event_type <> 'view'").select(F.col("event_id").alias("wid"), F.col("ts").alias("t"))
     series = events.where("event_type = 'view'").select(F.col("ts").alias("s_t"), F.col("event_id").alias("sid"))
-    return observations.nearest_in_time(wanted, series, "t", "wid", "sid", bucket_hours=6, width=6).select("wid", "sid")
+    return asof.nearest_in_time(wanted, series, "t", "wid", "sid", bucket_hours=6, width=6).select("wid", "sid")
 
 
 @query(f"""WITH {_OBS}, n AS (SELECT vec_id AS node, (vec_id % 25)::DOUBLE AS nx, (vec_id // 25)::DOUBLE AS ny FROM embeddings WHERE vec_id % 3 = 0),
@@ -1141,3 +1141,164 @@ def displacement_fields(spark, sf_dir):
     keys = spark.range(carriers.MEMBERS).select(F.col("id").cast("int").alias("mem"))
     shore = GRID(spark, sf_dir).points(spark).select("i", "j", F.col("i").cast("double").alias("gap"))
     return _round(spectral.displacement_fields(keys, ["mem"], carriers.rows(spark, sf_dir), carriers.NX, 0.5, 5.0, shore, 4.0), "u", "v")
+
+
+# displacements, curvilinear grids, brightness temperatures
+
+
+@query()
+def align_field(spark, sf_dir):
+    """How far the mean of the even members must move to become that of the odd ones; no SQL form, the sweeps run until they settle."""
+    ens = carriers.ensemble(spark, sf_dir)
+    side = lambda k: F.avg(F.when(F.col("mem") % 2 == k, F.col("value")))
+    fields_ = ens.groupBy("i", "j").agg(side(0).alias("before"), side(1).alias("after")).withColumn("level", F.lit(0))
+    ny = carriers.rows(spark, sf_dir)
+    moved = alignment.displacement(fields_, ["level"], carriers.NX, ny)
+    value = lambda c: fields_.select("level", "i", "j", F.col(c).alias("value"))
+    out = alignment.aligned(value("before"), value("before"), value("after"), moved, ["level"], GRID(spark, sf_dir))
+    return _round(moved.join(out, ["level", "i", "j"]).select("i", "j", "u", "v", "value"), "u", "v", "value")
+
+
+# An ocean grid whose poles lie on land: a regular grid seen through the two-pole mapping.
+_CURVED = f"""gz AS (SELECT vec_id AS loc, vec_id % 25 AS i, vec_id // 25 AS j, tan(radians(90 - ((vec_id // 25) * 150.0 / {_NY} - 70)) / 2) AS r, radians((vec_id % 25) * 14.4) AS a FROM embeddings WHERE vec_id < 25 * {_NY}),
+gq AS (SELECT loc, i, j, r * cos(a) - tan(radians(15)) AS ux, r * sin(a) AS uy, r * cos(a) + tan(radians(60)) AS lx FROM gz),
+gw AS (SELECT loc, i, j, (ux * lx + uy * uy) / (lx * lx + uy * uy) AS qx, (uy * lx - ux * uy) / (lx * lx + uy * uy) AS qy FROM gq),
+gs AS (SELECT (cos(radians(60)) - cos(radians(30))) AS mx, (sin(radians(60)) + sin(radians(-30))) AS mz), gc AS (SELECT sign(mx) * tan((pi() / 2 - asin(mz / sqrt(mx * mx + mz * mz))) / 2) AS zc FROM gs),
+gf AS (SELECT (zc + tan(radians(60))) / (zc - tan(radians(15))) AS f FROM gc),
+curved AS (SELECT loc, i, j, degrees(atan2(f * qy, f * qx)) AS lon, 90 - 2 * degrees(atan(sqrt(f * f * (qx * qx + qy * qy)))) AS lat FROM gw, gf),
+spots AS (SELECT obs_id, x * 14.4 - 179.63 AS lon, y * 150.0 / {_NY} - 74.89 AS lat FROM obs),
+gap AS (SELECT obs_id, s.lon AS a_lon, s.lat AS a_lat, loc, i, j, 6371000 * acos(least(1, greatest(-1, sin(radians(s.lat)) * sin(radians(c.lat)) + cos(radians(s.lat)) * cos(radians(c.lat)) * cos(radians(c.lon - s.lon))))) AS gap FROM spots s, curved c)"""
+
+
+def _curved(spark, sf_dir):
+    """The curvilinear grid, its shape, and the positions that are sought in it."""
+    ny = carriers.rows(spark, sf_dir)
+    lon, lat = models.two_pole_mapping(F.col("i") * 14.4, F.col("j") * (150.0 / ny) - 70, (0.0, 60.0), (180.0, -30.0))
+    points = GRID(spark, sf_dir).points(spark).select("loc", "i", "j", lon.alias("lon"), lat.alias("lat"))
+    at = _some_obs(spark, sf_dir).select("obs_id", (F.col("x") * 14.4 - 179.63).alias("lon"), (F.col("y") * (150.0 / ny) - 74.89).alias("lat"))
+    return points, ny, at
+
+
+@query(f"WITH {_OBS}, {_CURVED} SELECT obs_id, round(min(gap), 3) AS gap, arg_min(loc, gap) AS pivot FROM gap GROUP BY obs_id")
+def curvilinear_pivot(spark, sf_dir):
+    points, ny, at = _curved(spark, sf_dir)
+    return _round(curvilinear.pivots(at, points, "obs_id", carriers.NX, ny).select("obs_id", "pivot", "gap"), "gap", digits=3)
+
+
+@query(f"""WITH {_OBS}, {_CURVED}, p AS (SELECT obs_id, any_value(a_lon) AS lon, any_value(a_lat) AS lat, arg_min(loc, gap) AS pivot FROM gap GROUP BY obs_id),
+t(k, di2, dj2, di3, dj3) AS (VALUES (0, 1, 0, 1, 1), (1, 1, 1, 0, 1), (2, 0, 1, -1, 1), (3, -1, 1, -1, 0), (4, -1, 0, -1, -1), (5, -1, -1, 0, -1), (6, 0, -1, 1, -1), (7, 1, -1, 1, 0)),
+m AS (SELECT p.*, t.*, c.i, c.j, c.lon AS lon1, c.lat AS lat1, b.lon AS lon2, b.lat AS lat2, d.lon AS lon3, d.lat AS lat3 FROM p JOIN curved c ON c.loc = pivot, t
+  JOIN curved b ON b.i = (c.i + di2 + 25) % 25 AND b.j = c.j + dj2 JOIN curved d ON d.i = (c.i + di3 + 25) % 25 AND d.j = c.j + dj3),
+e AS (SELECT *, dist(lon, lat, lon1, lat1) AS d1, dist(lon, lat, lon2, lat2) AS d2, dist(lon, lat, lon3, lat3) AS d3, dist(lon2, lat2, lon3, lat3) AS s1, dist(lon3, lat3, lon1, lat1) AS s2, dist(lon1, lat1, lon2, lat2) AS s3 FROM m),
+b AS (SELECT *, heron(s1, s2, s3) AS whole, heron(s1, d2, d3) AS a1, heron(s2, d1, d3) AS a2, heron(s3, d1, d2) AS a3 FROM e),
+w AS (SELECT obs_id, k, i * (a1 + a2 + a3) / whole + (di2 * a2 + di3 * a3) / whole AS fi, j * (a1 + a2 + a3) / whole + (dj2 * a2 + dj3 * a3) / whole AS fj FROM b WHERE whole > 0 AND abs((a1 + a2 + a3) / whole - 1) <= 1e-3)
+SELECT obs_id, round(arg_min(fi, k), 5) + 0.0 AS fi, round(arg_min(fj, k), 5) + 0.0 AS fj FROM p LEFT JOIN w USING (obs_id) GROUP BY obs_id""")
+def curvilinear_index(spark, sf_dir):
+    points, ny, at = _curved(spark, sf_dir)
+    placed = curvilinear.pivots(at, points, "obs_id", carriers.NX, ny)
+    return _round(curvilinear.grid_index(placed, points, "obs_id", carriers.NX, ny), "fi", "fj", digits=5)
+
+
+def _inlined(sql: str) -> str:
+    """The SQL with its two distance formulas written out."""
+    import re
+
+    sql = re.sub(r"dist\((\w+), (\w+), (\w+), (\w+)\)", r"(6371000 * acos(least(1, greatest(-1, sin(radians(\2)) * sin(radians(\4)) + cos(radians(\2)) * cos(radians(\4)) * cos(radians(\3 - \1))))))", sql)
+    return re.sub(r"heron\((\w+), (\w+), (\w+)\)", r"sqrt(greatest(0, (\1 + \2 + \3) / 2 * ((\2 + \3 - \1) / 2) * ((\1 + \3 - \2) / 2) * ((\1 + \2 - \3) / 2)))", sql)
+
+
+ORACLE_SQL["curvilinear_index"] = _inlined(ORACLE_SQL["curvilinear_index"])
+
+
+@query("""WITH c(channel, vert, freq, b0, b1, b2, b3, b4, b5, b6, b7, o1, o2, v1, v2, l1, l2, r0, r1, r2, r3, f1, f2) AS (VALUES
+('19v', true, 18.70, 240.24, 298.88e-2, -725.93e-4, 814.50e-6, -36.07e-7, 0.61, -0.16, -1.69e-2, 12.15e-3, -0.61e-4, 1.73e-3, -0.05e-5, 0.0556, 0.0288, -0.49e-3, -0.53e-4, -2.10e-5, 0.31e-6, 0.00140, 0.00736),
+('19h', false, 18.70, 240.24, 298.88e-2, -725.93e-4, 814.50e-6, -36.07e-7, 0.61, -0.16, -1.69e-2, 12.15e-3, -0.61e-4, 1.73e-3, -0.05e-5, 0.0556, 0.0288, 1.13e-3, 0.70e-4, -36.90e-6, -0.12e-6, 0.00293, 0.00656),
+('37v', true, 36.50, 239.45, 254.41e-2, -512.84e-4, 452.02e-6, -14.36e-7, 0.58, -0.57, -2.38e-2, 40.06e-3, -2.00e-4, 1.88e-3, 0.09e-5, 0.2027, 0.0261, -1.01e-3, -1.05e-4, -2.10e-5, 0.45e-6, 0.00257, 0.00701)),
+x AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '19v' WHEN 1 THEN '19h' ELSE '37v' END AS channel, p_partkey % 12 + 1 AS month, (p_size % 30) * 2.0::DOUBLE AS vap, (p_size % 20)::DOUBLE AS wind, p_size % 7 / 20.0::DOUBLE AS liq,
+  265.0 + p_partkey % 40::DOUBLE AS ts, p_size / 60.0::DOUBLE AS ice, 50.0 + p_size % 10::DOUBLE AS ang, p_partkey % 50::DOUBLE AS dal FROM part),
+y AS (SELECT x.*, c.* EXCLUDE channel, ts - 273.15 AS t, 25 - (ts - 273.15) AS cold, 0.5536 * 35 AS chl, 30.0 / freq AS wl, CASE channel WHEN '19v' THEN 0.9 WHEN '19h' THEN 0.8 ELSE 0.85 END AS pc, month * 0.1 AS bias FROM x JOIN c USING (channel)),
+e1 AS (SELECT *, 87.90 * exp(-0.004585 * t) * exp(-3.45e-3 * 35 + 4.69e-6 * 1225 + 1.36e-5 * 35 * t) - 4.44 AS st, pow((3.30 * exp(-0.0346 * t + 0.00017 * t * t) - 6.54e-3 * (1 - 3.06e-2 * t + 2e-4 * t * t) * 35) / wl, 0.988) AS rel,
+  3.39e9 * pow(chl, 0.892) * exp(-cold * (2.03e-2 + 1.27e-4 * cold + 2.46e-6 * cold * cold - chl * (3.34e-5 - 4.60e-7 * cold + 4.60e-8 * cold * cold))) AS sig FROM y),
+e2 AS (SELECT *, 1 + rel * cos(0.988 * pi() / 2) AS dr, rel * sin(0.988 * pi() / 2) AS di FROM e1), e3 AS (SELECT *, 4.44 + st * dr / (dr * dr + di * di) AS er, -st * di / (dr * dr + di * di) - 2 * sig * wl / 3e10 AS ei, cos(radians(ang)) AS ct, sin(radians(ang)) AS sn FROM e2),
+e4 AS (SELECT *, sqrt((er - sn * sn) * (er - sn * sn) + ei * ei) AS md FROM e3), e5 AS (SELECT *, sqrt((md + er - sn * sn) / 2) AS qr, -sqrt((md - er + sn * sn) / 2) AS qi, CASE WHEN vert THEN er * ct ELSE ct END AS nr, CASE WHEN vert THEN ei * ct ELSE 0 END AS ni FROM e4),
+e6 AS (SELECT *, (pow(nr - qr, 2) + pow(ni - qi, 2)) / (pow(nr + qr, 2) + pow(ni + qi, 2)) + CASE WHEN vert THEN 4.887e-8 - 6.108e-8 * pow(ts - 273, 3) ELSE 0 END - (r0 + r1 * (ang - 53) + r2 * (ts - 288) + r3 * (ang - 53) * (ts - 288)) * wind AS rf, CASE WHEN vert THEN 3 ELSE 7 END AS w1 FROM e5),
+e7 AS (SELECT *, 1 - (1 - CASE WHEN wind <= w1 THEN f1 * wind WHEN wind < 12 THEN f1 * wind + 0.5 * (f2 - f1) * pow(wind - w1, 2) / (12 - w1) ELSE f2 * wind - 0.5 * (f2 - f1) * (12 + w1) END) * rf AS sea,
+  ts - CASE WHEN vap <= 48 THEN 273.16 + 0.8337 * vap - 3.029e-5 * pow(vap, 3.33) ELSE 301.16 END AS g FROM e6),
+e8 AS (SELECT *, b0 + b1 * vap + b2 * pow(vap, 2) + b3 * pow(vap, 3) + b4 * pow(vap, 4) + b5 * CASE WHEN abs(g) <= 20 THEN 1.05 * g * (1 - g * g / 1200) ELSE 14 * sign(g) END AS td, least(1, ice) AS sic FROM e7),
+e9 AS (SELECT *, exp(-(o1 + o2 * (td - 270) + v1 * vap + v2 * vap * vap + l1 * (1 - l2 * ((ts + 273) / 2 - 283)) * liq) / ct) AS tau, (1 - sic) * sea + sic * (0.0005 * ts + 0.001 * dal + pc - 0.15) AS em FROM e8)
+SELECT p_partkey, channel, round((td + b6 + b7 * vap) * (1 - tau) + tau * (em * ts + td * (1 - tau) * (1 - em)) - CASE WHEN sic >= 0.15 THEN 0 ELSE bias END, 4) AS tb FROM e9""")
+def brightness_temperature(spark, sf_dir):
+    channel = F.element_at(F.array(F.lit("19v"), F.lit("19h"), F.lit("37v")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    rows = carriers.table(spark, sf_dir, "part").select(
+        "p_partkey", channel.alias("channel"), F.make_date(F.lit(2024), F.col("p_partkey") % 12 + 1, F.lit(15)).alias("date"), (F.col("p_size") % 30 * 2.0).alias("vapour"), (F.col("p_size") % 20).cast("double").alias("wind"),
+        (F.col("p_size") % 7 / 20.0).alias("liquid"), (F.col("p_partkey") % 40 + 265.0).alias("surface"), (F.col("p_size") / 60.0).alias("ice"), (F.col("p_size") % 10 + 50.0).alias("angle"), (F.col("p_partkey") % 50).cast("double").alias("along_line"),
+    )
+    planes = rows.select("channel", "date").distinct().select("channel", "date", F.lit(0.0005).alias("a1"), F.lit(0.001).alias("a2"), (F.when(F.col("channel") == "19v", 0.9).when(F.col("channel") == "19h", 0.8).otherwise(0.85) - 0.15).alias("c"))
+    biases = rows.select("channel", F.month("date").alias("month")).distinct().withColumn("bias", F.col("month") * 0.1)
+    return _round(microwave.observed_channels(rows, planes, biases).select("p_partkey", "channel", "tb"), "tb", digits=4)
+
+
+# archives of records
+
+
+@query("""WITH r AS (SELECT l_suppkey AS field, l_linenumber AS level, l_extendedprice::DOUBLE AS value, l_orderkey, l_partkey FROM lineitem),
+q AS (SELECT s_suppkey AS field, level::INT AS level FROM supplier, range(1, 9) AS t(level)),
+l AS (SELECT field, level, arg_max(value, (l_orderkey, l_partkey, value)) AS value FROM r GROUP BY field, level) SELECT field, level, round(value, 2) AS value FROM q LEFT JOIN l USING (field, level)""")
+def archive_last_match(spark, sf_dir):
+    records = carriers.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("field"), F.col("l_linenumber").alias("level"), F.col("l_extendedprice").cast("double").alias("value"), "l_orderkey", "l_partkey")
+    requests = carriers.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("field"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("level"))
+    return _round(asof.last_match(requests, records, ["field", "level"], ["l_orderkey", "l_partkey", "value"], ["value"], missing="null"), "value", digits=2)
+
+
+@query("""WITH r AS (SELECT l_suppkey % 50 AS field, (l_shipdate - DATE '1992-01-01')::DOUBLE AS day, min(l_orderkey) AS value FROM (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS l_shipdate, l_orderkey FROM lineitem) GROUP BY ALL),
+q AS (SELECT o_orderkey, o_custkey % 50 AS field, (CAST(o_orderdate AS DATE) - DATE '1992-01-01') + 0.25::DOUBLE AS day FROM orders),
+n AS (SELECT o_orderkey, arg_min(r.day, (abs(r.day - q.day), r.day)) AS found_day, arg_min(r.value, (abs(r.day - q.day), r.day)) AS value FROM q JOIN r ON r.field = q.field AND abs(r.day - q.day) <= 1 GROUP BY o_orderkey)
+SELECT o_orderkey, field, q.day, found_day, value FROM q LEFT JOIN n USING (o_orderkey)""")
+def forcing_nearest_day(spark, sf_dir):
+    since = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1992-01-01").cast("date"))
+    records = carriers.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("field"), since("l_shipdate").cast("double").alias("day"), F.col("l_orderkey").alias("value"))
+    requests = carriers.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("field"), (since("o_orderdate") + 0.25).alias("day"))
+    return asof.nearest_day(requests, records, "field", "day", "value", missing="null")
+
+
+# mesh topology, distance to a mask, points with a least distance
+
+_LAYERS = f"""WITH RECURSIVE {_MESH}, side AS (SELECT n1 AS a, n2 AS b FROM mesh UNION ALL SELECT n2, n3 FROM mesh UNION ALL SELECT n3, n1 FROM mesh), link AS (SELECT a, b FROM side UNION SELECT b, a FROM side),
+rim AS (SELECT least(a, b) AS a, greatest(a, b) AS b FROM side GROUP BY ALL HAVING count(*) = 1), walk(node, layer) AS (SELECT a, 0 FROM rim UNION SELECT b, 0 FROM rim UNION SELECT b, layer + 1 FROM walk JOIN link ON a = node WHERE layer < {{}}),
+layers AS (SELECT node, min(layer) AS layer FROM walk GROUP BY node)"""
+
+
+@query(_LAYERS.format(7) + " SELECT node, layer FROM layers")
+def mesh_layers(spark, sf_dir):
+    return mesh.layers(_mesh(spark, sf_dir)[0], 8)
+
+
+@query(_LAYERS.format(4) + """ SELECT vec_id AS node, round(CAST(embedding[1] AS DOUBLE) * coalesce(layer, 5) / 5, 6) + 0.0 AS value FROM embeddings LEFT JOIN layers ON node = vec_id""")
+def mesh_taper(spark, sf_dir):
+    field = carriers.ensemble(spark, sf_dir).where("mem = 0").select(F.col("loc").alias("node"), "value")
+    return _round(mesh.taper_boundary(field, _mesh(spark, sf_dir)[0], ["value"]), "value")
+
+
+@query(_LAYERS.format(4) + """, n AS (SELECT vec_id AS node, CAST(embedding[1] AS DOUBLE) AS u, CAST(embedding[2] AS DOUBLE) AS v FROM embeddings)
+SELECT node, round(node % 25 + u * coalesce(layer, 5) / 5, 6) AS x, round(node // 25 + v * coalesce(layer, 5) / 5, 6) + 0.0 AS y FROM n LEFT JOIN layers USING (node)""")
+def mesh_displaced(spark, sf_dir):
+    cells, nodes = _mesh(spark, sf_dir)
+    shift = carriers.ensemble(spark, sf_dir).where("mem < 2").groupBy("loc").pivot("mem", [0, 1]).agg(F.first("value")).select(F.col("loc").alias("node"), F.col("0").alias("u"), F.col("1").alias("v"))
+    return _round(mesh.displaced(nodes, cells, shift), "x", "y")
+
+
+@query(f"""WITH {_ENS}, m AS (SELECT i, j, value > 0.12 OR i IN (0, 24) AS masked FROM ens WHERE mem = 0), s AS (SELECT i AS si, j AS sj FROM m WHERE masked)
+SELECT i, j, round(min(sqrt((i - si) * (i - si) * 4.0 + (j - sj) * (j - sj) * 2.25)), 6)::DOUBLE AS gap FROM m, s GROUP BY i, j""")
+def distance_to_mask(spark, sf_dir):
+    ens = carriers.ensemble(spark, sf_dir).where("mem = 0")
+    mask = distance_field.shore_mask(ens.select("i", "j"), ens.where("value > 0.12").select("i", "j"), carriers.NX, carriers.rows(spark, sf_dir), cyclic_y=True)
+    return _round(distance_field.distance_to_mask(mask, dx=2.0, dy=1.5), "gap")
+
+
+@query(f"""WITH RECURSIVE {_OBS}, c AS (SELECT obs_id AS id, x, y, row_number() OVER (ORDER BY (obs_id * 7919) % 100003, obs_id) AS k FROM obs),
+pick(k, xs, ys, ids) AS (SELECT 0::BIGINT, []::DOUBLE[], []::DOUBLE[], []::BIGINT[] UNION ALL
+ SELECT n.k, list_append(xs, n.x), list_append(ys, n.y), list_append(ids, n.id) FROM pick p, LATERAL (SELECT c.k, c.x, c.y, c.id FROM c WHERE c.k > p.k AND len(list_filter(list_zip(p.xs, p.ys), lambda q: abs(q[1] - c.x) <= 2.5 AND abs(q[2] - c.y) <= 2.5)) = 0 ORDER BY c.k LIMIT 1) n)
+SELECT unnest(ids) AS id FROM pick WHERE len(ids) = (SELECT max(len(ids)) FROM pick)""")
+def scattered_points(spark, sf_dir):
+    candidates = _some_obs(spark, sf_dir).select(F.col("obs_id").alias("id"), "x", "y")
+    return scatter.spaced(candidates, 2.5, (F.col("id") * 7919) % 100003).select("id")
