@@ -1,14 +1,13 @@
-"""Spectral operators and random perturbations of whole fields, a field in a task at a time."""
+"""Spectral operators and random perturbations of whole fields, transformed line by line."""
 
 from __future__ import annotations
 
 import math
-
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.operators.grid import gradient
@@ -21,64 +20,88 @@ def wavenumbers(ny: int, nx: int) -> np.ndarray:
     return np.hypot(kx[None, :], ky[:, None])
 
 
-def _field(rows: pd.DataFrame, ny: int, nx: int) -> np.ndarray:
-    out = np.zeros((ny, nx))
-    out[rows["j"], rows["i"]] = rows["value"].fillna(0.0)
-    return out
+def _mode(place: str, n: int, longest: int) -> Column:
+    """Signed wavenumber of a mode along one axis, in units of the longer side."""
+    k = F.col(place)
+    return F.when(k < (n + 1) // 2, k).otherwise(k - n) * (longest / n)
 
 
-def power_spectrum(fields: DataFrame, by: list[str], ny: int, nx: int) -> DataFrame:
-    """``by, k, power``: mean squared amplitude of the modes whose wavenumber rounds up to ``k``."""
-    types = ", ".join(f"{c} {fields.schema[c].dataType.simpleString()}" for c in by)
+def total_wavenumber(ny: int, nx: int) -> Column:
+    """``wavenumbers`` of the mode in row ``j``, column ``i``."""
+    kx, ky = _mode("i", nx, max(ny, nx)), _mode("j", ny, max(ny, nx))
+    return F.sqrt(kx * kx + ky * ky)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        power = (np.abs(np.fft.fft2(_field(rows, ny, nx))) / (ny * nx)) ** 2
-        k = np.ceil(np.round(wavenumbers(ny, nx), 9)).astype(int)
-        out = pd.DataFrame({"k": k.ravel(), "power": power.ravel()}).groupby("k", as_index=False).mean()
-        out = out[out["k"] < max(ny, nx) // 2]
-        for c in by:
-            out[c] = rows[c].iloc[0]
-        return out[[*by, "k", "power"]]
 
-    return fields.groupBy(*by).applyInPandas(run, f"{types}, k int, power double")
+def _along(parts: DataFrame, by: list[str], axis: str, n: int, inverse: bool) -> DataFrame:
+    """One-dimensional transforms of ``by, i, j, re, im`` along an axis; each line is an array in one row."""
+    across = "j" if axis == "i" else "i"
 
+    @F.pandas_udf("re array<double>, im array<double>")
+    def lines(place: pd.Series, re: pd.Series, im: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(place), n), complex)
+        for k, (at, a, b) in enumerate(zip(place, re, im)):
+            out[k, at] = np.asarray(a) + 1j * np.asarray(b)
+        out = np.fft.ifft(out) if inverse else np.fft.fft(out)
+        return pd.DataFrame({"re": list(out.real), "im": list(out.imag)})
 
-def band(k: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Response of a cosine-squared pass band: 1 up to ``low``, 0 from ``high`` on."""
-    inner = np.cos(np.pi / 2 * np.clip((k - low) / max(high - low, 1e-12), 0, 1)) ** 2
-    return np.where(k <= low, 1.0, np.where(k >= high, 0.0, inner))
+    packed = parts.groupBy(*by, across).agg(F.collect_list(F.struct(axis, "re", "im")).alias("s"))
+    packed = packed.select(*by, across, lines(f"s.{axis}", "s.re", "s.im").alias("s"))
+    return packed.select(*by, across, F.posexplode(F.arrays_zip("s.re", "s.im")).alias(axis, "s")).select(*by, "i", "j", "s.re", "s.im")
 
 
-def scale_component(fields: DataFrame, by: list[str], ny: int, nx: int, bounds: list[float], component: int) -> DataFrame:
-    """Part of each field between two scales; the components over all of ``bounds`` sum to the field."""
-    types = ", ".join(f"{c} {fields.schema[c].dataType.simpleString()}" for c in by)
+def transform(fields: DataFrame, by: list[str], ny: int, nx: int) -> DataFrame:
+    """``by, i, j, re, im``: the two-dimensional Fourier transform of ``fields(by, i, j, value)``, missing points counted as zero.
 
-    def response(k: np.ndarray) -> np.ndarray:
-        passed = [band(k, b / 1.5, b * 1.5) for b in bounds] + [np.ones_like(k)]
-        return passed[component] - (passed[component - 1] if component else 0.0)
+    Rows are transformed, dealt anew by column and transformed again: a task holds lines, not fields.
+    """
+    parts = fields.select(*by, "i", "j", F.coalesce(F.nanvl(F.col("value").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
+    return _along(_along(parts, by, "i", nx, False), by, "j", ny, False)
+
+
+def inverse_transform(modes: DataFrame, by: list[str], ny: int, nx: int) -> DataFrame:
+    """``by, i, j, value``: the real part of the inverse of ``transform``."""
+    back = _along(_along(modes, by, "j", ny, True), by, "i", nx, True)
+    return back.select(*by, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("re").alias("value"))
+
+
+def power_spectrum(fields: DataFrame, by: list[str], ny: int, nx: int) -> DataFrame:
+    """``by, k, power``: mean squared amplitude of the modes whose wavenumber rounds up to ``k``."""
+    modes = transform(fields, by, ny, nx)
+    power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / float(ny * nx) ** 2
+    k = F.ceil(F.round(total_wavenumber(ny, nx), 9)).cast("int")
+    return modes.select(*by, k.alias("k"), power.alias("power")).where(F.col("k") < max(ny, nx) // 2).groupBy(*by, "k").agg(F.avg("power").alias("power"))
+
+
+def band(k: Column, low: float, high: float) -> Column:
+    """Response of a cosine-squared pass band: 1 up to ``low``, 0 from ``high`` on."""
+    inner = F.pow(F.cos(math.pi / 2 * (k - low) / max(high - low, 1e-12)), F.lit(2.0))
+    return F.when(k <= low, 1.0).when(k >= high, 0.0).otherwise(inner)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        spectrum = np.fft.fft2(_field(rows, ny, nx)) * response(wavenumbers(ny, nx))
-        out = rows[[*by, "i", "j"]].copy()
-        out["value"] = np.fft.ifft2(spectrum).real[rows["j"], rows["i"]]
-        return out.mask(rows["value"].isna().to_numpy()[:, None] & (out.columns == "value")[None, :])
 
-    return fields.select(*by, "i", "j", "value").groupBy(*by).applyInPandas(run, f"{types}, i int, j int, value double")
+def scale_component(fields: DataFrame, by: list[str], ny: int, nx: int, bounds: list[float], component: int) -> DataFrame:
+    """Part of each field between two scales; the components over all of ``bounds`` sum to the field. Missing points stay missing."""
+    k = total_wavenumber(ny, nx)
+    passed = [band(k, b / 1.5, b * 1.5) for b in bounds] + [F.lit(1.0)]
+    response = passed[component] - (passed[component - 1] if component else 0.0)
+    modes = transform(fields, by, ny, nx).select(*by, "i", "j", (F.col("re") * response).alias("re"), (F.col("im") * response).alias("im"))
+    part = inverse_transform(modes, by, ny, nx).withColumnRenamed("value", "part")
+    given = F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))
+    return fields.select(*by, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "value").join(part, [*by, "i", "j"]).select(*by, "i", "j", F.when(given, F.col("part")).alias("value"))
 
 
 @lru_cache(maxsize=64)
 def gaussian_width(ny: int, nx: int, hcorr: float) -> float:
-    """Width of a Gaussian spectrum whose correlation at ``hcorr`` points is 1/e, by bisection."""
+    """Width of a Gaussian spectrum whose correlation at ``hcorr`` points along x is 1/e, by bisection; the other axis cancels."""
     n = max(ny, nx)
     if hcorr <= 2:
         return float(n)
     if hcorr >= n / 2:
         return 1.0
-    kx, k = np.fft.fftfreq(nx) * n, wavenumbers(ny, nx)
+    kx = np.fft.fftfreq(nx) * n
 
     def excess(width: float) -> float:
-        weight = np.exp(-2 * k**2 / width**2)
-        return float((weight * np.cos(2 * np.pi * kx[None, :] / n * hcorr)).sum() / weight.sum() - np.exp(-1))
+        weight = np.exp(-2 * kx**2 / width**2)
+        return float((weight * np.cos(2 * np.pi * kx / n * hcorr)).sum() / weight.sum() - np.exp(-1))
 
     low, high = 1e-2, float(n)  # a wider spectrum has a shorter correlation
     for _ in range(80):
@@ -87,28 +110,33 @@ def gaussian_width(ny: int, nx: int, hcorr: float) -> float:
     return (low + high) / 2
 
 
+def _white(keys: DataFrame, by: list[str], ny: int, nx: int, seed: int) -> DataFrame:
+    """``by, i, j, value``: independent normal numbers; those of a row of a field depend on the seed, the key and the row only."""
+    rows = keys.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(ny - 1))).alias("j"))
+
+    @F.pandas_udf("array<double>")
+    def draw(key: pd.DataFrame) -> pd.Series:
+        return pd.Series([np.random.default_rng([seed, *map(int, k)]).normal(size=nx) for k in key.itertuples(index=False)])
+
+    drawn = rows.repartition(*by, "j").select(*by, "j", draw(F.struct(*by, "j")).alias("line"))
+    return drawn.select(*by, "j", F.posexplode("line").alias("i", "value"))
+
+
 def random_fields(keys: DataFrame, by: list[str], ny: int, nx: int, std: float, hcorr: float | None = None, power: float | None = None, seed: int = 0) -> DataFrame:
     """``by, i, j, value``: a random field for each row of ``keys``, with a Gaussian or power-law spectrum.
 
     The draw depends on the seed and the row's key only.
     """
-    types = ", ".join(f"{c} {keys.schema[c].dataType.simpleString()}" for c in by)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        key = [int(rows[c].iloc[0]) for c in by]
-        noise = np.fft.fft2(np.random.default_rng([seed, *key]).normal(size=(ny, nx)))
-        k = wavenumbers(ny, nx)
-        if power is None:
-            shape = np.exp(-(k**2) / gaussian_width(ny, nx, hcorr) ** 2)
-            shape *= std / np.sqrt((shape**2).sum() / (ny * nx))
-        else:
-            inner = np.where(k > 0, k, 1.0)
-            shape = np.where(k > 0, std * np.sqrt(inner ** (power + 1) / (2 * np.pi * inner)), 0.0)
-        field = np.fft.ifft2(shape * noise).real
-        out = pd.DataFrame({c: np.full(ny * nx, v) for c, v in zip(by, key)})
-        return out.assign(i=np.tile(np.arange(nx), ny), j=np.repeat(np.arange(ny), nx), value=field.ravel())[[*by, "i", "j", "value"]]
-
-    return keys.groupBy(*by).applyInPandas(run, f"{types}, i int, j int, value double")
+    k = total_wavenumber(ny, nx)
+    if power is None:
+        width, n = gaussian_width(ny, nx, hcorr), max(ny, nx)
+        square = np.prod([np.exp(-2 * (np.fft.fftfreq(m) * n) ** 2 / width**2).sum() for m in (ny, nx)])
+        shape = F.exp(-k * k / width**2) * float(std / np.sqrt(square / (ny * nx)))
+    else:
+        inner = F.when(k > 0, k).otherwise(1.0)
+        shape = F.when(k > 0, std * F.sqrt(F.pow(inner, F.lit(power + 1.0)) / (2 * math.pi * inner))).otherwise(0.0)
+    modes = transform(_white(keys, by, ny, nx, seed), by, ny, nx).withColumn("shape", shape)
+    return inverse_transform(modes.select(*by, "i", "j", (F.col("re") * F.col("shape")).alias("re"), (F.col("im") * F.col("shape")).alias("im")), by, ny, nx)
 
 
 def memory_weight(dt_hours: float, tcorr_hours: float) -> float:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from skerry.functions import calendar, distance, microwave, physics, units
 from skerry.operators import alignment, asof, curvilinear, distance_field, fields, grid, inflation, kernels, local, localization, mesh, models, network, observations, observe, scatter, serial, spectral, stats, trajectories, vertical
-from skerry.sources import carriers
+from skerry.sources import carriers, records
+from skerry.sources.tables import StateStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1139,7 +1140,8 @@ def perturb_ar1_exponential(spark, sf_dir):
 @query()
 def displacement_fields(spark, sf_dir):
     keys = spark.range(carriers.MEMBERS).select(F.col("id").cast("int").alias("mem"))
-    shore = GRID(spark, sf_dir).points(spark).select("i", "j", F.col("i").cast("double").alias("gap"))
+    ens = carriers.ensemble(spark, sf_dir).where("mem = 0")
+    shore = distance_field.distance_to_mask(distance_field.shore_mask(ens.select("i", "j"), ens.where("value > 0.12").select("i", "j"), carriers.NX, carriers.rows(spark, sf_dir)))
     return _round(spectral.displacement_fields(keys, ["mem"], carriers.rows(spark, sf_dir), carriers.NX, 0.5, 5.0, shore, 4.0), "u", "v")
 
 
@@ -1302,3 +1304,42 @@ SELECT unnest(ids) AS id FROM pick WHERE len(ids) = (SELECT max(len(ids)) FROM p
 def scattered_points(spark, sf_dir):
     candidates = _some_obs(spark, sf_dir).select(F.col("obs_id").alias("id"), "x", "y")
     return scatter.spaced(candidates, 2.5, (F.col("id") * 7919) % 100003).select("id")
+
+
+# files of binary records
+
+
+@query(f"WITH {_ENS} SELECT mem, loc, round(-value, 6) + 0.0 AS value FROM ens WHERE mem % 4 = 1")
+def restart_records(spark, sf_dir):
+    """A restart file for each member with two fields on two levels; one field of one level is read back, by its index."""
+    ens = carriers.ensemble(spark, sf_dir)
+    kinds = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(level).alias("level"), F.lit(sign).alias("sign")) for f, sign in (("temp", 1.0), ("salt", -1.0)) for level in (1, 2)])
+    rows = ens.select(F.format_string("member_%03d", (F.col("mem") / 4).cast("int")).alias("file"), "mem", "loc", "value", F.explode(kinds).alias("k"))
+    rows = rows.where(F.col("mem") % 4 == F.col("k.level")).select("file", F.when(F.col("k.field") == "temp", F.col("k.level") - 1).otherwise(F.col("k.level") + 1).alias("record"), "k.field", F.lit(67392).alias("step"), F.lit(351.0).alias("day"), "k.level", F.lit(25.0).alias("dens"), "loc", (F.col("value") * F.col("k.sign")).alias("value"))
+    folder = f"{StateStore.temporary(spark).root}/restart"
+    files = records.write_restart(rows, folder).count()
+    assert files == carriers.MEMBERS // 4
+    back = records.read_records(spark, folder, "restart", points=ens.where("mem = 0").count(), fields=["salt"], levels=[1])
+    return _round(back.select((F.regexp_extract("file", "(\\d+)", 1).cast("int") * 4 + 1).alias("mem"), "loc", "value"), "value")
+
+
+@query(f"WITH {_MESH} SELECT tri, unnest([0, 1, 2]) AS corner, unnest([n1, n2, n3]) + 1 AS node FROM mesh")
+def mesh_records(spark, sf_dir):
+    """Nodes and triangles as named records of one mesh file; the triangles are read back by name."""
+    cells, nodes = _mesh(spark, sf_dir)
+    part = lambda rows, k, field, kind, loc, value: rows.select(F.lit("mesh").alias("file"), F.lit(k).alias("record"), F.lit(field).alias("field"), F.lit(kind).alias("kind"), loc.cast("long").alias("loc"), value.cast("double").alias("value"))
+    corners = cells.select("tri", F.posexplode(F.array("n1", "n2", "n3")).alias("corner", "node"))
+    rows = part(nodes, 0, "Nodes_x", "double", F.col("node"), F.col("x")).unionByName(part(nodes, 1, "Nodes_y", "double", F.col("node"), F.col("y")))
+    rows = rows.unionByName(part(corners, 2, "Elements", "int", F.col("tri") * 3 + F.col("corner"), F.col("node") + 1))
+    folder = f"{StateStore.temporary(spark).root}/mesh"
+    records.write_mesh(rows, folder).count()
+    back = records.read_records(spark, folder, "mesh", fields=["Elements"])
+    return back.select(F.floor(F.col("loc") / 3).alias("tri"), (F.col("loc") % 3).cast("int").alias("corner"), F.col("value").cast("long").alias("node"))
+
+
+@query(f"WITH {_ENS} SELECT i, j, round(value, 6) + 0.0 AS value FROM ens WHERE mem = 0 AND i >= 3 AND i < 19 AND j >= 2")
+def patch_window(spark, sf_dir):
+    """A field written in patches of 8 by 6 points and put together again within a window."""
+    folder = f"{StateStore.temporary(spark).root}/patches"
+    records.write_patches(carriers.ensemble(spark, sf_dir).where("mem = 0"), folder, "temp", 8, 6).count()
+    return _round(records.read_patches(spark, folder, (3, 19, 2, 1 << 40)).select("i", "j", "value").where("value is not null"), "value")
