@@ -131,7 +131,69 @@ def batch_analysis(state: DataFrame, obs: DataFrame, halo: DataFrame, roi: float
     return out.select("loc", F.posexplode("ens").alias("mem", "value"))
 
 
-def _gaspari_cohn(gap: np.ndarray, roi: float) -> np.ndarray:
+def batch_records(
+    state: DataFrame, state_records: DataFrame, obs: DataFrame, obs_records: DataFrame, impact: DataFrame, halo: DataFrame, method: str = "etkf", kinds: tuple[str, str, str] = ("gaspari_cohn", "gaspari_cohn", "exponential"),
+    lx: float | None = None, ly: float | None = None, max_obs: int | None = None, **options,
+) -> DataFrame:
+    """Analysed ``rec, loc, mem, value`` of fields on several levels, times and variables, tile by tile.
+
+    ``state(rec, loc, x, y, par_id, mem, value)`` are the fields of ``state_records(rec, name, z, t)``,
+    ``obs(obs_id, obs_rec, x, y, z, t, obs, err_std, priors)`` the observations of ``obs_records(obs_rec, hroi,
+    vroi, troi)``, ``impact(obs_rec, name, impact)`` their weight for a variable, ``halo(par_id, obs_id)`` those
+    within reach of a tile. A tile and its observations meet once in a task. There the horizontal factor is
+    computed once for a point, the others once for a record and observation of the tile; records with equal
+    factors at all observations share their weights, as levels at one depth or variables without an impact
+    of their own do. ``max_obs`` keeps a point's strongest observations, ties to the smaller id.
+    """
+    points = state.groupBy("par_id", "loc", "x", "y", "rec").agg(F.transform(F.sort_array(F.collect_list(F.struct("mem", "value"))), lambda s: s["value"]).alias("ens"))
+    radii = F.broadcast(obs_records.select("obs_rec", "hroi", "vroi", "troi"))  # a row a record
+    effects = F.broadcast(impact.groupBy("obs_rec").agg(F.map_from_entries(F.collect_list(F.struct("name", "impact"))).alias("effects")))
+    near = halo.join(obs.join(radii, "obs_rec").join(effects, "obs_rec", "left"), "obs_id")
+    near = near.select("par_id", "obs_id", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), F.col("t").alias("ot"), "obs", "err_std", "priors", "hroi", "vroi", "troi", "effects")
+    described = {r["rec"]: (r["name"], r["z"], r["t"]) for r in state_records.select("rec", "name", "z", "t").collect()}  # some tens of rows
+    along, up, ago = (TAPER_ARRAYS[k] for k in kinds)
+    weights = WEIGHTS[method]
+
+    def axis_gap(a: np.ndarray, b: float, length: float | None) -> np.ndarray:
+        gap = np.abs(a - b)
+        return gap if length is None else np.minimum(gap, length - gap)
+
+    def run(tile: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(tile):
+            return pd.DataFrame({"rec": [], "loc": [], "ens": []})
+        tile = tile.reset_index(drop=True)
+        after = [np.asarray(e) for e in tile["ens"]]
+        if len(found):
+            found = found.sort_values("obs_id").reset_index(drop=True)
+            ox, oy, oz, ot, obs_, err, hroi, vroi, troi = (found[c].to_numpy(np.float64) for c in ("ox", "oy", "oz", "ot", "obs", "err_std", "hroi", "vroi", "troi"))
+            effect = [dict(e) if e is not None else {} for e in found["effects"]]
+            priors = np.stack(found["priors"].to_list(), axis=1)
+            recs = sorted(set(tile["rec"]))
+            others = np.stack([up(np.abs(oz - described[r][1]), vroi) * ago(np.abs(ot - described[r][2]), troi) * np.array([e.get(described[r][0], 1.0) for e in effect]) for r in recs])
+            shared, kind = np.unique(others, axis=0, return_inverse=True)
+            kind = dict(zip(recs, kind.ravel()))
+            for (x, y), rows in tile.groupby(["x", "y"]).indices.items():
+                flat = along(np.sqrt(axis_gap(ox, x, lx) ** 2 + axis_gap(oy, y, ly) ** 2), hroi)
+                known: dict[int, np.ndarray | None] = {}
+                for k in rows:
+                    if after[k].std() == 0:
+                        continue
+                    g = kind[tile["rec"][k]]
+                    if g not in known:
+                        rho = flat * shared[g]
+                        used = np.flatnonzero(rho > 0)
+                        if max_obs is not None and len(used) > max_obs:
+                            used = np.sort(used[np.argsort(-rho[used], kind="stable")[:max_obs]])
+                        known[g] = weights(priors[:, used], obs_[used], err[used], rho[used], **options) if len(used) else None
+                    if known[g] is not None:
+                        after[k] = after[k] @ known[g]
+        return pd.DataFrame({"rec": tile["rec"], "loc": tile["loc"], "ens": after})
+
+    out = points.groupBy("par_id").cogroup(near.groupBy("par_id")).applyInPandas(run, "rec int, loc bigint, ens array<double>")
+    return out.select("rec", "loc", F.posexplode("ens").alias("mem", "value"))
+
+
+def _gaspari_cohn(gap: np.ndarray, roi: float | np.ndarray) -> np.ndarray:
     r = np.maximum(2 * gap / roi, 1e-10)
     near = 1 + r * r * (-5 / 3 + r * (5 / 8 + r * (1 / 2 - r / 4)))
     far = 4 - 5 * r + r * r * (5 / 3 + r * (5 / 8 + r * (-1 / 2 + r / 12))) - 2 / (3 * r)

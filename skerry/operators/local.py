@@ -26,12 +26,17 @@ def strided(points: DataFrame, stride_x: int, stride_y: int) -> DataFrame:
     return points.withColumn("par_id", (F.col("j") % stride_y * stride_x + F.col("i") % stride_x).cast("int"))
 
 
-def halo(obs: DataFrame, nx: int, ny: int, side: int, reach: float) -> DataFrame:
+def halo(obs: DataFrame, nx: int, ny: int, side: int, reach: float | Column, cyclic_x: bool = False, cyclic_y: bool = False) -> DataFrame:
     """``par_id, obs_id``: observations within ``reach`` of a tile in both axes, as many rows as tiles they touch.
 
-    Each observation names its tiles by arithmetic, so there is no join; the grid isn't cyclic here.
+    ``reach`` may be a column, a radius for each observation. In a cyclic dimension an observation also
+    counts one period further on either side. Each observation names its tiles by arithmetic, so there is
+    no join.
     """
     across, down = -(-nx // side), -(-ny // side)
+    for axis, n, cyclic in (("x", nx, cyclic_x), ("y", ny, cyclic_y)):
+        if cyclic:
+            obs = obs.withColumn("turn", F.explode(F.array(*[F.lit(float(k * n)) for k in (-1, 0, 1)]))).withColumn(axis, F.pmod(F.col(axis), F.lit(float(n))) + F.col("turn")).drop("turn")
 
     def span(c: Column, n: int, tiles: int) -> tuple[Column, Column]:
         # tile k covers points k*side to min(k*side+side, n) - 1
@@ -43,7 +48,8 @@ def halo(obs: DataFrame, nx: int, ny: int, side: int, reach: float) -> DataFrame
     (x0, x1), (y0, y1) = span(F.col("x"), nx, across), span(F.col("y"), ny, down)
     steps = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
     tiles = obs.withColumn("tx", F.explode(steps(x0, x1))).withColumn("ty", F.explode(steps(y0, y1)))
-    return tiles.select((F.col("ty") * across + F.col("tx")).cast("int").alias("par_id"), "obs_id")
+    named = tiles.select((F.col("ty") * across + F.col("tx")).cast("int").alias("par_id"), "obs_id")
+    return named.distinct() if cyclic_x or cyclic_y else named  # a wide reach may come from both sides
 
 
 def workload(points: DataFrame, assigned: DataFrame) -> DataFrame:

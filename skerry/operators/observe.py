@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.operators import grid as grids
+from skerry.operators import vertical
 from skerry.sources.config import Registry
 
 OPERATORS = Registry("observation operator")
@@ -59,6 +60,42 @@ def derived_anomaly(fields: DataFrame) -> DataFrame:
     return fields.join(F.broadcast(means), "mem").withColumn("anomaly", F.col("value") - F.col("mean")).drop("mean")
 
 
+def at_levels(fields: DataFrame, obs: DataFrame, grid: grids.Grid, name: str = "value") -> DataFrame:
+    """``obs_id, mem, value`` at ``obs(obs_id, x, y, z)`` of a variable on levels, ``fields(loc, mem, lev, z, name)``.
+
+    Each level and the depth of its far side are interpolated to the observation's place, then the column
+    there to its depth. An observation outside the grid or below the last level has no row, nor has one of
+    whose column a level is missing.
+    """
+    levels = fields.select("lev").distinct().count()  # some tens
+    met = grids.weights(grids.find_cell(obs.select("obs_id", "x", "y"), grid), "obs_id").join(fields.select("loc", "mem", "lev", "z", name), "loc").groupBy("obs_id", "mem", "lev")
+    column = met.agg(*[F.when(F.count(c) == 4, F.sum(F.col("w") * F.col(c))).alias(a) for c, a in ((name, "f"), ("z", "z"))]).where("f is not null and z is not null")
+    whole = F.collect_list(F.struct("lev", "f", "z"))
+    column = column.groupBy("obs_id", "mem").agg(whole.alias("levels")).where(F.size("levels") == levels)
+    column = column.select("obs_id", "mem", F.struct("obs_id", "mem").alias("column"), F.explode("levels").alias("l")).select("obs_id", "mem", "column", "l.*")
+    wanted = column.select("obs_id", "column").distinct().join(obs.select("obs_id", F.col("z").alias("oz")), "obs_id")
+    found = vertical.interpolate(wanted.select("column", "obs_id", "oz"), column.select("column", "lev", "f", "z"), "column")
+    return found.select("obs_id", F.col("column.mem").alias("mem"), "value")
+
+
+def state_to_observations(fields: DataFrame, obs: DataFrame, grid: grids.Grid, variable: str, operator: str | None = None, derived: tuple[str, ...] = (), **options) -> DataFrame:
+    """``obs_id, mem, value`` of what the state gives for observations of ``variable``.
+
+    A registered ``operator`` comes first. Otherwise the variable must be a column of the fields, or of
+    those that the ``derived`` functions add, and is interpolated: in depth too if fields have levels and
+    observations a depth. A variable that is neither is an error.
+    """
+    for name in derived:
+        fields = DERIVED[name](fields)
+    if operator is not None:
+        return OPERATORS[operator](fields, obs, grid, **options)
+    if variable not in fields.columns:
+        raise NotImplementedError(f"no observation operator and no state variable for {variable!r}")
+    if "lev" in fields.columns and "z" in obs.columns:
+        return at_levels(fields, obs, grid, variable)
+    return identity(fields, obs, grid, variable).where("value is not null")
+
+
 def observe(fields: DataFrame, obs: DataFrame, grid: grids.Grid, operator: str = "identity", **options) -> DataFrame:
     """Observed members by a registered operator; an unknown name is an error."""
     return OPERATORS[operator](fields, obs, grid, **options)

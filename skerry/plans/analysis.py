@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.operators import grid as grids
@@ -12,12 +12,17 @@ from skerry.operators import inflation, kernels, local, localization, serial, sp
 from skerry.sources.tables import StateStore
 
 
+#: Widest tile, in points.
+MOST_TILE = 64
+
+
 @dataclass(frozen=True)
 class Settings:
     """How to analyse: filter, radius, taper, tiles, inflation.
 
     ``prior`` and ``post`` are inflation specifications such as ``"post,rtpp"``; without a coefficient they
-    are adaptive. With ``tile`` a transform filter works tile by tile.
+    are adaptive. A transform filter works tile by tile, ``tile`` points wide, unless ``max_obs`` limits the
+    observations of a point.
     """
 
     method: str = "etkf"
@@ -45,6 +50,16 @@ def at_observations(state: DataFrame, obs: DataFrame, grid: grids.Grid) -> DataF
     return met.where("value is not null")
 
 
+def _side(spark: SparkSession, grid: grids.Grid) -> int:
+    """Width of tiles of which each task gets some, and none more than fits it well."""
+    return min(local.tile_side(grid.nx, grid.ny, spark.sparkContext.defaultParallelism), MOST_TILE)
+
+
+def _in_steps(obs: DataFrame, grid: grids.Grid) -> DataFrame:
+    """Observations with their place counted in grid steps."""
+    return obs.withColumns({"x": (F.col("x") - grid.x0) / grid.dx, "y": (F.col("y") - grid.y0) / grid.dy})
+
+
 def _spread(ens: DataFrame, coef: float | None, found: DataFrame) -> DataFrame:
     """Perturbations times a coefficient, or times the one row of ``found(coef)``."""
     if coef is not None:
@@ -74,9 +89,10 @@ def analyse(state: DataFrame, obs: DataFrame, grid: grids.Grid, settings: Settin
         post = serial.assimilate(prior, points, observed, obs, settings.roi, settings.taper)
     else:
         with_members = obs.select("obs_id", "x", "y", "obs", "err_std").join(stats.packed(observed, "obs_id", "value", "priors"), "obs_id")
-        if settings.tile:
-            placed = local.with_tiles(grid.points(spark), grid.nx, settings.tile).select("loc", "x", "y", "par_id")
-            halo = local.halo(obs, grid.nx, grid.ny, settings.tile, settings.roi)
+        if settings.max_obs is None:
+            side = settings.tile or _side(spark, grid)
+            placed = local.with_tiles(grid.points(spark), grid.nx, side).select("loc", "x", "y", "par_id")
+            halo = local.halo(_in_steps(obs, grid), grid.nx, grid.ny, side, settings.roi / min(grid.dx, grid.dy))
             post = kernels.batch_analysis(prior.join(placed, "loc"), with_members, halo, settings.roi, settings.method, settings.taper)
         else:
             pairs = local.localize(points, obs, settings.roi, settings.taper)
@@ -116,20 +132,36 @@ def analyse_scales(state: DataFrame, obs: DataFrame, grid: grids.Grid, rois: lis
             part = spectral.scale_component(field, ["mem"], grid.ny, grid.nx, cutoffs, scale)
             part = part.select((F.col("j") * grid.nx + F.col("i")).cast("bigint").alias("loc"), "mem", "value")
         members = stats.packed(at_observations(now, obs, grid), "obs_id", "value", "priors")
-        pairs = local.localize(points, obs, roi)
-        post = kernels.local_analysis(part, obs.select("obs_id", "obs", "err_std").join(members, "obs_id"), pairs, method)
+        side = _side(spark, grid)
+        placed = local.with_tiles(points, grid.nx, side).select("loc", "x", "y", "par_id")
+        halo = local.halo(_in_steps(obs, grid), grid.nx, grid.ny, side, roi / min(grid.dx, grid.dy))
+        post = kernels.batch_analysis(part.join(placed, "loc"), obs.select("obs_id", "x", "y", "obs", "err_std").join(members, "obs_id"), halo, roi, method)
         now = store.write(stats.write_back(now, stats.increments(part, post, ["loc", "mem"]), ["loc", "mem"]), scale, "state")
     return now
 
 
-def analyse_records(state: DataFrame, state_records: DataFrame, obs: DataFrame, obs_records: DataFrame, observed: DataFrame, grid: grids.Grid, method: str = "etkf", max_obs: int | None = None) -> DataFrame:
+def analyse_records(state: DataFrame, state_records: DataFrame, obs: DataFrame, obs_records: DataFrame, observed: DataFrame, grid: grids.Grid, method: str = "etkf", max_obs: int | None = None, tile: int | None = None, **options) -> DataFrame:
     """The posterior ``rec, loc, mem, value`` of fields on several levels, times and variables.
 
     ``state(rec, loc, mem, value)`` has the fields of ``state_records(rec, name, z, t)``, ``obs(obs_id,
     obs_rec, x, y, z, t, obs, err_std)`` the observations of ``obs_records``, ``observed(obs_id, mem,
     value)`` their members. Factors of all three directions and the impact on the variable decide what an
-    observation does to a record; a record without any stays unchanged.
+    observation does to a record; a record without any stays unchanged. Tiles and the observations of
+    each one's reach meet in tasks; observations that not every member has are left out.
     """
+    spark = state.sparkSession
+    side = tile or _side(spark, grid)
+    placed = local.with_tiles(grid.points(spark), grid.nx, side).select("loc", "x", "y", "par_id")
+    members = obs.join(stats.packed(observed, "obs_id", "value", "priors"), "obs_id")
+    reach = obs.join(F.broadcast(obs_records.select("obs_rec", "hroi")), "obs_rec")
+    halo = local.halo(_in_steps(reach, grid), grid.nx, grid.ny, side, F.col("hroi") / min(grid.dx, grid.dy), grid.cyclic_x, grid.cyclic_y)
+    impact = localization.impact_of(obs_records, state_records.select("name").distinct())
+    lx, ly = (n * step if cyclic else None for n, step, cyclic in ((grid.nx, grid.dx, grid.cyclic_x), (grid.ny, grid.dy, grid.cyclic_y)))
+    return kernels.batch_records(state.join(placed, "loc"), state_records, members, obs_records, impact, halo, method, lx=lx, ly=ly, max_obs=max_obs, **options)
+
+
+def analyse_records_by_point(state: DataFrame, state_records: DataFrame, obs: DataFrame, obs_records: DataFrame, observed: DataFrame, grid: grids.Grid, method: str = "etkf", max_obs: int | None = None) -> DataFrame:
+    """As ``analyse_records``, with every pair of a point and an observation as a row: for few observations, and to compare."""
     points = grid.points(state.sparkSession).select("loc", "x", "y")
     size = grid.nx * grid.ny
     placed = lambda df: df.withColumn("loc", F.col("rec") * F.lit(size).cast("bigint") + F.col("loc"))

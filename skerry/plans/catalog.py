@@ -1343,3 +1343,31 @@ def patch_window(spark, sf_dir):
     folder = f"{StateStore.temporary(spark).root}/patches"
     records.write_patches(carriers.ensemble(spark, sf_dir).where("mem = 0"), folder, "temp", 8, 6).count()
     return _round(records.read_patches(spark, folder, (3, 19, 2, 1 << 40)).select("i", "j", "value").where("value is not null"), "value")
+
+
+# observations within columns, records analysed tile by tile
+
+
+@query(f"""WITH {_ENS}, {_OBS}, {_WEIGHTS}, l AS (SELECT loc, mem % 5 AS mem, mem // 5 AS lev, value AS f, 10.0 * (mem // 5 + 1) + loc % 3 AS z FROM ens),
+c AS (SELECT obs_id, mem, lev, sum(w * f) AS f, sum(w * z) AS z FROM w JOIN l USING (loc) GROUP BY ALL HAVING count(*) = 4),
+n AS (SELECT *, lag(f) OVER o AS fp, coalesce(lag(z) OVER o, 0) AS zp, coalesce(lag(z, 2) OVER o, 0) AS zpp, obs_id % 47 - 2.5 AS oz FROM c WINDOW o AS (PARTITION BY obs_id, mem ORDER BY lev)),
+v AS (SELECT obs_id, mem, CASE WHEN lev = 0 AND oz >= 0 AND oz < z / 2 THEN f WHEN lev > 0 AND oz >= (zp + zpp) / 2 AND oz < (zp + z) / 2 THEN fp + (oz - (zp + zpp) / 2) / ((zp + z) / 2 - (zp + zpp) / 2) * (f - fp) WHEN lev = 3 AND oz >= (zp + z) / 2 AND oz <= z THEN f END AS value FROM n)
+SELECT obs_id, mem, round(any_value(value), 6) + 0.0 AS value FROM v WHERE value IS NOT NULL GROUP BY obs_id, mem""")
+def obs_prior_levels(spark, sf_dir):
+    ens = carriers.ensemble(spark, sf_dir)
+    levels = ens.select("loc", (F.col("mem") % 5).alias("mem"), F.floor(F.col("mem") / 5).cast("int").alias("lev"), "value", (10.0 * (F.floor(F.col("mem") / 5) + 1) + F.col("loc") % 3).alias("z"))
+    obs = _some_obs(spark, sf_dir).withColumn("z", F.col("obs_id") % 47 - 2.5)
+    return _round(observe.state_to_observations(levels, obs, GRID(spark, sf_dir), "value"), "value")
+
+
+@query()
+def analysis_records(spark, sf_dir):
+    """All events assimilated into two variables on two levels, tile by tile; tests hold it against the filter by point."""
+    from skerry.plans.analysis import analyse_records
+
+    obs_records, state_records = _records(spark)
+    ens = carriers.ensemble(spark, sf_dir)
+    state = ens.select(F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("rec"), "loc", "mem", "value").withColumn("value", F.col("value") * (F.col("rec") + 1))
+    obs = _some_obs(spark, sf_dir).select("obs_id", F.col("kind").alias("obs_rec"), "x", "y", (F.col("obs_id") % 20).cast("double").alias("z"), F.hour("t").cast("double").alias("t"), "obs", "err_std")
+    observed = _prior(spark, sf_dir, obs)
+    return _round(analyse_records(state, state_records, obs, obs_records, observed, GRID(spark, sf_dir)), "value")
