@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.functions import calendar, distance, microwave, physics, units
-from skerry.operators import alignment, asof, curvilinear, distance_field, fields, grid, inflation, kernels, local, localization, mesh, models, network, observations, observe, scatter, serial, spectral, stats, trajectories, vertical
+from skerry.operators import alignment, asof, curvilinear, distance_field, fields, grid, inflation, kernels, local, localization, mesh, models, network, observations, observe, scatter, serial, spectral, stats, trajectories, transforms, vertical
 from skerry.sources import carriers, records
 from skerry.sources.tables import StateStore
 
@@ -119,12 +119,14 @@ def hours_since_1900(spark, sf_dir):
     return _round(out, "hours", "before", "after")
 
 
-@query("""WITH t(text) AS (SELECT unnest(['1e-3', '-1E4', 'inf', '-inf', 'yes', '.false.', 'random string', '12', '1.5e2', 'T', 'off']))
-SELECT text, CASE WHEN regexp_full_match(text, '-?[0-9]+(\\.[0-9]*)?[eE]-?[0-9]+') THEN text::DOUBLE WHEN text = 'inf' THEN 'infinity'::DOUBLE WHEN text = '-inf' THEN '-infinity'::DOUBLE END AS number,
+@query("""WITH t AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN concat(event_id % 90 - 45, 'e', event_id % 7 - 3) WHEN 1 THEN concat('1.5E', event_id % 5) WHEN 2 THEN 'inf' WHEN 3 THEN '-inf' WHEN 4 THEN 'yes' WHEN 5 THEN '.FALSE.' WHEN 6 THEN event_type ELSE 'T' END AS text FROM events)
+SELECT event_id, text, CASE WHEN regexp_full_match(text, '-?[0-9]+(\\.[0-9]*)?[eE]-?[0-9]+') THEN text::DOUBLE WHEN text = 'inf' THEN 'infinity'::DOUBLE WHEN text = '-inf' THEN '-infinity'::DOUBLE END AS number,
 CASE WHEN lower(text) IN ('y','yes','on','t','true','.true.') THEN true WHEN lower(text) IN ('n','no','off','f','false','.false.') THEN false END AS truth FROM t""")
 def config_notation(spark, sf_dir):
-    texts = ["1e-3", "-1E4", "inf", "-inf", "yes", ".false.", "random string", "12", "1.5e2", "T", "off"]
-    return spark.createDataFrame([(t,) for t in texts], "text string").select("text", units.notation_number(F.col("text")).alias("number"), units.notation_bool(F.col("text")).alias("truth"))
+    k = F.col("event_id")
+    forms = [F.concat(k % 90 - 45, F.lit("e"), k % 7 - 3), F.concat(F.lit("1.5E"), k % 5), F.lit("inf"), F.lit("-inf"), F.lit("yes"), F.lit(".FALSE."), F.col("event_type"), F.lit("T")]
+    text = F.element_at(F.array(*forms), (k % 8 + 1).cast("int"))
+    return carriers.table(spark, sf_dir, "events").select("event_id", text.alias("text")).select("event_id", "text", units.notation_number(F.col("text")).alias("number"), units.notation_bool(F.col("text")).alias("truth"))
 
 
 _GC = """CASE WHEN r < 1 THEN 1 - 5.0/3*r*r + 5.0/8*r*r*r + r*r*r*r/2 - r*r*r*r*r/4 WHEN r < 2 THEN 4 - 5*r + 5.0/3*r*r + 5.0/8*r*r*r - r*r*r*r/2 + r*r*r*r*r/12 - 2/(3*r) ELSE 0 END"""
@@ -910,17 +912,6 @@ def rankine_vortex(spark, sf_dir):
     return _round(models.rankine_vortex(GRID(spark, sf_dir).points(spark), 35.0, 4.0, F.lit(12.3), F.lit(9.6)).select("loc", "u", "v"), "u", "v")
 
 
-@query()
-def vortex_run(spark, sf_dir):
-    n, dx = 32, 9000.0
-    square = grid.Grid(n, n, dx=dx, dy=dx)
-    mems = spark.range(4).select(F.col("id").cast("int").alias("mem"))
-    points = square.points(spark).crossJoin(F.broadcast(mems))
-    centre = F.lit(n * dx / 2) + (F.col("mem") - 1.5) * dx
-    start = models.rankine_vortex(points, 35.0, 4 * dx, centre, F.lit(n * dx / 2))
-    return _round(models.vortex_run(start, n, dx, 3.0, 60.0, 1e-5, 3e3), "u", "v")
-
-
 @query(f"""WITH {_OBS}, m AS (SELECT obs_id, radians(x * 14) AS lo, tan(radians(90 - (y % 19 * 4 + 5)) / 2) AS r FROM obs), z AS (SELECT obs_id, r * cos(lo) AS x, r * sin(lo) AS y FROM m),
 k AS (SELECT tan(radians(15)) AS a, tan(radians(60)) AS b), c AS (SELECT a, -b AS b, tan(radians(90 - degrees(asin((sin(radians(60)) + sin(radians(-30))) / sqrt(2)))) / 2) AS zc FROM k),
 q AS (SELECT obs_id, (x - a) AS ux, y AS uy, (x - b) AS lx, (zc - b) / (zc - a) AS f FROM z, c), w AS (SELECT obs_id, f * (ux * lx + uy * uy) / (lx * lx + uy * uy) AS wx, f * (uy * lx - ux * uy) / (lx * lx + uy * uy) AS wy FROM q)
@@ -961,17 +952,21 @@ def local_factors(spark, sf_dir):
     return _round(out.where("rho > 1e-8"), "rho", digits=9)
 
 
-@query(f"WITH {_RECORDS} SELECT obs_rec, name, coalesce(element_at(impact, name)[1], 1.0)::DOUBLE AS impact FROM orec, (SELECT DISTINCT name FROM srec)")
+@query("""WITH v(name) AS (VALUES ('temp'), ('salt'), ('ice')) SELECT p_partkey AS obs_rec, name, CASE WHEN name = CASE p_size % 3 WHEN 0 THEN 'temp' WHEN 1 THEN 'salt' ELSE 'ice' END THEN p_size / 10.0 ELSE 1 END::DOUBLE AS impact FROM part, v""")
 def obs_impact(spark, sf_dir):
-    obs_records, state_records = _records(spark)
-    return localization.impact_of(obs_records, state_records.select("name").distinct())
+    """Every part as an observation record with an impact of its own on one of three variables."""
+    named = F.element_at(F.array(F.lit("temp"), F.lit("salt"), F.lit("ice")), (F.col("p_size") % 3 + 1).cast("int"))
+    obs_records = carriers.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("obs_rec"), F.create_map(named, F.col("p_size") / 10.0).alias("impact"))
+    return localization.impact_of(obs_records, spark.createDataFrame([("temp",), ("salt",), ("ice",)], "name string"))
 
 
-@query(f"""WITH {_RECORDS}, g AS (SELECT * FROM (VALUES ('click', 'view', 0.3), ('signup', 'error', -0.2)) AS t(a, b, corr))
-SELECT p.obs_rec AS a, q.obs_rec AS b, coalesce(g.corr, h.corr, CASE WHEN p.obs_rec = q.obs_rec THEN 1 ELSE 0 END)::DOUBLE AS corr FROM orec p, orec q LEFT JOIN g ON g.a = p.obs_rec AND g.b = q.obs_rec LEFT JOIN g h ON h.b = p.obs_rec AND h.a = q.obs_rec""")
+@query("""WITH g AS (SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b, n_regionkey / 10.0 - 0.2 AS corr FROM nation WHERE n_nationkey % 2 = 0), both_ AS (SELECT a, b, corr FROM g UNION ALL SELECT b, a, corr FROM g), m AS (SELECT a, b, max(corr) AS corr FROM both_ GROUP BY a, b)
+SELECT p.n_nationkey AS a, q.n_nationkey AS b, round(coalesce(m.corr, CASE WHEN p.n_nationkey = q.n_nationkey THEN 1 ELSE 0 END), 6)::DOUBLE AS corr FROM nation p, nation q LEFT JOIN m ON m.a = p.n_nationkey AND m.b = q.n_nationkey""")
 def error_correlation(spark, sf_dir):
-    given = spark.createDataFrame([("click", "view", 0.3), ("signup", "error", -0.2)], "a string, b string, corr double")
-    return localization.cross_correlation(_records(spark)[0], given)
+    """Error correlations between the nations as observation records."""
+    nation = carriers.table(spark, sf_dir, "nation")
+    given = nation.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("b"), (F.col("n_regionkey") / 10.0 - 0.2).alias("corr"))
+    return _round(localization.cross_correlation(nation.select(F.col("n_nationkey").alias("obs_rec")), given), "corr")
 
 
 @query(f"""WITH {_ENS}, {_ONE}, recs AS (SELECT * FROM (VALUES (0, 0.0, 0.0, 1.0), (1, 10.0, 6.0, 0.5)) AS t(rec, z, t, hit)), v AS (SELECT rec, hit, t, greatest(2 * abs(z - 4) / 12, 1e-10) AS r FROM recs), f AS (SELECT rec, hit * exp(-t / 24) * ({_GC}) AS f FROM v),
@@ -1371,3 +1366,33 @@ def analysis_records(spark, sf_dir):
     obs = _some_obs(spark, sf_dir).select("obs_id", F.col("kind").alias("obs_rec"), "x", "y", (F.col("obs_id") % 20).cast("double").alias("z"), F.hour("t").cast("double").alias("t"), "obs", "err_std")
     observed = _prior(spark, sf_dir, obs)
     return _round(analyse_records(state, state_records, obs, obs_records, observed, GRID(spark, sf_dir)), "value")
+
+
+# scales on irregular nodes and of observations, a state carried from cycle to cycle
+
+
+@query(f"""WITH {_ENS}, g AS (SELECT loc, i + 0.3 * sin(loc) AS x, j + 0.3 * cos(loc) AS y, value FROM ens WHERE mem = 0),
+p AS (SELECT a.loc, b.value, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d FROM g a JOIN g b ON abs(a.x - b.x) <= 6 AND abs(a.y - b.y) <= 6),
+s AS (SELECT loc, sum(CASE WHEN d <= 9 THEN exp(-d / 2) * value END) / sum(CASE WHEN d <= 9 THEN exp(-d / 2) END) AS fine, sum(CASE WHEN d <= 36 THEN exp(-d / 8) * value END) / sum(CASE WHEN d <= 36 THEN exp(-d / 8) END) AS coarse FROM p GROUP BY loc)
+SELECT 0 AS mem, loc AS node, round(fine - coarse, 6) + 0.0 AS value FROM s""")
+def node_scales(spark, sf_dir):
+    nodes = carriers.ensemble(spark, sf_dir).where("mem = 0").select(F.lit(0).alias("mem"), F.col("loc").alias("node"), (F.col("i") + 0.3 * F.sin("loc")).alias("x"), (F.col("j") + 0.3 * F.cos("loc")).alias("y"), "value")
+    return _round(transforms.node_component(nodes, [2.0, 1.0], ["mem"], 1), "value")
+
+
+@query()
+def obs_scales(spark, sf_dir):
+    """The middle scale of all observations; tests hold it against whole arrays."""
+    obs = _some_obs(spark, sf_dir).select("obs_id", "x", "y", "obs", "err_std")
+    bands = transforms.TRANSFORMS["scale_bandpass"](GRID(spark, sf_dir), [3.0, 8.0], [1.0, 1.2, 1.5])
+    return _round(bands.forward_obs(obs, 1), "obs", "err_std")
+
+
+@query(f"""WITH RECURSIVE {_OBS}, s AS (SELECT kind AS key, epoch_us(t) // 21600000000 AS cycle, count(*) AS n, avg(obs) AS m FROM obs GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cycle) AS k FROM s),
+f(key, k, cycle, n, mean, variance) AS (SELECT key, k, cycle, n, 1 / (1 + 0.04 / n) * m, (1 - 1 / (1 + 0.04 / n)) * 1 FROM o WHERE k = 1
+ UNION ALL SELECT o.key, o.k, o.cycle, o.n, f.mean + g.v / (g.v + 0.04 / o.n) * (o.m - f.mean), (1 - g.v / (g.v + 0.04 / o.n)) * g.v FROM f JOIN o ON o.key = f.key AND o.k = f.k + 1, LATERAL (SELECT f.variance + 0.01 * (o.cycle - f.cycle) AS v) g)
+SELECT key, cycle, n, round(mean, 6) + 0.0 AS mean, round(variance, 8) AS variance FROM f""")
+def cycle_state(spark, sf_dir):
+    from skerry.streaming.carried import carried
+
+    return _round(_round(carried(_some_obs(spark, sf_dir), 6), "mean"), "variance", digits=8)

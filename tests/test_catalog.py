@@ -9,7 +9,7 @@ import pytest
 from skerry.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("embeddings", "events", "lineitem", "orders", "part", "supplier")
+TABLES = ("embeddings", "events", "lineitem", "nation", "orders", "part", "supplier")
 
 
 @pytest.fixture(scope="module")
