@@ -31,6 +31,18 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, _roots.pop())
 
 
+def held() -> frozenset[str]:
+    """Folders of tables that operators have left so far."""
+    return frozenset(_roots)
+
+
+def release(spark: SparkSession, roots: frozenset[str]) -> None:
+    """Delete the tables in these folders, whose results are written."""
+    for root in roots & _roots:
+        _roots.discard(root)
+        _delete(spark, root)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

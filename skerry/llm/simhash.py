@@ -12,9 +12,9 @@ words within one bit of them. Where that leaves one component on a key, nothing
 members of all other keys are linked by the words within ``max_distance / 2`` bits, of which any two
 close ones share one. Every way is exact, so no link that changes a component is lost or invented.
 
-``deduplicate`` links by similarity of shingle sets: beyond the links above, fingerprints that share a
-longer-distance key and are at most ``WIDE_DISTANCE`` bits apart are compared by the exact Jaccard
-index of their texts' shingles.
+``deduplicate`` links by similarity of shingle sets: beyond the links above, texts that share a band of
+their MinHash signatures and are at most ``WIDE_DISTANCE`` bits apart are compared by the exact Jaccard
+index of their shingles. Bands do not depend on how many texts there are.
 """
 
 from __future__ import annotations
@@ -38,8 +38,13 @@ MAX_DISTANCE = 4
 BUCKET_LIMIT = 256
 #: ``deduplicate``: words of a shingle, least Jaccard index, and bits within which texts are compared.
 DEDUP_SHINGLE, SIMILARITY = 5, 0.8
-KEY_DISTANCE, WIDE_DISTANCE = 6, 16
+WIDE_DISTANCE = 22
+#: MinHash bands and hashes a band: 98 % of pairs of a Jaccard index of 0.8 share a band, at every number of texts.
+BANDS, BAND_ROWS, BAND_LIMIT = 14, 6, 32
 _STEP = 1 << 15
+_MINHASH_STEP = 1 << 10
+_FACTORS = np.random.default_rng(42).integers(1 << 63, size=BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _OFFSET = np.arange(8, dtype=np.int16) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -83,6 +88,16 @@ def fingerprint_column(text: str = "text", shingle: int = SHINGLE, seed: int = S
     return simhash(F.col(text))
 
 
+def _print_and_keys(text: str, shingle: int) -> Column:
+    """Fingerprint and MinHash band keys of a text, together."""
+
+    @F.pandas_udf("fp long, keys array<long>")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"fp": pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64"), "keys": [band_keys(t, shingle) for t in texts]})
+
+    return both(F.col(text))
+
+
 def fewest_blocks(count: int, max_distance: int = MAX_DISTANCE) -> int:
     """Blocks whose keys have a few more bits than ``count`` fingerprints need, so that chance collisions stay in proportion to the rows."""
     blocks = max_distance + 2
@@ -147,29 +162,59 @@ def links(nodes: DataFrame, count: int, scratch: Scratch, max_distance: int = MA
     return reduce(DataFrame.union, found)
 
 
-def similar(nodes: DataFrame, rows: DataFrame, roots: DataFrame, count: int, scratch: Scratch, shingle: int, similarity: float, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Edges between fingerprints of different components whose texts have a Jaccard index of ``similarity`` or more.
+def band_keys(text: str | None, shingle: int = DEDUP_SHINGLE) -> list[int]:
+    """A signed key for each band of the text's MinHash signature: two texts share one with a chance that follows from their Jaccard index alone."""
+    hashes = np.unique(np.array(shingle_hashes(text, shingle), dtype=np.uint64))
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), _MINHASH_STEP):
+        some = hashes[i : i + _MINHASH_STEP, None] * _FACTORS
+        np.minimum(least, ((some ^ (some >> np.uint64(29))) * _MIX).min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(row.tobytes(), band) - (1 << 63) for band, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
-    ``nodes(fp, first)`` are the distinct fingerprints of ``rows(fp, id, text)`` with their smallest ids, whose texts count.
 
-    Compared are those that share a key, at most ``WIDE_DISTANCE`` bits apart. Members of a key that
-    more than ``bucket_limit`` share are keyed again by longer keys; on those that are still crowded,
-    the smallest fingerprint of each component is compared with the next component's.
+def _across(members: DataFrame, limit: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs of fingerprints of different components on keys of at most ``limit`` members, and the members of the other keys.
+
+    ``members(key, fp, root)``; keys of one component are left out.
     """
-    rooted = nodes.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    found, start = [], fewest_blocks(count, KEY_DISTANCE)
-    for blocks in sorted({start, max(start, 2 * KEY_DISTANCE)}):
-        shared = _shared_keys(rooted, block_masks(blocks, KEY_DISTANCE), scratch)
-        found.append(scratch.write(_pairs(shared.where(F.col("n") <= bucket_limit), WIDE_DISTANCE, "root"), "candidates"))
-        crowded = shared.where(F.col("n") > bucket_limit)
-        rooted = scratch.write(crowded.select("fp", "root").distinct(), "crowded")
-        if rooted.isEmpty():
-            break
-    else:
-        firsts = crowded.groupBy("key", "root").agg(F.min("fp").alias("a"))
-        firsts = firsts.withColumn("b", F.lead("a").over(Window.partitionBy("key").orderBy("root")))
-        found.append(firsts.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= WIDE_DISTANCE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    pairs = scratch.write(reduce(DataFrame.union, found).distinct(), "candidates")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    shared = scratch.write(members.join(sizes.select("key", "n"), "key"), "shared-keys")
+    return _pairs(shared.where(F.col("n") <= limit), WIDE_DISTANCE, "root"), shared.where(F.col("n") > limit)
+
+
+def candidates(keyed: DataFrame, scratch: Scratch, limit: int | None = None) -> DataFrame:
+    """Pairs ``(a, b)`` of ``keyed(key, fp, root)`` to compare: they share a key and are of different components.
+
+    Members of a key that more than ``limit`` fingerprints share are keyed again by every two of their
+    crowded keys. On a key that is crowded even then, all components' smallest fingerprints are compared
+    with the first one's and with the next one's.
+    """
+    limit = limit or BAND_LIMIT
+    single, crowded = _across(keyed, limit, scratch)
+    found = [single]
+    twice = crowded.groupBy("fp", "root").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    twos = F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y))))")
+    double, rest = _across(twice.select("fp", "root", F.explode(twos).alias("key")), limit, scratch)
+    found.append(double)
+    firsts = rest.groupBy("key", "root").agg(F.min("fp").alias("fp"))
+    order = Window.partitionBy("key").orderBy("root")
+    firsts = firsts.select("fp", F.lead("fp").over(order).alias("next"), F.first("fp").over(order).alias("first"))
+    for other in ("next", "first"):
+        pair = firsts.where(F.col(other).isNotNull() & (F.col(other) != F.col("fp"))).select(F.least("fp", other).alias("a"), F.greatest("fp", other).alias("b"))
+        found.append(pair.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= WIDE_DISTANCE))
+    return scratch.write(reduce(DataFrame.union, found).distinct(), "candidates")
+
+
+def similar(nodes: DataFrame, rows: DataFrame, roots: DataFrame, scratch: Scratch, shingle: int, similarity: float) -> DataFrame:
+    """Edges between fingerprints of different components whose texts have a Jaccard index of ``similarity`` or more.
+
+    ``nodes(fp, first)`` are the distinct fingerprints of ``rows(fp, id, text, keys)`` with their smallest
+    ids, whose texts count. Compared are those that share a MinHash band, at most ``WIDE_DISTANCE`` bits apart.
+    """
+    keyed = rows.select("fp", F.explode("keys").alias("key")).distinct().join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    pairs = candidates(keyed, scratch)
 
     @F.pandas_udf("array<long>")
     def hashes(texts: pd.Series) -> pd.Series:
@@ -235,14 +280,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "simhash-dedup")
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("sh_row")
-    rows = scratch.write(docs.select(whole, docs[id_col].alias("sh_id"), fingerprint_column(text_col, shingle).alias("sh_fingerprint")), "rows")
+    both = _print_and_keys(text_col, shingle)
+    rows = docs.select(whole, docs[id_col].alias("sh_id"), both.alias("sh_both")).select("sh_row", "sh_id", F.col("sh_both.fp").alias("sh_fingerprint"), F.col("sh_both.keys").alias("sh_keys"))
+    rows = scratch.write(rows, "rows")
     slim = rows.select("sh_id", "sh_fingerprint")
     nodes = _nodes(slim, "sh_id", "sh_fingerprint", scratch)
     count = nodes.count()
     edges = scratch.write(links(nodes.select("fp"), count, scratch, **options), "edges")
     roots = scratch.write(connected_components(edges, scratch).withColumnRenamed("node", "fp"), "roots")
-    texts = rows.select(F.col("sh_fingerprint").alias("fp"), F.col("sh_id").alias("id"), F.col("sh_row")[text_col].alias("text"))
-    more = similar(nodes, texts, roots, count, scratch, shingle, similarity)
+    texts = rows.select(F.col("sh_fingerprint").alias("fp"), F.col("sh_id").alias("id"), F.col("sh_row")[text_col].alias("text"), F.col("sh_keys").alias("keys"))
+    more = similar(nodes, texts, roots, scratch, shingle, similarity)
     labels = scratch.write(assign(slim, nodes, edges.union(more), scratch, id_col="sh_id"), "labels")
     smallest = F.col("sh_id").eqNullSafe(F.col("sh_component"))
     several = labels.where(smallest).groupBy("sh_root").agg(F.count("*").alias("n"), F.min("sh_fingerprint").alias("s_fp"), F.min("sh_id").alias("s_id"))

@@ -591,3 +591,40 @@ def test_ann_scores_of_double_vectors(spark):
     for r in got.collect():
         a, b = vectors[r.query_id], vectors[r.vec_id]
         assert r.score == pytest.approx(float(a @ b / np.sqrt((a @ a) * (b @ b))), abs=1e-15)
+
+
+def test_deduplicate_recall_does_not_fall_with_the_corpus(spark):
+    """Pairs of Jaccard 0.80 to 0.85 among 100,000 other texts, and the share of them that meets in a band."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(6))
+    pairs = []
+    while len(pairs) < 60:
+        words = [word() for _ in range(draw.randint(100, 300))]
+        other = list(words)
+        for _ in range(max(1, len(words) // 52)):
+            other[draw.randrange(5, len(other) - 5)] = word()
+        a, b = (set(simhash.shingle_hashes(" ".join(w), 5)) for w in (words, other))
+        if 0.80 <= len(a & b) / len(a | b) < 0.85:
+            pairs.append((" ".join(words), " ".join(other)))
+    met = [bool(set(simhash.band_keys(a)) & set(simhash.band_keys(b))) for a, b in pairs]
+    assert sum(met) >= 0.95 * len(met)
+    rows = [(2 * k + side, text) for k, pair in enumerate(pairs) for side, text in enumerate(pair)] + [(1000 + k, " ".join(word() for _ in range(9))) for k in range(100_000)]
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id").collect()}
+    assert sum(2 * k + 1 not in kept for k in range(60)) >= 0.9 * 60
+    assert all(2 * k in kept for k in range(60)) and all(i in kept for i, _ in rows if i >= 1000)
+
+
+def test_deduplicate_of_many_copies_in_one_band(spark, monkeypatch):
+    """Keys that more texts share than are compared pair by pair: groups still come together, others stay."""
+    monkeypatch.setattr(simhash, "BAND_LIMIT", 4)
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(6))
+    rows, start = [], [[word() for _ in range(150)] for _ in range(3)]
+    for k in range(90):
+        words = list(start[k % 3])
+        words[draw.randrange(5, 145)] = word()
+        rows.append((k, " ".join(words)))
+    shared = [word() for _ in range(60)]
+    rows += [(100 + k, " ".join(shared + [word() for _ in range(90)])) for k in range(30)]  # a passage in common is no copy
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {0, 1, 2} <= kept and len([i for i in kept if i < 100]) <= 9 and {100 + k for k in range(30)} <= kept
