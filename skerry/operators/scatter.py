@@ -1,8 +1,9 @@
 """Irregular grids of random points with a least distance, drawn all at once.
 
-Candidates have random priorities. A point is taken when every candidate too near to it is lower, and
-whatever is too near to a taken point goes; rounds repeat until all are taken or gone. Each round is one
-join within cells as wide as the distance. The points taken are those that drawing one by one in order
+Candidates have random priorities. A point is taken when no candidate too near to it comes before it,
+and whatever is too near to a taken point goes; rounds repeat until all are taken or gone. Two points of
+one cell as wide as the distance are too near, so only the first of each cell can be taken in a round and
+only these few meet the points around them. The points taken are those that drawing one by one in order
 of priority would give, whatever the rounds.
 """
 
@@ -38,8 +39,10 @@ def spaced(candidates: DataFrame, least: float, rank: Column | None = None, stor
     left = store.write(ranked, 0, "left")
     taken = []
     for k in range(1, most_rounds):
-        lower = _too_near(_named(left, "p"), _named(left, "o"), least).where("o_rank < p_rank").select(F.col("p_id").alias("id")).distinct()
-        now = store.write(left.join(lower, "id", "left_anti"), k, "taken")
+        firsts = left.groupBy(*[F.floor(F.col(c) / least).alias(f"cell_{c}") for c in "xy"]).agg(F.min_by(F.struct("id", "x", "y", "rank"), "rank").alias("f")).select("f.*")
+        firsts = store.write(firsts, k, "firsts")
+        before = _too_near(_named(firsts, "p"), _named(left, "o"), least).where("o_rank < p_rank").select(F.col("p_id").alias("id")).distinct()
+        now = store.write(firsts.join(before, "id", "left_anti"), k, "taken")
         taken.append(now)
         gone = _too_near(_named(now, "p"), _named(left, "o"), least).select(F.col("o_id").alias("id")).union(now.select("id")).distinct()
         left = store.write(left.join(gone, "id", "left_anti"), k, "left")
