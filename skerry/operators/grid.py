@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -185,6 +186,69 @@ def rotate(u: Column, v: Column, angle: Column) -> tuple[Column, Column]:
     return u * F.cos(angle) + v * F.sin(angle), v * F.cos(angle) - u * F.sin(angle)
 
 
+Coordinates = Callable[[Column, Column], tuple[Column, Column]]
+
+
+def rotation_at(project: Coordinates, step: float) -> Callable[[Column, Column], tuple[Column, Column, Column, Column]]:
+    """The directions that a grid's axes have after a change of coordinates, by differences over a tenth of a step.
+
+    Returns a function from a point to ``(xx, yx, xy, yy)``: the two components of the unit vector that
+    the first axis becomes, then of the second's; null at a singular point.
+    """
+    eps = 0.1 * step
+
+    def at(x: Column, y: Column) -> tuple[Column, Column, Column, Column]:
+        (px, py), (ux, uy), (vx, vy) = project(x, y), project(x + eps, y), project(x, y + eps)
+        out = []
+        for qx, qy in ((ux, uy), (vx, vy)):
+            size = F.sqrt((qx - px) ** 2 + (qy - py) ** 2)
+            out += [F.when(size > 0, (qx - px) / size), F.when(size > 0, (qy - py) / size)]
+        return out[0], out[1], out[2], out[3]
+
+    return at
+
+
+def rotated(u: Column, v: Column, turn: tuple[Column, Column, Column, Column]) -> tuple[Column, Column]:
+    """Components of a vector in the new coordinates."""
+    xx, yx, xy, yy = turn
+    return xx * u + xy * v, yx * u + yy * v
+
+
+def convert(field: DataFrame, source: Grid, target: Grid, by: list[str], values: list[str], forward: Coordinates | None = None, inverse: Coordinates | None = None, vector: bool = False, coarse: bool = False, method: str = "linear") -> DataFrame:
+    """``by, loc, values`` on another grid, which may have other coordinates.
+
+    ``forward`` gives the target's coordinates of a source point, ``inverse`` the other way round; both are
+    left out if they are the same, and equal grids give the field as it is. Vectors (two ``values``) are
+    turned first. With ``coarse`` a target point that several source points lie next to takes their mean.
+    Where a source value is missing the target has none.
+    """
+    if source == target and forward is None:
+        return field.select(*by, "loc", *values)
+    spark = field.sparkSession
+    same = lambda x, y: (x, y)
+    forward, inverse = forward or same, inverse or same
+    at = source.points(spark).select("loc", "x", "y")
+    if vector and forward is not same:
+        turn = rotation_at(forward, source.dx)(F.col("x"), F.col("y"))
+        at = at.select("loc", "x", "y", *[c.alias(n) for n, c in zip(("xx", "yx", "xy", "yy"), turn)])
+        u, v = rotated(F.col(values[0]), F.col(values[1]), tuple(F.col(n) for n in ("xx", "yx", "xy", "yy")))
+        field = field.join(at, "loc").select(*by, "loc", u.alias(values[0]), v.alias(values[1]))
+    x, y = inverse(F.col("x"), F.col("y"))
+    wanted = target.points(spark).select(F.col("loc").alias("target"), x.alias("x"), y.alias("y"))
+    cells = find_cell(wanted, source)
+    if method == "nearest":
+        out = cells.select("target", F.col("nearest").alias("loc")).join(field, "loc").select(*by, F.col("target").alias("loc"), *values)
+    else:
+        met = weights(cells, "target").join(field.select("loc", *by, *values), "loc").groupBy("target", *by)
+        out = met.agg(*[F.when(F.count(c) == 4, F.sum(F.col("w") * F.col(c))).alias(c) for c in values]).select(*by, F.col("target").alias("loc"), *values)
+    if coarse:
+        fx, fy = forward(F.col("x"), F.col("y"))
+        near = find_cell(at.select("loc", fx.alias("x"), fy.alias("y")), target).where("nearest is not null").select(F.col("loc").alias("from"), F.col("nearest").alias("loc"))
+        means = field.withColumnRenamed("loc", "from").join(near, "from").groupBy(*by, "loc").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"c_{c}") for c in values]).where("n > 1")
+        out = out.join(means, [*by, "loc"], "full").select(*by, "loc", *[F.coalesce(f"c_{c}", c).alias(c) for c in values])
+    return out
+
+
 def boundary_edges(mesh: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` that only one triangle has."""
     corners = F.array(*[F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in (("n1", "n2"), ("n2", "n3"), ("n3", "n1"))])

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.functions import calendar, distance, microwave, physics, units
 from skerry.operators import alignment, asof, curvilinear, distance_field, fields, grid, inflation, kernels, local, localization, mesh, models, network, observations, observe, scatter, serial, spectral, stats, trajectories, transforms, vertical
-from skerry.sources import carriers, records
+from skerry.sources import carriers, datasets, records
 from skerry.sources.tables import StateStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1182,10 +1183,10 @@ def curvilinear_pivot(spark, sf_dir):
     return _round(curvilinear.pivots(at, points, "obs_id", carriers.NX, ny).select("obs_id", "pivot", "gap"), "gap", digits=3)
 
 
-@query(f"""WITH {_OBS}, {_CURVED}, p AS (SELECT obs_id, any_value(a_lon) AS lon, any_value(a_lat) AS lat, arg_min(loc, gap) AS pivot FROM gap GROUP BY obs_id),
+@query(f"""WITH {_OBS}, {_CURVED}, p AS (SELECT obs_id, any_value(a_lon) AS lon, any_value(a_lat) AS lat, arg_min(loc, gap) AS nearest FROM gap GROUP BY obs_id),
 t(k, di2, dj2, di3, dj3) AS (VALUES (0, 1, 0, 1, 1), (1, 1, 1, 0, 1), (2, 0, 1, -1, 1), (3, -1, 1, -1, 0), (4, -1, 0, -1, -1), (5, -1, -1, 0, -1), (6, 0, -1, 1, -1), (7, 1, -1, 1, 0)),
-m AS (SELECT p.*, t.*, c.i, c.j, c.lon AS lon1, c.lat AS lat1, b.lon AS lon2, b.lat AS lat2, d.lon AS lon3, d.lat AS lat3 FROM p JOIN curved c ON c.loc = pivot, t
-  JOIN curved b ON b.i = (c.i + di2 + 25) % 25 AND b.j = c.j + dj2 JOIN curved d ON d.i = (c.i + di3 + 25) % 25 AND d.j = c.j + dj3),
+m0 AS MATERIALIZED (SELECT p.*, t.*, c.i, c.j, c.lon AS lon1, c.lat AS lat1, (c.j + dj2) * 25 + (c.i + di2 + 25) % 25 AS loc2, (c.j + dj3) * 25 + (c.i + di3 + 25) % 25 AS loc3 FROM p JOIN curved c ON c.loc = p.nearest, t),
+m AS (SELECT m0.*, b.lon AS lon2, b.lat AS lat2, d.lon AS lon3, d.lat AS lat3 FROM m0 JOIN curved b ON b.loc = loc2 JOIN curved d ON d.loc = loc3),
 e AS (SELECT *, dist(lon, lat, lon1, lat1) AS d1, dist(lon, lat, lon2, lat2) AS d2, dist(lon, lat, lon3, lat3) AS d3, dist(lon2, lat2, lon3, lat3) AS s1, dist(lon3, lat3, lon1, lat1) AS s2, dist(lon1, lat1, lon2, lat2) AS s3 FROM m),
 b AS (SELECT *, heron(s1, s2, s3) AS whole, heron(s1, d2, d3) AS a1, heron(s2, d1, d3) AS a2, heron(s3, d1, d2) AS a3 FROM e),
 w AS (SELECT obs_id, k, i * (a1 + a2 + a3) / whole + (di2 * a2 + di3 * a3) / whole AS fi, j * (a1 + a2 + a3) / whole + (dj2 * a2 + dj3 * a3) / whole AS fj FROM b WHERE whole > 0 AND abs((a1 + a2 + a3) / whole - 1) <= 1e-3)
@@ -1396,3 +1397,104 @@ def cycle_state(spark, sf_dir):
     from skerry.streaming.carried import carried
 
     return _round(_round(carried(_some_obs(spark, sf_dir), 6), "mean"), "variance", digits=8)
+
+
+# datasets as chains from raw rows to observation sequences, conversion between grids
+
+_SHORE = "shore AS (SELECT vec_id % 25 AS i, vec_id // 25 AS j FROM embeddings WHERE embedding[1] > 0.12)"
+_WET = f"""{_SHORE}, hidden AS (SELECT DISTINCT obs_id FROM obs JOIN shore ON (i = floor(x) OR (i = floor(x) + 1 AND x > floor(x))) AND (j = floor(y) OR (j = floor(y) + 1 AND y > floor(y)))),
+wet AS (SELECT * FROM obs WHERE obs_id NOT IN (SELECT obs_id FROM hidden))"""
+_DAY = "t >= TIMESTAMP '2024-01-09 12:00:00' AND t < TIMESTAMP '2024-01-10 12:00:00'"
+
+
+def _request(spark, sf_dir, **options) -> datasets.Request:
+    mask = carriers.ensemble(spark, sf_dir).where("mem = 0 and value > 0.12").select("loc")
+    return datasets.Request(GRID(spark, sf_dir), datetime(2024, 1, 10), mask=mask, err_std=0.1, options=options)
+
+
+@query(f"WITH {_OBS}, {_WET} SELECT obs_id, x, y, 0.0::DOUBLE AS z, t, round(obs_id % 101 * 0.01, 6)::DOUBLE AS obs, 0.1::DOUBLE AS err_std FROM wet WHERE {_DAY} AND obs_id % 23 <= 10 AND obs_id % 9 > 0")
+def read_ice_concentration(spark, sf_dir):
+    raw = _some_obs(spark, sf_dir).select("obs_id", "x", "y", "t", (F.col("obs_id") % 23).alias("status_flag"), (F.col("obs_id") % 9).alias("err"), (F.col("obs_id") % 101).alias("value"))
+    return _round(datasets.read("ice_concentration", raw, _request(spark, sf_dir)), "obs")
+
+
+@query(f"""WITH {_OBS}, {_WET}, r AS (SELECT *, t - INTERVAL 36 HOUR + INTERVAL 1 SECOND * (CASE WHEN obs_id % 4 = 0 THEN 0 ELSE obs_id % 600 END) AS b0, t + INTERVAL 12 HOUR + INTERVAL 1 SECOND * (obs_id % 500) AS b1,
+ (obs_id % 31 - 15.0) AS dx, (obs_id % 17 - 8.0) AS dy, tan(radians(90 - (y + 40)) / 2) AS pr, radians(x * 3) AS pa, tan(radians(90 - (y + 40.1)) / 2) AS qr, radians((x + 0.1) * 3) AS qa FROM wet WHERE {_DAY} AND obs_id % 3 = 0),
+e AS (SELECT *, pr * sin(qa) - pr * sin(pa) AS xx, pr * cos(qa) - pr * cos(pa) AS yx, qr * sin(pa) - pr * sin(pa) AS xy, qr * cos(pa) - pr * cos(pa) AS yy, (epoch_us(b1) - epoch_us(b0)) / 8.64e10 AS days FROM r),
+n AS (SELECT *, xx / sqrt(xx * xx + yx * yx) AS axx, yx / sqrt(xx * xx + yx * yx) AS ayx, xy / sqrt(xy * xy + yy * yy) AS axy, yy / sqrt(xy * xy + yy * yy) AS ayy FROM e)
+SELECT obs_id, x, y, 0.0::DOUBLE AS z, make_timestamp((epoch_us(b0) + epoch_us(b1)) // 2) AS t, round((axx * dx + axy * dy) / days, 6) + 0.0 AS u, round((ayx * dx + ayy * dy) / days, 6) + 0.0 AS v, 0.1::DOUBLE AS err_std FROM n""")
+def read_ice_drift(spark, sf_dir):
+    k, t = F.col("obs_id"), F.col("t")
+    raw = _some_obs(spark, sf_dir).select(
+        "obs_id", "x", "y", "t", (t - F.expr("interval 36 hours")).alias("t0"), (t + F.expr("interval 12 hours")).alias("t1"), F.when(k % 8 == 0, float("nan")).when(k % 4 != 0, (k % 600).cast("double")).alias("dt0"), (k % 500).cast("double").alias("dt1"),
+        F.when(k % 3 == 0, 30).otherwise(20).alias("status_flag"), F.lit(1.0).alias("err"), (k % 31 - 15.0).alias("dx"), (k % 17 - 8.0).alias("dy"),
+    )
+    rotation = grid.rotation_at(lambda x, y: distance.stereographic(x * 3, y + 40), 1.0)
+    return _round(datasets.read("ice_drift", raw, _request(spark, sf_dir, rotation=rotation)), "u", "v")
+
+
+@query(f"""WITH {_OBS}, {_WET} SELECT obs_id, x, y, 0.0::DOUBLE AS z, t, round(obs, 6) + 0.0 AS obs, err_std FROM wet WHERE kind = 'click' AND t::DATE BETWEEN DATE '2024-01-08' AND DATE '2024-01-12' AND obs_id % 13 > 0""")
+def read_ice_thickness(spark, sf_dir):
+    raw = _some_obs(spark, sf_dir).select("obs_id", "x", "y", "t", "kind", F.when(F.col("obs_id") % 13 > 0, F.col("obs")).otherwise(float("nan")).alias("value"), F.col("err_std").alias("uncertainty"))
+    return _round(datasets.read("ice_thickness", raw, _request(spark, sf_dir, kind="click", days=5, use_uncertainty=True)), "obs")
+
+
+@query(f"""WITH {_PROFILE}, d AS (SELECT *, sum(dz) OVER (PARTITION BY pid ORDER BY lev) AS depth, pid % 240 / 10.0 AS x, pid % 170 / 10.0 AS y, l_linestatus = 'O' AS ok, TIMESTAMP '2024-01-10 00:00:00' + INTERVAL 1 HOUR * (pid % 30 - 15) AS seen FROM profile),
+{_SHORE}, hidden AS (SELECT DISTINCT pid FROM d JOIN shore ON (i = floor(x) OR (i = floor(x) + 1 AND x > floor(x))) AND (j = floor(y) OR (j = floor(y) + 1 AND y > floor(y)))),
+k AS (SELECT * FROM d WHERE pid NOT IN (SELECT pid FROM hidden) AND pid % 5 > 0 AND pid % 30 - 15 >= -12 AND pid % 30 - 15 < 12 AND lev <> 3 AND depth <= 60 + pid % 90),
+g AS (SELECT *, max(CASE WHEN value BETWEEN 0 AND 90000 THEN 0 ELSE 1 END) OVER (PARTITION BY pid) AS bad FROM k), b AS (SELECT *, (depth > 20)::INT + (depth > 60)::INT + (depth > 100)::INT AS bin FROM g WHERE bad = 0)
+SELECT pid, lev, x::DOUBLE AS x, y::DOUBLE AS y, -depth AS z, seen AS t, round(value, 2) AS obs, 0.5::DOUBLE AS err_std FROM b QUALIFY row_number() OVER (PARTITION BY pid, bin ORDER BY lev) = 1""")
+def read_profiles(spark, sf_dir):
+    pid = F.col("pid")
+    raw = vertical.layer_depths(carriers.profiles(spark, sf_dir), "pid").select(
+        "pid", "lev", (pid % 240 / 10.0).alias("x"), (pid % 170 / 10.0).alias("y"), (F.lit(datetime(2024, 1, 10)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (pid % 30 - 15).cast("int"))).alias("t"), F.col("z").alias("depth"), "value",
+        F.lit(1).alias("t_qc"), F.when(pid % 5 > 0, 2).otherwise(4).alias("x_qc"), F.lit(1).alias("z_qc"), F.when(F.col("lev") == 3, 3).otherwise(1).alias("v_qc"),
+    )
+    floats = raw.select("pid").distinct()
+    targets = floats.withColumn("zs", F.array(*[F.lit(float(z)) for z in (20, 60, 100)]))
+    bottom = floats.withColumn("bottom", (60 + pid % 90).cast("double"))
+    request = _request(spark, sf_dir, bounds=(0, 90000), targets=targets, bottom=bottom, variance=0.25)
+    return _round(datasets.read("profiles", raw, datasets.Request(**{**vars(request), "key": "pid"})), "obs", digits=2)
+
+
+@query(f"""WITH {_OBS}, r AS (SELECT obs_id, x, y, t, (obs_id % 31 - 15.0) AS u, CASE WHEN obs_id % 50 = 7 THEN NULL ELSE obs_id % 17 - 8.0 END AS v FROM obs WHERE {_DAY})
+SELECT min(obs_id) AS obs_id, round(avg(x), 6) AS x, round(avg(y), 6) AS y, 0.0::DOUBLE AS z, arg_min(t, obs_id) AS t, round(avg(u), 6) + 0.0 AS u, round(avg(v), 6) + 0.0 AS v, 0.1::DOUBLE AS err_std FROM r WHERE sqrt(u * u + v * v) <= 14 GROUP BY floor(x / 2), floor(y / 2) HAVING count(*) > 1""")
+def read_drift_trajectories(spark, sf_dir):
+    k = F.col("obs_id")
+    raw = _some_obs(spark, sf_dir).select("obs_id", "x", "y", "t", (k % 31 - 15.0).alias("u"), F.when(k % 50 != 7, k % 17 - 8.0).otherwise(float("nan")).alias("v"))
+    return _round(datasets.read("drift_trajectories", raw, _request(spark, sf_dir, most=14.0, box=2.0)), "x", "y", "u", "v")
+
+
+@query(f"""WITH {_OBS}, {_CELL_OF}, k AS (SELECT (j0 + CASE WHEN v >= 0.5 THEN 1 ELSE 0 END) * 25 + i0 + CASE WHEN u >= 0.5 THEN 1 ELSE 0 END AS loc, obs, obs_id FROM corner WHERE obs_id % 4 = 1 AND obs_id % 11 > 0),
+m AS (SELECT loc, avg(obs * 1000) AS obs, avg(obs_id % 7200) AS dt FROM k GROUP BY loc HAVING count(*) > 1)
+SELECT loc AS obs_id, (loc % 25)::DOUBLE AS x, (loc // 25)::DOUBLE AS y, 0.0::DOUBLE AS z, TIMESTAMP '2024-01-10 00:00:00' + INTERVAL 1 MICROSECOND * CAST(floor(dt * 1e6) AS BIGINT) AS t, round(obs, 6) + 0.0 AS obs, 0.1::DOUBLE AS err_std FROM m WHERE loc NOT IN (SELECT vec_id FROM embeddings WHERE embedding[1] > 0.12)""")
+def read_brightness(spark, sf_dir):
+    k = F.col("obs_id")
+    raw = _some_obs(spark, sf_dir).select("obs_id", "x", "y", (k % 7200).cast("double").alias("dtime"), (k % 11 == 0).alias("masked"), F.col("obs").alias("value"), F.element_at(F.array(F.lit("19v"), F.lit("19h"), F.lit("37v"), F.lit("37h")), (k % 4 + 1).cast("int")).alias("channel"))
+    return _round(datasets.read("brightness", raw, _request(spark, sf_dir, channel="19h", units=("km", "m"))), "obs")
+
+
+@query(f"""WITH {_PROFILE}, a AS (SELECT pid AS start, lev AS lead, sum(value) OVER (PARTITION BY pid ORDER BY lev) * CASE WHEN lev = 4 THEN 0.5 ELSE 1 END AS value FROM profile), b AS (SELECT *, lag(value) OVER (PARTITION BY start ORDER BY lead) AS before FROM a)
+SELECT start, lead, round(CASE WHEN before IS NOT NULL THEN greatest(0, (value - before) / 3600) WHEN start % 3 > 0 THEN start % 100 / 10.0 END, 6)::DOUBLE AS rate FROM b""")
+def forecast_rates(spark, sf_dir):
+    rows = carriers.profiles(spark, sf_dir).withColumn("value", F.sum("value").over(Window.partitionBy("pid").orderBy("lev")) * F.when(F.col("lev") == 4, 0.5).otherwise(1.0))
+    rows = rows.select(F.lit("rain").alias("name"), F.col("pid").alias("start"), F.col("lev").alias("lead"), F.lit(0).alias("member"), "value")
+    first = rows.select("name", "start").distinct().where("start % 3 > 0").withColumn("rate", (F.col("start") % 100 / 10.0).cast("double"))
+    return _round(datasets.forecast_rates(rows, first, 3600).select("start", "lead", "rate"), "rate")
+
+
+@query(f"""WITH {_ENS}, f AS (SELECT loc, i, j, max(CASE WHEN mem = 0 THEN value END) AS u, max(CASE WHEN mem = 1 THEN value END) AS v, 10.0 + i * 2 AS lo, 40.0 + j * 2.5 * 20 / {_NY} AS la FROM ens GROUP BY loc, i, j),
+p AS (SELECT *, tan(radians(90 - la) / 2) AS r, tan(radians(90 - la - 0.2) / 2) AS rn, radians(lo) AS a, radians(lo + 0.2) AS an FROM f),
+e AS (SELECT loc, i, j, u, v, r * sin(an) - r * sin(a) AS xx, r * cos(an) - r * cos(a) AS yx, rn * sin(a) - r * sin(a) AS xy, rn * cos(a) - r * cos(a) AS yy FROM p),
+s AS (SELECT i, j, xx / sqrt(xx * xx + yx * yx) * u + xy / sqrt(xy * xy + yy * yy) * v AS u, yx / sqrt(xx * xx + yx * yx) * u + yy / sqrt(xy * xy + yy * yy) * v AS v FROM e),
+d AS (SELECT k AS loc, 0.1 + (k % 20) * 0.01 AS sx, 0.05 + (k // 20) * 0.01 AS sy FROM range(600) AS t(k)), g AS (SELECT loc, (degrees(atan2(sx, sy)) - 10) / 2 AS x, (90 - 2 * degrees(atan(sqrt(sx * sx + sy * sy))) - 40) / (2.5 * 20 / {_NY}) AS y FROM d),
+c AS (SELECT loc, floor(x)::INT AS i0, floor(y)::INT AS j0, x - floor(x) AS a, y - floor(y) AS b FROM g WHERE x >= 0 AND y >= 0),
+w AS (SELECT loc, i0 AS i, j0 AS j, (1 - a) * (1 - b) AS w FROM c UNION ALL SELECT loc, i0 + 1, j0, a * (1 - b) FROM c UNION ALL SELECT loc, i0 + 1, j0 + 1, a * b FROM c UNION ALL SELECT loc, i0, j0 + 1, (1 - a) * b FROM c)
+SELECT loc, round(sum(w * u), 6) + 0.0 AS u, round(sum(w * v), 6) + 0.0 AS v FROM w JOIN s USING (i, j) GROUP BY loc HAVING count(*) = 4""")
+def grid_convert_vectors(spark, sf_dir):
+    """A vector field on longitudes and latitudes, turned and interpolated to a polar plane."""
+    ny = carriers.rows(spark, sf_dir)
+    source = grid.Grid(carriers.NX, ny, 10.0, 40.0, 2.0, 2.5 * 20 / ny)
+    flow = carriers.ensemble(spark, sf_dir).where("mem < 2").groupBy("loc").pivot("mem", [0, 1]).agg(F.first("value")).select("loc", F.col("0").alias("u"), F.col("1").alias("v"))
+    out = grid.convert(flow, source, grid.Grid(20, 30, 0.1, 0.05, 0.01, 0.01), [], ["u", "v"], distance.stereographic, distance.stereographic_inverse, vector=True)
+    return _round(out.where("u is not null"), "u", "v")
