@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.chunks import ChunkMemo, batches
+from skerry.llm.chunks import CHUNKS_KEPT, ChunkMemo, batches
 from skerry.llm.scratch import Scratch
 from skerry.llm.token_files import character_bytes
 
@@ -54,7 +54,7 @@ class TokenPair:
         plain |= {self.bytes_b[i]: i for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_unused(i))}
         #: B's id of the same bytes by A's id, or -1.
         self.same = np.array([plain.get(x, -1) if x else -1 for x in self.bytes_a], np.int64)
-        self.memo = ChunkMemo(self._chunks)
+        self.memo = ChunkMemo(self._chunks, CHUNKS_KEPT // 2)  # results are longer than ids alone
 
     def _chunks(self, surfaces: list[str]) -> list[tuple]:
         """``(groups, links, n_a, n_b)`` of chunks that begin with a space or newline; groups None if their bytes do not come back."""

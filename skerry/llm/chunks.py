@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-#: Distinct chunks whose results a worker keeps, and the longest chunk that is kept.
+#: Distinct chunks in one of the two generations that a worker keeps, and the longest chunk that is kept.
 CHUNKS_KEPT = 1 << 19
 LONGEST_KEPT = 48
 _ODD = ()
@@ -19,7 +19,9 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 class ChunkMemo:
-    """Results of ``encode(surfaces)``, a list for a list, by chunk; emptied when ``most`` are held.
+    """Results of ``encode(surfaces)``, a list for a list, by chunk.
+
+    They are kept for two generations of ``most`` chunks: a chunk that is seen again moves to the younger.
 
     A surface is a chunk with the space or newline before it. The key of a chunk after a space leaves
     that space out, as ``str.split`` does; ``_ODD`` marks keys that only come from texts with other white
@@ -29,18 +31,22 @@ class ChunkMemo:
     def __init__(self, encode: Callable[[list[str]], list], most: int = CHUNKS_KEPT):
         self.encode, self.most = encode, most
         self.by_key: dict[str, object] = {}
+        self.old: dict[str, object] = {}
         self.by_surface: dict[str, object] = {}
 
     def results(self, texts: list[str], prefix: str = "") -> list[list]:
         """For each text, which must not be empty, the results of its chunks; ``prefix`` is put before each text."""
         if len(self.by_key) + len(self.by_surface) > self.most:
-            self.by_key.clear()
+            self.old, self.by_key = self.by_key, {}
             self.by_surface.clear()
         keys = [text.replace("\n", " \n").split(" ") for text in texts]
         firsts = [k.pop(0) for k in keys]
         heads = [prefix + k for k in firsts]
         found = [list(map(self.by_key.get, k)) for k in keys]
-        new = list({c for k, f in zip(keys, found) if None in f for c, x in zip(k, f) if x is None})
+        new = {c for k, f in zip(keys, found) if None in f for c, x in zip(k, f) if x is None}
+        again = new & self.old.keys()
+        self.by_key.update((c, self.old[c]) for c in again)
+        new = list(new - again)
         known = [c for c in new if not _odd(c)]
         self.by_key.update(dict.fromkeys(new, _ODD))
         self.by_key.update(zip(known, self.encode([c if c[0] == "\n" else " " + c for c in known])))

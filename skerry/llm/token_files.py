@@ -58,15 +58,20 @@ class _Library:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.characters = {byte: c for c, byte in character_bytes().items()}
 
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
+            ids = self.old.get(piece)
+            if ids is not None:
+                self.pieces[piece] = ids
+                return ids
             spelt = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.characters)
             ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
             if len(self.pieces) >= CHUNKS_KEPT:
-                self.pieces.clear()
+                self.old, self.pieces = self.pieces, {}
             self.pieces[piece] = ids
         return ids
 
