@@ -186,6 +186,42 @@ def rotate(u: Column, v: Column, angle: Column) -> tuple[Column, Column]:
     return u * F.cos(angle) + v * F.sin(angle), v * F.cos(angle) - u * F.sin(angle)
 
 
+def on_triangles(found: DataFrame, field: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """``key, by, value``: barycentric values of ``field(node, by, value)`` at points that ``find_triangle`` placed; null where a corner's is missing."""
+    corner = F.array(*[F.struct(F.col(f"n{k}").alias("node"), w.alias("w")) for k, w in ((1, F.col("w1")), (2, F.col("w2")), (3, 1 - F.col("w1") - F.col("w2")))])
+    met = found.select(key, F.explode(corner).alias("c")).select(key, "c.*").join(field, "node").groupBy(key, *by)
+    return met.agg(F.when(F.count("value") == 3, F.sum(F.col("w") * F.col("value"))).alias("value"))
+
+
+def on_elements(found: DataFrame, field: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """``key, by, value`` of ``field(tri, by, value)``, which is constant within each triangle."""
+    return found.select(key, "tri").join(field, "tri").select(key, *by, "value")
+
+
+def element_means(field: DataFrame, mesh: DataFrame, by: list[str]) -> DataFrame:
+    """``tri, by, value``: the mean of a node field's values at each triangle's corners; null where one is missing."""
+    corner = mesh.select("tri", F.explode(F.array("n1", "n2", "n3")).alias("node"))
+    return corner.join(field, "node").groupBy("tri", *by).agg(F.when(F.count("value") == 3, F.avg("value")).alias("value"))
+
+
+def on_line(points: DataFrame, field: DataFrame, key: str, n: int, by: list[str], start: float = 0.0, step: float = 1.0, cyclic: bool = True, method: str = "linear") -> DataFrame:
+    """``key, by, value`` of ``field(i, by, value)`` on a ring, or a line, at ``points(key, x)``.
+
+    Linear between neighbours or the nearest point's. A point beyond a line's ends has no row; a value is
+    null where one of the two that it lies between is.
+    """
+    at = (wrap(F.col("x"), start, n * step) if cyclic else F.col("x")) - start
+    low = F.least(F.floor(at / step), F.lit(n - 1 if cyclic else n - 2)).cast("long")
+    part = at / step - low
+    inside = F.lit(True) if cyclic else (at >= 0) & (at <= (n - 1) * step)
+    high = (low + 1) % n
+    ends = F.array(F.struct(low.alias("i"), (1 - part).alias("w")), F.struct(high.alias("i"), part.alias("w")))
+    if method == "nearest":
+        ends = F.array(F.struct(F.when(part >= 0.5, high).otherwise(low).alias("i"), F.lit(1.0).alias("w")))
+    met = points.where(inside).select(key, F.explode(ends).alias("e")).select(key, "e.*").join(field, "i").groupBy(key, *by)
+    return met.agg(F.when(F.count("value") == F.count("*"), F.sum(F.col("w") * F.col("value"))).alias("value"))
+
+
 Coordinates = Callable[[Column, Column], tuple[Column, Column]]
 
 

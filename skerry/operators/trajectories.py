@@ -42,6 +42,21 @@ def advect(points: DataFrame, flow: DataFrame, grid: grids.Grid, key: str, steps
     return points
 
 
+def advect_daily(points: DataFrame, flows: DataFrame, grid: grids.Grid, key: str, first: Column, days: int, scale: float = 1.0) -> DataFrame:
+    """``key, x, y, dx, dy`` of ``points(key, x, y)`` after some daily steps, and how far they have come.
+
+    Each day's step takes ``scale`` times that day's ``flows(day, loc, u, v)`` where the point is then; ``first``
+    gives a point's first day. Points that leave the grid, or a day without a flow, are dropped.
+    """
+    now = points.select(key, first.cast("long").alias("day"), "x", "y", F.col("x").alias("x0"), F.col("y").alias("y0"))
+    for _ in range(days):
+        corner = grids.weights(grids.find_cell(now, grid), key).join(now.select(key, "day"), key)
+        wind = corner.join(flows.select(F.col("day").cast("long").alias("day"), "loc", "u", "v"), ["day", "loc"]).groupBy(key)
+        wind = wind.agg(F.count("u").alias("n"), F.sum(F.col("w") * F.col("u")).alias("u"), F.sum(F.col("w") * F.col("v")).alias("v")).where("n = 4")
+        now = now.join(wind, key).select(key, (F.col("day") + 1).alias("day"), (F.col("x") + scale * F.col("u")).alias("x"), (F.col("y") + scale * F.col("v")).alias("y"), "x0", "y0")
+    return now.select(key, "x", "y", (F.col("x") - F.col("x0")).alias("dx"), (F.col("y") - F.col("y0")).alias("dy"))
+
+
 def warp(field: DataFrame, shift: DataFrame, grid: grids.Grid, by: list[str]) -> DataFrame:
     """A field sampled at ``(x - u, y - v)`` of each point; where that has no value the point keeps its own."""
     at = grid.points(field.sparkSession).join(shift, "loc")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skerry.functions import calendar, distance, microwave, physics, units
 from skerry.operators import alignment, asof, curvilinear, distance_field, fields, grid, inflation, kernels, local, localization, mesh, models, network, observations, observe, scatter, serial, spectral, stats, trajectories, transforms, vertical
 from skerry.sources import carriers, datasets, records
-from skerry.sources.tables import StateStore
+from skerry.sources.tables import StateStore, read_output, write_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1498,3 +1498,87 @@ def grid_convert_vectors(spark, sf_dir):
     flow = carriers.ensemble(spark, sf_dir).where("mem < 2").groupBy("loc").pivot("mem", [0, 1]).agg(F.first("value")).select("loc", F.col("0").alias("u"), F.col("1").alias("v"))
     out = grid.convert(flow, source, grid.Grid(20, 30, 0.1, 0.05, 0.01, 0.01), [], ["u", "v"], distance.stereographic, distance.stereographic_inverse, vector=True)
     return _round(out.where("u is not null"), "u", "v")
+
+
+# interpolation on meshes and rings, daily displacement, output, scales and perturbations of whole states
+
+_PLACED = f"""{_CELL_OF}, t AS (SELECT obs_id, j0 * 25 + i0 AS p, j0 * 24 + i0 AS c, u, v FROM corner),
+tw AS (SELECT obs_id, CASE WHEN u >= v THEN 2 * c ELSE 2 * c + 1 END AS tri, p AS n1, 1 - greatest(u, v) AS w1, CASE WHEN u >= v THEN p + 1 ELSE p + 26 END AS n2, CASE WHEN u >= v THEN u - v ELSE u END AS w2, CASE WHEN u >= v THEN p + 26 ELSE p + 25 END AS n3 FROM t
+ WHERE abs(u - v) > 1e-9 AND u > 1e-9 AND v > 1e-9)"""
+
+
+def _in_mesh(spark, sf_dir):
+    """The mesh, and the observations that lie within a triangle with their place in it."""
+    cells, nodes = _mesh(spark, sf_dir)
+    inside = _some_obs(spark, sf_dir).where("abs((x - floor(x)) - (y - floor(y))) > 1e-9 and x - floor(x) > 1e-9 and y - floor(y) > 1e-9")
+    return cells, grid.find_triangle(inside, grid.triangles(cells, nodes), "obs_id", 4.0)
+
+
+@query(f"""WITH {_ENS}, {_OBS}, {_PLACED}, m AS (SELECT loc, mem, value FROM ens WHERE mem < 5)
+SELECT obs_id, a.mem, round(w1 * a.value + w2 * b.value + (1 - w1 - w2) * c.value, 6) + 0.0 AS value FROM tw JOIN m a ON a.loc = n1 JOIN m b ON b.loc = n2 AND b.mem = a.mem JOIN m c ON c.loc = n3 AND c.mem = a.mem""")
+def mesh_interpolate(spark, sf_dir):
+    field = carriers.ensemble(spark, sf_dir).where("mem < 5").select(F.col("loc").alias("node"), "mem", "value")
+    return _round(grid.on_triangles(_in_mesh(spark, sf_dir)[1], field, "obs_id", ["mem"]).select("obs_id", "mem", "value"), "value")
+
+
+@query(f"""WITH {_ENS}, {_OBS}, {_PLACED}, m AS (SELECT loc, value FROM ens WHERE mem = 0) SELECT obs_id, round((a.value + b.value + c.value) / 3, 6) + 0.0 AS value FROM tw JOIN m a ON a.loc = n1 JOIN m b ON b.loc = n2 JOIN m c ON c.loc = n3""")
+def mesh_element_value(spark, sf_dir):
+    cells, found = _in_mesh(spark, sf_dir)
+    field = carriers.ensemble(spark, sf_dir).where("mem = 0").select(F.col("loc").alias("node"), "value")
+    return _round(grid.on_elements(found, grid.element_means(field, cells, []), "obs_id", []), "value")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM embeddings), p AS (SELECT event_id, event_id * 0.37 - 50 AS x FROM events), q AS (SELECT event_id, x - n * floor(x / n) AS x, n FROM p, n), r AS (SELECT event_id, floor(x)::BIGINT AS i, x - floor(x) AS f, n FROM q)
+SELECT event_id, round((1 - f) * a.embedding[1]::DOUBLE + f * b.embedding[1]::DOUBLE, 6) + 0.0 AS value FROM r JOIN embeddings a ON a.vec_id = i JOIN embeddings b ON b.vec_id = (i + 1) % n""")
+def ring_interpolate(spark, sf_dir):
+    ring = carriers.ensemble(spark, sf_dir).where("mem = 0").select(F.col("loc").alias("i"), "value")
+    points = carriers.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 0.37 - 50).alias("x"))
+    return _round(grid.on_line(points, ring, "event_id", ring.count(), []), "value")
+
+
+_STEP = """{out} AS (SELECT k.obs_id, any_value(k.x) + sum(w * u) AS x, any_value(k.y) + sum(w * v) AS y, any_value(k.day) + 1 AS day FROM (SELECT obs_id, x, y, day, unnest([0, 1, 0, 1]) AS a, unnest([0, 0, 1, 1]) AS b FROM {inp} WHERE x BETWEEN 0 AND 24 AND y >= 0) k,
+ LATERAL (SELECT least(floor(k.x), 23)::BIGINT AS i0, least(floor(k.y), {ny} - 2)::BIGINT AS j0) c, LATERAL (SELECT (CASE WHEN a = 1 THEN k.x - i0 ELSE 1 - k.x + i0 END) * (CASE WHEN b = 1 THEN k.y - j0 ELSE 1 - k.y + j0 END) AS w, (j0 + b) * 25 + i0 + a AS loc) g
+ JOIN flows f ON f.loc = g.loc AND f.day = k.day WHERE k.y <= {ny} - 1 GROUP BY k.obs_id HAVING count(*) = 4)"""
+
+
+@query(f"""WITH {_ENS}, {_OBS}, flows AS (SELECT a.loc, a.mem AS day, a.value * 2 AS u, b.value * 2 AS v FROM ens a JOIN ens b ON b.loc = a.loc AND b.mem = (a.mem + 1) % 20), s0 AS (SELECT obs_id, x, y, (obs_id % 25)::BIGINT AS day FROM obs),
+{_STEP.format(out='s1', inp='s0', ny=_NY)}, {_STEP.format(out='s2', inp='s1', ny=_NY)} SELECT obs_id, round(s2.x - s0.x, 6) + 0.0 AS dx, round(s2.y - s0.y, 6) + 0.0 AS dy FROM s2 JOIN s0 USING (obs_id)""")
+def two_day_displacement(spark, sf_dir):
+    """Where two daily flows, one for each member as a day, carry the observations; days without a flow give none."""
+    ens = carriers.ensemble(spark, sf_dir)
+    after = ens.select("loc", F.pmod(F.col("mem") - 1, F.lit(carriers.MEMBERS)).alias("mem"), F.col("value").alias("v"))
+    flows = ens.select("loc", "mem", F.col("value").alias("u")).join(after, ["loc", "mem"]).withColumnRenamed("mem", "day")
+    out = trajectories.advect_daily(_some_obs(spark, sf_dir).select("obs_id", "x", "y"), flows, GRID(spark, sf_dir), "obs_id", F.col("obs_id") % 25, 2, 2.0)
+    return _round(out.select("obs_id", "dx", "dy"), "dx", "dy")
+
+
+@query(f"WITH {_ENS} SELECT mem, loc, round(value, 6) + 0.0 AS value, i * 2.0::DOUBLE AS lon, j * 0.5::DOUBLE AS lat, 'plane' AS proj FROM ens WHERE mem IN (2, 5)")
+def member_output(spark, sf_dir):
+    """All members and two variables written with coordinates, a folder each; one variable of two members read back."""
+    ens = carriers.ensemble(spark, sf_dir)
+    both = ens.select("mem", F.explode(F.array(F.lit("temp"), F.lit("salt"))).alias("name"), F.lit(datetime(2024, 1, 10)).alias("t"), F.lit(0).alias("lev"), "loc", "value")
+    folder = f"{StateStore.temporary(spark).root}/output"
+    write_output(both, GRID(spark, sf_dir).points(spark).select("loc", (F.col("i") * 2.0).alias("lon"), (F.col("j") * 0.5).alias("lat"), "x", "y"), folder, {"proj": "plane"})
+    out = read_output(spark, folder, members=[2, 5], names=["salt"])
+    return _round(out.select("mem", "loc", "value", "lon", "lat", F.col("about")["proj"].alias("proj")), "value")
+
+
+@query()
+def analysis_scales(spark, sf_dir):
+    """All events assimilated scale by scale; tests hold it against one pass."""
+    from skerry.plans.analysis import analyse_scales
+
+    state = carriers.ensemble(spark, sf_dir).select("loc", "mem", "value")
+    return _round(analyse_scales(state, _some_obs(spark, sf_dir), GRID(spark, sf_dir), [6.0, 2.0], [4.0]), "value")
+
+
+@query()
+def perturb_state(spark, sf_dir):
+    """Two cycles of perturbations of a whole state, on two scales with memory and within bounds; random, so without SQL."""
+    from skerry.plans.perturb import Perturbation, perturb
+
+    state = carriers.ensemble(spark, sf_dir).select(F.lit("temp").alias("name"), "mem", "i", "j", "value")
+    store, box = StateStore.temporary(spark), GRID(spark, sf_dir)
+    defs = [Perturbation(variables="temp", amp=[[0.1, 0.05]], hcorr=[6.0, 3.0], tcorr=[24.0, 12.0], bounds={"temp": (-0.5, 0.5)})]
+    once = store.write(perturb(state, defs, box, store, 0, 6.0), 0, "state")
+    return _round(perturb(once, defs, box, store, 1, 6.0), "value")

@@ -42,6 +42,24 @@ class StateStore:
         return out
 
 
+def write_output(fields: DataFrame, points: DataFrame, folder: str, about: dict[str, str] | None = None) -> None:
+    """Write ``fields(mem, name, t, lev, loc, value)`` with the coordinates of ``points(loc, lon, lat, x, y)``, a folder for each member and variable.
+
+    ``about``, such as the projection's text, stands in every row's ``about``, a map.
+    """
+    notes = F.create_map(*[F.lit(x) for pair in (about or {}).items() for x in pair]) if about else F.create_map().cast("map<string,string>")
+    fields.join(points.select("loc", "lon", "lat", "x", "y"), "loc").withColumn("about", notes).write.mode("overwrite").partitionBy("mem", "name").parquet(folder)
+
+
+def read_output(spark: SparkSession, folder: str, members: list[int] | None = None, names: list[str] | None = None) -> DataFrame:
+    """Output written by ``write_output``; only the folders of the members and variables asked for are read."""
+    out = spark.read.parquet(folder)
+    for column, wanted in (("mem", members), ("name", names)):
+        if wanted is not None:
+            out = out.where(F.col(column).isin(wanted))
+    return out
+
+
 #: Padding of restart records to 4096 four-byte words, and the value that marks missing points.
 RECORD_WORDS = 4096
 MISSING = 2.0**100
