@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate, pairwise
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -122,20 +123,29 @@ def ice_limit(conc: Column, kind: str = "seaice") -> Column:
     return F.when((conc > 0.55) & (conc < 0.8), a + F.exp(b * (conc - c))).when((conc > 0) & (conc < 0.55), d + e * conc).otherwise(9999.0)
 
 
+#: Upper bounds of the standard thickness categories, by their number.
+STANDARD_CATEGORIES = {5: (0.3, 0.7, 1.2, 2.0, 999.0), 6: (0.15, 0.3, 0.7, 1.2, 2.0, 999.0), 7: (0.1, 0.15, 0.3, 0.7, 1.2, 2.0, 999.0)}
+
+
+def _widening(n: int, narrow: float, factor: float, steepness: float) -> list[float]:
+    """Category widths that grow from ``narrow`` along a hyperbolic tangent, whose middle is the last category but one."""
+    return [narrow * (1 + factor * (1 + math.tanh(steepness * (place / n - 1)))) for place in range(-1, n - 1)]
+
+
 def category_bounds(n: int, scheme: int = 0, remap: int = 1) -> list[float]:
-    """Bounds of ice thickness categories: 0 hyperbolic, 1 quadratic, 2 the standard tables, -1 one category."""
-    if scheme == 0:
-        least = 0.0 if remap == 1 else 0.1
-        width, growth, steep = (3 / n, 45 / n, 3.0) if remap == 1 else (max(1.1 / n, 0.1), 25 * max(1.1 / n, 0.1), 2.25)
-        out = [least]
-        for k in range(1, n + 1):
-            out.append(out[-1] + width + growth * (1 + math.tanh(steep * ((k - 2) / n - 1))))
-        return out
-    if scheme == 1:
-        return [0.0] + [(k - 1) * (3 / n + (k - 2) * 0.5 / n) for k in range(1, n + 1)]
-    if scheme == 2:
-        # Standard categories.
-        return {5: [0.0, 0.3, 0.7, 1.2, 2.0, 999.0], 6: [0.0, 0.15, 0.3, 0.7, 1.2, 2.0, 999.0], 7: [0.0, 0.1, 0.15, 0.3, 0.7, 1.2, 2.0, 999.0]}[n]
-    if scheme == -1:
-        return [0.0, 100.0]
-    raise ValueError(f"category scheme {scheme}")
+    """Bounds of ``n`` ice thickness categories, the running sums of their widths.
+
+    Schemes: 0 widths along a hyperbolic tangent (for linear remapping or, with ``remap`` 0, for delta
+    functions), 1 widths that grow by a constant, 2 the standard categories, -1 one category.
+    """
+    tangent = {1: (0.0, 3.0 / n, 15.0, 3.0)}.get(remap, (0.1, max(1.1 / n, 0.1), 25.0, 2.25))
+    widths = {
+        0: lambda: (tangent[0], _widening(n, *tangent[1:])),
+        1: lambda: (0.0, [(0.0 if k == 0 else 3.0 + k - 1) / n for k in range(n)]),
+        2: lambda: (0.0, [b - a for a, b in pairwise((0.0, *STANDARD_CATEGORIES[n]))]),
+        -1: lambda: (0.0, [100.0]),
+    }
+    if scheme not in widths:
+        raise ValueError(f"category scheme {scheme}")
+    first, each = widths[scheme]()
+    return [float(x) for x in accumulate(each, initial=first)]
