@@ -61,6 +61,6 @@ def warp(field: DataFrame, shift: DataFrame, grid: grids.Grid, by: list[str]) ->
     """A field sampled at ``(x - u, y - v)`` of each point; where that has no value the point keeps its own."""
     at = grid.points(field.sparkSession).join(shift, "loc")
     at = at.select(F.col("loc").alias("target"), (F.col("x") - F.col("u")).alias("x"), (F.col("y") - F.col("v")).alias("y"))
-    moved = grids.interpolate(grids.weights(grids.find_cell(at, grid), "target"), field, "target", by)
+    moved = grids.interpolate(grids.weights(grids.find_cell(at, grid, beyond=True), "target"), field, "target", by)
     own = field.select(F.col("loc").alias("target"), *by, F.col("value").alias("own"))
     return own.join(moved, ["target", *by], "left").select(F.col("target").alias("loc"), *by, F.coalesce("value", "own").alias("value"))

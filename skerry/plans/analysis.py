@@ -92,7 +92,7 @@ def analyse(state: DataFrame, obs: DataFrame, grid: grids.Grid, settings: Settin
         if settings.max_obs is None:
             side = settings.tile or _side(spark, grid)
             placed = local.with_tiles(grid.points(spark), grid.nx, side).select("loc", "x", "y", "par_id")
-            halo = local.halo(_in_steps(obs, grid), grid.nx, grid.ny, side, settings.roi / min(grid.dx, grid.dy))
+            halo = local.halo(_in_steps(obs, grid), grid.nx, grid.ny, side, settings.roi / min(grid.dx, grid.dy), last=grid.last)
             post = kernels.batch_analysis(prior.join(placed, "loc"), with_members, halo, settings.roi, settings.method, settings.taper)
         else:
             pairs = local.localize(points, obs, settings.roi, settings.taper)
@@ -128,13 +128,13 @@ def analyse_scales(state: DataFrame, obs: DataFrame, grid: grids.Grid, rois: lis
     for scale, roi in enumerate(rois):
         part = now
         if cutoffs:
-            field = now.join(points, "loc").select("mem", "i", "j", "value")
+            field = now.join(points.where(F.col("j") < grid.ny), "loc").select("mem", "i", "j", "value")
             part = spectral.scale_component(field, ["mem"], grid.ny, grid.nx, cutoffs, scale)
             part = part.select((F.col("j") * grid.nx + F.col("i")).cast("bigint").alias("loc"), "mem", "value")
         members = stats.packed(at_observations(now, obs, grid), "obs_id", "value", "priors")
         side = _side(spark, grid)
         placed = local.with_tiles(points, grid.nx, side).select("loc", "x", "y", "par_id")
-        halo = local.halo(_in_steps(obs, grid), grid.nx, grid.ny, side, roi / min(grid.dx, grid.dy))
+        halo = local.halo(_in_steps(obs, grid), grid.nx, grid.ny, side, roi / min(grid.dx, grid.dy), last=grid.last)
         post = kernels.batch_analysis(part.join(placed, "loc"), obs.select("obs_id", "x", "y", "obs", "err_std").join(members, "obs_id"), halo, roi, method)
         now = store.write(stats.write_back(now, stats.increments(part, post, ["loc", "mem"]), ["loc", "mem"]), scale, "state")
     return now
@@ -154,7 +154,7 @@ def analyse_records(state: DataFrame, state_records: DataFrame, obs: DataFrame,
     placed = local.with_tiles(grid.points(spark), grid.nx, side).select("loc", "x", "y", "par_id")
     members = obs.join(stats.packed(observed, "obs_id", "value", "priors"), "obs_id")
     reach = obs.join(F.broadcast(obs_records.select("obs_rec", "hroi")), "obs_rec")
-    halo = local.halo(_in_steps(reach, grid), grid.nx, grid.ny, side, F.col("hroi") / min(grid.dx, grid.dy), grid.cyclic_x, grid.cyclic_y)
+    halo = local.halo(_in_steps(reach, grid), grid.nx, grid.ny, side, F.col("hroi") / min(grid.dx, grid.dy), grid.cyclic_x, grid.cyclic_y, grid.last)
     impact = localization.impact_of(obs_records, state_records.select("name").distinct())
     lx, ly = (n * step if cyclic else None for n, step, cyclic in ((grid.nx, grid.dx, grid.cyclic_x), (grid.ny, grid.dy, grid.cyclic_y)))
     return kernels.batch_records(state.join(placed, "loc"), state_records, members, obs_records, impact, halo, method, lx=lx, ly=ly, max_obs=max_obs, **options)
@@ -163,7 +163,7 @@ def analyse_records(state: DataFrame, state_records: DataFrame, obs: DataFrame,
 def analyse_records_by_point(state: DataFrame, state_records: DataFrame, obs: DataFrame, obs_records: DataFrame, observed: DataFrame, grid: grids.Grid, method: str = "etkf", max_obs: int | None = None) -> DataFrame:
     """As ``analyse_records``, with every pair of a point and an observation as a row: for few observations, and to compare."""
     points = grid.points(state.sparkSession).select("loc", "x", "y")
-    size = grid.nx * grid.ny
+    size = grid.size
     placed = lambda df: df.withColumn("loc", F.col("rec") * F.lit(size).cast("bigint") + F.col("loc"))
     pairs = placed(localization.factors(points, state_records, obs, obs_records)).select("loc", "obs_id", "rho")
     members = obs.select("obs_id", "obs", "err_std").join(stats.packed(observed, "obs_id", "value", "priors"), "obs_id")

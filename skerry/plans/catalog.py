@@ -478,6 +478,11 @@ def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return local.with_tiles(GRID(spark, sf_dir).points(spark), carriers.NX, 6)
 
 
+def _halo(spark: SparkSession, sf_dir: str, obs: DataFrame, reach: float) -> DataFrame:
+    g = GRID(spark, sf_dir)
+    return local.halo(obs, g.nx, g.ny, 6, reach, last=g.last)
+
+
 @query(f"WITH {_TILES} SELECT loc, par_id::INT AS par_id FROM tile")
 def tile_assign(spark, sf_dir):
     return _tiles(spark, sf_dir).select("loc", "par_id")
@@ -485,18 +490,18 @@ def tile_assign(spark, sf_dir):
 
 @query(f"WITH {_OBS}, {_TILES}, {_HALO} SELECT par_id::INT AS par_id, obs_id FROM halo")
 def tile_halo_obs(spark, sf_dir):
-    return local.halo(_some_obs(spark, sf_dir), carriers.NX, carriers.rows(spark, sf_dir), 6, 2.5)
+    return _halo(spark, sf_dir, _some_obs(spark, sf_dir), 2.5)
 
 
 @query(f"WITH {_OBS}, {_TILES}, {_HALO}, c AS (SELECT par_id, count(*) AS nobs FROM halo GROUP BY par_id), n AS (SELECT par_id, count(*) AS npts FROM tile GROUP BY par_id) SELECT par_id::INT AS par_id, npts * greatest(coalesce(nobs, 0), 1) AS load FROM n LEFT JOIN c USING (par_id)")
 def tile_workload(spark, sf_dir):
-    return local.workload(_tiles(spark, sf_dir), local.halo(_some_obs(spark, sf_dir), carriers.NX, carriers.rows(spark, sf_dir), 6, 2.5))
+    return local.workload(_tiles(spark, sf_dir), _halo(spark, sf_dir, _some_obs(spark, sf_dir), 2.5))
 
 
 @query(f"""WITH {_OBS}, {_TILES}, {_HALO}, c AS (SELECT par_id, count(*) AS nobs FROM halo GROUP BY par_id), n AS (SELECT par_id, count(*) AS npts FROM tile GROUP BY par_id), l AS (SELECT par_id::INT AS par_id, npts * greatest(coalesce(nobs, 0), 1) AS load FROM n LEFT JOIN c USING (par_id))
 SELECT par_id, load, least(floor((sum(load) OVER (ORDER BY par_id) - load / 2) * 4 / sum(load) OVER ()), 3)::INT AS task FROM l""")
 def task_split(spark, sf_dir):
-    loads = local.workload(_tiles(spark, sf_dir), local.halo(_some_obs(spark, sf_dir), carriers.NX, carriers.rows(spark, sf_dir), 6, 2.5))
+    loads = local.workload(_tiles(spark, sf_dir), _halo(spark, sf_dir, _some_obs(spark, sf_dir), 2.5))
     return local.split_by_load(loads, 4)
 
 
@@ -991,7 +996,7 @@ def _batch_one(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     ens, prior, obs, _ = _one(spark, sf_dir)
     one = obs.crossJoin(F.broadcast(stats.packed(prior.withColumn("k", F.lit(0)), "k", "prior", "priors"))).select(F.lit(0).cast("bigint").alias("obs_id"), F.lit(12.0).alias("x"), F.lit(12.0).alias("y"), "obs", "err_std", "priors")
     placed = _tiles(spark, sf_dir).select("loc", "x", "y", "par_id")
-    halo = local.halo(one, carriers.NX, carriers.rows(spark, sf_dir), 6, 5.0)
+    halo = _halo(spark, sf_dir, one, 5.0)
     return _round(kernels.batch_analysis(ens.join(placed, "loc"), one, halo, 5.0, method), "value")
 
 
@@ -1010,7 +1015,7 @@ def etkf_tiles(spark, sf_dir):
     obs = observations.in_window(_some_obs(spark, sf_dir), F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), -12, 12)
     members = stats.packed(_prior(spark, sf_dir, obs), "obs_id", "value", "priors")
     state = carriers.ensemble(spark, sf_dir).select("loc", "mem", "value").join(_tiles(spark, sf_dir).select("loc", "x", "y", "par_id"), "loc")
-    halo = local.halo(obs, carriers.NX, carriers.rows(spark, sf_dir), 6, 3.0)
+    halo = _halo(spark, sf_dir, obs, 3.0)
     return _round(kernels.batch_analysis(state, obs.select("obs_id", "x", "y", "obs", "err_std").join(members, "obs_id"), halo, 3.0), "value")
 
 
@@ -1172,7 +1177,7 @@ def _curved(spark, sf_dir):
     """The curvilinear grid, its shape, and the positions that are sought in it."""
     ny = carriers.rows(spark, sf_dir)
     lon, lat = models.two_pole_mapping(F.col("i") * 14.4, F.col("j") * (150.0 / ny) - 70, (0.0, 60.0), (180.0, -30.0))
-    points = GRID(spark, sf_dir).points(spark).select("loc", "i", "j", lon.alias("lon"), lat.alias("lat"))
+    points = GRID(spark, sf_dir).points(spark).where(F.col("j") < ny).select("loc", "i", "j", lon.alias("lon"), lat.alias("lat"))
     at = _some_obs(spark, sf_dir).select("obs_id", (F.col("x") * 14.4 - 179.63).alias("lon"), (F.col("y") * (150.0 / ny) - 74.89).alias("lat"))
     return points, ny, at
 
