@@ -51,6 +51,12 @@ def _some_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carriers.observations(spark, sf_dir)
 
 
+def _ring_rows(spark: SparkSession, sf_dir: str) -> int | None:
+    """The whole rows of a grid with an incomplete one."""
+    g = GRID(spark, sf_dir)
+    return g.ny if g.last else None
+
+
 def _prior(spark: SparkSession, sf_dir: str, obs: DataFrame) -> DataFrame:
     """Every member's field at every observation: ``obs_id, mem, value``."""
     cells = grid.find_cell(obs, GRID(spark, sf_dir))
@@ -269,7 +275,7 @@ def grid_gradient(spark, sf_dir):
 JOIN ens x ON x.mem = e.mem AND x.j = e.j AND x.i = (e.i + 1) % 25 JOIN ens s ON s.mem = e.mem AND s.i = e.i AND s.j = (e.j + {_NY} - 1) % {_NY} JOIN ens t ON t.mem = e.mem AND t.i = e.i AND t.j = (e.j + 1) % {_NY})
 SELECT loc, mem, round(w - 2 * value + x + s - 2 * value + t, 6) + 0.0 AS laplacian FROM n""")
 def grid_laplacian(spark, sf_dir):
-    return _round(grid.laplacian(carriers.ensemble(spark, sf_dir), ["mem"]).select("loc", "mem", "laplacian"), "laplacian")
+    return _round(grid.laplacian(carriers.ensemble(spark, sf_dir), ["mem"], ny=_ring_rows(spark, sf_dir)).select("loc", "mem", "laplacian"), "laplacian")
 
 
 @query(f"""WITH {_ENS}, n AS (SELECT loc, mem, value, lag(value) OVER l AS b, lead(value) OVER l AS a1, lead(value, 2) OVER l AS a2, lead(value, 3) OVER l AS a3 FROM ens WINDOW l AS (PARTITION BY mem, j ORDER BY i))
@@ -795,7 +801,7 @@ def slope_limiter(spark, sf_dir):
 @query(f"""WITH {_ENS}, n AS (SELECT e.loc, e.mem, w.value AS w, x.value AS x, s.value AS s, t.value AS t FROM ens e JOIN ens w ON w.mem = e.mem AND w.j = e.j AND w.i = (e.i + 24) % 25 JOIN ens x ON x.mem = e.mem AND x.j = e.j AND x.i = (e.i + 1) % 25
 JOIN ens s ON s.mem = e.mem AND s.i = e.i AND s.j = (e.j + {_NY} - 1) % {_NY} JOIN ens t ON t.mem = e.mem AND t.i = e.i AND t.j = (e.j + 1) % {_NY}) SELECT loc, mem, round(-(t - s) / 2 / 1.2, 6) + 0.0 AS u, round((x - w) / 2 / 1.2, 6) + 0.0 AS v FROM n""")
 def wind_from_pressure(spark, sf_dir):
-    return _round(fields.geostrophic(carriers.ensemble(spark, sf_dir), ["mem"], 1.0, 1.2, 1.0).select("loc", "mem", "u", "v"), "u", "v")
+    return _round(fields.geostrophic(carriers.ensemble(spark, sf_dir), ["mem"], 1.0, 1.2, 1.0, _ring_rows(spark, sf_dir)).select("loc", "mem", "u", "v"), "u", "v")
 
 
 @query(f"""WITH {_ENS}, e AS (SELECT i, j, value FROM ens WHERE mem = 0), n AS (SELECT a.i, a.j, a.value AS a, b.value AS b, c.value AS c, d.value AS d FROM e a JOIN e b ON b.j = a.j AND b.i = (a.i + 1) % 25 JOIN e c ON c.i = a.i AND c.j = (a.j + 1) % {_NY} JOIN e d ON d.i = (a.i + 1) % 25 AND d.j = (a.j + 1) % {_NY})
