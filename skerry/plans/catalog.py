@@ -651,7 +651,8 @@ _BAND = "CASE WHEN k <= {b} / 1.5 THEN 1 WHEN k >= {b} * 1.5 THEN 0 ELSE cos(pi(
 SELECT mem, ceil(k)::INT AS k, round(avg((re * re + im * im) / (SELECT points * points FROM n)), 9) AS power FROM d WHERE ceil(k) < n // 2 GROUP BY mem, ceil(k)""")
 def power_spectrum(spark, sf_dir):
     field = carriers.ensemble(spark, sf_dir).select("mem", "i", "j", "value")
-    return _round(spectral.power_spectrum(field, ["mem"], carriers.rows(spark, sf_dir), carriers.NX), "power", digits=9)
+    g = GRID(spark, sf_dir)
+    return _round(spectral.power_spectrum(field, ["mem"], g.ny, g.nx, g.size), "power", digits=9)
 
 
 @query(f"""WITH {_ENS}, {_MODES}, r AS (SELECT fx, fy, {_BAND.format(b="8.0")} - {_BAND.format(b="3.0")} AS part FROM k), m AS (SELECT * FROM r WHERE part <> 0),
@@ -659,7 +660,8 @@ d AS (SELECT mem, fx, fy, part, sum(value * cos(2 * pi() * (fx * i + fy * j))) A
 SELECT mem, i, j, round(sum(part * (re * cos(2 * pi() * (fx * i + fy * j)) + im * sin(2 * pi() * (fx * i + fy * j)))) / (SELECT points FROM n), 6) + 0.0 AS value FROM d, (SELECT i, j FROM ens WHERE mem = 0) GROUP BY mem, i, j""")
 def bandpass(spark, sf_dir):
     field = carriers.ensemble(spark, sf_dir).select("mem", "i", "j", "value")
-    return _round(spectral.scale_component(field, ["mem"], carriers.rows(spark, sf_dir), carriers.NX, [3.0, 8.0], 1), "value")
+    g = GRID(spark, sf_dir)
+    return _round(spectral.scale_component(field, ["mem"], g.ny, g.nx, [3.0, 8.0], 1, g.size), "value")
 
 
 @query()
