@@ -20,8 +20,7 @@ DERIVED = Registry("derived variable")
 
 def at(fields: DataFrame, obs: DataFrame, grid: grids.Grid, names: list[str]) -> DataFrame:
     """``obs_id, mem`` and the named fields interpolated to the observations in one pass; outside points have no row."""
-    met = grids.weights(grids.find_cell(obs, grid), "obs_id").join(fields.select("loc", "mem", *names), "loc").groupBy("obs_id", "mem")
-    return met.agg(*[F.when(F.count(n) == 4, F.sum(F.col("w") * F.col(n))).alias(n) for n in names])
+    return grids.at_points(grids.find_cell(obs, grid), fields, "obs_id", ["mem"], names)
 
 
 @OPERATORS.register("identity")
@@ -68,14 +67,13 @@ def at_levels(fields: DataFrame, obs: DataFrame, grid: grids.Grid, name: str = "
     whose column a level is missing.
     """
     levels = fields.select("lev").distinct().count()  # some tens
-    met = grids.weights(grids.find_cell(obs.select("obs_id", "x", "y"), grid), "obs_id").join(fields.select("loc", "mem", "lev", "z", name), "loc").groupBy("obs_id", "mem", "lev")
-    column = met.agg(*[F.when(F.count(c) == 4, F.sum(F.col("w") * F.col(c))).alias(a) for c, a in ((name, "f"), ("z", "z"))]).where("f is not null and z is not null")
-    whole = F.collect_list(F.struct("lev", "f", "z"))
-    column = column.groupBy("obs_id", "mem").agg(whole.alias("levels")).where(F.size("levels") == levels)
-    column = column.select("obs_id", "mem", F.struct("obs_id", "mem").alias("column"), F.explode("levels").alias("l")).select("obs_id", "mem", "column", "l.*")
-    wanted = column.select("obs_id", "column").distinct().join(obs.select("obs_id", F.col("z").alias("oz")), "obs_id")
-    found = vertical.interpolate(wanted.select("column", "obs_id", "oz"), column.select("column", "lev", "f", "z"), "column")
-    return found.select("obs_id", F.col("column.mem").alias("mem"), "value")
+    named = fields.select("loc", "mem", "lev", F.col(name).alias("f"), F.col("z").alias("depth"))
+    at = grids.at_cells(grids.find_cell(obs.select("obs_id", "x", "y", "z"), grid), named, "obs_id", ["mem", "lev"], ["f", "depth"], ["z"])
+    mem = F.explode(F.array_distinct(F.transform("at", lambda a: a["mem"]))).alias("mem")
+    column = F.filter("at", lambda a: (a["mem"] == F.col("mem")) & a["f"].isNotNull() & a["depth"].isNotNull())
+    layers = at.select("obs_id", "z", "at", mem).select("obs_id", "mem", "z", column.alias("layers")).where(F.size("layers") == levels)
+    value = vertical.in_column("layers", F.col("z"), "f", "depth")
+    return layers.select("obs_id", "mem", value.alias("value")).where("value is not null")
 
 
 def state_to_observations(fields: DataFrame, obs: DataFrame, grid: grids.Grid, variable: str, operator: str | None = None, derived: tuple[str, ...] = (), **options) -> DataFrame:

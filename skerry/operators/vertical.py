@@ -39,6 +39,28 @@ def interpolate(obs: DataFrame, layers: DataFrame, key: str) -> DataFrame:
     return met.groupBy(key, "obs_id").agg(F.max_by(value, F.struct("lev", "part")).alias("value"))
 
 
+def in_column(layers: str, oz: Column, f: str, z: str) -> Column:
+    """As ``interpolate``, for one depth in an array of layers in order; null where the column has no value."""
+    start = F.struct(F.lit(None).cast("double").alias("fp"), F.lit(0.0).alias("zp"), F.lit(0.0).alias("zpp"), F.lit(None).cast("double").alias("value"))
+
+    def within(low: Column, high: Column) -> Column:
+        return (oz >= F.least(low, high)) & (oz < F.greatest(low, high))
+
+    def step(acc: Column, layer: Column) -> Column:
+        dz, dzp = layer[z] - acc["zp"], acc["zp"] - acc["zpp"]
+        low, high = acc["zp"] - 0.5 * dzp, acc["zp"] + 0.5 * dz
+        between = F.when(high == low, acc["fp"]).otherwise(((high - oz) * acc["fp"] + (oz - low) * layer[f]) / (high - low))
+        top = acc["fp"].isNull() & within(F.lit(0.0), 0.5 * dz)
+        value = F.when(top, layer[f]).when(acc["fp"].isNotNull() & within(low, high), between).otherwise(acc["value"])
+        return F.struct(layer[f].alias("fp"), layer[z].alias("zp"), acc["zp"].alias("zpp"), value.alias("value"))
+
+    def last(acc: Column) -> Column:
+        low, high = acc["zp"] - 0.5 * (acc["zp"] - acc["zpp"]), acc["zp"]
+        return F.when((oz >= F.least(low, high)) & (oz <= F.greatest(low, high)), acc["fp"]).otherwise(acc["value"])
+
+    return F.aggregate(layers, start, step, last)
+
+
 def adjust_layers(columns: DataFrame, unit: float = 1.0) -> DataFrame:
     """``dps``, thicknesses of a column in order, without negative ones and within ``depth`` times ``unit``.
 

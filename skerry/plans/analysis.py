@@ -46,7 +46,7 @@ class Analysis:
 
 def at_observations(state: DataFrame, obs: DataFrame, grid: grids.Grid) -> DataFrame:
     """``obs_id, mem, value``: members interpolated to observations; those not every member reaches are left out."""
-    met = grids.interpolate(grids.weights(grids.find_cell(obs, grid), "obs_id"), state.select("loc", "mem", "value"), "obs_id", ["mem"])
+    met = grids.at_points(grids.find_cell(obs, grid), state, "obs_id", ["mem"], ["value"])
     return met.where("value is not null")
 
 

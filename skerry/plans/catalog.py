@@ -59,8 +59,7 @@ def _ring_rows(spark: SparkSession, sf_dir: str) -> int | None:
 
 def _prior(spark: SparkSession, sf_dir: str, obs: DataFrame) -> DataFrame:
     """Every member's field at every observation: ``obs_id, mem, value``."""
-    cells = grid.find_cell(obs, GRID(spark, sf_dir))
-    return grid.interpolate(grid.weights(cells, "obs_id"), carriers.ensemble(spark, sf_dir).select("loc", "mem", "value"), "obs_id", ["mem"])
+    return grid.at_points(grid.find_cell(obs, GRID(spark, sf_dir)), carriers.ensemble(spark, sf_dir), "obs_id", ["mem"], ["value"])
 
 
 # ensemble statistics
@@ -434,9 +433,12 @@ s AS (SELECT count(*) AS total_nobs, sum((obs - mb) ** 2) AS omb2, sum(err_std *
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of the prior and of a posterior moved three tenths of the way, with half the spread."""
     obs = _some_obs(spark, sf_dir)
-    prior = _prior(spark, sf_dir, obs)
-    mean = F.avg("value").over(Window.partitionBy("obs_id"))
-    post = prior.join(obs.select("obs_id", "obs"), "obs_id").select("obs_id", "mem", (mean + 0.5 * (F.col("value") - mean) + 0.3 * (F.col("obs") - mean)).alias("value"))
+    at = grid.at_cells(grid.find_cell(obs, GRID(spark, sf_dir)), carriers.ensemble(spark, sf_dir), "obs_id", ["mem"], ["value"], ["obs"])
+    prior = at.select("obs_id", F.explode("at").alias("a")).select("obs_id", "a.mem", "a.value")
+    mean = F.aggregate("at", F.lit(0.0), lambda acc, a: acc + a["value"]) / F.size("at")
+    moved = at.select("obs_id", "obs", mean.alias("mean"), F.explode("at").alias("a"))
+    mean = F.col("mean")
+    post = moved.select("obs_id", "a.mem", (mean + 0.5 * (F.col("a.value") - mean) + 0.3 * (F.col("obs") - mean)).alias("value"))
     return stats.observation_space(obs, prior, post)
 
 
