@@ -28,9 +28,10 @@ def nearest(wanted: DataFrame, series: DataFrame, place: str, s_place: str, valu
     given = given.select(*by, at("as_place").alias("as_bucket"), "as_place", F.struct("as_place", "as_value").alias("as_row"))
     asked = asked.select(*by, at("as_place").alias("as_bucket"), "as_place", F.lit(None).cast(given.schema["as_row"].dataType).alias("as_row"))
     order = Window.partitionBy(*keys).orderBy("as_place", F.col("as_row").isNull())
+    back = Window.partitionBy(*keys).orderBy(F.desc("as_place"), F.col("as_row").isNull())  # running, too: a frame to the end is read anew for each row
     both = asked.unionByName(given).withColumns({
         "as_before": F.last("as_row", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "as_after": F.first("as_row", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
+        "as_after": F.last("as_row", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
     })
     here = both.where("as_row is null").drop("as_row")
     edges = given.groupBy(*keys).agg(F.min("as_row").alias("low"), F.max("as_row").alias("high"))
