@@ -5,16 +5,21 @@ blocks; two such fingerprints agree on at least ``blocks - max_distance`` of the
 is keyed once for every choice of that many blocks and only equal keys are compared. Equal
 fingerprints are merged first: exact copies, however many, take one row in the join.
 
-A key that more than ``bucket_limit`` distinct fingerprints share is not expanded into pairs. Its
-members are keyed again by more blocks, which a close pair shares too, so that its keys are longer and
-rarer. What shares long keys with many even then is crowded: such fingerprints are first linked by
+On a key each fingerprint is first compared with the smallest and with the one before it, two rows a
+member; pairs are formed only across the components which that leaves, so a group of near copies does
+not become all its pairs. A key that more than ``bucket_limit`` distinct fingerprints share is not
+expanded into pairs. Its members, unless all of one component, are keyed again by more blocks, which a
+close pair shares too, so that its keys are longer and rarer. What shares long keys with many even then
+is crowded: such fingerprints are first linked by
 words within one bit of them. Where that leaves one component on a key, nothing is missing there; the
 members of all other keys are linked by the words within ``max_distance / 2`` bits, of which any two
 close ones share one. Every way is exact, so no link that changes a component is lost or invented.
 
 ``deduplicate`` links by similarity of shingle sets: beyond the links above, texts that share a band of
 their MinHash signatures and are at most ``WIDE_DISTANCE`` bits apart are compared by the exact Jaccard
-index of their shingles. Bands do not depend on how many texts there are.
+index of their shingles. Bands do not depend on how many texts there are. Bands that more than ``BAND_LIMIT``
+fingerprints share are tried by longer keys first; what components they hold even then are compared by
+the rarest shingles of each text, of which any two similar texts share one.
 """
 
 from __future__ import annotations
@@ -142,21 +147,36 @@ def _stars(nodes: DataFrame, radius: int) -> DataFrame:
     return least.where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
+def _chained(shared: DataFrame, max_distance: int) -> DataFrame:
+    """Distinct close pairs of each fingerprint with its key's smallest and with the one before it: all pairs of keys of three, at most two a row of others."""
+    order = Window.partitionBy("key").orderBy("fp")
+    near = shared.select(F.array(F.first("fp").over(order), F.lag("fp").over(order)).alias("others"), F.col("fp").alias("b"))
+    pairs = near.select(F.explode(F.array_distinct("others")).alias("a"), "b")
+    return pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)).distinct()
+
+
+def _parted(members: DataFrame, found: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """``members(key, n, fp)`` of the keys that hold several components of the edges found so far, with their ``root``."""
+    roots = scratch.write(connected_components(reduce(DataFrame.union, found), scratch).withColumnRenamed("node", "fp"), "roots")
+    rooted = members.join(roots, "fp", "left").select("key", "n", "fp", F.coalesce("root", "fp").alias("root"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return scratch.write(rooted.join(split, "key", "left_semi"), "parted")
+
+
 def links(nodes: DataFrame, count: int, scratch: Scratch, max_distance: int = MAX_DISTANCE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Edges ``(a, b)`` between the distinct fingerprints ``nodes(fp)``, with the components of all links."""
     found, start = [], fewest_blocks(count, max_distance)
     for blocks in sorted({start, max(start, 2 * max_distance + 1), 3 * max_distance}):
         shared = _shared_keys(nodes, block_masks(blocks, max_distance), scratch)
-        found.append(scratch.write(_pairs(shared.where(F.col("n") <= bucket_limit), max_distance), "pairs"))
-        crowded = shared.where(F.col("n") > bucket_limit)
+        found.append(scratch.write(_chained(shared.where(F.col("n") <= bucket_limit), max_distance), "chains"))
+        parted = _parted(shared.where((F.col("n") > 3) | (F.col("n") > bucket_limit)), found, scratch)
+        found.append(scratch.write(_pairs(parted.where(F.col("n") <= bucket_limit), max_distance, "root"), "pairs"))
+        crowded = parted.where(F.col("n") > bucket_limit).drop("root")
         nodes = scratch.write(crowded.select("fp").distinct(), "crowded")
         if nodes.isEmpty():
             return reduce(DataFrame.union, found)
     found.append(scratch.write(_stars(nodes, max_distance // 4), "stars"))
-    roots = scratch.write(connected_components(reduce(DataFrame.union, found), scratch).withColumnRenamed("node", "fp"), "roots")
-    rooted = crowded.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rest = scratch.write(crowded.join(split, "key", "left_semi").select("fp").distinct(), "split")
+    rest = scratch.write(_parted(crowded, found, scratch).select("fp").distinct(), "split")
     if not rest.isEmpty():
         found.append(scratch.write(_stars(rest, max_distance // 2), "stars"))
     return reduce(DataFrame.union, found)

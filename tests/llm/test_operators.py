@@ -628,3 +628,18 @@ def test_deduplicate_of_many_copies_in_one_band(spark, monkeypatch):
     rows += [(100 + k, " ".join(shared + [word() for _ in range(90)])) for k in range(30)]  # a passage in common is no copy
     kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert {0, 1, 2} <= kept and len([i for i in kept if i < 100]) <= 9 and {100 + k for k in range(30)} <= kept
+
+
+def test_simhash_near_copies_are_not_all_paired(spark):
+    """The links of a group of near copies grow with its members, not with their pairs."""
+    from skerry.llm.components import connected_components
+    from skerry.llm.scratch import Scratch
+
+    draw = random.Random(5)
+    prints = sorted({sum(1 << b for b in draw.sample(range(64), draw.randint(0, 2))) for _ in range(260)})[:240]
+    scratch = Scratch(spark, "test")
+    nodes = scratch.write(spark.createDataFrame([(p,) for p in prints if p < 1 << 63], "fp bigint"), "nodes")
+    edges = scratch.write(simhash.links(nodes, len(prints), scratch), "edges")
+    assert edges.distinct().count() < 30 * len(prints)
+    roots = {r.root for r in connected_components(edges, scratch).collect()}
+    assert roots == {prints[0]}
