@@ -416,3 +416,20 @@ def test_perturbations_over_cycles(spark):
     assert np.corrcoef(first, second)[0, 1] > 0.3  # what is remembered
     again = perturb(zero, defs, square, store, 1, 6.0).toPandas()
     assert np.allclose(again[again.name == "p"].sort_values(["mem", "i", "j"]).value, second)
+
+
+def test_serial_chain_takes_few_passes(spark, monkeypatch):
+    """Observations that all depend on the one before are not a table each, and small groups give the same."""
+    from skerry.operators import serial
+    from skerry.sources.tables import StateStore
+
+    draw, written, write = np.random.default_rng(9), [], StateStore.write
+    monkeypatch.setattr(StateStore, "write", lambda self, *a: written.append(a[1:]) or write(self, *a))
+    g = grid.Grid(12, 3)
+    state = spark.createDataFrame([(p, m, float(draw.normal())) for p in range(36) for m in range(4)], "loc bigint, mem int, value double")
+    obs = spark.createDataFrame([(n, n % 11 + 0.25, 1.5, float(draw.normal()), 0.4) for n in range(24)], "obs_id bigint, x double, y double, obs double, err_std double")
+    prior = grid.interpolate(grid.weights(grid.find_cell(obs, g), "obs_id"), state, "obs_id", ["mem"])
+    run = lambda **more: {(r["loc"], r.mem): r.value for r in serial.assimilate(state, g.points(spark), prior, obs, 2.5, **more).collect()}
+    whole = run()
+    assert len(whole) == 144 and len(written) < 12
+    assert run(group=9) == pytest.approx(whole, abs=1e-12)
