@@ -40,14 +40,15 @@ def neighbours(grid: DataFrame, nx: int, ny: int, stride: int = 1, **shape) -> D
     """``loc, next, lon, lat``: the points ``stride`` to the east, north, west and south, and where they are."""
     sides = [stepped(F.col("i"), F.col("j"), di * stride, dj * stride, nx, ny, **shape) for di, dj in AROUND[::2]]
     at = grid.select(F.col("loc").alias("next"), F.col("lon").alias("n_lon"), F.col("lat").alias("n_lat"))
-    return grid.select("loc", F.explode(F.array(*sides)).alias("next")).where("next is not null and next <> loc").join(at, "next")
+    return grid.select("loc", F.explode(F.array(*sides)).alias("next")).where("next is not null and next <> loc").join(at.hint("merge"), "next")
 
 
 def pivots(points: DataFrame, grid: DataFrame, key: str, nx: int, ny: int, store: StateStore | None = None, most_steps: int = 10_000, **shape) -> DataFrame:
     """``points(key, lon, lat)`` with ``pivot``, the grid point that none of its neighbours is nearer than, and its ``gap`` in metres.
 
     Of neighbours equally near the one of the smaller number is taken. Every step's table is stored, and
-    positions whose pivot stands at all strides leave the steps.
+    positions whose pivot stands at all strides leave the steps. Neighbours meet positions by a shuffle, as a
+    broadcast at every step would send their table through the driver each time.
     """
     store = store or StateStore.temporary(points.sparkSession)
     first = grid.where("loc = 0").select(F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
@@ -64,7 +65,7 @@ def pivots(points: DataFrame, grid: DataFrame, key: str, nx: int, ny: int, store
             if step > most_steps:
                 raise RuntimeError("pivots did not settle")
             best = F.array_min(F.transform("around", lambda n: F.struct(great_circle(F.col("lon"), F.col("lat"), n["n_lon"], n["n_lat"]).alias("gap"), n["next"].alias("next"))))
-            met = moving.join(around, "pivot", "left").withColumn("best", best)
+            met = moving.join(around.hint("merge"), "pivot", "left").withColumn("best", best)
             nearer = F.coalesce(F.col("best.gap") < F.col("gap"), F.lit(False))
             met = store.write(met.select(key, "lon", "lat", nearer.alias("moved"), F.when(nearer, F.col("best.next")).otherwise(F.col("pivot")).alias("pivot"), F.when(nearer, F.col("best.gap")).otherwise(F.col("gap")).alias("gap")), step, "pivots")
             settled.append(met.where("not moved").drop("moved"))
@@ -96,10 +97,10 @@ def grid_index(placed: DataFrame, grid: DataFrame, key: str, nx: int, ny: int, *
         for k, a, b in sides
     ])
     pivot = at.select(F.col("loc").alias("pivot"), "i", "j", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), F.explode(options).alias("o")).select("pivot", "i", "j", "lon1", "lat1", "o.*").where("loc2 is not null and loc3 is not null")
-    pivot = pivot.join(corner(2), "loc2").join(corner(3), "loc3")
+    pivot = pivot.join(corner(2).hint("merge"), "loc2").join(corner(3).hint("merge"), "loc3")
     gap = lambda a, b: great_circle(F.col(f"lon{a}"), F.col(f"lat{a}"), F.col(f"lon{b}"), F.col(f"lat{b}"))
     triangles = pivot.withColumns({"s1": gap(2, 3), "s2": gap(3, 1), "s3": gap(1, 2)})
-    met = placed.select(key, "lon", "lat", "pivot").join(triangles, "pivot").withColumns({f"d{n}": great_circle(F.col("lon"), F.col("lat"), F.col(f"lon{n}"), F.col(f"lat{n}")) for n in (1, 2, 3)})
+    met = placed.select(key, "lon", "lat", "pivot").join(triangles.hint("merge"), "pivot").withColumns({f"d{n}": great_circle(F.col("lon"), F.col("lat"), F.col(f"lon{n}"), F.col(f"lat{n}")) for n in (1, 2, 3)})
     d1, d2, d3, s1, s2, s3 = (F.col(c) for c in ("d1", "d2", "d3", "s1", "s2", "s3"))
     met = met.withColumn("whole", _heron(s1, s2, s3)).where("whole > 0").withColumns({"b1": _heron(s1, d2, d3) / F.col("whole"), "b2": _heron(s2, d1, d3) / F.col("whole"), "b3": _heron(s3, d1, d2) / F.col("whole")})
     total = F.col("b1") + F.col("b2") + F.col("b3")
