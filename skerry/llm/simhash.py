@@ -209,7 +209,7 @@ def candidates(keyed: DataFrame, scratch: Scratch, limit: int | None = None) ->
 
     Members of a key that more than ``limit`` fingerprints share are keyed again by every two of their
     crowded keys. On a key that is crowded even then, all components' smallest fingerprints are compared
-    with the first one's and with the next one's.
+    with the first one's and with the next one's; ``similar`` compares what this leaves.
     """
     limit = limit or BAND_LIMIT
     single, crowded = _across(keyed, limit, scratch)
@@ -235,20 +235,71 @@ def similar(nodes: DataFrame, rows: DataFrame, roots: DataFrame, scratch: Scratc
     """
     keyed = rows.select("fp", F.explode("keys").alias("key")).distinct().join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     pairs = candidates(keyed, scratch)
+    sets = _shingle_sets(nodes, rows, pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), scratch, shingle)
+    found = scratch.write(_alike(pairs, sets, similarity), "similar")
+    rest = _still_parted(keyed, found, roots, scratch)
+    if rest.isEmpty():
+        return found
+    sets = _shingle_sets(nodes, rows, rest.select("fp"), scratch, shingle)
+    return found.union(_alike(scratch.write(_by_rare_shingles(rest, sets, scratch, similarity), "rare-pairs"), sets, similarity))
+
+
+def _shingle_sets(nodes: DataFrame, rows: DataFrame, asked: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
+    """``fp, set``: the distinct shingle hashes of the fingerprints asked for, of the text of the smallest id."""
 
     @F.pandas_udf("array<long>")
     def hashes(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64)).view(np.int64) for t in texts], dtype=object)
 
-    asked = nodes.join(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "fp").select(F.col("fp").alias("asked"), "first")
+    asked = nodes.join(asked, "fp").select(F.col("fp").alias("asked"), "first")
     asked = broadcast_if_small(scratch.write(asked, "asked"))
     texts = rows.join(asked, (F.col("fp") == F.col("asked")) & F.col("id").eqNullSafe(F.col("first"))).select("fp", "text").dropDuplicates(["fp"])
-    sets = scratch.write(texts.select("fp", hashes("text").alias("set")), "shingles")
+    return scratch.write(texts.select("fp", hashes("text").alias("set")), "shingles")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets have a Jaccard index of ``similarity`` or more."""
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     shared_size = F.size(F.array_intersect("set_a", "set_b"))
     return both.where(shared_size >= similarity * (F.size("set_a") + F.size("set_b") - shared_size)).select("a", "b")
 
 
+def _still_parted(keyed: DataFrame, found: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """``fp, root, keys``: members of bands of more than ``BAND_LIMIT`` fingerprints, where those hold several components even with the edges ``found``."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("n") > BAND_LIMIT) & (F.col("low") != F.col("high")))
+    crowded = scratch.write(keyed.join(sizes.select("key"), "key", "left_semi"), "crowded-bands")
+    for end in "ab":
+        found = found.join(roots.toDF(end, f"{end}_root"), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    merged = scratch.write(connected_components(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), scratch).toDF("root", "whole"), "merged")
+    now = crowded.join(merged, "root", "left").select("key", "fp", F.coalesce("whole", "root").alias("root"))
+    split = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return scratch.write(now.join(split, "key", "left_semi").groupBy("fp", "root").agg(F.collect_set("key").alias("keys")), "still-parted")
+
+
+def _by_rare_shingles(members: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """Every pair ``(a, b)`` of ``members(fp, root, keys)`` with a key in common, of different components, that can have the Jaccard index ``similarity``.
+
+    With shingles in order of how many members have them, two such sets share one of the first
+    ``n - 2s / (1 + s) n + 1`` of the smaller and the first ``n - s n + 1`` of the larger. On a shingle, the
+    members of the component that most of its members are in meet those of others only.
+    """
+    tokens = sets.select("fp", F.size("set").alias("size"), F.explode("set").alias("token"))
+    seen = tokens.groupBy("token").agg(F.count("*").alias("seen")).where("seen > 1")
+    ordered = tokens.join(seen, "token").groupBy("fp", "size").agg(F.sort_array(F.collect_list(F.struct("seen", "token"))).alias("tokens"))
+    alone = F.col("size") - F.size("tokens")  # shingles of one member come first
+    first = lambda share: (F.col("size") - F.ceil(F.col("size") * F.lit(share) - 1e-9) + 1 - alone).cast("int")
+    placed = ordered.select("fp", "size", first(2 * similarity / (1 + similarity)).alias("least"), F.posexplode(F.slice("tokens", F.lit(1), F.greatest(first(similarity), F.lit(0)))).alias("at", "t"))
+    placed = placed.select("fp", "size", F.col("t.token").alias("token"), (F.col("at") < F.col("least")).alias("early")).join(members, "fp")
+    parts = placed.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    placed = scratch.write(placed.join(parts.select("token", "main"), "token").withColumn("odd", F.col("root") != F.col("main")), "rare-shingles")
+    small, large = (placed.select("token", "odd", "early", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "size", "root", "keys")]) for x in "ab")
+    small, large = small.where("early").drop("early"), large.drop("early").withColumnRenamed("odd", "odd_b")
+    fits = (F.col("size_a") <= F.col("size_b")) & (F.col("size_a") >= similarity * F.col("size_b") - 1e-9) & (F.col("root_a") != F.col("root_b"))
+    fits = fits & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= WIDE_DISTANCE) & F.arrays_overlap("keys_a", "keys_b")
+    met = small.where("odd").join(large, "token").where(fits).unionByName(small.where("not odd").join(large.where("odd_b"), "token").where(fits))
+    return met.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
+
+
 def _nodes(rows: DataFrame, id_col: str, fp_col: str, scratch: Scratch) -> DataFrame:
     return scratch.write(rows.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "nodes")
 

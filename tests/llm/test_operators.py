@@ -643,3 +643,20 @@ def test_simhash_near_copies_are_not_all_paired(spark):
     assert edges.distinct().count() < 30 * len(prints)
     roots = {r.root for r in connected_components(edges, scratch).collect()}
     assert roots == {prints[0]}
+
+
+def test_similar_texts_of_one_crowded_band_are_found(spark):
+    """Two similar texts that share no key but one that many others have are linked."""
+    from skerry.llm.scratch import Scratch
+
+    draw = random.Random(3)
+    texts = [" ".join(f"w{draw.randint(0, 10**6)}" for _ in range(60)) for _ in range(60)]
+    texts[41] = texts[17] + " tail"
+    texts[42] = " ".join(texts[17].split()[:30]) + " " + texts[42]  # half of it is not enough
+    scratch = Scratch(spark, "test")
+    prints = [sum(1 << b for b in draw.sample(range(60), 8)) for _ in texts]
+    rows = scratch.write(spark.createDataFrame([(p, n, t, [7]) for n, (p, t) in enumerate(zip(prints, texts))], "fp bigint, id bigint, text string, keys array<bigint>"), "rows")
+    nodes = scratch.write(rows.select("fp", rows["id"].alias("first"), rows["id"].alias("n")), "nodes")
+    roots = scratch.write(spark.createDataFrame([], "fp bigint, root bigint"), "roots")
+    got = {tuple(r) for r in simhash.similar(nodes, rows, roots, scratch, 5, 0.8).collect()}
+    assert got == {tuple(sorted((prints[17], prints[41])))}
