@@ -5,7 +5,9 @@ known so far, both are averaged to the level, and a smooth increment that explai
 found by Jacobi sweeps. Fields lie on a square whose side is a power of two; its cells are a table, and
 for the sweeps of a level they are dealt into tiles. A tile holds ``halo`` more cells on each side and so
 can do as many sweeps by itself; then tiles exchange their edges in one shuffle. A task holds a tile,
-never a field, and the result does not depend on the tiles.
+never a field, and the result does not depend on the tiles. Tables of cells are joined by sorting: most
+of a square may be empty, so that its file is small when its rows are many, and broadcasting it would fill
+the driver.
 """
 
 from __future__ import annotations
@@ -179,7 +181,7 @@ def _sampled(at: DataFrame, field: DataFrame, keys: list[str], n: int, values: l
     corners = F.array(*[F.struct(F.pmod(i0 + a, F.lit(n)).alias("ci"), F.pmod(j0 + b, F.lit(n)).alias("cj"), ((u if a else 1 - u) * (v if b else 1 - v)).alias("w")) for a in (0, 1) for b in (0, 1)])
     wanted = at.select(*keys, "i", "j", F.explode(corners).alias("k")).select(*keys, "i", "j", "k.*").where("w <> 0")
     source = field.select(*keys, F.col("i").alias("ci"), F.col("j").alias("cj"), *values)
-    return wanted.join(source, [*keys, "ci", "cj"]).groupBy(*keys, "i", "j").agg(*[F.sum(F.col("w") * F.col(x)).alias(x) for x in values])
+    return wanted.join(source.hint("merge"), [*keys, "ci", "cj"]).groupBy(*keys, "i", "j").agg(*[F.sum(F.col("w") * F.col(x)).alias(x) for x in values])
 
 
 def displacement(
@@ -199,7 +201,7 @@ def displacement(
     known = fields.select(*keys, F.col("i").cast("long"), F.col("j").cast("long"), *[F.when(masked, 0.0).otherwise(F.col(c).cast("double")).alias(x) for c, x in (("before", "x1"), ("after", "x2"))], masked.alias("masked"))
     square = fields.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("cell"))
     square = square.select(*keys, (F.col("cell") % n).cast("long").alias("i"), F.floor(F.col("cell") / n).cast("long").alias("j"))
-    whole = square.join(known, [*keys, "i", "j"], "left").select(*keys, "i", "j", F.coalesce("x1", F.lit(0.0)).alias("x1"), F.coalesce("x2", F.lit(0.0)).alias("x2"), F.coalesce("masked", F.lit(True)).alias("masked"))
+    whole = square.join(known.hint("merge"), [*keys, "i", "j"], "left").select(*keys, "i", "j", F.coalesce("x1", F.lit(0.0)).alias("x1"), F.coalesce("x2", F.lit(0.0)).alias("x2"), F.coalesce("masked", F.lit(True)).alias("masked"))
     bounds = whole.groupBy(*keys).agg(F.min("x1").alias("low"), F.max("x1").alias("high"))
     scaled = lambda c: F.when(F.col("high") > F.col("low"), (F.col(c) - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(F.col(c)).alias(c)
     base = store.write(whole.join(bounds, keys).select(*keys, "i", "j", scaled("x1"), scaled("x2"), "masked"), 0, "base")
@@ -210,7 +212,7 @@ def displacement(
             warped = base.select(*keys, "i", "j", "x1")
         else:
             warped = _sampled(moved.select(*keys, "i", "j", (F.col("i") - F.col("u")).alias("fi"), (F.col("j") - F.col("v")).alias("fj")), base, keys, n, ["x1"])
-        both = warped.join(base.drop("x1"), [*keys, "i", "j"])
+        both = warped.join(base.drop("x1").hint("merge"), [*keys, "i", "j"])
         block = lambda c: F.floor(F.col(c) / size)
         first = (F.col("i") % size == 0) & (F.col("j") % size == 0)
         coarse = both.groupBy(*keys, block("i").alias("i"), block("j").alias("j")).agg(F.avg("x1").alias("x1"), F.avg("x2").alias("x2"), F.max(F.when(first, F.col("masked")).otherwise(False)).cast("double").alias("masked"))
@@ -219,7 +221,7 @@ def displacement(
         at = base.select(*keys, "i", "j", (F.col("i") / size).alias("fi"), (F.col("j") / size).alias("fj"))
         grown = _sampled(at, step, keys, n // size, ["du", "dv"])
         scale = 2.0 ** (level - 1)
-        moved = store.write(moved.join(grown, [*keys, "i", "j"]).select(*keys, "i", "j", (F.col("u") + scale * F.col("du")).alias("u"), (F.col("v") + scale * F.col("dv")).alias("v")), level, "moved")
+        moved = store.write(moved.join(grown.hint("merge"), [*keys, "i", "j"]).select(*keys, "i", "j", (F.col("u") + scale * F.col("du")).alias("u"), (F.col("v") + scale * F.col("dv")).alias("v")), level, "moved")
     return moved.where((F.col("i") < nx) & (F.col("j") < ny))
 
 

@@ -114,3 +114,14 @@ def test_planted_shift_is_found_and_the_state_follows(spark):
 def test_no_change_no_displacement(spark):
     flat = _table(spark, {0: {"before": np.ones((5, 6)), "after": np.ones((5, 6))}})
     assert all(r.u == r.v == 0 for r in alignment.displacement(flat, ["mem"], 6, 5).collect())
+
+
+def test_cells_are_not_broadcast(spark):
+    """A table of cells whose file is small may have many rows: no join with it goes through the driver."""
+    from skerry.operators import curvilinear
+
+    cells = spark.range(16).selectExpr("0 AS level", "id % 4 AS i", "id DIV 4 AS j", "0.5D AS x1", "0.5D AS fi", "0.5D AS fj")
+    grid = spark.range(16).selectExpr("id AS loc", "id % 4 AS i", "id DIV 4 AS j", "1D * id AS lon", "1D * id AS lat")
+    for table in (alignment._sampled(cells, cells, ["level"], 4, ["x1"]), curvilinear.neighbours(grid, 4, 4)):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
