@@ -100,26 +100,66 @@ def local_analysis(state: DataFrame, obs: DataFrame, pairs: DataFrame, method: s
     return out.select("loc", F.posexplode("ens").alias("mem", "value"))
 
 
-def batch_analysis(state: DataFrame, obs: DataFrame, halo: DataFrame, roi: float, method: str = "etkf", taper: str = "gaspari_cohn", **options) -> DataFrame:
+#: Columns that say where an observation lies in its cell, see ``grid.find_cell``.
+IN_CELL = ("cell", "u", "v")
+
+
+def _with_cells(near: DataFrame, cells: DataFrame) -> DataFrame:
+    """Observations of tiles, and beside them a row with ``members`` for each of their tile's cells."""
+    held = near.select("par_id", "cell").distinct().join(cells, "cell").select("par_id", "cell", "members")
+    return near.unionByName(held, allowMissingColumns=True)
+
+
+def _with_priors(found: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """A tile's observations in order of their ids, and their members as members by observations.
+
+    They have them as ``priors``, or as rows of ``_with_cells``, where those without a cell are left out.
+    """
+    if "members" not in found:
+        found = found.sort_values("obs_id").reset_index(drop=True)
+        return found, np.stack(found["priors"].to_list(), axis=1) if len(found) else np.empty((0, 0))
+    held = found["members"].notna()
+    cells, found = found.loc[held, ["cell", "members"]], found[~held].drop(columns="members")
+    found = found[found["cell"].isin(cells["cell"])].sort_values("obs_id").reset_index(drop=True)
+    if not len(found):
+        return found, np.empty((0, 0))
+    members = np.stack(cells["members"].to_list()).reshape(len(cells), 4, -1)
+    at = pd.Index(cells["cell"]).get_indexer(found["cell"])
+    u, v = found["u"].to_numpy(), found["v"].to_numpy()
+    shares = ((1 - u) * (1 - v), u * (1 - v), u * v, (1 - u) * v)
+    priors = np.empty((members.shape[2], len(found)))
+    for k in range(len(priors)):
+        corner = members[:, :, k]
+        priors[k] = sum((shares[c] * corner[at, c] for c in (1, 2, 3)), shares[0] * corner[at, 0])
+    return found, priors
+
+
+def batch_analysis(state: DataFrame, obs: DataFrame | None, halo: DataFrame, roi: float, method: str = "etkf", taper: str = "gaspari_cohn", cells: DataFrame | None = None, **options) -> DataFrame:
     """Analysed ``loc, mem, value`` of ``state(loc, x, y, par_id, mem, value)``, tile by tile.
 
     ``halo(par_id, obs_id)`` names the observations within reach of a tile, ``obs(obs_id, x, y, obs,
     err_std, priors)`` has them with their members. A tile and its observations meet once in a task, so
     members of an observation travel once for each tile it touches and not for each point. Tiles have a
     bounded number of points; a tile's observations are those of its area and halo.
+
+    With ``cells(cell, members)`` of ``grid.cell_members`` no members travel with observations: the halo
+    has their columns ``ox, oy, obs, err_std`` and ``IN_CELL``, ``obs`` is left out, and the members are
+    interpolated in the tile.
     """
     points = state.groupBy("par_id", "loc", "x", "y").agg(F.transform(F.sort_array(F.collect_list(F.struct("mem", "value"))), lambda s: s["value"]).alias("ens"))
-    near = halo.join(obs, "obs_id").select("par_id", "obs_id", F.col("x").alias("ox"), F.col("y").alias("oy"), "obs", "err_std", "priors")
+    if cells is None:
+        near = halo.join(obs, "obs_id").select("par_id", "obs_id", F.col("x").alias("ox"), F.col("y").alias("oy"), "obs", "err_std", "priors")
+    else:
+        near = _with_cells(halo.select("par_id", "obs_id", "ox", "oy", "obs", "err_std", *IN_CELL), cells)
     shape, weights = TAPER_ARRAYS[taper], WEIGHTS[method]
 
     def run(tile: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(tile):
             return pd.DataFrame({"loc": [], "ens": []})
         after = [np.asarray(e) for e in tile["ens"]]
+        found, priors = _with_priors(found)
         if len(found):
-            found = found.sort_values("obs_id")
             ox, oy, obs_, err = (found[c].to_numpy() for c in ("ox", "oy", "obs", "err_std"))
-            priors = np.stack(found["priors"].to_list(), axis=1)
             for k, (x, y) in enumerate(zip(tile["x"], tile["y"])):
                 rho = shape(np.sqrt((ox - x) ** 2 + (oy - y) ** 2), roi)
                 used = rho > 0
@@ -132,8 +172,8 @@ def batch_analysis(state: DataFrame, obs: DataFrame, halo: DataFrame, roi: float
 
 
 def batch_records(
-    state: DataFrame, state_records: DataFrame, obs: DataFrame, obs_records: DataFrame, impact: DataFrame, halo: DataFrame, method: str = "etkf", kinds: tuple[str, str, str] = ("gaspari_cohn", "gaspari_cohn", "exponential"),
-    lx: float | None = None, ly: float | None = None, max_obs: int | None = None, **options,
+    state: DataFrame, state_records: DataFrame, obs: DataFrame | None, obs_records: DataFrame, impact: DataFrame, halo: DataFrame, method: str = "etkf", kinds: tuple[str, str, str] = ("gaspari_cohn", "gaspari_cohn", "exponential"),
+    lx: float | None = None, ly: float | None = None, max_obs: int | None = None, cells: DataFrame | None = None, **options,
 ) -> DataFrame:
     """Analysed ``rec, loc, mem, value`` of fields on several levels, times and variables, tile by tile.
 
@@ -143,13 +183,18 @@ def batch_records(
     within reach of a tile. A tile and its observations meet once in a task. There the horizontal factor is
     computed once for a point, the others once for a record and observation of the tile; records with equal
     factors at all observations share their weights, as levels at one depth or variables without an impact
-    of their own do. ``max_obs`` keeps a point's strongest observations, ties to the smaller id.
+    of their own do. ``max_obs`` keeps a point's strongest observations, ties to the smaller id. With ``cells``
+    the halo has the observations' columns ``obs_rec, ox, oy, oz, ot, obs, err_std`` and ``IN_CELL``, as in
+    ``batch_analysis``.
     """
     points = state.groupBy("par_id", "loc", "x", "y", "rec").agg(F.transform(F.sort_array(F.collect_list(F.struct("mem", "value"))), lambda s: s["value"]).alias("ens"))
-    radii = F.broadcast(obs_records.select("obs_rec", "hroi", "vroi", "troi"))  # a row a record
-    effects = F.broadcast(impact.groupBy("obs_rec").agg(F.map_from_entries(F.collect_list(F.struct("name", "impact"))).alias("effects")))
-    near = halo.join(obs.join(radii, "obs_rec").join(effects, "obs_rec", "left"), "obs_id")
-    near = near.select("par_id", "obs_id", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), F.col("t").alias("ot"), "obs", "err_std", "priors", "hroi", "vroi", "troi", "effects")
+    if cells is None:
+        near = halo.join(obs, "obs_id").select("par_id", "obs_id", "obs_rec", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), F.col("t").alias("ot"), "obs", "err_std", "priors")
+    else:
+        near = _with_cells(halo.select("par_id", "obs_id", "obs_rec", "ox", "oy", "oz", "ot", "obs", "err_std", *IN_CELL), cells)
+    # some tens of rows each
+    radii = {r["obs_rec"]: (r["hroi"], r["vroi"], r["troi"]) for r in obs_records.select("obs_rec", "hroi", "vroi", "troi").collect()}
+    effects = {(r["obs_rec"], r["name"]): r["impact"] for r in impact.select("obs_rec", "name", "impact").collect()}
     described = {r["rec"]: (r["name"], r["z"], r["t"]) for r in state_records.select("rec", "name", "z", "t").collect()}  # some tens of rows
     along, up, ago = (TAPER_ARRAYS[k] for k in kinds)
     weights = WEIGHTS[method]
@@ -163,15 +208,18 @@ def batch_records(
             return pd.DataFrame({"rec": [], "loc": [], "ens": []})
         tile = tile.reset_index(drop=True)
         after = [np.asarray(e) for e in tile["ens"]]
+        known = found["obs_rec"].isin(list(radii))
+        found, priors = _with_priors(found[known | found["members"].notna() if "members" in found else known])
         if len(found):
-            found = found.sort_values("obs_id").reset_index(drop=True)
-            ox, oy, oz, ot, obs_, err, hroi, vroi, troi = (found[c].to_numpy(np.float64) for c in ("ox", "oy", "oz", "ot", "obs", "err_std", "hroi", "vroi", "troi"))
-            effect = [dict(e) if e is not None else {} for e in found["effects"]]
-            priors = np.stack(found["priors"].to_list(), axis=1)
-            recs = sorted(set(tile["rec"]))
-            others = np.stack([up(np.abs(oz - described[r][1]), vroi) * ago(np.abs(ot - described[r][2]), troi) * np.array([e.get(described[r][0], 1.0) for e in effect]) for r in recs])
-            shared, kind = np.unique(others, axis=0, return_inverse=True)
-            kind = dict(zip(recs, kind.ravel()))
+            ox, oy, oz, ot, obs_, err = (found[c].to_numpy(np.float64) for c in ("ox", "oy", "oz", "ot", "obs", "err_std"))
+            code, of = pd.factorize(found["obs_rec"])
+            hroi, vroi, troi = (np.array([radii[o][k] for o in of], np.float64)[code] for k in range(3))
+            kind, shared = {}, {}
+            for r in sorted(set(tile["rec"])):
+                name, z, t = described[r]
+                factor = up(np.abs(oz - z), vroi) * ago(np.abs(ot - t), troi) * np.array([effects.get((o, name), 1.0) for o in of])[code]
+                kind[r] = factor.tobytes()
+                shared.setdefault(kind[r], factor)
             for (x, y), rows in tile.groupby(["x", "y"]).indices.items():
                 flat = along(np.sqrt(axis_gap(ox, x, lx) ** 2 + axis_gap(oy, y, ly) ** 2), hroi)
                 known: dict[int, np.ndarray | None] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.operators import grid as grids
@@ -60,6 +60,20 @@ def _in_steps(obs: DataFrame, grid: grids.Grid) -> DataFrame:
     return obs.withColumns({"x": (F.col("x") - grid.x0) / grid.dx, "y": (F.col("y") - grid.y0) / grid.dy})
 
 
+def _near_tiles(obs: DataFrame, grid: grids.Grid, side: int, reach: float | Column, **options) -> DataFrame:
+    """The observations inside the grid with all that a tile needs of them, once for each tile within ``reach``, a length."""
+    inside = grids.find_cell(obs, grid).where("inside").withColumns({"ox": F.col("x"), "oy": F.col("y"), "cell": F.col("p1")})
+    keep = ("ox", "oy", *(c for c in ("obs_rec", "oz", "ot", "obs", "err_std") if c in inside.columns), *kernels.IN_CELL)
+    return local.halo(_in_steps(inside, grid), grid.nx, grid.ny, side, reach / min(grid.dx, grid.dy), last=grid.last, keep=keep, **options)
+
+
+def _tile_by_tile(part: DataFrame, whole: DataFrame, obs: DataFrame, grid: grids.Grid, side: int, roi: float, method: str, taper: str = "gaspari_cohn") -> DataFrame:
+    """``part(loc, mem, value)`` analysed by the observations of ``whole``, whose members the tiles interpolate."""
+    placed = local.with_tiles(grid.points(part.sparkSession), grid.nx, side).select("loc", "x", "y", "par_id")
+    cells = grids.cell_members(grids.find_cell(obs, grid), whole)
+    return kernels.batch_analysis(part.join(placed, "loc"), None, _near_tiles(obs, grid, side, roi), roi, method, taper, cells)
+
+
 def _spread(ens: DataFrame, coef: float | None, found: DataFrame) -> DataFrame:
     """Perturbations times a coefficient, or times the one row of ``found(coef)``."""
     if coef is not None:
@@ -87,16 +101,12 @@ def analyse(state: DataFrame, obs: DataFrame, grid: grids.Grid, settings: Settin
     points = grid.points(spark).select("loc", "x", "y")
     if settings.method == "eakf":
         post = serial.assimilate(prior, points, observed, obs, settings.roi, settings.taper)
+    elif settings.max_obs is None:
+        post = _tile_by_tile(prior, prior, obs, grid, settings.tile or _side(spark, grid), settings.roi, settings.method, settings.taper)
     else:
-        with_members = obs.select("obs_id", "x", "y", "obs", "err_std").join(stats.packed(observed, "obs_id", "value", "priors"), "obs_id")
-        if settings.max_obs is None:
-            side = settings.tile or _side(spark, grid)
-            placed = local.with_tiles(grid.points(spark), grid.nx, side).select("loc", "x", "y", "par_id")
-            halo = local.halo(_in_steps(obs, grid), grid.nx, grid.ny, side, settings.roi / min(grid.dx, grid.dy), last=grid.last)
-            post = kernels.batch_analysis(prior.join(placed, "loc"), with_members, halo, settings.roi, settings.method, settings.taper)
-        else:
-            pairs = local.localize(points, obs, settings.roi, settings.taper)
-            post = kernels.local_analysis(prior, with_members.drop("x", "y"), pairs, settings.method, settings.max_obs)
+        with_members = obs.select("obs_id", "obs", "err_std").join(stats.packed(observed, "obs_id", "value", "priors"), "obs_id")
+        pairs = local.localize(points, obs, settings.roi, settings.taper)
+        post = kernels.local_analysis(prior, with_members, pairs, settings.method, settings.max_obs)
     after = at_observations(post, obs, grid)
     sums = stats.observation_space(obs, observed, after)
     if settings.post:
@@ -123,7 +133,7 @@ def analyse_scales(state: DataFrame, obs: DataFrame, grid: grids.Grid, rois: lis
         raise ValueError(f"{len(rois)} radii for {len(cutoffs) + 1} scales")
     spark = state.sparkSession
     store = StateStore.temporary(spark)
-    points = grid.points(spark).select("loc", "i", "j", "x", "y")
+    points = grid.points(spark).select("loc", "i", "j")
     now = state.select("loc", "mem", "value")
     for scale, roi in enumerate(rois):
         part = now
@@ -131,33 +141,36 @@ def analyse_scales(state: DataFrame, obs: DataFrame, grid: grids.Grid, rois: lis
             field = now.join(points.where(F.col("j") < grid.ny), "loc").select("mem", "i", "j", "value")
             part = spectral.scale_component(field, ["mem"], grid.ny, grid.nx, cutoffs, scale)
             part = part.select((F.col("j") * grid.nx + F.col("i")).cast("bigint").alias("loc"), "mem", "value")
-        members = stats.packed(at_observations(now, obs, grid), "obs_id", "value", "priors")
-        side = _side(spark, grid)
-        placed = local.with_tiles(points, grid.nx, side).select("loc", "x", "y", "par_id")
-        halo = local.halo(_in_steps(obs, grid), grid.nx, grid.ny, side, roi / min(grid.dx, grid.dy), last=grid.last)
-        post = kernels.batch_analysis(part.join(placed, "loc"), obs.select("obs_id", "x", "y", "obs", "err_std").join(members, "obs_id"), halo, roi, method)
+        post = _tile_by_tile(part, now, obs, grid, _side(spark, grid), roi, method)
         now = store.write(stats.write_back(now, stats.increments(part, post, ["loc", "mem"]), ["loc", "mem"]), scale, "state")
     return now
 
 
-def analyse_records(state: DataFrame, state_records: DataFrame, obs: DataFrame, obs_records: DataFrame, observed: DataFrame, grid: grids.Grid, method: str = "etkf", max_obs: int | None = None, tile: int | None = None, **options) -> DataFrame:
+def analyse_records(state: DataFrame, state_records: DataFrame, obs: DataFrame, obs_records: DataFrame, observed: DataFrame | None, grid: grids.Grid, method: str = "etkf", max_obs: int | None = None, tile: int | None = None, field: DataFrame | None = None, **options) -> DataFrame:
     """The posterior ``rec, loc, mem, value`` of fields on several levels, times and variables.
 
     ``state(rec, loc, mem, value)`` has the fields of ``state_records(rec, name, z, t)``, ``obs(obs_id,
     obs_rec, x, y, z, t, obs, err_std)`` the observations of ``obs_records``, ``observed(obs_id, mem,
     value)`` their members. Factors of all three directions and the impact on the variable decide what an
     observation does to a record; a record without any stays unchanged. Tiles and the observations of
-    each one's reach meet in tasks; observations that not every member has are left out.
+    each one's reach meet in tasks; observations that not every member has are left out. Where the members
+    are the bilinear values of one ``field(loc, mem, value)``, that is given instead of ``observed``: the
+    tiles interpolate it, and no members travel with observations.
     """
     spark = state.sparkSession
     side = tile or _side(spark, grid)
     placed = local.with_tiles(grid.points(spark), grid.nx, side).select("loc", "x", "y", "par_id")
-    members = obs.join(stats.packed(observed, "obs_id", "value", "priors"), "obs_id")
     reach = obs.join(F.broadcast(obs_records.select("obs_rec", "hroi")), "obs_rec")
-    halo = local.halo(_in_steps(reach, grid), grid.nx, grid.ny, side, F.col("hroi") / min(grid.dx, grid.dy), grid.cyclic_x, grid.cyclic_y, grid.last)
+    rings = {"cyclic_x": grid.cyclic_x, "cyclic_y": grid.cyclic_y}
+    if field is not None:
+        members, cells = None, grids.cell_members(grids.find_cell(obs, grid), field)
+        halo = _near_tiles(reach.withColumnsRenamed({"z": "oz", "t": "ot"}), grid, side, F.col("hroi"), **rings)
+    else:
+        members, cells = obs.join(stats.packed(observed, "obs_id", "value", "priors"), "obs_id"), None
+        halo = local.halo(_in_steps(reach, grid), grid.nx, grid.ny, side, F.col("hroi") / min(grid.dx, grid.dy), last=grid.last, **rings)
     impact = localization.impact_of(obs_records, state_records.select("name").distinct())
     lx, ly = (n * step if cyclic else None for n, step, cyclic in ((grid.nx, grid.dx, grid.cyclic_x), (grid.ny, grid.dy, grid.cyclic_y)))
-    return kernels.batch_records(state.join(placed, "loc"), state_records, members, obs_records, impact, halo, method, lx=lx, ly=ly, max_obs=max_obs, **options)
+    return kernels.batch_records(state.join(placed, "loc"), state_records, members, obs_records, impact, halo, method, lx=lx, ly=ly, max_obs=max_obs, cells=cells, **options)
 
 
 def analyse_records_by_point(state: DataFrame, state_records: DataFrame, obs: DataFrame, obs_records: DataFrame, observed: DataFrame, grid: grids.Grid, method: str = "etkf", max_obs: int | None = None) -> DataFrame:

@@ -1380,8 +1380,7 @@ def analysis_records(spark, sf_dir):
     ens = carriers.ensemble(spark, sf_dir)
     state = ens.select(F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("rec"), "loc", "mem", "value").withColumn("value", F.col("value") * (F.col("rec") + 1))
     obs = _some_obs(spark, sf_dir).select("obs_id", F.col("kind").alias("obs_rec"), "x", "y", (F.col("obs_id") % 20).cast("double").alias("z"), F.hour("t").cast("double").alias("t"), "obs", "err_std")
-    observed = _prior(spark, sf_dir, obs)
-    return _round(analyse_records(state, state_records, obs, obs_records, observed, GRID(spark, sf_dir)), "value")
+    return _round(analyse_records(state, state_records, obs, obs_records, None, GRID(spark, sf_dir), field=ens), "value")
 
 
 # scales on irregular nodes and of observations, a state carried from cycle to cycle
