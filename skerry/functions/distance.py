@@ -46,6 +46,8 @@ def exponential(distance: Column, radius: Column) -> Column:
 
 
 TAPERS: dict[str, Callable[[Column, Column], Column]] = {"gaspari_cohn": gaspari_cohn, "step": step, "exponential": exponential}
+#: Those that are 0 beyond the radius.
+COMPACT = ("gaspari_cohn", "step")
 
 
 def taper(kind: str) -> Callable[[Column, Column], Column]:
