@@ -19,7 +19,7 @@ close ones share one. Every way is exact, so no link that changes a component is
 their MinHash signatures and are at most ``WIDE_DISTANCE`` bits apart are compared by the exact Jaccard
 index of their shingles. Bands do not depend on how many texts there are. Bands that more than ``BAND_LIMIT``
 fingerprints share are tried by longer keys first; what components they hold even then are compared by
-the rarest shingles of each text, of which any two similar texts share one.
+the rarest of the shingles in which each text differs from most others of its band.
 """
 
 from __future__ import annotations
@@ -127,7 +127,7 @@ def _shared_keys(nodes: DataFrame, masks: list[int], scratch: Scratch) -> DataFr
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
     keyed = nodes.select("*", F.explode(keys).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return scratch.write(keyed.join(sizes, "key"), "shared-keys")
+    return scratch.write(keyed.join(sizes.hint("merge"), "key"), "shared-keys")  # up to half as many as the rows: no table to send through the driver
 
 
 def _pairs(shared: DataFrame, max_distance: int, apart: str | None = None) -> DataFrame:
@@ -200,7 +200,7 @@ def _across(members: DataFrame, limit: int, scratch: Scratch) -> tuple[DataFrame
     ``members(key, fp, root)``; keys of one component are left out.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    shared = scratch.write(members.join(sizes.select("key", "n"), "key"), "shared-keys")
+    shared = scratch.write(members.join(sizes.select("key", "n").hint("merge"), "key"), "shared-keys")
     return _pairs(shared.where(F.col("n") <= limit), WIDE_DISTANCE, "root"), shared.where(F.col("n") > limit)
 
 
@@ -277,27 +277,45 @@ def _still_parted(keyed: DataFrame, found: DataFrame, roots: DataFrame, scratch:
 
 
 def _by_rare_shingles(members: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """Every pair ``(a, b)`` of ``members(fp, root, keys)`` with a key in common, of different components, that can have the Jaccard index ``similarity``.
-
-    With shingles in order of how many members have them, two such sets share one of the first
-    ``n - 2s / (1 + s) n + 1`` of the smaller and the first ``n - s n + 1`` of the larger. On a shingle, the
-    members of the component that most of its members are in meet those of others only.
+    """Pairs ``(a, b)`` of ``members(fp, root, keys)`` on a key, of different components, among which are links for all that have the Jaccard index ``similarity``.
+
+    On a key a set is seen as its differences from the shingles that most of its members have, so what all
+    share joins nothing. Sets differ in ``|A| + |B| - 2 |A and B|`` shingles, with A and B their differences, and
+    are similar if that is at most ``(1 - s) / (1 + s)`` of their sizes' sum. With a set's excess, ``|A|`` less that
+    share of its size, they need half the sum of their excesses in common. Where that is nothing, both are
+    similar to the member of the least excess too: one pair a member. Of all other pairs one is an outer member, with
+    more than that; they share one of the rarest differences of each, far enough from the end for as many to follow.
     """
-    tokens = sets.select("fp", F.size("set").alias("size"), F.explode("set").alias("token"))
-    seen = tokens.groupBy("token").agg(F.count("*").alias("seen")).where("seen > 1")
-    ordered = tokens.join(seen, "token").groupBy("fp", "size").agg(F.sort_array(F.collect_list(F.struct("seen", "token"))).alias("tokens"))
-    alone = F.col("size") - F.size("tokens")  # shingles of one member come first
-    first = lambda share: (F.col("size") - F.ceil(F.col("size") * F.lit(share) - 1e-9) + 1 - alone).cast("int")
-    placed = ordered.select("fp", "size", first(2 * similarity / (1 + similarity)).alias("least"), F.posexplode(F.slice("tokens", F.lit(1), F.greatest(first(similarity), F.lit(0)))).alias("at", "t"))
-    placed = placed.select("fp", "size", F.col("t.token").alias("token"), (F.col("at") < F.col("least")).alias("early")).join(members, "fp")
-    parts = placed.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    placed = scratch.write(placed.join(parts.select("token", "main"), "token").withColumn("odd", F.col("root") != F.col("main")), "rare-shingles")
-    small, large = (placed.select("token", "odd", "early", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "size", "root", "keys")]) for x in "ab")
-    small, large = small.where("early").drop("early"), large.drop("early").withColumnRenamed("odd", "odd_b")
-    fits = (F.col("size_a") <= F.col("size_b")) & (F.col("size_a") >= similarity * F.col("size_b") - 1e-9) & (F.col("root_a") != F.col("root_b"))
-    fits = fits & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= WIDE_DISTANCE) & F.arrays_overlap("keys_a", "keys_b")
-    met = small.where("odd").join(large, "token").where(fits).unionByName(small.where("not odd").join(large.where("odd_b"), "token").where(fits))
-    return met.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
+    part = (1 - similarity) / (1 + similarity)
+    keyed = members.select("fp", "root", F.explode("keys").alias("key"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    seen = keyed.join(sets, "fp").select("key", F.explode("set").alias("token")).groupBy("key", "token").agg(F.count("*").alias("seen"))
+    core = seen.join(counts, "key").where("2 * seen > n").groupBy("key").agg(F.collect_list("token").alias("core"))
+    core = keyed.join(sets, "fp").join(core, "key", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
+    apart = F.concat(F.array_except("set", "core"), F.array_except("core", "set"))
+    apart = core.select("key", "fp", "root", F.size("set").alias("size"), apart.alias("apart")).withColumn("excess", F.size("apart") - part * F.col("size"))
+    apart = scratch.write(apart, "differences")
+    low = apart.groupBy("key").agg(F.min("excess").alias("least"), F.min_by("fp", F.struct("excess", "fp")).alias("centre"))
+    apart = apart.join(low, "key").withColumn("outer", F.col("excess") + F.col("least") > 1e-9)
+    central = apart.where(~F.col("outer") & (F.col("fp") != F.col("centre"))).select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b"))
+    ends = apart.where("outer").groupBy("key").agg(F.min("excess").alias("first"))  # keys without an outer member are done
+    apart = apart.join(ends, "key").withColumn("other", F.when(F.col("outer"), F.col("least")).otherwise(F.col("first")))
+    common = F.greatest(F.ceil((F.col("excess") + F.col("other")) / 2 - 1e-9), F.lit(1))
+    tokens = apart.select("key", "fp", "root", "size", "excess", "outer", common.alias("common"), F.explode("apart").alias("token"))
+    rare = tokens.groupBy("key", "token").agg(F.count("*").alias("seen"), F.max("outer").alias("met")).where("seen > 1")
+    own = ["key", "fp", "root", "size", "excess", "outer", "common"]
+    ordered = tokens.join(rare, ["key", "token"]).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("seen", "token", "met"))).alias("tokens"))
+    # differences of one member alone come first, so as many follow a place as shared ones do
+    placed = ordered.select(*own, F.size("tokens").alias("shared"), F.posexplode("tokens").alias("at", "t"))
+    placed = placed.select(*own, (F.col("shared") - 1 - F.col("at")).alias("after"), F.col("t.token").alias("token"), F.col("t.met").alias("met"))
+    placed = scratch.write(placed.where("met and after + 1 >= common").drop("common", "met"), "rare-shingles")
+    one, two = (placed.select("key", "token", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "size", "root", "excess", "outer", "after")]) for x in "ab")
+    fits = (F.col("root_a") != F.col("root_b")) & (~F.col("outer_b") | (F.col("fp_a") < F.col("fp_b")))
+    fits = fits & (F.least("after_a", "after_b") + 1 >= (F.col("excess_a") + F.col("excess_b")) / 2 - 1e-9)
+    fits = fits & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9)
+    fits = fits & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= WIDE_DISTANCE)
+    met = one.where("outer_a").join(two, ["key", "token"]).where(fits)
+    return met.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).union(central).distinct()
 
 
 def _nodes(rows: DataFrame, id_col: str, fp_col: str, scratch: Scratch) -> DataFrame:

@@ -660,3 +660,31 @@ def test_similar_texts_of_one_crowded_band_are_found(spark):
     roots = scratch.write(spark.createDataFrame([], "fp bigint, root bigint"), "roots")
     got = {tuple(r) for r in simhash.similar(nodes, rows, roots, scratch, 5, 0.8).collect()}
     assert got == {tuple(sorted((prints[17], prints[41])))}
+
+
+def test_variants_of_one_text_are_compared_by_what_sets_them_apart(spark):
+    """On one crowded band: the components of all pairs, from few pairs though most shingles are everyone's."""
+    from skerry.llm.components import connected_components
+    from skerry.llm.scratch import Scratch
+
+    draw = random.Random(11)
+    whole, sets = list(range(300)), []
+    for n in range(90):
+        cut = set(draw.sample(whole, draw.choice([3, 8, 20, 29, 34, 40, 55, 70])))
+        sets.append(sorted(set(whole) - cut | {1000 * n + k + 1000 for k in range(len(cut) + n % 5)}))
+    for n in range(60, 66):  # far from most, near one another
+        sets[n] = sorted(set(sets[60]) - set(draw.sample(sets[60], 9)))
+    prints = [1 << 40 | n for n in range(len(sets))]
+    alike = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    want = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if want[a] != want[b] and alike(sets[a], sets[b]):
+                want = [min(want[a], want[b]) if w in (want[a], want[b]) else w for w in want]
+    scratch = Scratch(spark, "test")
+    members = scratch.write(spark.createDataFrame([(p, p, [7, 8] if n % 9 else [7]) for n, p in enumerate(prints)], "fp bigint, root bigint, keys array<bigint>"), "members")
+    table = scratch.write(spark.createDataFrame(list(zip(prints, sets)), "fp bigint, set array<bigint>"), "sets")
+    pairs = scratch.write(simhash._by_rare_shingles(members, table, scratch, 0.8), "pairs")
+    found = {r.node: r.root for r in connected_components(simhash._alike(pairs, table, 0.8), scratch).collect()}
+    assert [found.get(p, p) for p in prints] == [prints[w] for w in want]
+    assert 1 < len(set(want)) and pairs.count() < 4 * len(sets)
