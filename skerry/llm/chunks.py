@@ -47,12 +47,12 @@ class ChunkMemo:
         again = new & self.old.keys()
         self.by_key.update((c, self.old[c]) for c in again)
         new = list(new - again)
-        known = [c for c in new if not _odd(c)]
+        known = [c for c in new if not is_odd(c)]
         self.by_key.update(dict.fromkeys(new, _ODD))
         self.by_key.update(zip(known, self.encode([c if c[0] == "\n" else " " + c for c in known])))
         found = [[self.by_key[c] if x is None else x for c, x in zip(k, f)] if None in f else f for k, f in zip(keys, found)]
         # where a text begins or ends in white space, or has more than one blank in a row
-        others = {i: _CUT.split(prefix + t) for i, (t, first, f) in enumerate(zip(texts, firsts, found)) if _ODD in f or not heads[i] or _odd(first)}
+        others = {i: _CUT.split(prefix + t) for i, (t, first, f) in enumerate(zip(texts, firsts, found)) if _ODD in f or not heads[i] or is_odd(first)}
         new = list({s for i, h in enumerate(heads) for s in others.get(i, (h,)) if s not in self.by_surface})
         self.by_surface.update(zip(new, self.encode(new)))
         out = [[self.by_surface[s] for s in others[i]] if i in others else [self.by_surface[heads[i]], *f] for i, f in enumerate(found)]
@@ -62,7 +62,7 @@ class ChunkMemo:
         return out
 
 
-def _odd(key: str) -> bool:
+def is_odd(key: str) -> bool:
     """Whether white space beside the cut would stand next to other white space."""
     inner = key[1:] if key[:1] == "\n" else key
     return not inner or inner[0].isspace() or inner[-1].isspace()

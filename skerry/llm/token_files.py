@@ -12,6 +12,7 @@ than one range (nulls, for instance, which come first) is spread over its ranges
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
 from array import array
@@ -21,21 +22,26 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import ans
-from skerry.llm.chunks import CHUNKS_KEPT, ChunkMemo, batches
+from skerry.llm.chunks import CHUNKS_KEPT, ChunkMemo, batches, is_odd
 from skerry.llm.scratch import Scratch
 
 IDS_PER_FILE = 1 << 23
 MOST_FILES = 1 << 14
 END_ID = 0
 #: Punctuation that, behind a word, is one piece; a letter behind an apostrophe would be another.
-_PUNCTUATION = ".,;:!?()[]'\""
+_PUNCTUATION = string.punctuation
 _NOT_LATIN = "\u0250"
+#: A chunk that is a Latin word, with the newline before and the punctuation behind it: its pieces are these three.
+_WORD = r"^(?P<line>\n?)(?P<core>[A-Za-zªµºÀ-ÖØ-öø-ɏ]+)(?P<end>[!-/:-@\[-`{-~]*)\z"
+#: Places that ids are copied to at a time.
+_PLACES = 1 << 18
 _FOOT = struct.Struct("<QI4s")
 _FOOT_MAGIC = b"IDX1"
 _BLOCK = np.dtype([("at", "<u8"), ("size", "<u4"), ("first", "<u8"), ("n", "<u4"), ("pieces", "<u4")])
@@ -57,9 +63,11 @@ class _Library:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.memo = ChunkMemo(self.encode)
         self.pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.characters = {byte: c for c, byte in character_bytes().items()}
+        self.space = self.characters[0x20]
 
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
@@ -68,7 +76,10 @@ class _Library:
             if ids is not None:
                 self.pieces[piece] = ids
                 return ids
-            spelt = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.characters)
+            if not piece.isascii() or piece == "\n":
+                spelt = piece.encode().decode("latin-1").translate(self.characters)
+            else:
+                spelt = self.space + piece[1:] if piece[:1] == " " else piece
             ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
             if len(self.pieces) >= CHUNKS_KEPT:
                 self.old, self.pieces = self.pieces, {}
@@ -94,6 +105,75 @@ class _Library:
                 out[i] = array("I", e.ids).tobytes()
         return out
 
+    def ids(self, texts: list[str], tail: bytes) -> list[np.ndarray]:
+        """Ids of whole texts, which must not be empty, with ``tail`` behind each.
+
+        Arrow cuts the texts, tells their chunks apart and Latin words from what stands around them, so each
+        distinct word is looked up once a call; its ids are then copied to all its places together. Other
+        chunks, and whole texts with a blank at an end or several in a row, are left to ``memo``.
+        """
+        parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), pattern="\n", replacement=" \n"), pattern=" ")
+        flat, bounds, every = parts.flatten(), parts.offsets.to_numpy().astype(np.int64), np.arange(len(texts))
+        follows = np.ones(len(flat), bool)  # a text's first chunk has no space before it
+        follows[bounds[:-1]] = False
+        coded = flat.filter(pa.array(follows)).dictionary_encode()
+        chunks, places = coded.dictionary, coded.indices.to_numpy()
+        cut = pc.extract_regex(chunks, _WORD)
+        line, core, end = cut.flatten()
+        plain, line = cut.is_valid().to_numpy(zero_copy_only=False), pc.equal(line, "\n").fill_null(False)
+        core = pc.if_else(line, core, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), core, pa.scalar("", pa.large_string()))).dictionary_encode()
+        end = end.dictionary_encode()
+
+        other = chunks.filter(pa.array(~plain)).to_pylist()
+        odd, at = np.array([is_odd(c) for c in other], bool), np.flatnonzero(~plain)
+        firsts = flat.take(pa.array(bounds[:-1])).to_pylist()
+        uncut = {i for i, first in enumerate(firsts) if is_odd(first)}
+        if odd.any():
+            owner = np.repeat(every, np.diff(bounds) - 1)
+            uncut |= {*owner[np.isin(places, at[odd])].tolist()}
+        asked = [c if c[0] == "\n" else " " + c for c, no in zip(other, odd) if not no]
+        got = [b"".join(x) for x in self.memo.results([*asked, *(texts[i] if i in uncut else firsts[i] for i in every.tolist())])]
+
+        values = [*self._pieces(core.dictionary), *self._pieces(end.dictionary), *got[: len(asked)], self._piece("\n"), b""]
+        three = np.full((len(chunks), 3), len(values) - 1)
+        three[line.to_numpy(zero_copy_only=False), 0] = len(values) - 2
+        three[plain, 1] = core.indices.drop_null().to_numpy()
+        three[plain, 2] = len(core.dictionary) + end.indices.drop_null().to_numpy()
+        three[at[~odd], 1] = len(core.dictionary) + len(end.dictionary) + np.arange(len(asked))
+        sizes, table = _table(values)
+        chunk_sizes, chunk_ids = sizes[three].sum(axis=1), _spread(sizes, table, three.ravel())
+
+        # distinct chunks, first chunks or uncut texts, the tail, and nothing
+        sizes, table = _table([*got[len(asked) :], tail, b""])
+        sizes, table, nothing = np.concatenate((chunk_sizes, sizes)), np.concatenate((chunk_ids, table)), len(chunks) + len(texts) + 1
+        which, inner = np.full(len(flat) + len(texts), nothing - 1), np.ones(len(flat) + len(texts), bool)
+        inner[bounds[:-1] + every] = inner[bounds[1:] + every] = False
+        which[inner] = places
+        which[bounds[:-1] + every] = len(chunks) + every
+        for i in uncut:
+            which[bounds[i] + i + 1 : bounds[i + 1] + i] = nothing
+        ends = np.cumsum(sizes[which])[bounds[1:] + every]
+        return np.split(_spread(sizes, table, which), ends[:-1])
+
+    def _pieces(self, pieces: pa.Array) -> list[bytes]:
+        names = pieces.to_numpy(zero_copy_only=False).tolist()
+        return [self._piece(p) if ids is None else ids for p, ids in zip(names, map(self.pieces.get, names))]
+
+
+def _table(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of ids of each value, and all their ids."""
+    return np.fromiter(map(len, values), np.int64, len(values)) // 4, np.frombuffer(b"".join(values), np.uint32)
+
+
+def _spread(sizes: np.ndarray, table: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The ids of the entries ``which``, one after another, of a table of entries of these sizes."""
+    starts, out = np.cumsum(sizes) - sizes, [np.empty(0, np.uint32)]
+    for k in range(0, len(which), _PLACES):
+        some = which[k : k + _PLACES]
+        n = sizes[some]
+        out.append(table[np.repeat(starts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+    return np.concatenate(out)
+
 
 def character_bytes() -> dict[str, int]:
     """The byte behind each character of a byte-level vocabulary: printable Latin-1 as itself, the others from 256 on."""
@@ -103,18 +183,18 @@ def character_bytes() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def _memo(path: str) -> ChunkMemo:
-    return ChunkMemo(_Library(path).encode)
+def _library(path: str) -> _Library:
+    return _Library(path)
 
 
 def encode_texts(texts: list[str], path: str, end_id: int | None = END_ID) -> list[np.ndarray]:
     """Ids of whole texts as the library gives them, with ``end_id`` after each."""
     full = [i for i, t in enumerate(texts) if t]
     tail = b"" if end_id is None else np.uint32(end_id).tobytes()
-    out = [tail] * len(texts)
-    for i, parts in zip(full, _memo(path).results([texts[i] for i in full])):
-        out[i] = b"".join(parts) + tail
-    return [np.frombuffer(x, np.uint32) for x in out]
+    out = [np.frombuffer(tail, np.uint32)] * len(texts)
+    for i, ids in zip(full, _library(path).ids([texts[i] for i in full], tail) if full else ()):
+        out[i] = ids
+    return out
 
 
 def token_rows(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,7 +208,7 @@ def token_rows(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
         path, pack, counts = SparkFiles.get(name), zstandard.ZstdCompressor(1), np.zeros(0, np.int64)
         rows = ((d.as_py(), t.as_py()) for b in arrow for d, t in zip(b.column(0), b.column(1)))
-        for some in batches(rows, 256, 1 << 22):
+        for some in batches(rows, 1024, 1 << 22):
             ids = encode_texts([t or "" for _, t in some], path)
             seen = np.bincount(np.concatenate(ids))
             counts = np.pad(counts, (0, max(0, len(seen) - len(counts))))

@@ -130,3 +130,25 @@ def test_joined_checksums():
     data = np.random.default_rng(0).bytes(10_000)
     cuts = [0, 1, 1, 400, 9_000, 10_000]
     assert joined_crc([(b - a, zlib.crc32(data[a:b])) for a, b in zip(cuts, cuts[1:])]) == zlib.crc32(data)
+
+
+def test_each_word_is_encoded_once_whatever_stands_around_it():
+    from skerry.llm import token_files
+
+    asked = []
+    library = token_files._Library(PATH)
+    library.model = type("Counted", (), {"tokenize": lambda self, piece, model=library.model: asked.append(piece) or model.tokenize(piece)})()
+    words = [f"w{a}{b}é" for a in "abcdefgh" for b in "klmnopqr"]
+    words = [w.replace("w", "Ŵo") for w in words]
+    ends = ["", ".", ",", "***", "$$$", "&&&,", "'", "…", "|>", "~", "'s", "1"]
+    texts = [" ".join(w + e for w in words for e in ends), "\n".join(w + e for e in ends for w in words), "  two  blanks " + words[0], words[1], "\n", "a\r\nb c\n\nd"] * 2
+    whole = Tokenizer.from_file(PATH)
+    assert [x.tolist() for x in library.ids(texts, b"")] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) <= 2 * len(words) + 40  # with a space before it and without
+    assert len(asked) == len(set(asked))
+
+
+def test_library_ids_of_odd_texts_in_one_call():
+    texts = [t for t in _odd_texts(3000, seed=11) if t]
+    library = Tokenizer.from_file(PATH)
+    assert [x.tolist() for x in encode_texts(texts, PATH, 7)] == [[*library.encode(t, add_special_tokens=False).ids, 7] for t in texts]
