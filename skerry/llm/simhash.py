@@ -155,31 +155,50 @@ def _chained(shared: DataFrame, max_distance: int) -> DataFrame:
     return pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)).distinct()
 
 
-def _parted(members: DataFrame, found: list[DataFrame], scratch: Scratch) -> DataFrame:
-    """``members(key, n, fp)`` of the keys that hold several components of the edges found so far, with their ``root``."""
-    roots = scratch.write(connected_components(reduce(DataFrame.union, found), scratch).withColumnRenamed("node", "fp"), "roots")
-    rooted = members.join(roots, "fp", "left").select("key", "n", "fp", F.coalesce("root", "fp").alias("root"))
+def _joined(edges: list[DataFrame], scratch: Scratch, roots: DataFrame | None) -> DataFrame:
+    """``node, root``: the components ``roots``, where there are any, with these edges added."""
+    return scratch.write(connected_components(reduce(DataFrame.union, edges), scratch, roots), "roots") if edges else roots
+
+
+def _parted(members: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """``members(key, n, fp)`` of the keys that hold several of the components ``roots(node, root)``, with their ``root``."""
+    rooted = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "n", "fp", F.coalesce("root", "fp").alias("root"))
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     return scratch.write(rooted.join(split, "key", "left_semi"), "parted")
 
 
 def links(nodes: DataFrame, count: int, scratch: Scratch, max_distance: int = MAX_DISTANCE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Edges ``(a, b)`` between the distinct fingerprints ``nodes(fp)``, with the components of all links."""
-    found, start = [], fewest_blocks(count, max_distance)
+    return reduce(DataFrame.union, _linked(nodes, count, scratch, max_distance, bucket_limit)[0])
+
+
+def linked(nodes: DataFrame, count: int, scratch: Scratch, max_distance: int = MAX_DISTANCE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """``node, root``: the components of all ``links``; fingerprints without any may be left out."""
+    _, roots, more = _linked(nodes, count, scratch, max_distance, bucket_limit)
+    return _joined(more, scratch, roots)
+
+
+def _linked(nodes: DataFrame, count: int, scratch: Scratch, max_distance: int, bucket_limit: int) -> tuple[list[DataFrame], DataFrame, list[DataFrame]]:
+    """All edges, the components of those that were needed on the way, and the edges that these have not yet."""
+    found, roots, start, more = [], None, fewest_blocks(count, max_distance), []
     for blocks in sorted({start, max(start, 2 * max_distance + 1), 3 * max_distance}):
         shared = _shared_keys(nodes, block_masks(blocks, max_distance), scratch)
         found.append(scratch.write(_chained(shared.where(F.col("n") <= bucket_limit), max_distance), "chains"))
-        parted = _parted(shared.where((F.col("n") > 3) | (F.col("n") > bucket_limit)), found, scratch)
+        roots = _joined([*more, found[-1]], scratch, roots)
+        parted = _parted(shared.where((F.col("n") > 3) | (F.col("n") > bucket_limit)), roots, scratch)
         found.append(scratch.write(_pairs(parted.where(F.col("n") <= bucket_limit), max_distance, "root"), "pairs"))
+        more = [found[-1]]
         crowded = parted.where(F.col("n") > bucket_limit).drop("root")
         nodes = scratch.write(crowded.select("fp").distinct(), "crowded")
         if nodes.isEmpty():
-            return reduce(DataFrame.union, found)
+            return found, roots, more
     found.append(scratch.write(_stars(nodes, max_distance // 4), "stars"))
-    rest = scratch.write(_parted(crowded, found, scratch).select("fp").distinct(), "split")
-    if not rest.isEmpty():
-        found.append(scratch.write(_stars(rest, max_distance // 2), "stars"))
-    return reduce(DataFrame.union, found)
+    roots = _joined([*more, found[-1]], scratch, roots)
+    rest = scratch.write(_parted(crowded, roots, scratch).select("fp").distinct(), "split")
+    if rest.isEmpty():
+        return found, roots, []
+    found.append(scratch.write(_stars(rest, max_distance // 2), "stars"))
+    return found, roots, found[-1:]
 
 
 def band_keys(text: str | None, shingle: int = DEDUP_SHINGLE) -> list[int]:
@@ -233,15 +252,22 @@ def similar(nodes: DataFrame, rows: DataFrame, roots: DataFrame, scratch: Scratc
     ``nodes(fp, first)`` are the distinct fingerprints of ``rows(fp, id, text, keys)`` with their smallest
     ids, whose texts count. Compared are those that share a MinHash band, at most ``WIDE_DISTANCE`` bits apart.
     """
-    keyed = rows.select("fp", F.explode("keys").alias("key")).distinct().join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    return reduce(DataFrame.union, _similar(nodes, rows, roots.withColumnRenamed("fp", "node"), scratch, shingle, similarity)[0])
+
+
+def _similar(nodes: DataFrame, rows: DataFrame, roots: DataFrame, scratch: Scratch, shingle: int, similarity: float) -> tuple[list[DataFrame], DataFrame, list[DataFrame]]:
+    """The edges of ``similar``, the components ``roots(node, root)`` with those that were needed on the way, and the edges that these have not yet."""
+    keyed = rows.select("fp", F.explode("keys").alias("key")).distinct().join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     pairs = candidates(keyed, scratch)
     sets = _shingle_sets(nodes, rows, pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), scratch, shingle)
     found = scratch.write(_alike(pairs, sets, similarity), "similar")
-    rest = _still_parted(keyed, found, roots, scratch)
+    roots = _joined([found], scratch, roots)
+    rest = _still_parted(keyed, roots, scratch)
     if rest.isEmpty():
-        return found
+        return [found], roots, []
     sets = _shingle_sets(nodes, rows, rest.select("fp"), scratch, shingle)
-    return found.union(_alike(scratch.write(_by_rare_shingles(rest, sets, scratch, similarity), "rare-pairs"), sets, similarity))
+    more = scratch.write(_alike(scratch.write(_by_rare_shingles(rest, sets, scratch, similarity), "rare-pairs"), sets, similarity), "rare-similar")
+    return [found, more], roots, [more]
 
 
 def _shingle_sets(nodes: DataFrame, rows: DataFrame, asked: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
@@ -264,14 +290,11 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared_size >= similarity * (F.size("set_a") + F.size("set_b") - shared_size)).select("a", "b")
 
 
-def _still_parted(keyed: DataFrame, found: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """``fp, root, keys``: members of bands of more than ``BAND_LIMIT`` fingerprints, where those hold several components even with the edges ``found``."""
+def _still_parted(keyed: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """``fp, root, keys``: members of bands of more than ``BAND_LIMIT`` fingerprints, where those held several components and still hold several of ``roots``."""
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("n") > BAND_LIMIT) & (F.col("low") != F.col("high")))
     crowded = scratch.write(keyed.join(sizes.select("key"), "key", "left_semi"), "crowded-bands")
-    for end in "ab":
-        found = found.join(roots.toDF(end, f"{end}_root"), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
-    merged = scratch.write(connected_components(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), scratch).toDF("root", "whole"), "merged")
-    now = crowded.join(merged, "root", "left").select("key", "fp", F.coalesce("whole", "root").alias("root"))
+    now = crowded.join(roots.toDF("fp", "whole"), "fp", "left").select("key", "fp", F.coalesce("whole", "root").alias("root"))
     split = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     return scratch.write(now.join(split, "key", "left_semi").groupBy("fp", "root").agg(F.collect_set("key").alias("keys")), "still-parted")
 
@@ -322,10 +345,9 @@ def _nodes(rows: DataFrame, id_col: str, fp_col: str, scratch: Scratch) -> DataF
     return scratch.write(rows.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "nodes")
 
 
-def assign(rows: DataFrame, nodes: DataFrame, edges: DataFrame, scratch: Scratch, id_col: str = "doc_id", fp_col: str = "sh_fingerprint") -> DataFrame:
-    """The stored ``rows`` with ``sh_root``, the component's name, and ``sh_component``, its smallest id."""
-    parts = connected_components(edges, scratch)
-    rooted = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def assign(rows: DataFrame, nodes: DataFrame, roots: DataFrame, scratch: Scratch, id_col: str = "doc_id", fp_col: str = "sh_fingerprint") -> DataFrame:
+    """The stored ``rows`` with ``sh_root``, the component's name by ``roots(node, root)``, and ``sh_component``, its smallest id."""
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("sh_component"))
     # only fingerprints of several rows or with a link need a lookup; of the rest the row's own id holds
     table = scratch.write(
@@ -354,8 +376,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(text_col).alias("sh_fingerprint")), "fingerprints"
     )
     nodes = _nodes(rows, "doc_id", "sh_fingerprint", scratch)
-    edges = links(nodes.select("fp"), nodes.count(), scratch, **options)
-    return assign(rows, nodes, edges, scratch).select(
+    roots = linked(nodes.select("fp"), nodes.count(), scratch, **options)
+    return assign(rows, nodes, roots, scratch).select(
         "doc_id", F.lower(F.lpad(F.hex("sh_fingerprint"), 16, "0")).alias("fingerprint"), F.col("sh_component").alias("component_id")
     )
 
@@ -374,12 +396,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = scratch.write(rows, "rows")
     slim = rows.select("sh_id", "sh_fingerprint")
     nodes = _nodes(slim, "sh_id", "sh_fingerprint", scratch)
-    count = nodes.count()
-    edges = scratch.write(links(nodes.select("fp"), count, scratch, **options), "edges")
-    roots = scratch.write(connected_components(edges, scratch).withColumnRenamed("node", "fp"), "roots")
+    roots = linked(nodes.select("fp"), nodes.count(), scratch, **options)
     texts = rows.select(F.col("sh_fingerprint").alias("fp"), F.col("sh_id").alias("id"), F.col("sh_row")[text_col].alias("text"), F.col("sh_keys").alias("keys"))
-    more = similar(nodes, texts, roots, scratch, shingle, similarity)
-    labels = scratch.write(assign(slim, nodes, edges.union(more), scratch, id_col="sh_id"), "labels")
+    _, roots, more = _similar(nodes, texts, roots, scratch, shingle, similarity)
+    labels = scratch.write(assign(slim, nodes, _joined(more, scratch, roots), scratch, id_col="sh_id"), "labels")
     smallest = F.col("sh_id").eqNullSafe(F.col("sh_component"))
     several = labels.where(smallest).groupBy("sh_root").agg(F.count("*").alias("n"), F.min("sh_fingerprint").alias("s_fp"), F.min("sh_id").alias("s_id"))
     several = scratch.write(several.where("n > 1"), "several")  # rows that share the smallest id: the smallest fingerprint's, once

@@ -688,3 +688,39 @@ def test_variants_of_one_text_are_compared_by_what_sets_them_apart(spark):
     found = {r.node: r.root for r in connected_components(simhash._alike(pairs, table, 0.8), scratch).collect()}
     assert [found.get(p, p) for p in prints] == [prints[w] for w in want]
     assert 1 < len(set(want)) and pairs.count() < 4 * len(sets)
+
+
+def test_components_take_no_round_beyond_the_last_and_grow_from_known_ones(spark):
+    import random
+
+    from skerry.llm.components import connected_components
+    from skerry.llm.scratch import Scratch
+
+    class Counted(Scratch):
+        tables = 0
+
+        def write(self, df, name):
+            self.tables += 1
+            return super().write(df, name)
+
+    def roots(pairs):
+        found = {x: x for p in pairs for x in p}
+        for _ in found:
+            for a, b in pairs:
+                found[a] = found[b] = min(found[a], found[b])
+        return found
+
+    edges = lambda pairs: spark.createDataFrame(pairs, "a bigint, b bigint")
+    scratch = Counted(spark, "test-components")
+    stars = [(1, 5), (1, 6), (1, 6), (7, 2), (3, 3)]
+    known = scratch.write(connected_components(edges(stars), scratch), "roots")
+    assert scratch.tables == 2 and {r.node: r.root for r in known.collect()} == roots([p for p in stars if p[0] != p[1]])
+    scratch.tables = 0
+    assert {r.node: r.root for r in connected_components(edges([(5, 6), (6, 1)]), scratch, known).collect()} == {1: 1, 5: 1, 6: 1, 2: 2, 7: 2}
+    assert scratch.tables == 1
+    rng = random.Random(4)
+    for n in (0, 1, 30):
+        more = [(rng.randrange(40), rng.randrange(40)) for _ in range(n)]
+        got = [tuple(r) for r in connected_components(edges(more), scratch, known).collect()]
+        want = roots([p for p in stars + more if p[0] != p[1]])
+        assert len(got) == len(want) and dict(got) == want
