@@ -1516,23 +1516,26 @@ def grid_convert_vectors(spark, sf_dir):
 
 # interpolation on meshes and rings, daily displacement, output, scales and perturbations of whole states
 
-_PLACED = f"""{_CELL_OF}, t AS (SELECT obs_id, j0 * 25 + i0 AS p, j0 * 24 + i0 AS c, u, v FROM corner),
-tw AS (SELECT obs_id, CASE WHEN u >= v THEN 2 * c ELSE 2 * c + 1 END AS tri, p AS n1, 1 - greatest(u, v) AS w1, CASE WHEN u >= v THEN p + 1 ELSE p + 26 END AS n2, CASE WHEN u >= v THEN u - v ELSE u END AS w2, CASE WHEN u >= v THEN p + 26 ELSE p + 25 END AS n3 FROM t
+_ON_MESH = f"""{_CELL_OF}, t AS (SELECT obs_id, j0 * 25 + i0 AS p, j0 * 24 + i0 AS c, u, v FROM corner),
+tw AS (SELECT obs_id, CASE WHEN u >= v THEN 2 * c ELSE 2 * c + 1 END AS tri, p AS n1, 1 - greatest(u, v) AS w1, CASE WHEN u >= v THEN p + 1 ELSE p + 26 END AS n2, CASE WHEN u >= v THEN u - v ELSE u END AS w2, CASE WHEN u >= v THEN p + 26 ELSE p + 25 END AS n3 FROM t"""
+_PLACED = f"""{_ON_MESH}
  WHERE abs(u - v) > 1e-9 AND u > 1e-9 AND v > 1e-9)"""
 
 
 def _in_mesh(spark, sf_dir):
-    """The mesh, and the observations that lie within a triangle with their place in it."""
+    """The mesh, and the observations that lie within a triangle, not on its edges, with their place in it."""
     cells, nodes = _mesh(spark, sf_dir)
     inside = _some_obs(spark, sf_dir).where("abs((x - floor(x)) - (y - floor(y))) > 1e-9 and x - floor(x) > 1e-9 and y - floor(y) > 1e-9")
     return cells, grid.find_triangle(inside, grid.triangles(cells, nodes), "obs_id", 4.0)
 
 
-@query(f"""WITH {_ENS}, {_OBS}, {_PLACED}, m AS (SELECT loc, mem, value FROM ens WHERE mem < 5)
+@query(f"""WITH {_ENS}, {_OBS}, {_ON_MESH}), m AS (SELECT loc, mem, value FROM ens)
 SELECT obs_id, a.mem, round(w1 * a.value + w2 * b.value + (1 - w1 - w2) * c.value, 6) + 0.0 AS value FROM tw JOIN m a ON a.loc = n1 JOIN m b ON b.loc = n2 AND b.mem = a.mem JOIN m c ON c.loc = n3 AND c.mem = a.mem""")
 def mesh_interpolate(spark, sf_dir):
-    field = carriers.ensemble(spark, sf_dir).where("mem < 5").select(F.col("loc").alias("node"), "mem", "value")
-    return _round(grid.on_triangles(_in_mesh(spark, sf_dir)[1], field, "obs_id", ["mem"]).select("obs_id", "mem", "value"), "value")
+    """All members at all observations; on an edge, triangles of both sides give the same."""
+    field = carriers.ensemble(spark, sf_dir).select(F.col("loc").alias("node"), "mem", "value")
+    found = grid.find_triangle(_some_obs(spark, sf_dir), grid.triangles(*_mesh(spark, sf_dir)), "obs_id", 4.0)
+    return _round(grid.on_triangles(found, field, "obs_id", ["mem"]).select("obs_id", "mem", "value"), "value")
 
 
 @query(f"""WITH {_ENS}, {_OBS}, {_PLACED}, m AS (SELECT loc, value FROM ens WHERE mem = 0) SELECT obs_id, round((a.value + b.value + c.value) / 3, 6) + 0.0 AS value FROM tw JOIN m a ON a.loc = n1 JOIN m b ON b.loc = n2 JOIN m c ON c.loc = n3""")
