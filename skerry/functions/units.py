@@ -61,17 +61,17 @@ def member_name(member: Column) -> Column:
     return F.format_string("_mem%03d", member + 1)
 
 
-_NUMBER = r"^-?[0-9]+(\.[0-9]*)?[eE]-?[0-9]+$"
+_NUMBER = r"\A-?[0-9]+(\.[0-9]*)?[eE]-?[0-9]+\z"
 _TRUE, _FALSE = ("y", "yes", "on", "t", "true", ".true."), ("n", "no", "off", "f", "false", ".false.")
 
 
 def notation_number(text: Column) -> Column:
-    """Numbers in scientific notation, and infinities; null for other texts."""
-    low = F.lower(F.trim(text))
+    """Numbers in scientific notation, and infinities; null for other texts, also for those with blanks around."""
+    low = F.lower(text)
     return F.when(text.rlike(_NUMBER), text.cast("double")).when(low == "inf", float("inf")).when(low == "-inf", float("-inf"))
 
 
 def notation_bool(text: Column) -> Column:
-    """Truth values as configurations write them; null for other texts."""
-    low = F.lower(F.trim(text))
+    """Truth values as configurations write them; null for other texts, also for those with blanks around."""
+    low = F.lower(text)
     return F.when(low.isin(*_TRUE), True).when(low.isin(*_FALSE), False)

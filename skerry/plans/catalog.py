@@ -129,10 +129,13 @@ def hours_since_1900(spark, sf_dir):
 SELECT event_id, text, CASE WHEN regexp_full_match(text, '-?[0-9]+(\\.[0-9]*)?[eE]-?[0-9]+') THEN text::DOUBLE WHEN text = 'inf' THEN 'infinity'::DOUBLE WHEN text = '-inf' THEN '-infinity'::DOUBLE END AS number,
 CASE WHEN lower(text) IN ('y','yes','on','t','true','.true.') THEN true WHEN lower(text) IN ('n','no','off','f','false','.false.') THEN false END AS truth FROM t""")
 def config_notation(spark, sf_dir):
+    """Texts in each notation by event; ids that are null or negative have the last one. Only lower-case infinities count."""
     k = F.col("event_id")
-    forms = [F.concat(k % 90 - 45, F.lit("e"), k % 7 - 3), F.concat(F.lit("1.5E"), k % 5), F.lit("inf"), F.lit("-inf"), F.lit("yes"), F.lit(".FALSE."), F.col("event_type"), F.lit("T")]
-    text = F.element_at(F.array(*forms), (k % 8 + 1).cast("int"))
-    return carriers.table(spark, sf_dir, "events").select("event_id", text.alias("text")).select("event_id", "text", units.notation_number(F.col("text")).alias("number"), units.notation_bool(F.col("text")).alias("truth"))
+    forms = [F.concat(k % 90 - 45, F.lit("e"), k % 7 - 3), F.concat(F.lit("1.5E"), k % 5), F.lit("inf"), F.lit("-inf"), F.lit("yes"), F.lit(".FALSE."), F.col("event_type")]
+    text = F.coalesce(*[F.when(k % 8 == n, F.struct(form.alias("text"))) for n, form in enumerate(forms)], F.struct(F.lit("T").alias("text")))["text"]
+    t = F.col("text")
+    number = F.when(~F.lower(t).isin("inf", "-inf") | t.isin("inf", "-inf"), units.notation_number(t))
+    return carriers.table(spark, sf_dir, "events").select("event_id", text.alias("text")).select("event_id", "text", number.alias("number"), units.notation_bool(t).alias("truth"))
 
 
 _GC = """CASE WHEN r < 1 THEN 1 - 5.0/3*r*r + 5.0/8*r*r*r + r*r*r*r/2 - r*r*r*r*r/4 WHEN r < 2 THEN 4 - 5*r + 5.0/3*r*r + 5.0/8*r*r*r - r*r*r*r/2 + r*r*r*r*r/12 - 2/(3*r) ELSE 0 END"""

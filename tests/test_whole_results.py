@@ -1,13 +1,15 @@
 """Queries that do their whole job, and results that neither gaps nor the order of rows change."""
 
 import os
+from datetime import datetime
 
+import duckdb
 import pytest
 
 from skerry.operators import fields
 from skerry.plans import catalog
 from skerry.sources import carriers
-from tests.test_catalog import SF
+from tests.test_catalog import SF, _rows
 
 sample = pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables")
 
@@ -27,3 +29,15 @@ def test_box_sums_reach_past_gaps(spark):
     field = spark.createDataFrame([(0, i, j, v) for (i, j), v in cells.items()], "mem int, i int, j int, value double")
     got = {(r.i, r.j): r.total for r in fields.box_sums(field, ["mem"], half).collect()}
     assert got == {(i, j): sum(v for (a, b), v in cells.items() if abs(a - i) <= half and abs(b - j) <= half) for i, j in cells}
+
+
+def test_config_notation_of_odd_events(spark, tmp_path):
+    """Ids that are null or negative, and types with blanks, line ends or capitals, against the SQL."""
+    kinds = [None, "", " yes ", "yes", "INF", "inf", " inf", "-Inf", "1e5", "1e5\n", " 1E2", "2.e-3", "Off", "click"]
+    rows = [(k, "click") for k in (None, *range(-17, 18))] + [(6 + 8 * n, kind) for n, kind in enumerate(kinds, 100)]
+    events = spark.createDataFrame([(k, datetime(2024, 1, 1), kind) for k, kind in rows], "event_id bigint, ts timestamp, event_type string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = catalog.config_notation(spark, str(tmp_path))
+    assert _rows(got.columns, got.collect()) == _rows(got.columns, con.sql(catalog.ORACLE_SQL["config_notation"]).select(*got.columns).fetchall())
