@@ -2,12 +2,13 @@
 
 The displacement is found on an image pyramid, coarse levels first: the first field is warped by what is
 known so far, both are averaged to the level, and a smooth increment that explains their difference is
-found by Jacobi sweeps. Fields lie on a square whose side is a power of two; its cells are a table, and
-for the sweeps of a level they are dealt into tiles. A tile holds ``halo`` more cells on each side and so
-can do as many sweeps by itself; then tiles exchange their edges in one shuffle. A task holds a tile,
-never a field, and the result does not depend on the tiles. Tables of cells are joined by sorting: most
-of a square may be empty, so that its file is small when its rows are many, and broadcasting it would fill
-the driver.
+found by Jacobi sweeps. Fields lie on a square whose side is a power of two, with the corner at its origin;
+only cells that the field's values can reach are kept as a table, all others are zero, masked and do not
+move, so that a long and narrow field has no more rows than its length asks for. For the sweeps of a level
+cells are dealt into tiles, and tiles without cells are left out. A tile holds ``halo`` more cells on each
+side and so can do as many sweeps by itself; then tiles exchange their edges in one shuffle. A task holds a
+tile, never a field, and the result does not depend on the tiles. Tables of cells are joined by sorting:
+their files may be small when their rows are many, and broadcasting them would fill the driver.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def _grouped(f: Callable[[pd.DataFrame], pd.DataFrame], keys: list[str]) -> Call
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = f(rows)
         for k in keys:
-            out[k] = rows[k].iloc[0]
+            out[k] = [rows[k].iloc[0]] * len(out)
         return out
 
     return run
@@ -111,6 +112,7 @@ def _solve(level: DataFrame, tiling: _Tiling, store: StateStore, name: str, swee
     def first(rows: pd.DataFrame) -> pd.DataFrame:
         ti, tj = (int(rows[c].iloc[0]) for c in ("ti", "tj"))
         a = np.zeros((3, side, side))
+        a[2] = 1  # cells that are not kept
         a[:, rows["r"], rows["c"]] = rows[["x1", "x2", "masked"]].to_numpy(np.float64).T
         mean = (a[0] + a[1]) / 2
         slopes = np.stack([(np.roll(mean, -1, 1) - np.roll(mean, 1, 1)) / 2, (np.roll(mean, -1, 0) - np.roll(mean, 1, 0)) / 2, a[1] - a[0]])
@@ -135,6 +137,8 @@ def _solve(level: DataFrame, tiling: _Tiling, store: StateStore, name: str, swee
 
     def later(most: int):
         def run(rows: pd.DataFrame) -> pd.DataFrame:
+            if not rows["own"].any():  # no cells there, nothing moves
+                return pd.DataFrame(columns=["ti", "tj", "slopes", "fixed", "d", "before", "changes"], dtype=object)
             d, mine = np.zeros((2, width, width)), rows[rows["own"]].iloc[0]
             for r, c, h, block in zip(rows["r"], rows["c"], rows["h"], rows["block"]):
                 part = np.frombuffer(block).reshape(2, h, -1)
@@ -175,13 +179,26 @@ def _solve(level: DataFrame, tiling: _Tiling, store: StateStore, name: str, swee
 
 
 def _sampled(at: DataFrame, field: DataFrame, keys: list[str], n: int, values: list[str]) -> DataFrame:
-    """``keys, i, j`` and ``values`` of a square field of side ``n`` at ``fi, fj`` of the rows, bilinear; edges wrap."""
+    """``keys, i, j`` and ``values`` of a square field of side ``n`` at ``fi, fj`` of the rows, bilinear; edges wrap, cells that are not there are zero."""
     i0, j0 = F.floor("fi"), F.floor("fj")
     u, v = F.col("fi") - i0, F.col("fj") - j0
     corners = F.array(*[F.struct(F.pmod(i0 + a, F.lit(n)).alias("ci"), F.pmod(j0 + b, F.lit(n)).alias("cj"), ((u if a else 1 - u) * (v if b else 1 - v)).alias("w")) for a in (0, 1) for b in (0, 1)])
     wanted = at.select(*keys, "i", "j", F.explode(corners).alias("k")).select(*keys, "i", "j", "k.*").where("w <> 0")
     source = field.select(*keys, F.col("i").alias("ci"), F.col("j").alias("cj"), *values)
-    return wanted.join(source.hint("merge"), [*keys, "ci", "cj"]).groupBy(*keys, "i", "j").agg(*[F.sum(F.col("w") * F.col(x)).alias(x) for x in values])
+    met = wanted.join(source.hint("merge"), [*keys, "ci", "cj"], "left")
+    return met.groupBy(*keys, "i", "j").agg(*[F.sum(F.col("w") * F.coalesce(F.col(x), F.lit(0.0))).alias(x) for x in values])
+
+
+def _kept(n: int, length: int, levels: int) -> tuple[int, int]:
+    """How many cells at the start and at the end of an axis of the square can be other than zero and masked.
+
+    A level of blocks of side s carries values three blocks on at most: one whose slope sees a value, its
+    neighbour by the mean, and one more by interpolation. Both numbers are whole blocks of the coarsest level.
+    """
+    sizes = [1 << max(level - 1, 0) for level in range(levels + 1)]
+    reach = -(-3 * sum(sizes) // sizes[-1]) * sizes[-1]
+    low = (-(-length // sizes[-1]) * sizes[-1]) + reach
+    return (n, 0) if low + reach >= n else (low, reach)
 
 
 def displacement(
@@ -199,16 +216,22 @@ def displacement(
     n = 1 << max(1, int(np.ceil(np.log2(max(nx, ny)))))
     masked = F.col("before").isNull() | F.isnan("before") | F.col("after").isNull() | F.isnan("after") | (F.abs(F.col("after") - F.col("before")) < UNCHANGED)
     known = fields.select(*keys, F.col("i").cast("long"), F.col("j").cast("long"), *[F.when(masked, 0.0).otherwise(F.col(c).cast("double")).alias(x) for c, x in (("before", "x1"), ("after", "x2"))], masked.alias("masked"))
-    square = fields.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("cell"))
-    square = square.select(*keys, (F.col("cell") % n).cast("long").alias("i"), F.floor(F.col("cell") / n).cast("long").alias("j"))
+    top = min(levels, int(np.log2(n)))
+    (low_i, high_i), (low_j, high_j) = _kept(n, nx, top), _kept(n, min(ny + 1, n), top)  # an incomplete row may follow
+    wide = low_i + high_i
+    place = lambda k, low, high: F.when(k < low, k).otherwise(k + (n - low - high)).cast("long")
+    cells = fields.sparkSession.range(wide * (low_j + high_j))
+    cells = cells.select(place(F.col("id") % wide, low_i, high_i).alias("i"), place(F.floor(F.col("id") / wide), low_j, high_j).alias("j"))
+    square = cells.crossJoin(store.write(fields.select(*keys).distinct(), 0, "keys"))
     whole = square.join(known.hint("merge"), [*keys, "i", "j"], "left").select(*keys, "i", "j", F.coalesce("x1", F.lit(0.0)).alias("x1"), F.coalesce("x2", F.lit(0.0)).alias("x2"), F.coalesce("masked", F.lit(True)).alias("masked"))
     bounds = whole.groupBy(*keys).agg(F.min("x1").alias("low"), F.max("x1").alias("high"))
-    scaled = lambda c: F.when(F.col("high") > F.col("low"), (F.col(c) - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(F.col(c)).alias(c)
+    # only differences count, so the low bound is not taken off: cells beyond the field stay zero
+    scaled = lambda c: F.when(F.col("high") > F.col("low"), F.col(c) / (F.col("high") - F.col("low"))).otherwise(F.col(c)).alias(c)
     base = store.write(whole.join(bounds, keys).select(*keys, "i", "j", scaled("x1"), scaled("x2"), "masked"), 0, "base")
     moved = base.select(*keys, "i", "j", F.lit(0.0).alias("u"), F.lit(0.0).alias("v"))
-    for level in range(min(levels, int(np.log2(n))), -1, -1):
+    for level in range(top, -1, -1):
         size = 1 << max(level - 1, 0)
-        if level == min(levels, int(np.log2(n))):
+        if level == top:
             warped = base.select(*keys, "i", "j", "x1")
         else:
             warped = _sampled(moved.select(*keys, "i", "j", (F.col("i") - F.col("u")).alias("fi"), (F.col("j") - F.col("v")).alias("fj")), base, keys, n, ["x1"])

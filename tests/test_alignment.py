@@ -6,6 +6,7 @@ import pytest
 
 from skerry.operators import alignment
 from skerry.operators.grid import Grid
+from skerry.sources.tables import StateStore
 
 
 def _roll_mean(d):
@@ -93,6 +94,18 @@ def test_displacement_against_plain_version(spark, tile, halo, tolerance):
         assert np.allclose(_array(rows, "u", nx, ny), u, atol=1e-9) and np.allclose(_array(rows, "v", nx, ny), v, atol=1e-9)
 
 
+@pytest.mark.parametrize("levels, tile", [(5, 256), (2, 32)])
+def test_long_and_narrow_field_keeps_its_own_cells_only(spark, tmp_path, levels, tile):
+    """The square has 65,536 cells; those that no value reaches, and their tiles, are not there, and the result is the square's."""
+    nx, ny = 6, 150
+    before, after = _blob(nx, ny, 2, 60, 9.0) - 0.3 * _blob(nx, ny, 4, 140), _blob(nx, ny, 3, 64, 9.0) - 0.3 * _blob(nx, ny, 4, 143)
+    store = StateStore(spark, str(tmp_path))
+    got = alignment.displacement(_table(spark, {0: {"before": before, "after": after}}), ["mem"], nx, ny, store, levels=levels, tile=tile, halo=7, sweeps=12).collect()
+    u, v = _plain(before, after, levels=levels, sweeps=12)
+    assert np.allclose(_array(got, "u", nx, ny), u, atol=1e-9) and np.allclose(_array(got, "v", nx, ny), v, atol=1e-9)
+    assert store.read(0, "base").count() == {5: 208 * 256, 2: 30 * 176}[levels]
+
+
 def test_planted_shift_is_found_and_the_state_follows(spark):
     nx = ny = 32
     before, after = _blob(nx, ny, 14, 16), _blob(nx, ny, 17, 15)
