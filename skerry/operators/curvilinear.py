@@ -1,23 +1,31 @@
 """Positions on curvilinear grids: nearest grid point by descent over a neighbour table, then the place within the triangles around it.
 
 Grid points ``loc, i, j, lon, lat`` need no formula behind them. A descent moves every position's pivot
-to the nearest of the pivot's neighbours until it stands, all positions at once, a join a step. Wide
-strides come first, so the number of steps grows with the logarithm of the grid's size.
+to the nearest of the pivot's neighbours until it stands, all positions at once. Wide strides come first,
+so the number of steps grows with the logarithm of the grid's size. Wide strides stay on every so many
+rows: these points, of bounded number, are sent to all tasks, which do all such steps in one pass. Narrower
+strides are a join a step.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, log2
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.functions.distance import great_circle
+from skerry.functions.distance import EARTH_RADIUS, great_circle
+from skerry.functions.expr import let
 from skerry.sources.tables import StateStore
 
 #: Eight triangles around a pivot, as the steps in i and j to their two other corners.
 AROUND = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
 OUTSIDE = 1e-3
+#: Most grid points that are sent to all tasks, for the wide strides of a descent.
+COARSE = 65_536
 
 
 def stepped(i: Column, j: Column, di: int, dj: int, nx: int, ny: int, cyclic_x: bool = True, folded: bool = False) -> Column:
@@ -43,6 +51,46 @@ def neighbours(grid: DataFrame, nx: int, ny: int, stride: int = 1, **shape) -> D
     return grid.select("loc", F.explode(F.array(*sides)).alias("next")).where("next is not null and next <> loc").join(at.hint("merge"), "next")
 
 
+def _descended(points: DataFrame, grid: DataFrame, key: str, nx: int, ny: int, every: int, widest: int, cyclic_x: bool = True) -> DataFrame:
+    """``key, lon, lat, pivot, p_lon, p_lat`` after all strides from ``2^widest`` to ``every``, which only meet rows divisible by ``every``."""
+    some = grid.where(F.col("j") % every == 0).select("i", (F.col("j") / every).cast("long").alias("j"), F.col("lon").cast("double"), F.col("lat").cast("double")).toPandas()
+    at = np.full((2, -(-ny // every) * nx), np.nan)
+    at[:, some["j"] * nx + some["i"]] = some[["lon", "lat"]].to_numpy().T
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sin, cos = np.sin(np.radians(at[1])), np.cos(np.radians(at[1]))
+
+        def gap(lon: np.ndarray, lat: np.ndarray, loc: np.ndarray) -> np.ndarray:
+            cosine = np.sin(lat) * sin[loc] + np.cos(lat) * cos[loc] * np.cos(np.radians(at[0][loc] - lon))
+            return EARTH_RADIUS * np.arccos(np.clip(cosine, -1.0, 1.0))
+
+        for batch in batches:
+            lon, lat = batch["lon"].to_numpy(float, na_value=np.nan), np.radians(batch["lat"].to_numpy(float, na_value=np.nan))
+            pivot = np.zeros(len(batch), np.int64)
+            best = gap(lon, lat, pivot)
+            for k in range(widest, int(log2(every)) - 1, -1):
+                todo, stride = np.arange(len(batch)), 1 << k
+                while len(todo):
+                    j, i = np.divmod(pivot[todo], nx)
+                    near, found = best[todo].copy(), pivot[todo].copy()
+                    for di, dj in AROUND[::2]:
+                        ni, nj = i + di * stride, j + dj * (stride // every)
+                        ni = ni % nx if cyclic_x else ni
+                        inside = (ni >= 0) & (ni < nx) & (nj >= 0) & (nj * every < ny)
+                        loc = np.where(inside, nj * nx + ni, pivot[todo])
+                        d = np.where(inside, gap(lon[todo], lat[todo], loc), np.inf)
+                        nearer = (d < near) | ((d == near) & (near < best[todo]) & (loc < found))
+                        near, found = np.where(nearer, d, near), np.where(nearer, loc, found)
+                    moved = near < best[todo]
+                    todo, near, found = todo[moved], near[moved], found[moved]
+                    best[todo], pivot[todo] = near, found
+            j, i = np.divmod(pivot, nx)
+            yield batch.assign(pivot=j * every * nx + i, p_lon=at[0][pivot], p_lat=at[1][pivot])
+
+    kind = points.schema[key].dataType.simpleString()
+    return points.select(key, F.col("lon").cast("double"), F.col("lat").cast("double")).mapInPandas(run, f"`{key}` {kind}, lon double, lat double, pivot bigint, p_lon double, p_lat double")
+
+
 def pivots(points: DataFrame, grid: DataFrame, key: str, nx: int, ny: int, store: StateStore | None = None, most_steps: int = 10_000, **shape) -> DataFrame:
     """``points(key, lon, lat)`` with ``pivot``, the grid point that none of its neighbours is nearer than, and its ``gap`` in metres.
 
@@ -51,12 +99,17 @@ def pivots(points: DataFrame, grid: DataFrame, key: str, nx: int, ny: int, store
     broadcast at every step would send their table through the driver each time.
     """
     store = store or StateStore.temporary(points.sparkSession)
-    first = grid.where("loc = 0").select(F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
-    gap = great_circle(F.col("lon"), F.col("lat"), F.col("n_lon"), F.col("n_lat"))
-    start = points.select(key, "lon", "lat").join(F.broadcast(first))  # one row
-    now = store.write(start.select(key, "lon", "lat", F.lit(0).cast("long").alias("pivot"), great_circle(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat")).alias("gap")), 0, "pivots")
+    widest = ceil(log2(max(nx, ny, 2))) - 1
+    narrow = ceil(log2(max(nx * ny / COARSE, 1)))
+    if narrow > widest or nx > COARSE or shape.get("folded"):  # a fold leads off the rows that are sent
+        first = grid.where("loc = 0").select(F.lit(0).cast("long").alias("pivot"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
+        start = points.select(key, "lon", "lat").join(F.broadcast(first))  # one row
+    else:
+        start = _descended(points, grid, key, nx, ny, 1 << narrow, widest, shape.get("cyclic_x", True))
+        widest = max(narrow - 1, 0)  # at last the steps of one point again, by this module's own distances
+    now = store.write(start.select(key, "lon", "lat", "pivot", great_circle(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat")).alias("gap")), 0, "pivots")
     step = 0
-    for k in range(ceil(log2(max(nx, ny, 2))) - 1, -1, -1):
+    for k in range(widest, -1, -1):
         around = neighbours(grid, nx, ny, 1 << k, **shape).groupBy("loc").agg(F.collect_list(F.struct("next", "n_lon", "n_lat")).alias("around"))
         around = store.write(around.withColumnRenamed("loc", "pivot"), step, "around")
         moving, settled = now, []
@@ -99,15 +152,20 @@ def grid_index(placed: DataFrame, grid: DataFrame, key: str, nx: int, ny: int, *
     pivot = at.select(F.col("loc").alias("pivot"), "i", "j", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), F.explode(options).alias("o")).select("pivot", "i", "j", "lon1", "lat1", "o.*").where("loc2 is not null and loc3 is not null")
     pivot = pivot.join(corner(2).hint("merge"), "loc2").join(corner(3).hint("merge"), "loc3")
     gap = lambda a, b: great_circle(F.col(f"lon{a}"), F.col(f"lat{a}"), F.col(f"lon{b}"), F.col(f"lat{b}"))
-    triangles = pivot.withColumns({"s1": gap(2, 3), "s2": gap(3, 1), "s3": gap(1, 2)})
-    met = placed.select(key, "lon", "lat", "pivot").join(triangles.hint("merge"), "pivot").withColumns({f"d{n}": great_circle(F.col("lon"), F.col("lat"), F.col(f"lon{n}"), F.col(f"lat{n}")) for n in (1, 2, 3)})
-    d1, d2, d3, s1, s2, s3 = (F.col(c) for c in ("d1", "d2", "d3", "s1", "s2", "s3"))
-    met = met.withColumn("whole", _heron(s1, s2, s3)).where("whole > 0").withColumns({"b1": _heron(s1, d2, d3) / F.col("whole"), "b2": _heron(s2, d1, d3) / F.col("whole"), "b3": _heron(s3, d1, d2) / F.col("whole")})
-    total = F.col("b1") + F.col("b2") + F.col("b3")
-    inside = met.where(F.abs(total - 1) <= OUTSIDE)
-    place = F.struct((F.col("i") * total + F.col("di2") * F.col("b2") + F.col("di3") * F.col("b3")).alias("fi"), (F.col("j") * total + F.col("dj2") * F.col("b2") + F.col("dj3") * F.col("b3")).alias("fj"))
-    found = inside.groupBy(key).agg(F.min_by(place, "k").alias("p")).select(key, "p.*")
-    return placed.select(key).join(found, key, "left")
+    whole = let(F.array(gap(2, 3), gap(3, 1), gap(1, 2)), lambda s: F.struct(s.alias("s"), _heron(s[0], s[1], s[2]).alias("whole")))
+    triangles = pivot.withColumn("size", whole).groupBy("pivot").agg(F.collect_list(F.struct("k", "i", "j", *[f"{c}{n}" for n in (2, 3) for c in ("di", "dj", "lon", "lat")], "lon1", "lat1", "size")).alias("around"))
+
+    def place(t: Column) -> Column:
+        """Where a position lies by one triangle, null if outside; each distance is worked out once."""
+        s, whole = t["size"]["s"], F.nullif(t["size"]["whole"], F.lit(0.0))
+        far = F.array(*[great_circle(F.col("lon"), F.col("lat"), t[f"lon{n}"], t[f"lat{n}"]) for n in (1, 2, 3)])
+        areas = let(far, lambda d: F.array(_heron(s[0], d[1], d[2]) / whole, _heron(s[1], d[0], d[2]) / whole, _heron(s[2], d[0], d[1]) / whole))
+        index = lambda b, total, n: t[n] * total + t[f"d{n}2"] * b[1] + t[f"d{n}3"] * b[2]
+        inside = lambda b, total: F.when(F.abs(total - 1) <= OUTSIDE, F.struct(t["k"].alias("k"), index(b, total, "i").alias("fi"), index(b, total, "j").alias("fj")))
+        return let(areas, lambda b: inside(b, b[0] + b[1] + b[2]))
+
+    met = placed.select(key, "lon", "lat", "pivot").join(triangles.hint("merge"), "pivot", "left")
+    return met.select(key, F.array_min(F.transform("around", place)).alias("p")).select(key, "p.fi", "p.fj")
 
 
 def position_of(indexed: DataFrame, grid: DataFrame, key: str, nx: int, ny: int, **shape) -> DataFrame:
